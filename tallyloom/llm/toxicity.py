@@ -10,10 +10,12 @@ As the kernel is an inner product of those features, the landmark expansion
 folds into one weight per triple, which scores a unit exactly as the kernel
 sum over landmarks does.
 
-Labels mark documents, not sentences, so training is multi-instance: every
-sentence of a clean document is clean; of a toxic one, the unit that scores
-highest stands for it, chosen anew in each round. A text's score is that of
-its worst unit, hence of its worst sentence.
+Labels mark documents, not sentences, and some are wrong, so training is
+multi-instance: every sentence of a clean document is clean; of a toxic one,
+those count as toxic that hold a unit which marks toxic documents beyond
+chance (a binomial tail over all units tested). A text's score is that of its
+worst unit, hence of its worst sentence; the logistic map to a probability is
+fitted on the worst margins of the sample, weighted to the corpus's own rates.
 
 Defined cases: null and empty texts hold no unit and get the calibrated score
 of "no evidence", below the threshold; repeated rows score alike; labels that
@@ -24,8 +26,9 @@ are ignored (``score``) or kept (``drop_toxic``).
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import bound_arrow_batches
+from tallyloom.session import Scratch, bound_arrow_batches
 
 #: Rows with crc32(doc_id) of this remainder are held out of training.
 FOLDS, HELD_OUT = 4, 2
 #: At most about so many labelled documents of each label are drawn (by a hash of doc_id) to train on.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Clean units drawn to train on, and landmarks of the Nyström map.
 CLEAN_UNITS, LANDMARKS = 30_000, 256
 #: Letters of a triple lie within so many characters; each character of the span counts so much.
 SPAN, DECAY = 7, 0.75
-ROUNDS = 6
+#: Chance of one false seed among all units tested; a seed stands in so many toxic documents.
+LEVEL, LEAST_DOCS = 0.05, 3
 THRESHOLD = 0.3
 #: Units whose score one worker keeps; then it starts anew.
 KEPT_UNITS = 400_000
@@ -67,10 +71,15 @@ def document_units(text: str | None) -> set[str]:
     return units
 
 
+def plain(unit: str) -> str:
+    """A unit without marks at its edges, as it is counted."""
+    return unit.strip(_EDGE).translate(FOLD)
+
+
 def _codes(unit: str) -> tuple[list[int], list[int]]:
     """Letter codes and places of a unit; code 0 marks its start."""
     codes, places = [0], [0]
-    for at, c in enumerate(unit.strip(_EDGE).translate(FOLD), 1):
+    for at, c in enumerate(plain(unit), 1):
         if "a" <= c <= "z":
             codes.append(ord(c) - 96)
             places.append(at)
@@ -219,63 +228,47 @@ def _spelt_around(unit: str, k: int) -> list[str]:
     return [mark.join(core), core[:middle] + "xzqw"[k % 4] + core[middle:], core[: middle - 1] + mark + core[middle - 1 :]]
 
 
-def fit(bags: dict[int, list[str]], clean: list[str], clean_bags: list[list[str]]) -> Model:
-    """Multi-instance training: ``bags`` are the rare units of each toxic document, ``clean`` units of clean ones."""
-    if not bags or not clean:
+def tail(toxic: int, total: int, share: float) -> float:
+    """Chance that at least ``toxic`` of ``total`` documents are toxic where the label has nothing to do with the unit."""
+    logs = math.lgamma(total + 1)
+    ks = range(toxic, total + 1)
+    return min(1.0, sum(math.exp(logs - math.lgamma(k + 1) - math.lgamma(total - k + 1) + k * math.log(share) + (total - k) * math.log1p(-share)) for k in ks))
+
+
+def pick_seeds(counted: list[tuple[str, int, int]], share: float, tested: int) -> list[tuple[str, int]]:
+    """Units (with their toxic documents) that mark toxic documents beyond chance, all tests counted; the strongest first."""
+    judged = sorted((tail(toxic, total, share), -toxic, unit) for unit, toxic, total in counted)
+    sure = [(u, -t) for p, t, u in judged if p * max(tested, 1) < LEVEL]
+    return sure or [(u, -t) for p, t, u in judged[:20] if p < 1e-3]
+
+
+def fit(seeds: list[tuple[str, int]], clean: list[str]) -> Model:
+    """The machine: ``seeds`` against units of clean documents, each also with characters put between its letters."""
+    seeds = [(u, n) for u, n in seeds if len(u) <= UNIT_CHARS and len(triples([u])[0])]
+    if not seeds or not clean:
         return Model(np.zeros(1 << 18), -1.0)
-    seen: dict[str, int] = defaultdict(int)
-    for units in bags.values():
-        for u in units:
-            seen[u] += 1
-    often = sorted(seen, key=lambda u: (-seen[u], u))
-    basis = often[: LANDMARKS * 3 // 4]
+    basis = [u for u, _ in seeds[: LANDMARKS * 3 // 4]]
     basis += clean[:: max(1, len(clean) // (LANDMARKS - len(basis)))][: LANDMARKS - len(basis)]
     basis = [b for b in dict.fromkeys(basis) if len(b) <= UNIT_CHARS and len(triples([b])[0])]
-    gram = _dense(basis, basis)
-    value, vector = np.linalg.eigh(gram)
+    value, vector = np.linalg.eigh(_dense(basis, basis))
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
-
-    units = sorted(seen)
-    number = {u: i for i, u in enumerate(units)}
-    x_bag, x_clean = _dense(units, basis) @ whiten, _dense(clean, basis) @ whiten
-    spelt = [s for k, u in enumerate(clean[::10]) for s in _spelt_around(u, k)]
-    x_clean = np.vstack([x_clean, _dense(spelt, basis) @ whiten]) if spelt else x_clean
-    members = [np.array([number[u] for u in us]) for _, us in sorted(bags.items()) if us]
-    # At first every rare unit stands for its document, by the share of toxic documents that have it.
-    share = np.array([seen[u] for u in units], dtype=float)
-    chosen = np.unique(np.concatenate([m[np.argsort(-share[m], kind="stable")[:3]] for m in members]))
-    w, b = np.zeros(x_bag.shape[1]), 0.0
-    extra = np.zeros((0, x_bag.shape[1]))
-    for _ in range(ROUNDS):
-        x = np.vstack([x_bag[chosen], extra, x_clean])
-        n_pos = len(chosen) + len(extra)
-        y = np.concatenate([np.ones(n_pos), -np.ones(len(x_clean))])
-        weight = np.concatenate([np.full(n_pos, 0.5 * len(x_clean) / n_pos), np.ones(len(x_clean))])
-        w, b = _fit_svm(x, y, weight)
-        margin = x_bag @ w + b
-        chosen = np.unique([m[np.argmax(margin[m])] for m in members] + [i for m in members for i in m[margin[m] > 0.5]])
-        spelt = [s for k, i in enumerate(chosen) if margin[i] > 0 for s in _spelt_around(units[i], k)]
-        extra = _dense(spelt, basis) @ whiten if spelt else extra[:0]
-    beta = whiten @ w
+    good = seeds + [(s, n) for k, (u, n) in enumerate(seeds) for s in _spelt_around(u, k)]
+    bad = clean + [s for k, u in enumerate(clean[::5]) for s in _spelt_around(u, k)]
+    x = np.vstack([_dense([u for u, _ in good], basis), _dense(bad, basis)]) @ whiten
+    y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
+    often = np.sqrt([n for _, n in good])
+    weight = np.concatenate([often * (0.5 * len(bad) / often.sum()), np.ones(len(bad))])
+    w, b = _fit_svm(x, y, weight)
     bu, bt, bv = triples(basis)
-    weights = np.bincount(bt, weights=bv * beta[bu], minlength=1 << 18)
-    model = Model(weights, b)
-    # The logistic map: from the worst margins of whole toxic and clean documents.
-    top = [float(margin[m].max()) for m in members]
-    rest = Scorer(model)
-    flat = sorted({u for us in clean_bags for u in us})
-    rest.known = dict(zip(flat, model.margins(flat).tolist(), strict=True)) if flat else {}
-    low = [max(rest.known[u] for u in us) for us in clean_bags if us]
-    model.slope, model.shift = _logistic(np.array(top + low), np.array([1.0] * len(top) + [0.0] * len(low)))
-    return model
+    return Model(np.bincount(bt, weights=bv * (whiten @ w)[bu], minlength=1 << 18), b)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, with Platt's smoothed targets and equal class weights."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve, with Platt's smoothed targets."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
+    weight = weight / weight.sum()
     a, c = 1.0, 0.0
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a * x + c, -40, 40)))
@@ -299,41 +292,62 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, h
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id")
 
 
-def bounded_sample(rows: DataFrame, most: dict[int, int]) -> DataFrame:
-    """Of each label about ``most`` rows at most, by a hash of doc_id; the same rows on every run."""
+def bounded_sample(rows: DataFrame, most: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
+    """Of each label about ``most`` rows at most, by a hash of doc_id, and the share drawn; the same rows on every run."""
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    keep = F.lit(False)
+    keep, shares = F.lit(False), {}
     for label, n in most.items():
-        share = min(1_000_000, int(1_000_000 * n / max(1, counts.get(label, 0))))
-        keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
-    return rows.filter(keep)
+        shares[label] = min(1.0, n / max(1, counts.get(label, 0)))
+        keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * shares[label])))
+    return rows.filter(keep), shares
+
+
+def _unit_rows(batches):
+    for batch in batches:
+        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = sorted({plain(u) for u in document_units(t)})
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["unit", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
-    """Fit on a bounded sample of labelled rows: the units are counted on executors, rare ones come to the driver."""
+    """Fit on a bounded sample of labelled rows: units are counted on executors, the telling ones come to the driver."""
     spark = docs.sparkSession
     bound_arrow_batches(spark)
-    rows = bounded_sample(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT), {1: sample_toxic, 0: sample_clean})
+    drawn, shares = bounded_sample(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT), {1: sample_toxic, 0: sample_clean})
+    scratch = Scratch(spark, "toxicity")
+    rows = scratch.table(drawn.filter("text is not null").groupBy("text").agg(F.max("label").cast("int").alias("label")), "sample")
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        return Model(np.zeros(1 << 18), -1.0)
+    share = n_toxic / (n_toxic + n_clean)
+    met = rows.mapInArrow(_unit_rows, "unit string, label int")
+    counted = scratch.table(met.groupBy("unit").agg(F.sum("label").cast("int").alias("toxic"), F.count("*").cast("int").alias("total")), "units")
+    telling = counted.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > 2 * share * F.col("total"))).filter(F.length("unit") <= UNIT_CHARS)
+    tested = counted.filter(F.col("total") >= LEAST_DOCS).count()
+    seeds = pick_seeds([tuple(r) for r in telling.collect()], share, tested)
+    idle = counted.filter((F.col("total") > F.col("toxic")) & (F.col("toxic") <= 1.5 * share * F.col("total"))).filter(F.length("unit") <= UNIT_CHARS)
+    often = idle.orderBy(F.desc("total"), "unit").limit(CLEAN_UNITS // 2)
+    spread = idle.orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS // 2)
+    clean = sorted({r[0] for r in often.select("unit").union(spread.select("unit")).collect()}, key=lambda u: zlib.crc32(u.encode()))
+    model = fit(seeds, clean)
+    margins = np.array([(m, y) for m, y in _margins(rows, model).collect() if m is not None]).reshape(-1, 2)
+    x, y = margins[:, 0], margins[:, 1]
+    if 0 < y.sum() < len(y):
+        model.slope, model.shift = _logistic(x, y, np.where(y == 1, 1 / shares[1], 1 / shares[0]))
+    return model
+
 
-    def units(batches):
+def _margins(rows: DataFrame, model: Model) -> DataFrame:
+    """Worst margin and label of each row of the sample."""
+    known = rows.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        scorer = Scorer(known.value)
         for batch in batches:
-            for d, t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = sorted(document_units(t))
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(own), pa.int64()), pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["doc_id", "unit", "label"])
-
-    met = rows.select("doc_id", "text", "label").mapInArrow(units, "doc_id long, unit string, label int")
-    by_unit = met.groupBy("unit").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"), F.min("doc_id").alias("a"), F.collect_set(F.when(F.col("label") == 1, F.col("doc_id"))).alias("docs"))
-    pool = by_unit.filter("clean > 0").select("unit").orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS)
-    rare = by_unit.filter("clean = 0").select("unit", "docs")
-    got = by_unit.filter("clean = 0").select("unit", F.explode("docs").alias("doc_id")).collect()
-    bags: dict[int, list[str]] = defaultdict(list)
-    for unit, doc_id in got:
-        if len(unit) <= 2 * UNIT_CHARS:
-            bags[doc_id].append(unit)
-    clean = [r[0] for r in pool.collect()]
-    few = met.filter("label = 0").filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) == 0).groupBy("doc_id").agg(F.collect_set("unit")).limit(300).collect()
-    del rare
-    return fit({k: sorted(v) for k, v in bags.items()}, clean, [sorted(r[1]) for r in sorted(few)])
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in scorer.worst(batch.column(0).to_pylist())], pa.float64()), batch.column(1)], names=["margin", "label"])
+
+    return rows.select("text", "label").mapInArrow(judge, "margin double, label int")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
