@@ -43,7 +43,7 @@ FOLDS, HELD_OUT = 4, 2
 #: At most about so many labelled documents of each label are drawn (by a hash of doc_id) to train on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Clean units drawn to train on, and landmarks of the Nyström map.
-CLEAN_UNITS, LANDMARKS = 30_000, 256
+CLEAN_UNITS, LANDMARKS = 16_000, 256
 #: Letters of a triple lie within so many characters; each character of the span counts so much.
 SPAN, DECAY = 7, 0.75
 #: Chance of one false seed among all units tested; a seed stands in so many toxic documents.
@@ -168,8 +168,8 @@ class Scorer:
         if len(self.known) > KEPT_UNITS:
             self.known = {}
         new = sorted(set().union(*found) - self.known.keys()) if found else []
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
             self.known.update(zip(part, self.model.margins(part).tolist(), strict=True))
         get = self.known.__getitem__
         out = []
@@ -192,7 +192,7 @@ def _dense(units: list[str], basis: list[str]) -> np.ndarray:
     hit = col >= 0
     uu, col, uv = uu[hit], col[hit], uv[hit]
     out = np.zeros((len(units), len(basis)))
-    step = 200_000
+    step = 16_384
     for at in range(0, len(uu), step):
         rows, first = np.unique(uu[at : at + step], return_index=True)
         part = np.add.reduceat(land[col[at : at + step]] * uv[at : at + step, None], first, axis=0)
@@ -200,16 +200,22 @@ def _dense(units: list[str], basis: list[str]) -> np.ndarray:
     return out
 
 
+def mapped(units: list[str], basis: list[str], whiten: np.ndarray) -> np.ndarray:
+    """The Nyström map of units, a block at a time."""
+    blocks = [_dense(units[at : at + 1000], basis) @ whiten for at in range(0, len(units), 1000)]
+    return np.vstack(blocks).astype(np.float32) if blocks else np.zeros((0, whiten.shape[1]), np.float32)
+
+
 def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> tuple[np.ndarray, float]:
     """Squared-hinge linear support vector machine, by Newton steps on its active rows."""
     n, m = x.shape
-    z = np.hstack([x, np.ones((n, 1))])
+    z = np.hstack([x, np.ones((n, 1), x.dtype)])
     w = np.zeros(m + 1)
     penal = np.full(m + 1, ridge * weight.sum() / n)
     penal[-1] = 1e-6
     for _ in range(20):
-        active = y * (z @ w) < 1
-        za, wa = z[active], weight[active]
+        active = y * (z @ w.astype(z.dtype)) < 1
+        za, wa = z[active].astype(float), weight[active]
         target = np.linalg.solve((za * wa[:, None]).T @ za + np.diag(penal), (za * wa[:, None]).T @ y[active])
         done = np.allclose(target, w, atol=1e-6)
         w = target
@@ -255,7 +261,7 @@ def fit(seeds: list[tuple[str, int]], clean: list[str]) -> Model:
     whiten = vector[:, keep] / np.sqrt(value[keep])
     good = seeds + [(s, n) for k, (u, n) in enumerate(seeds) for s in _spelt_around(u, k)]
     bad = clean + [s for k, u in enumerate(clean[::5]) for s in _spelt_around(u, k)]
-    x = np.vstack([_dense([u for u, _ in good], basis), _dense(bad, basis)]) @ whiten
+    x = np.vstack([mapped([u for u, _ in good], basis, whiten), mapped(bad, basis, whiten)])
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
     often = np.sqrt([n for _, n in good])
     weight = np.concatenate([often * (0.5 * len(bad) / often.sum()), np.ones(len(bad))])
