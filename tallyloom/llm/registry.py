@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.decontaminate import op1_decontaminate
+from tallyloom.llm.licenses import op4_licenses, op4_sql
+from tallyloom.llm.mixing import op5_mixing, op5_sql
+from tallyloom.llm.secrets import op3_secrets
 from tallyloom.llm.toxicity import op2_toxicity
+from tallyloom.llm.urlfilter import op6_sql, op6_urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_secrets": op3_secrets,
+    "op4_licenses": op4_licenses,
+    "op5_mixing": op5_mixing,
+    "op6_urlfilter": op6_urlfilter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_licenses": op4_sql(),
+    "op5_mixing": op5_sql(),
+    "op6_urlfilter": op6_sql(),
+}
