@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.llm.decontaminate import op1_decontaminate
 from tallyloom.llm.licenses import op4_licenses, op4_sql
 from tallyloom.llm.mixing import op5_mixing, op5_sql
+from tallyloom.llm.neardup import op9_neardup
 from tallyloom.llm.secrets import op3_secrets
 from tallyloom.llm.toxicity import op2_toxicity
 from tallyloom.llm.urlfilter import op6_sql, op6_urlfilter
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op6_urlfilter": op6_urlfilter,
+    "op9_neardup": op9_neardup,
 }
 
 ORACLES: dict[str, str] = {
