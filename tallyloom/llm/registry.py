@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.ann import op7_ann
 from tallyloom.llm.decontaminate import op1_decontaminate
 from tallyloom.llm.licenses import op4_licenses, op4_sql
 from tallyloom.llm.mixing import op5_mixing, op5_sql
@@ -13,6 +14,7 @@ from tallyloom.llm.neardup import op9_neardup
 from tallyloom.llm.secrets import op3_secrets
 from tallyloom.llm.toxicity import op2_toxicity
 from tallyloom.llm.urlfilter import op6_sql, op6_urlfilter
+from tallyloom.llm.warc import op10_sql, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
@@ -21,11 +23,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
     "op6_urlfilter": op6_urlfilter,
+    "op7_ann": op7_ann,
     "op9_neardup": op9_neardup,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op4_licenses": op4_sql(),
     "op5_mixing": op5_sql(),
     "op6_urlfilter": op6_sql(),
+    "op10_warc": op10_sql(),
 }
