@@ -1,7 +1,8 @@
 """Near-duplicates by ProbMinHash.
 
-A text's five-word shingles, each weighted by how often it occurs, are
-sketched by ProbMinHash: every shingle is a Poisson process whose rate is its
+A text's five-word shingles, each weighted by 1 + the logarithm of how often
+it occurs (so that one line repeated a thousand times doesn't stand for the
+text), are sketched by ProbMinHash: every shingle is a Poisson process whose rate is its
 weight; each arrival falls into one of the sketch's registers, and a register
 keeps the shingle that arrives first. A shingle stops once its next arrival
 is later than every register's first. Two sketches agree in a register with
@@ -12,8 +13,12 @@ Texts with the same words in the same order are copies: they form one class
 from the start, and only classes are compared. In a band's bucket the classes
 meet a pivot drawn by a hash of its own; links verified so join classes to
 components. A bucket whose members are then in several components is compared
-in full between components, in chunks of bounded size, so that no link
-between different texts is lost; pairs within a component add nothing to it.
+in full between components, so that no link between different texts is lost;
+pairs within a component add nothing to it. Members outside the bucket's
+largest component are its probes; probes and members meet in chunks of
+bounded size. Where a probe has but few likely partners these are verified
+as pairs; where it has many, it is compared on the shingles themselves within
+the chunk, and only the best link to each component leaves the task.
 
 Similarity: probability Jaccard of the weighted shingles or Jaccard of the
 shingle sets, whichever is larger; both are 1 for copies.
@@ -43,8 +48,8 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 #: Candidates whose sketches agree in a smaller share aren't verified: nearly four standard errors below the threshold.
 LIKELY = 0.65
-#: Members of a bucket compared at once.
-CHUNK = 256
+#: Members and probes of a bucket that are compared at once, and likely partners that a probe brings as pairs.
+CHUNK, PROBES, FEW = 256, 1024, 4
 #: Bytes of text sketched at once (a longer text is taken whole).
 SLICE = 3 << 20
 
@@ -118,7 +123,8 @@ def _sign(batches):
             part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             hashes, row, _, _ = words(part, at)
             key, count = text_keys(hashes, row, hi - lo)
-            drawn = sketch(*weighed(hashes, row, hi - lo), hi - lo)
+            of, sh, seen = weighed(hashes, row, hi - lo)
+            drawn = sketch(of, sh, 1 + np.log(seen), hi - lo)
             some = pa.array(count == 0)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), hi - lo, [None, pa.py_buffer(np.ascontiguousarray(drawn))])
             node = pa.array(key, mask=np.asarray(some))
@@ -134,14 +140,18 @@ def sign(docs: DataFrame, row_hash: bool = False) -> DataFrame:
     return keyed.mapInArrow(_sign, "d long, th long, rh long, node long, sketch binary")
 
 
+def band_keys(drawn: np.ndarray) -> np.ndarray:
+    """A key of each band of each sketch."""
+    parts = drawn.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(parts.shape[:2], dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix64(key + parts[:, :, k] + np.uint64(1))
+    return mix64(key + np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
+
+
 def _bands(batches):
     for batch in batches:
-        n = batch.num_rows
-        drawn = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(n, BANDS, ROWS).astype(np.uint64)
-        key = np.zeros((n, BANDS), dtype=np.uint64)
-        for k in range(ROWS):
-            key = mix64(key + drawn[:, :, k] + np.uint64(1))
-        key = mix64(key + np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
+        key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16))
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "node"])
 
 
@@ -180,7 +190,7 @@ def similarity(x: bytes, y: bytes) -> float:
     plain = both / union if union else 0.0
     if plain >= THRESHOLD or not both:
         return plain
-    wa, wb = (a >> np.uint64(48)).astype(float), (b >> np.uint64(48)).astype(float)
+    wa, wb = (1 + np.log((x >> np.uint64(48)).astype(float)) for x in (a, b))
     # For each common shingle d: the sum over all e of max(a_e / a_d, b_e / b_d); e counts by a where b_e / a_e <= b_d / a_d.
     ratio = wb[ib] / wa[ia]
     order = np.argsort(ratio, kind="stable")
@@ -199,45 +209,117 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64()), pa.array([like[i] for i in hit], pa.float64())], names=["a", "b", "similarity"])
 
 
-def _cross(batches):
-    """Pairs of different components within each chunk pair; rows come sorted by group."""
-    left = None
-    names = ["a", "b", "share"]
-
-    def pairs(band, lo, hi, node, label, chunk, drawn):
-        key = np.rec.fromarrays([band, lo, hi])
-        cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(1, int)
-        out_a, out_b, out_s = [], [], []
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            own = slice(s, e)
-            one, two = np.arange(s, e)[chunk[own] == lo[s]], np.arange(s, e)[chunk[own] == hi[s]]
-            for at in range(0, len(one), 64):
-                block = one[at : at + 64]
-                share = (drawn[block][:, None, :] == drawn[two][None, :, :]).mean(axis=2)
-                fine = (share >= LIKELY) & (label[block][:, None] != label[two][None, :])
-                if lo[s] == hi[s]:
-                    fine &= node[block][:, None] < node[two][None, :]
-                i, j = np.nonzero(fine)
-                out_a.append(np.minimum(node[block[i]], node[two[j]]))
-                out_b.append(np.maximum(node[block[i]], node[two[j]]))
-                out_s.append(share[i, j])
-        cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(cat(out_a, np.int64)), pa.array(cat(out_b, np.int64)), pa.array(cat(out_s, float))], names=names)
+def _groups(batches, width: int):
+    """Whole groups of rows that come sorted by their first three columns, as arrays; binary columns as lists."""
 
+    def columns(batch):
+        return [batch.column(k).to_numpy() for k in range(6)] + [np.array(batch.column(k).to_pylist(), dtype=object) for k in range(6, width)]
+
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy() for k in range(6)]
-        cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS))
-        if left is not None:
-            cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
-        same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
-        keep = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        left = [c[keep:] for c in cols]
-        if keep:
-            yield pairs(*(c[:keep] for c in cols))
-    if left is not None:
-        yield pairs(*left)
+        cols = columns(batch)
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        key = np.stack(cols[:3])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cuts.tolist()]
+        for s, e in zip(edges, edges[1:], strict=False):
+            yield [c[s:e] for c in cols]
+        held = [c[edges[-1] :] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _likely_partners(drawn: np.ndarray, label: np.ndarray, probe: np.ndarray, members: np.ndarray, band: np.ndarray, band_keys: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Which members of other components a probe should meet here: likely ones that share no earlier band with it."""
+    share = (drawn[members] == drawn[probe]).mean(axis=1)
+    same = band_keys[members] == band_keys[probe]
+    first = band_keys[probe][same.argmax(axis=1)] == band
+    return members[(share >= LIKELY) & first & same.any(axis=1) & (label[members] != label[probe]) & (node[members] != node[probe])]
+
+
+def _grid(group: list[np.ndarray]):
+    """A group's sketches, band keys, probes and members. Columns: band, cm, cp, role, node, label, sketch."""
+    drawn = np.frombuffer(b"".join(group[6]), dtype=np.uint16).reshape(-1, REGISTERS)
+    probes, members = np.flatnonzero(group[3] == 1), np.flatnonzero(group[3] == 0)
+    return drawn, band_keys(drawn), probes, members
+
+
+def _cross(batches):
+    """(band, probe, other): the likely pairs of probes with few; for those with more, the probe alone."""
+    for group in _groups(batches, 7):
+        drawn, keys, probes, members = _grid(group)
+        node, label = group[4], group[5]
+        band, one, two = [], [], []
+        for p in probes:
+            found = _likely_partners(drawn, label, p, members, group[0][0], keys, node)
+            if not len(found):
+                continue
+            others = node[found].tolist() if len(found) <= FEW else [None]
+            band += [int(group[0][0])] * len(others)
+            one += [int(node[p])] * len(others)
+            two += others
+        if one:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (band, one, two)], names=["band", "probe", "other"])
+
+
+def _compare(batches):
+    """Verified links of probes to members of other components, the best for each component; column 7 has the shingles."""
+    low = np.uint64((1 << 48) - 1)
+    for group in _groups(batches, 8):
+        drawn, keys, probes, members = _grid(group)
+        node, label, sets = group[4], group[5], [np.frombuffer(x, np.uint64) for x in group[7]]
+        plain = [x & low for x in sets]
+        once = np.array([not (x >> np.uint64(48) > 1).any() for x in sets])
+        size = np.array([len(x) for x in sets])
+        every = np.concatenate([plain[m] for m in members]) if len(members) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(members)), size[members])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        out = []
+        for p in probes:
+            found = _likely_partners(drawn, label, p, members, group[0][0], keys, node)
+            if not len(found):
+                continue
+            lo, hi = np.searchsorted(every, plain[p], side="left"), np.searchsorted(every, plain[p], side="right")
+            runs = hi - lo
+            hits = owner[np.repeat(lo, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)]
+            common = np.bincount(hits, minlength=len(members))[np.searchsorted(members, found)]
+            like = common / (size[found] + size[p] - common)
+            best: dict[int, tuple[float, int]] = {}
+            for m, s in zip(found.tolist(), like.tolist(), strict=True):
+                if s < THRESHOLD and not (once[m] and once[p]):
+                    s = similarity(group[7][m], group[7][p])
+                if s >= THRESHOLD:
+                    best[int(label[m])] = max(best.get(int(label[m]), (0.0, 0)), (s, int(node[m])))
+            out += [(min(int(node[p]), m), max(int(node[p]), m), s) for s, m in best.values()]
+        if out:
+            a, b, like = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], names=["a", "b", "similarity"])
+
+
+def _chunks(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """Rows (band, node, label, n) of mixed buckets dealt into chunks: band, cm, cp, role, node, label.
+
+    Each of a bucket's members (role 0) goes to every chunk of probes, each
+    probe (role 1) to every chunk of members. ``probes``: band and node, where
+    others than those outside the largest component are meant.
+    """
+    by_label = rows.groupBy("band", "label").agg(F.count("*").alias("own"))
+    mixed = by_label.groupBy("band").agg(F.sum("own").alias("members"), F.max(F.struct("own", "label")).alias("main")).filter(F.col("members") > F.col("main.own"))
+    mixed = mixed.select("band", "members", F.col("main.label").alias("main"), (F.col("members") - F.col("main.own")).alias("probes"))
+    known = rows.select("band", "node", "label").join(mixed, "band")
+    known = known.withColumn("km", F.ceil(F.col("members") / CHUNK).cast("int")).withColumn("kp", F.ceil(F.col("probes") / PROBES).cast("int"))
+    cm, cp = F.pmod(F.xxhash64("node", F.lit(1)), F.col("km")).cast("int"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("kp")).cast("int")
+    along = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = known.select("band", cm.alias("cm"), along("kp").alias("cp"), F.lit(0).alias("role"), "node", "label")
+    asking = known.filter(F.col("label") != F.col("main"))
+    if probes is not None:
+        asking = asking.join(probes, ["band", "node"], "left_semi")
+    asking = asking.select("band", along("km").alias("cm"), cp.alias("cp"), F.lit(1).alias("role"), "node", "label")
+    return members.unionByName(asking)
 
 
 def near_links(docs: DataFrame, scratch: Scratch, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -295,16 +377,30 @@ def near_links(docs: DataFrame, scratch: Scratch, signed: DataFrame) -> tuple[Da
     links = links.unionByName(more)
 
     # Buckets of several components: all pairs between these that the pivots didn't cover.
-    named = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else crowded.withColumn("label", F.col("node"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("band")
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    chunked = named.join(mixed, "band").filter("n > 2").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    chunked = chunked.join(drawn, "node").select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "label", "chunk", "sketch")
-    crossed = chunked.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_cross, "a long, b long, share double")
-    fresh = scratch.table(crossed.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"), "crossed")
-    last = verify(fresh, "links")
+    def named(rows):
+        if labels is None:
+            return rows.withColumn("label", F.col("node"))
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def dealt(rows):
+        return rows.repartition("band", "cm", "cp").sortWithinPartitions("band", "cm", "cp")
+
+    grid = _chunks(named(crowded.filter("n > 2").select("band", "node"))).join(drawn, "node")
+    crossed = dealt(grid.select("band", "cm", "cp", "role", "node", "label", "sketch")).mapInArrow(_cross, "band long, probe long, other long")
+    crossed = scratch.table(crossed, "crossed")
+    fresh = crossed.filter("other is not null").select(F.least("probe", "other").alias("a"), F.greatest("probe", "other").alias("b")).distinct()
+    last = verify(fresh.join(candidates, ["a", "b"], "left_anti"), "links")
     labels = regroup(labels, last)
-    return links.unionByName(last), labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, label long")
+    links = links.unionByName(last)
+    busy = crossed.filter("other is null").select("band", F.col("probe").alias("node")).distinct()
+    if busy.limit(1).count():
+        there = crowded.join(busy.select("band").distinct(), "band", "left_semi").select("band", "node")
+        grid = _chunks(named(there), busy).join(drawn, "node").join(sets, "node")
+        compared = dealt(grid.select("band", "cm", "cp", "role", "node", "label", "sketch", "set")).mapInArrow(_compare, "a long, b long, similarity double")
+        last = scratch.table(compared.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+        labels = regroup(labels, last)
+        links = links.unionByName(last)
+    return links, labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, label long")
 
 
 def _signed(docs: DataFrame, scratch: Scratch, row_hash: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from tallyloom.llm.decontaminate import op1_decontaminate
 from tallyloom.llm.licenses import op4_licenses, op4_sql
 from tallyloom.llm.mixing import op5_mixing, op5_sql
 from tallyloom.llm.neardup import op9_neardup
+from tallyloom.llm.quality import op8_quality
 from tallyloom.llm.secrets import op3_secrets
 from tallyloom.llm.toxicity import op2_toxicity
 from tallyloom.llm.urlfilter import op6_sql, op6_urlfilter
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_urlfilter": op6_urlfilter,
     "op7_ann": op7_ann,
+    "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
 }

@@ -33,9 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.labelled import bounded_sample, fold, training_rows
 from tallyloom.session import Scratch, bound_arrow_batches
 
 #: Rows with crc32(doc_id) of this remainder are held out of training.
@@ -287,27 +288,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(0.1, float(a)), float(c)
 
 
-def fold(doc_id: Column, folds: int) -> Column:
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int) -> DataFrame:
-    """doc_id, text and label (0 or 1) of the labelled documents that aren't held out."""
-    marks = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
-    marks = marks.filter(fold(F.col("doc_id"), folds) != held_out)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id")
-
-
-def bounded_sample(rows: DataFrame, most: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
-    """Of each label about ``most`` rows at most, by a hash of doc_id, and the share drawn; the same rows on every run."""
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    keep, shares = F.lit(False), {}
-    for label, n in most.items():
-        shares[label] = min(1.0, n / max(1, counts.get(label, 0)))
-        keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * shares[label])))
-    return rows.filter(keep), shares
-
-
 def _unit_rows(batches):
     for batch in batches:
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
