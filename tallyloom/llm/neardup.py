@@ -324,83 +324,55 @@ def _chunks(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame:
 
 def near_links(docs: DataFrame, scratch: Scratch, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links between classes of copies (a, b, similarity), and the components they form (node, label)."""
-    bands_of = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("d", "th", "sketch")).alias("one"))
-    nodes = scratch.table(bands_of.select("node", "one.d", "one.th", "one.sketch"), "nodes")
+    one = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("d", "th", "sketch")).alias("one"))
+    nodes = scratch.table(one.select("node", "one.d", "one.th", "one.sketch"), "nodes")
     bands = scratch.table(nodes.select("node", "sketch").mapInArrow(_bands, "band long, node long"), "bands")
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band"), F.col("node").alias("pivot"))).alias("first"))
-    buckets = scratch.table(buckets.filter("n > 1").select("band", "n", "first.pivot"), "buckets")
-    crowded = scratch.table(bands.join(buckets, "band").select("band", "n", "node", "pivot"), "crowded")
+    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band"), F.col("node").alias("pivot"))).alias("first")).filter("n > 1")
+    crowded = scratch.table(bands.join(buckets.select("band", "first.pivot"), "band").select("band", "node", "pivot"), "crowded")
     scratch.drop(bands)
-    stars = crowded.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    drawn = nodes.select("node", "sketch")
-
-    def likely(pairs):
-        sides = pairs.join(drawn.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(drawn.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        return sides.select("a", "b", "x", "y").mapInArrow(_agreement, "a long, b long, share double")
+    members = crowded.select("node").distinct()
+    drawn = scratch.table(nodes.join(members, "node", "left_semi"), "drawn")
 
-    candidates = scratch.table(likely(stars), "candidates")
-    needed = crowded.select("node").distinct().join(nodes.select("node", "d", "th"), "node")
+    # The shingles of the members, from one text each.
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    packed = texts.join(needed, ["d", "th"]).select("node", "text").mapInArrow(_pack, "node long, set binary")
+    packed = texts.join(drawn.select("node", "d", "th"), ["d", "th"]).select("node", "text").mapInArrow(_pack, "node long, set binary")
     sets = scratch.table(packed.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    sketches = drawn.select("node", "sketch")
+
+    def sides(pairs, of, column):
+        return pairs.join(of.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
+
+    def verify(pairs):
+        return scratch.table(sides(pairs, sets, "set").mapInArrow(_verify, "a long, b long, similarity double"), "links")
+
+    # First each class's most similar pivot, which settles most.
+    stars = crowded.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    likely = sides(stars, sketches, "sketch").mapInArrow(_agreement, "a long, b long, share double")
+    ends = likely.select("a", "b", "share", F.explode(F.array("a", "b")).alias("node"))
+    best = scratch.table(ends.groupBy("node").agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "best")
+    links = verify(best)
+    labels = components(links, scratch)
 
-    def verify(pairs, name):
-        sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return scratch.table(sides.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double"), name)
-
-    def regroup(labels, links):
-        """Labels after more links: components of the labels themselves, carried to the nodes."""
-        if not links.limit(1).count():
-            return labels
-        if labels is None:
-            return components(links, scratch)
-        la, lb = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-        lifted = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
-        over = components(lifted, scratch).select(F.col("node").alias("label"), F.col("label").alias("top"))
-        every = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
-        return scratch.table(every.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "grouped")
-
-    def across(pairs, labels):
-        """Pairs whose ends aren't in one component yet."""
-        if labels is None:
-            return pairs
-        la, lb = (labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-        return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
-
-    # First each class's most similar pivot, which settles most; then what pivots are left between components.
-    ends = candidates.select("*", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    links = verify(best, "links")
-    labels = regroup(None, links)
-    more = verify(across(candidates.select("a", "b").join(best, ["a", "b"], "left_anti"), labels), "links")
-    labels = regroup(labels, more)
-    links = links.unionByName(more)
-
-    # Buckets of several components: all pairs between these that the pivots didn't cover.
+    # Then all pairs of a bucket between components.
     def named(rows):
-        if labels is None:
-            return rows.withColumn("label", F.col("node"))
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def dealt(rows):
         return rows.repartition("band", "cm", "cp").sortWithinPartitions("band", "cm", "cp")
 
-    grid = _chunks(named(crowded.filter("n > 2").select("band", "node"))).join(drawn, "node")
-    crossed = dealt(grid.select("band", "cm", "cp", "role", "node", "label", "sketch")).mapInArrow(_cross, "band long, probe long, other long")
-    crossed = scratch.table(crossed, "crossed")
+    grid = _chunks(named(crowded.select("band", "node"))).join(sketches, "node")
+    crossed = scratch.table(dealt(grid.select("band", "cm", "cp", "role", "node", "label", "sketch")).mapInArrow(_cross, "band long, probe long, other long"), "crossed")
     fresh = crossed.filter("other is not null").select(F.least("probe", "other").alias("a"), F.greatest("probe", "other").alias("b")).distinct()
-    last = verify(fresh.join(candidates, ["a", "b"], "left_anti"), "links")
-    labels = regroup(labels, last)
-    links = links.unionByName(last)
+    links = scratch.table(links.unionByName(verify(fresh.join(best, ["a", "b"], "left_anti"))), "links")
     busy = crossed.filter("other is null").select("band", F.col("probe").alias("node")).distinct()
     if busy.limit(1).count():
+        labels = components(links, scratch)
         there = crowded.join(busy.select("band").distinct(), "band", "left_semi").select("band", "node")
-        grid = _chunks(named(there), busy).join(drawn, "node").join(sets, "node")
+        grid = _chunks(named(there), busy).join(sketches, "node").join(sets, "node")
         compared = dealt(grid.select("band", "cm", "cp", "role", "node", "label", "sketch", "set")).mapInArrow(_compare, "a long, b long, similarity double")
-        last = scratch.table(compared.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
-        labels = regroup(labels, last)
-        links = links.unionByName(last)
-    return links, labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, label long")
+        compared = compared.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+        links = scratch.table(links.unionByName(compared), "links")
+    return links, components(links, scratch)
 
 
 def _signed(docs: DataFrame, scratch: Scratch, row_hash: bool = False) -> DataFrame:
