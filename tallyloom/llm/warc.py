@@ -63,8 +63,8 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("bytes", F.octet_length("html").cast("long"))
     rows = rows.withColumn("response_id", _record_id(F.col("page_id"), F.col("url"), F.col("digest"), "response"))
     # The last of each large payload that occurs more than once; equal rows are one capture.
-    chosen = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "response_id", "url")).alias("chosen"), F.min("response_id").alias("other"))
-    chosen = chosen.filter(F.col("chosen.response_id") != F.col("other")).select(F.col("digest").alias("its_digest"), "chosen")
+    chosen = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "response_id")).alias("chosen"), F.min("response_id").alias("least"), F.max("response_id").alias("most"))
+    chosen = chosen.filter("least <> most").select(F.col("digest").alias("its_digest"), "chosen")
     rows = rows.join(chosen, rows["digest"] == chosen["its_digest"], "left")
     revisit = F.coalesce(F.col("response_id") != F.col("chosen.response_id"), F.lit(False))
     uri = F.coalesce(F.regexp_replace("url", "[\r\n]", " "), F.lit(_NO_URL))
@@ -84,11 +84,17 @@ def plan_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """Archives of all pages as gzip files in ``path``: each record closed by two line ends, as the format asks."""
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    """Archives of all pages as gzip files in ``path``: each record closed by two line ends, as the format asks.
+
+    Records are written where the join with the chosen payloads leaves them,
+    so payloads are shuffled once; files are cut after so many records that
+    they hold about FILE_BYTES.
+    """
+    size, rows = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
     records = plan_records(pages, least).select(F.explode(F.array("request", "main", "metadata")).alias("value"))
-    files = max(1, -(-size // FILE_BYTES))
-    records.repartition(files).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    files = max(1, -(-(size or 0) // FILE_BYTES))
+    writer = records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(3, 3 * rows // files))
+    writer.text(path)
 
 
 def parse(data: bytes):
@@ -187,11 +193,12 @@ def page_of(metadata: Column) -> Column:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "warc").new_path("archive")
+    scratch = Scratch(spark, "warc")
+    path = scratch.new_path("archive")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    # Payloads have served once they are measured; they needn't travel to the join.
-    records = read_archive(spark, path).withColumn("block", F.when(F.col("record_type").isin("request", "metadata"), F.col("block")))
-    captures = Scratch(spark, "warc").table(assemble(records).select("record_id", "copies", "record_type", "response", page_of(F.col("metadata.block")).alias("page_id")), "captures")
+    # Payloads have served once they are measured; they needn't travel to the join. Archives are parsed once.
+    records = scratch.table(read_archive(spark, path).withColumn("block", F.when(F.col("record_type").isin("request", "metadata"), F.col("block"))), "records")
+    captures = scratch.table(assemble(records).select("record_id", "copies", "record_type", "response", page_of(F.col("metadata.block")).alias("page_id")), "captures")
     firsts = captures.filter("record_type = 'response'").select(F.col("record_id").alias("first_id"), F.col("page_id").alias("first_page"))
     named = captures.join(firsts, F.col("response.refers_to") == F.col("first_id"), "left")
     return named.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(

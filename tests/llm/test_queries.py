@@ -1,0 +1,39 @@
+"""Queries and the pipeline run over a small folder, and agree with DuckDB where SQL can say it."""
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tallyloom.llm import registry
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want, got = con.execute(registry.ORACLES[name]).df(), registry.QUERIES[name](spark, SMALL).toPandas()
+    assert sorted(want.columns) == sorted(got.columns)
+    norm = lambda d: sorted(tuple("" if pd.isna(v) else (str(round(float(v), 4)) if isinstance(v, (int, float)) else str(v)) for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
+    assert norm(want) == norm(got)
+
+
+def test_registered():
+    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registry.QUERIES}
+    assert "pipeline" in entry.queries()
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, docs, SMALL).toPandas(), docs.schema)
+        assert out.columns == docs.columns, name
+        rows.append(out.count())
+        docs = out
+    assert rows == sorted(rows, reverse=True) and rows[-1] > 0.5 * rows[0]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() > 0
