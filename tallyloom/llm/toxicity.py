@@ -30,6 +30,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,55 +63,65 @@ _SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s+){2,}\w[^\w\s]?(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}<>|%&*#$-_/\\"
 
 
+def plain(unit: str) -> str:
+    """A unit without marks at its edges."""
+    core = unit.strip(_EDGE)
+    return core if core.isalpha() else core.translate(FOLD)
+
+
 def document_units(text: str | None) -> set[str]:
-    """Distinct units of a text."""
+    """Distinct units of a text, plain."""
     if not text:
         return set()
     low = text.lower()
-    units = set(low.split())
-    units.update(m[0] for m in _SPACED.finditer(low))
+    units = set(map(plain, set(low.split())))
+    units.update(plain(m[0]) for m in _SPACED.finditer(low))
+    units.discard("")
     return units
 
 
-def plain(unit: str) -> str:
-    """A unit without marks at its edges, as it is counted."""
-    return unit.strip(_EDGE).translate(FOLD)
-
-
-def _codes(unit: str) -> tuple[list[int], list[int]]:
-    """Letter codes and places of a unit; code 0 marks its start."""
-    codes, places = [0], [0]
-    for at, c in enumerate(plain(unit), 1):
+@cache
+def _letter_codes() -> np.ndarray:
+    """The code of every character: letters by themselves, foreign letters by remainder, -1 for what is no letter."""
+    table = np.full(0x110000, -1, dtype=np.int8)
+    for at in range(0x110000):
+        c = chr(at)
         if "a" <= c <= "z":
-            codes.append(ord(c) - 96)
-            places.append(at)
+            table[at] = at - 96
         elif c.isalpha():
-            codes.append(27 + ord(c) % (_LETTERS - 27))
-            places.append(at)
-    return codes, places
+            table[at] = 27 + at % (_LETTERS - 27)
+    return table
+
+
+def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter codes, places and unit numbers of all units' letters; code 0 at place 0 marks each start."""
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.cumsum(size) - size
+    code = np.insert(_letter_codes()[points], start, 0)
+    of = np.repeat(np.arange(len(units)), size + 1)
+    place = np.arange(len(code)) - (start + np.arange(len(units)))[of]
+    letter = code >= 0
+    return code[letter].astype(np.int64), place[letter], of[letter]
 
 
 def triples(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit number, triple and value of all kernel features; each unit's values have norm 1."""
-    code, place, of = [], [], []
-    for i, unit in enumerate(units):
-        c, p = _codes(unit)
-        code += c
-        place += p
-        of += [i] * len(c)
-    code, place, of = (np.array(x, dtype=np.int64) for x in (code, place, of))
+    code, place, of = _codes([plain(u) for u in units])
+    weight = DECAY ** (np.arange(SPAN + 1) + 1.0)
     keys, values = [], []
     n = len(code)
-    for a in range(1, SPAN):
-        for b in range(a + 1, SPAN + 1):
-            if b >= n:
-                continue
-            i = np.arange(n - b)
-            span = place[i + b] - place[i]
-            ok = (of[i] == of[i + b]) & (span < SPAN)
-            i, span = i[ok], span[ok]
-            keys.append((of[i] << 18) | (code[i] << 12) | (code[i + a] << 6) | code[i + b])
-            values.append(DECAY ** (span + 1.0))
+    high = (of << 18) | (code << 12)
+    # Letters b apart lie at least b characters apart.
+    for b in range(2, SPAN):
+        if b >= n:
+            break
+        span = place[b:] - place[:-b]
+        i = np.flatnonzero((of[b:] == of[:-b]) & (span < SPAN))
+        ends, value = high[i] | code[i + b], weight[span[i]]
+        for a in range(1, b):
+            keys.append(ends | (code[i + a] << 6))
+            values.append(value)
     key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     value = np.concatenate(values) if values else np.zeros(0)
     order = np.argsort(key, kind="stable")
@@ -291,7 +302,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def _unit_rows(batches):
     for batch in batches:
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = sorted({plain(u) for u in document_units(t)})
+            own = sorted(document_units(t))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["unit", "label"])
 
 
