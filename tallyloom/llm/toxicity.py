@@ -45,7 +45,9 @@ FOLDS, HELD_OUT = 4, 2
 #: At most about so many labelled documents of each label are drawn (by a hash of doc_id) to train on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Clean units drawn to train on, and landmarks of the Nyström map.
-CLEAN_UNITS, LANDMARKS = 16_000, 256
+CLEAN_UNITS, LANDMARKS = 16_000, 320
+#: Rounds in which clean units that the machine takes for toxic are added, and so many a round at most.
+HARD_ROUNDS, HARD_UNITS = 2, 1500
 #: Letters of a triple lie within so many characters; each character of the span counts so much.
 SPAN, DECAY = 7, 0.75
 #: Chance of one false seed among all units tested; a seed stands in so many toxic documents.
@@ -89,18 +91,22 @@ def _letter_codes() -> np.ndarray:
         if "a" <= c <= "z":
             table[at] = at - 96
         elif c.isalpha():
-            table[at] = 27 + at % (_LETTERS - 27)
+            table[at] = 27 + at % (_LETTERS - 28)
     return table
 
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter codes, places and unit numbers of all units' letters; code 0 at place 0 marks each start."""
-    size = np.fromiter(map(len, units), np.int64, len(units))
+    """Letter codes, places and unit numbers of all units' letters; code 0 marks each start and the last code each end."""
+    size = np.fromiter(map(len, units), np.int64, len(units)) + 2
     points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
     start = np.cumsum(size) - size
-    code = np.insert(_letter_codes()[points], start, 0)
-    of = np.repeat(np.arange(len(units)), size + 1)
-    place = np.arange(len(code)) - (start + np.arange(len(units)))[of]
+    code = np.full(int(size.sum()), -1, dtype=np.int8)
+    inner = np.ones(len(code), dtype=bool)
+    inner[start] = inner[start + size - 1] = False
+    code[inner] = _letter_codes()[points]
+    code[start], code[start + size - 1] = 0, _LETTERS - 1
+    of = np.repeat(np.arange(len(units)), size)
+    place = np.arange(len(code)) - start[of]
     letter = code >= 0
     return code[letter].astype(np.int64), place[letter], of[letter]
 
@@ -260,23 +266,29 @@ def pick_seeds(counted: list[tuple[str, int, int]], share: float, tested: int) -
     return sure or [(u, -t) for p, t, u in judged[:20] if p < 1e-3]
 
 
-def fit(seeds: list[tuple[str, int]], clean: list[str]) -> Model:
-    """The machine: ``seeds`` against units of clean documents, each also with characters put between its letters."""
-    seeds = [(u, n) for u, n in seeds if len(u) <= UNIT_CHARS and len(triples([u])[0])]
+def fit(seeds: list[tuple[str, int]], clean: list[str], hard: list[tuple[str, int]] = ()) -> Model:
+    """The machine: ``seeds`` against units of clean documents, each also with characters put between its letters.
+
+    ``hard``: clean units (with their documents) that an earlier fit took for toxic.
+    """
+    usable = lambda units: [(u, n) for u, n in units if 0 < len(u) <= UNIT_CHARS]
+    seeds, hard = usable(seeds), usable(hard)
     if not seeds or not clean:
         return Model(np.zeros(1 << 18), -1.0)
-    basis = [u for u, _ in seeds[: LANDMARKS * 3 // 4]]
+    basis = [u for u, _ in seeds[: LANDMARKS // 2]] + [u for u, _ in hard[: LANDMARKS // 4]]
     basis += clean[:: max(1, len(clean) // (LANDMARKS - len(basis)))][: LANDMARKS - len(basis)]
-    basis = [b for b in dict.fromkeys(basis) if len(b) <= UNIT_CHARS and len(triples([b])[0])]
+    basis = [b for b in dict.fromkeys(basis) if len(triples([b])[0])]
     value, vector = np.linalg.eigh(_dense(basis, basis))
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
     good = seeds + [(s, n) for k, (u, n) in enumerate(seeds) for s in _spelt_around(u, k)]
-    bad = clean + [s for k, u in enumerate(clean[::5]) for s in _spelt_around(u, k)]
+    bad = clean + [u for u, _ in hard] + [s for k, u in enumerate(clean[::5]) for s in _spelt_around(u, k)]
     x = np.vstack([mapped([u for u, _ in good], basis, whiten), mapped(bad, basis, whiten)])
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
     often = np.sqrt([n for _, n in good])
-    weight = np.concatenate([often * (0.5 * len(bad) / often.sum()), np.ones(len(bad))])
+    against = np.ones(len(bad))
+    against[len(clean) : len(clean) + len(hard)] = 3 * np.sqrt([n for _, n in hard])
+    weight = np.concatenate([often * (0.5 * against.sum() / often.sum()), against])
     w, b = _fit_svm(x, y, weight)
     bu, bt, bv = triples(basis)
     return Model(np.bincount(bt, weights=bv * (whiten @ w)[bu], minlength=1 << 18), b)
@@ -327,7 +339,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     often = idle.orderBy(F.desc("total"), "unit").limit(CLEAN_UNITS // 2)
     spread = idle.orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS // 2)
     clean = sorted({r[0] for r in often.select("unit").union(spread.select("unit")).collect()}, key=lambda u: zlib.crc32(u.encode()))
-    model = fit(seeds, clean)
+    model, hard = fit(seeds, clean), {}
+    for _ in range(HARD_ROUNDS if seeds else 0):
+        # Clean units that the machine takes for toxic ones, wherever they are among the sample's.
+        taken = _unit_margins(idle.filter(F.col("total") >= 2), model).filter("margin > -0.5").orderBy(F.desc("margin"), "unit").limit(HARD_UNITS).collect()
+        before = len(hard)
+        hard |= {r["unit"]: r["total"] for r in taken}
+        if len(hard) == before:
+            break
+        model = fit(seeds, clean, sorted(hard.items(), key=lambda x: (-x[1], x[0])))
     margins = np.array([(m, y) for m, y in _margins(rows, model).collect() if m is not None]).reshape(-1, 2)
     x, y = margins[:, 0], margins[:, 1]
     if 0 < y.sum() < len(y):
@@ -335,6 +355,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     return model
 
 
+def _unit_margins(units: DataFrame, model: Model) -> DataFrame:
+    """unit, total and margin of a table of units."""
+    known = units.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.value.margins(batch.column(0).to_pylist()), pa.float64())], names=["unit", "total", "margin"])
+
+    return units.select("unit", "total").mapInArrow(judge, "unit string, total int, margin double")
+
+
 def _margins(rows: DataFrame, model: Model) -> DataFrame:
     """Worst margin and label of each row of the sample."""
     known = rows.sparkSession.sparkContext.broadcast(model)
