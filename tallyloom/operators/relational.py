@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.stats.rank import running
+
 # Filters -----------------------------------------------------------------------------------------
 
 
@@ -160,19 +162,19 @@ def share_of(df: DataFrame, count: str, within: Sequence[str] = ()) -> DataFrame
 def ecdf(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
     """Steps of the empirical distribution: each distinct value, its rows, and the share of rows up to it.
 
-    Values are counted first; the running sum sees distinct values only.
+    Values are counted first; running sums see distinct values, range by range.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("n"))
-    upto = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(value)
-    whole = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    return counts.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
+    totals = counts.groupBy(*within).agg(F.sum("n").alias("__total"))
+    below = running(counts, value, {"__below": "n"}, within)
+    joined = below.join(totals, list(within)) if within else below.crossJoin(F.broadcast(totals))
+    return joined.withColumn("share", (F.col("__below") + F.col("n")) / F.col("__total")).drop("__below", "__total")
 
 
 def mid_ranks(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
     """A row for each distinct value: ``n`` ties, and the mean rank ``mid_rank`` that they share."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("n"))
-    upto = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(value)
-    return counts.withColumn("mid_rank", F.sum("n").over(upto) - (F.col("n") - 1) / 2)
+    return running(counts, value, {"__below": "n"}, within).withColumn("mid_rank", F.col("__below") + (F.col("n") + 1) / 2).drop("__below")
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -20,16 +21,16 @@ def two_arms(df: DataFrame, arm: str, value: str, first: str, second: str) -> Da
     return running(counts, "x", {"a_below": "a", "b_below": "b"})
 
 
-def running(counts: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
-    """Sums over all smaller values. Values are dealt into ranges by approximate quantiles: sums within a range, and over the ranges before."""
+def running(counts: DataFrame, order: str, sums: dict[str, str], within: Sequence[str] = ()) -> DataFrame:
+    """Sums over all smaller values, in groups. Values are dealt into ranges by approximate quantiles: sums within a range, and over the ranges before."""
     cuts = sorted(set(counts.approxQuantile(order, [k / 64 for k in range(1, 64)], 0.01)))
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     dealt = counts.withColumn("__bucket", bucket)
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("__bucket").agg(*[F.sum(s).alias(f"__{n}") for n, s in sums.items()])
-    ahead = totals.select("__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
-    inside = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = dealt.join(F.broadcast(ahead), "__bucket")
+    before = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*within, "__bucket").agg(*[F.sum(s).alias(f"__{n}") for n, s in sums.items()])
+    ahead = totals.select(*within, "__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    inside = Window.partitionBy(*within, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(ahead if within else F.broadcast(ahead), [*within, "__bucket"])
     return joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for n, s in sums.items()}).drop("__bucket", *[f"__{n}" for n in sums])
 
 
