@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import claims
+from tallyloom.operators.relational import join_in_order
 from tallyloom.plans.catalog import Tables, query
 
 #: Sentences put behind the invented prose, by doc_id, so that there is something to extract.
@@ -20,10 +21,14 @@ _CLAIMS = [
 ]
 
 
+def with_sentence(number: str) -> Column:
+    """The text with the sentence of the row's number, or none, behind it."""
+    k = (F.col(number) % (len(_CLAIMS) + 1)).cast("int")
+    return F.concat_ws("\n", "text", F.coalesce(F.get(F.array(*[F.lit(c) for c in _CLAIMS]), k), F.lit("")))
+
+
 def claim_texts(t: Tables) -> DataFrame:
-    k = (F.col("doc_id") % (len(_CLAIMS) + 1)).cast("int")
-    sentence = F.coalesce(F.get(F.array(*[F.lit(c) for c in _CLAIMS]), k), F.lit(""))
-    return t.documents.select("doc_id", F.concat_ws("\n", "text", sentence).alias("text"))
+    return t.documents.select("doc_id", with_sentence("doc_id").alias("text"))
 
 
 @query()
@@ -42,8 +47,6 @@ def claim_rollup(t: Tables) -> DataFrame:
 @query()
 def conversation_claims(t: Tables) -> DataFrame:
     """Claims by conversation and role, turns in order."""
-    from tallyloom.operators.relational import join_in_order
-
     c = t.conversations.withColumn("key", F.concat_ws(":", "conv_id", "role"))
-    texts = join_in_order(c, ["key"], "turn", F.col("text"), "\n")
+    texts = join_in_order(c, ["key"], "turn", with_sentence("turn"), "\n")
     return claims.extract_claims(texts, "key", "text").groupBy("key", "dimension").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.stats.contingency import cramers_v, trim
+from tallyloom.stats.contingency import cramers_v
 
 
 def cluster_tensor(df: DataFrame, cluster: str, row: str, column: str, most_cells: int = 2_000_000) -> np.ndarray:
@@ -73,5 +73,3 @@ def alignment_permutation(hits: np.ndarray, groups: Sequence[int], draws: int =
     low, high = np.quantile(drawn, [0.025, 0.975])
     return {"observed": float(observed), "expected": float(drawn.mean()), "low": float(low), "high": float(high), "p": float(((drawn >= observed - 1e-12).sum() + 1) / (draws + 1))}
 
-
-__all__ = ["alignment_permutation", "bootstrap_cramers_v", "cluster_tensor", "rarefied", "richness_permutation", "trim"]

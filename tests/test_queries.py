@@ -1,5 +1,7 @@
 """Every registered query with SQL agrees with DuckDB; the others give rows of a stable schema."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -19,7 +21,7 @@ def duck():
 
 
 def rows(d):
-    show = lambda v: "" if pd.isna(v) else (str(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
+    show = lambda v: "" if pd.isna(v) else (str(round(float(v), 6)) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v))
     return sorted(tuple(show(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
 
 
