@@ -1,7 +1,9 @@
 """Quality by a byte-level convolutional network, in numpy.
 
-Bytes become short learned vectors; learned filters slide over them; each
-filter's response is max-pooled over overlapping chunks that together cover
+Bytes become short learned vectors, with one more input that tells whether
+the last four bytes stood a little before, too (repeated words are beyond
+what a short filter can see); learned filters slide over them; each filter's
+response is max-pooled over overlapping chunks that together cover
 the whole document. The chunks' responses are combined by their mean and
 their maximum over the document, and a logistic unit gives one probability.
 Training follows the gradient through the positions that won the pooling.
@@ -31,8 +33,8 @@ FOLDS, HELD_OUT = 5, 0
 #: At most about so many labelled documents of each label are drawn (by a hash of doc_id) to train on.
 SAMPLE_LOW, SAMPLE_HIGH = 1000, 1500
 THRESHOLD = 0.3
-#: Numbers for each byte, bytes that a filter sees, and filters.
-EMBED, WIDTH, FILTERS = 4, 6, 16
+#: Learned numbers for each byte, bytes that a filter sees, and filters; repeats are looked for so many bytes back.
+EMBED, WIDTH, FILTERS, LAGS = 4, 6, 16, 40
 #: Bytes of a block; a chunk is CHUNK blocks and the next begins HOP blocks later.
 BLOCK, CHUNK, HOP = 64, 4, 3
 EPOCHS, DOCS_A_STEP, RATE, SEED = 8, 32, 0.01, 7
@@ -52,22 +54,30 @@ class Network:
     def start(cls) -> Network:
         rng = np.random.default_rng(SEED)
         f = np.float32
-        return cls(rng.normal(0, 0.5, (256, EMBED)).astype(f), rng.normal(0, 0.3, (WIDTH * EMBED, FILTERS)).astype(f), np.zeros(FILTERS, f), rng.normal(0, 0.1, 2 * FILTERS).astype(f), np.zeros(1, f))
+        return cls(rng.normal(0, 0.5, (256, EMBED)).astype(f), rng.normal(0, 0.3, (WIDTH * (EMBED + 1), FILTERS)).astype(f), np.zeros(FILTERS, f), rng.normal(0, 0.1, 2 * FILTERS).astype(f), np.zeros(1, f))
 
     def parameters(self) -> list[np.ndarray]:
         return [self.table, self.filters, self.offset, self.top, self.bias]
 
-    def responses(self, padded: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    def inputs(self, data: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+        x = np.empty((len(data), EMBED + 1), self.table.dtype)
+        x[:, :EMBED], x[:, EMBED] = self.table[data], repeat
+        return x
+
+    def responses(self, padded: np.ndarray, first: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Each filter's largest response in each block and, if asked for, its place."""
         blocks = len(padded) // BLOCK
-        best = np.empty((blocks, FILTERS), np.float32)
+        best = np.empty((blocks, FILTERS), self.table.dtype)
         place = np.empty((blocks, FILTERS), np.int64) if where else None
-        tail = np.concatenate((padded, np.zeros(WIDTH, np.uint8)))
+        tail, repeat, last = np.concatenate((padded, np.zeros(WIDTH, np.uint8))), repeats(padded, first), first[1:] - 1
         for lo in range(0, blocks, AT_ONCE):
             hi = min(blocks, lo + AT_ONCE)
-            x = self.table[tail[lo * BLOCK : hi * BLOCK + WIDTH - 1]]
-            seen = np.lib.stride_tricks.as_strided(x, ((hi - lo) * BLOCK, WIDTH * EMBED), (x.strides[0], x.strides[1]))
+            part = slice(lo * BLOCK, hi * BLOCK + WIDTH - 1)
+            x = self.inputs(tail[part], repeat[part])
+            seen = np.lib.stride_tricks.as_strided(x, ((hi - lo) * BLOCK, WIDTH * (EMBED + 1)), (x.strides[0], x.strides[1]))
             out = (np.ascontiguousarray(seen) @ self.filters).reshape(hi - lo, BLOCK, FILTERS)
+            # A text's last places, all padding, would look into the next text.
+            out[last[(last >= lo) & (last < hi)] - lo, 1 - WIDTH :] = -1e9
             if where:
                 place[lo:hi] = out.argmax(axis=1)
             best[lo:hi] = out.max(axis=1)
@@ -77,7 +87,7 @@ class Network:
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts padded with zeros to whole blocks, and the first block of each (and one past the last)."""
     size = np.diff(offsets)
-    need = -(-(size + WIDTH - 1) // BLOCK)
+    need = -(-(size + 2 * WIDTH) // BLOCK)
     first = np.concatenate(([0], np.cumsum(need)))
     padded = np.zeros(int(first[-1]) * BLOCK, np.uint8)
     for k in range(len(size)):
@@ -86,6 +96,21 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return padded, first
 
 
+def repeats(padded: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """1 where the four bytes that end here stood up to LAGS bytes before, too; 0 in padding and in a text's first bytes."""
+    n = len(padded)
+    out = np.zeros(n + WIDTH, dtype=bool)
+    if n > LAGS + 4:
+        wide = padded.astype(np.uint32)
+        gram = wide[3:] | (wide[2:-1] << 8) | (wide[1:-2] << 16) | (wide[:-3] << 24)
+        for lag in range(2, LAGS + 1):
+            out[3 + lag : n] |= gram[lag:] == gram[:-lag]
+    out[:n] &= padded != 0
+    heads = (first[:-1] * BLOCK)[:, None] + np.arange(min(LAGS + 4, BLOCK))
+    out[heads.ravel()] = False
+    return out
+
+
 def chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of each chunk (a row each, the last block repeated at a text's end) and the first chunk of each text."""
     blocks = np.diff(first)
@@ -107,7 +132,7 @@ def features(best: np.ndarray, first: np.ndarray) -> np.ndarray:
 def step_gradients(net: Network, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     """Gradients of the weighted log loss of some texts."""
     padded, first = layout(data, offsets)
-    best, place = net.responses(padded, where=True)
+    best, place = net.responses(padded, first, where=True)
     members, start = chunks(first)
     stack = best[members]
     winner = stack.argmax(axis=1)
@@ -129,13 +154,14 @@ def step_gradients(net: Network, data: np.ndarray, offsets: np.ndarray, y: np.nd
     g_pooled *= pooled > 0
     block = np.take_along_axis(members[:, :, None], winner[:, None, :], axis=1)[:, 0]
     at = block * BLOCK + np.take_along_axis(place, block, axis=0)
-    tail = np.concatenate((padded, np.zeros(WIDTH, np.uint8)))
+    tail, repeat = np.concatenate((padded, np.zeros(WIDTH, np.uint8))), repeats(padded, first)
     g_filters, g_table = np.zeros_like(net.filters), np.zeros_like(net.table)
     for f in range(FILTERS):
-        seen = tail[at[:, f][:, None] + np.arange(WIDTH)[None, :]]
+        spot = at[:, f][:, None] + np.arange(WIDTH)[None, :]
+        seen = tail[spot]
         g = g_pooled[:, f]
-        g_filters[:, f] = (net.table[seen].reshape(len(g), -1) * g[:, None]).sum(axis=0)
-        own = net.filters[:, f].reshape(WIDTH, EMBED)
+        g_filters[:, f] = (net.inputs(seen.ravel(), repeat[spot].ravel()).reshape(len(g), -1) * g[:, None]).sum(axis=0)
+        own = net.filters[:, f].reshape(WIDTH, EMBED + 1)[:, :EMBED]
         for k in range(WIDTH):
             share = np.bincount(seen[:, k], weights=g, minlength=256)
             g_table += share[:, None].astype(np.float32) * own[k][None, :]
@@ -167,7 +193,7 @@ def probabilities(net: Network | float, data: np.ndarray, offsets: np.ndarray) -
     if isinstance(net, float):
         return np.full(len(offsets) - 1, net)
     padded, first = layout(data, offsets)
-    best, _ = net.responses(padded)
+    best, _ = net.responses(padded, first)
     x = features(best, first)
     return 1 / (1 + np.exp(-np.clip((x @ net.top + net.bias).astype(float), -30, 30)))
 

@@ -43,6 +43,22 @@ def test_chunks_cover_every_block():
         assert set(members[start[t] : start[t + 1]].ravel()) == set(range(first[t], first[t + 1]))
 
 
+def test_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(5)
+    net = ql.Network.start()
+    texts = [bytes(rng.integers(32, 127, int(n)).astype(np.uint8)) for n in (0, 3, 52, 53, 58, 64, 200, 500, 5000)] + [b"ab cd " * 30]
+    whole = ql.probabilities(net, *offsets(texts))
+    alone = [ql.probabilities(net, *offsets([t]))[0] for t in texts]
+    back = ql.probabilities(net, *offsets(texts[::-1]))[::-1]
+    assert np.allclose(whole, alone, atol=1e-6) and np.allclose(whole, back, atol=1e-6)
+
+
+def test_repeats():
+    padded, first = ql.layout(*offsets([b"x" * 50 + b"abcd efgh abcd", b"abcdefghijkl" * 6]))
+    flags = ql.repeats(padded, first)
+    assert flags[63] and not flags[55] and not flags[:44].any() and flags[int(first[1]) * ql.BLOCK + 60]
+
+
 def test_held_out(spark):
     rng = np.random.default_rng(1)
     words = ["river", "mill", "field", "barley", "people", "green", "the", "and"]
