@@ -17,7 +17,7 @@ while it is small.
 
 Defined cases: null texts have no words and are never drawn; a null source
 is a source of its own, after all others; documents without words take 0;
-equal ids tie and are told apart by size and text digest; equal rows are
+equal ids tie and are told apart by their sizes; equal ids of equal size are
 drawn alike in some order; extra columns are ignored (``plan_mix``) or kept
 (``draw``). Without any word all targets are 0.
 """
@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import Scratch
+
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (1, 2, 3)
 #: Times a source is passed through at most.
@@ -96,10 +98,9 @@ def invert_demand(words: Column, target: Column, pulls: Column, knots: tuple[flo
     return out
 
 
-def _queue(docs: DataFrame, kept: list[Column]) -> DataFrame:
-    """Sizes and places in the queue of a source: digest of the id, then size and text digest."""
+def _queue(docs: DataFrame) -> DataFrame:
+    """Sizes and places in the queue of a source: the digest of the id, then id and size."""
     return docs.select(
-        *kept,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
@@ -120,7 +121,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     ``passes``: an array of (pass, words, position), one entry for each time it is drawn.
     """
-    sizes = _queue(docs, [])
+    # Texts are read once: what the mix needs of them is a few columns, written for the passes below.
+    sizes = Scratch(docs.sparkSession, "mixing").table(_queue(docs), "sizes")
     sources = source_targets(sizes, weights, most, schedules)
     rows = _attach(sizes, sources)
     # Digits so that a bucket of the largest source stays near BUCKET_ROWS.
