@@ -408,14 +408,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chosen = named.filter("node is not null").groupBy("label").agg(F.min(F.struct(F.col("d") == _NO_ID, "d", "th", "rh", "rows")).alias("one")).select("one.d", "one.th", "one.rh", "one.rows")
     wordless = rows.filter("node is null").select("d", "th", "rh", F.lit(1).cast("long").alias("rows"))
-    kept = scratch.table(chosen.unionByName(wordless), "kept").select(F.col("d").alias("kept_d"), F.col("th").alias("kept_th"), F.col("rh").alias("kept_rh"), F.col("rows").alias("kept_rows"))
+    kept = scratch.table(chosen.unionByName(wordless), "kept").select(F.col("d").alias("__kept_d"), F.col("th").alias("__kept_th"), F.col("rh").alias("__kept_rh"), F.col("rows").alias("__kept_rows"))
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == kept["kept_d"]) & (F.xxhash64(docs["text"].cast("string")) == kept["kept_th"]) & (hashed == kept["kept_rh"])
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == kept["__kept_d"]) & (F.xxhash64(docs["text"].cast("string")) == kept["__kept_th"]) & (hashed == kept["__kept_rh"])
     found = docs.join(kept, on)
     columns = [docs[c] for c in docs.columns]
-    out = found.filter("kept_rows = 1").select(*columns)
-    if kept.filter("kept_rows > 1").limit(1).count():
-        again = found.filter("kept_rows > 1").dropDuplicates(["kept_d", "kept_th", "kept_rh"]).select(*columns)
+    out = found.filter("__kept_rows = 1").select(*columns)
+    if kept.filter("__kept_rows > 1").limit(1).count():
+        again = found.filter("__kept_rows > 1").dropDuplicates(["__kept_d", "__kept_th", "__kept_rh"]).select(*columns)
         out = out.unionByName(again)
     return out
 

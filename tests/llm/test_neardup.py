@@ -112,7 +112,7 @@ def test_classes_match_brute_force(spark, monkeypatch):
 def test_one_document_of_each_class_stays(spark):
     texts = corpus(2, 6, 10)
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, texts[0], "s"), (None, "all alone in this text of words", "x"), (50_000, "all alone in this text of words", "y")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node string, kept_rows int")
     kept = nd.drop_near_copies(docs)
     assert kept.columns == docs.columns
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect())
