@@ -257,11 +257,12 @@ def expected_alignment(t: Tables) -> DataFrame:
     """Whether languages and lengths go together more than when lengths are dealt anew."""
     d = t.documents.select("lang", F.least(F.floor(F.col("n_chars") / 2000), F.lit(2)).cast("int").alias("size")).groupBy("lang", "size").agg(F.count("*").alias("n")).collect()
     langs = sorted({r["lang"] for r in d})
-    pairs = [(langs.index(r["lang"]), r["size"]) for r in sorted(d) for _ in range(r["n"])]
-    hits = resample.np.zeros((len(langs), 3))
+    hits, table = (resample.np.zeros((len(langs), 3), dtype="int64") for _ in range(2))
     for k in range(len(langs)):
         hits[k, k % 3] = 1
-    out = resample.alignment_permutation(hits, pairs[:5000], 500)
+    for r in d:
+        table[langs.index(r["lang"]), r["size"]] = r["n"]
+    out = resample.alignment_of_counts(hits, table, spark=t.spark)
     return t.spark.createDataFrame([tuple(out.values())], "observed double, expected double, low double, high double, p double")
 
 

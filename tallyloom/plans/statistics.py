@@ -266,9 +266,9 @@ def bootstrap_cramers(t: Tables) -> DataFrame:
 @query()
 def perm_richness(t: Tables) -> DataFrame:
     """Distinct part types sold in two halves of the suppliers."""
-    d = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").filter("l_orderkey < 200").select((F.col("l_suppkey") % 2).alias("arm"), "p_brand")
+    d = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select((F.col("l_suppkey") % 2).alias("arm"), "p_brand")
     _, _, table = contingency.cell_matrix(d, "arm", "p_brand")
-    out = resample.richness_permutation(table, draws=2000)
+    out = resample.richness_permutation(table, spark=t.spark)
     return t.spark.createDataFrame([(out["first"], out["second"], out["difference"], float(out["p"]))], "first long, second long, difference long, p double")
 
 

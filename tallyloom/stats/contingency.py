@@ -69,14 +69,35 @@ def trim(table: np.ndarray) -> np.ndarray:
     return table[table.sum(1) > 0][:, table.sum(0) > 0]
 
 
-def random_tables(table: np.ndarray, draws: int, seed: int) -> np.ndarray:
-    """Tables with the margins of ``table``, by shuffling column labels: an array (draws, rows, columns)."""
+def draw_subsets(rng: np.random.Generator, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Multivariate hypergeometric draws, a row each: how many of ``counts`` are in a random subset of ``sizes`` items.
+
+    Each item is taken with the chance size / items; of too many some are put
+    back, of too few some are added, which are random subsets again, of about
+    the root of the size. So the work doesn't grow with the counts, and
+    nothing bounds them (numpy's own draws end at 1e9).
+    """
+    items = counts.sum(1)
+    taken = rng.binomial(counts, (sizes / np.maximum(items, 1))[:, None])
+    off = taken.sum(1) - sizes
+    over, under = off > 0, off < 0
+    if over.any():
+        taken[over] -= draw_subsets(rng, taken[over], off[over])
+    if under.any():
+        taken[under] += draw_subsets(rng, counts[under] - taken[under], -off[under])
+    return taken
+
+
+def random_tables(table: np.ndarray, draws: int, seed: int | Sequence[int]) -> np.ndarray:
+    """Tables with the margins of ``table``, as from shuffled column labels: an array (draws, rows, columns). Work grows with cells, not with counts."""
     rng = np.random.default_rng(seed)
-    rows = np.repeat(np.arange(table.shape[0]), table.sum(1).astype(int))
-    labels = np.repeat(np.arange(table.shape[1]), table.sum(0).astype(int))
-    out = np.empty((draws, *table.shape))
-    for k in range(draws):
-        out[k] = np.bincount(rows * table.shape[1] + rng.permutation(labels), minlength=table.size).reshape(table.shape)
+    table = np.asarray(table).astype(np.int64)
+    left = np.repeat(table.sum(0)[None, :], draws, axis=0)
+    out = np.empty((draws, *table.shape), dtype=np.int64)
+    for k, size in enumerate(table.sum(1)[:-1]):
+        out[:, k] = draw_subsets(rng, left, np.full(draws, size))
+        left = left - out[:, k]
+    out[:, -1] = left
     return out
 
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.stats.contingency import cramers_v
+from tallyloom.stats.contingency import cramers_v, random_tables
+
+#: Random tables that one seed draws.
+RUN = 500
 
 
 def cluster_tensor(df: DataFrame, cluster: str, row: str, column: str, most_cells: int = 2_000_000) -> np.ndarray:
@@ -37,18 +41,45 @@ def bootstrap_cramers_v(tensor: np.ndarray, draws: int = 10_000, seed: int = 20_
     return {"cramers_v": cramers_v(tensor.sum(0)), "low": low, "high": high, "draws": len(values)}
 
 
-def richness_permutation(counts: np.ndarray, draws: int = 10_000, seed: int = 20_260_911) -> dict:
+def permuted(table: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], draws: int, seed: int, spark: SparkSession | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an integer statistic over random tables of the same margins, sorted, and how often each came.
+
+    ``statistic`` maps an array (draws, rows, columns) to a value each. Runs
+    of draws have a seed each; with ``spark`` they are dealt over tasks and
+    their values counted, with the same result.
+    """
+
+    def tally(run: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(statistic(random_tables(table, min(RUN, draws - run * RUN), [seed, run])).astype(np.int64), return_counts=True)
+
+    def play(batches):
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in tally(run)], names=["value", "n"])
+
+    runs = -(-draws // RUN)
+    if spark is None:
+        parts = [tally(run) for run in range(runs)]
+        values, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    else:
+        rows = spark.range(0, runs, 1, runs).mapInArrow(play, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
+        values, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+    each, at = np.unique(values, return_inverse=True)
+    return each, np.bincount(at, weights=n).astype(np.int64)
+
+
+def richness_permutation(counts: np.ndarray, draws: int = 10_000, seed: int = 20_260_911, spark: SparkSession | None = None) -> dict:
     """Distinct labels of two arms (2 x labels), their difference and its two-sided p when arms are shuffled."""
     counts = np.asarray(counts, int)
-    rng = np.random.default_rng(seed)
-    labels = np.repeat(np.arange(counts.shape[1]), counts.sum(0))
-    n = int(counts[0].sum())
     seen = (counts > 0).sum(1)
     observed = abs(int(seen[0] - seen[1]))
-    hits = 0
-    for _ in range(draws):
-        mixed = rng.permutation(labels)
-        hits += abs(len(np.unique(mixed[:n])) - len(np.unique(mixed[n:]))) >= observed
+
+    def apart(tables: np.ndarray) -> np.ndarray:
+        drawn = (tables > 0).sum(2)
+        return np.abs(drawn[:, 0] - drawn[:, 1])
+
+    values, n = permuted(counts, apart, draws, seed, spark)
+    hits = int(n[values >= observed].sum())
     return {"first": int(seen[0]), "second": int(seen[1]), "difference": int(seen[0] - seen[1]), "p": (hits + 1) / (draws + 1)}
 
 
@@ -62,14 +93,21 @@ def rarefied(counts: Sequence[int], sample: int) -> float:
 
 
 def alignment_permutation(hits: np.ndarray, groups: Sequence[int], draws: int = 20_000, seed: int = 20_260_921) -> dict:
+    """``alignment_of_counts`` of each row's (group, set) pair."""
+    pairs = np.asarray(groups)
+    table = np.zeros(hits.shape, dtype=np.int64)
+    np.add.at(table, (pairs[:, 0], pairs[:, 1]), 1)
+    return alignment_of_counts(hits, table, draws, seed)
+
+
+def alignment_of_counts(hits: np.ndarray, table: np.ndarray, draws: int = 20_000, seed: int = 20_260_921, spark: SparkSession | None = None) -> dict:
     """Share of rows whose set is expected for their group, against sets dealt at random.
 
-    ``hits[g, s]``: whether set s is expected for group g. ``groups``: each row's (group, set) pair.
+    ``hits[g, s]``: whether set s is expected for group g. ``table[g, s]``: rows of group g with set s.
     """
-    pairs = np.asarray(groups)
-    rng = np.random.default_rng(seed)
-    observed = hits[pairs[:, 0], pairs[:, 1]].mean()
-    drawn = np.array([hits[pairs[:, 0], rng.permutation(pairs[:, 1])].mean() for _ in range(draws)])
-    low, high = np.quantile(drawn, [0.025, 0.975])
-    return {"observed": float(observed), "expected": float(drawn.mean()), "low": float(low), "high": float(high), "p": float(((drawn >= observed - 1e-12).sum() + 1) / (draws + 1))}
+    wanted, rows = hits > 0, int(table.sum())
+    observed = int(table[wanted].sum())
+    values, n = permuted(table, lambda tables: tables[:, wanted].sum(1), draws, seed, spark)
+    low, high = np.quantile(np.repeat(values, n), [0.025, 0.975]) / rows
+    return {"observed": observed / rows, "expected": float((values * n).sum() / draws / rows), "low": float(low), "high": float(high), "p": (int(n[values >= observed].sum()) + 1) / (draws + 1)}
 

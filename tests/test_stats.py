@@ -147,3 +147,29 @@ def test_resampling():
     assert resample.richness_permutation([[5, 5, 0], [5, 5, 0]], 200)["p"] == 1
     hits = np.eye(3)
     assert resample.alignment_permutation(hits, [(g, g) for g in range(3)] * 10, 500)["p"] < 0.01
+
+
+def test_permutations_over_all_rows(spark):
+    from tallyloom.plans import catalog, cohort  # noqa: F401
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang is not null")
+    langs = sorted(r[0] for r in docs.select("lang").distinct().collect())
+    cells = docs.groupBy("lang", F.least(F.floor(F.col("n_chars") / 2000), F.lit(2)).cast("int")).count().collect()
+    share = sum(n for lang, size, n in cells if langs.index(lang) % 3 == size) / sum(n for *_, n in cells)
+    out = catalog.QUERIES["expected_alignment"](spark, "/root/testdata/sf0.1").first()
+    assert out["observed"] == pytest.approx(share, abs=1e-12) and out["low"] <= out["expected"] <= out["high"]
+    # The work follows the cells: margins far over what an element each could hold.
+    table = np.array([[4, 1], [2, 6]]) * 10**12
+    drawn = contingency.random_tables(table, 50, 1)
+    assert (drawn.sum(1) == table.sum(0)).all() and (drawn.sum(2) == table.sum(1)).all()
+    assert resample.alignment_of_counts(np.eye(2), table, 200)["p"] == 1 / 201
+
+
+def test_random_tables_are_hypergeometric(spark):
+    table = np.array([[3, 1, 2], [2, 5, 1], [1, 0, 2]])
+    drawn = contingency.random_tables(table, 40_000, 7)
+    assert drawn.mean(0) == pytest.approx(table.sum(1, keepdims=True) * table.sum(0) / table.sum(), abs=0.03)
+    want = [math.comb(6, k) * math.comb(11, 6 - k) / math.comb(17, 6) for k in range(7)]
+    assert np.bincount(drawn[:, 0, 0], minlength=7) / 40_000 == pytest.approx(want, abs=0.01)
+    counts = np.array([[9, 3, 0, 1], [4, 6, 1, 0]])
+    assert resample.richness_permutation(counts, 1200, spark=spark) == resample.richness_permutation(counts, 1200)
