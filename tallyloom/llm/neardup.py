@@ -300,12 +300,14 @@ def _compare(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _chunks(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+def _chunks(rows: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     """Rows (band, node, label, n) of mixed buckets dealt into chunks: band, cm, cp, role, node, label.
 
     Each of a bucket's members (role 0) goes to every chunk of probes, each
-    probe (role 1) to every chunk of members. ``probes``: band and node, where
-    others than those outside the largest component are meant.
+    probe (role 1) to every chunk of members. Probes are the members outside
+    the largest component. ``busy``: band and node of those whose links are
+    still to be found: other probes needn't ask, unless a busy one is in what
+    is now the largest component, to which all others then put the question.
     """
     by_label = rows.groupBy("band", "label").agg(F.count("*").alias("own"))
     mixed = by_label.groupBy("band").agg(F.sum("own").alias("members"), F.max(F.struct("own", "label")).alias("main")).filter(F.col("members") > F.col("main.own"))
@@ -316,8 +318,11 @@ def _chunks(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     along = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = known.select("band", cm.alias("cm"), along("kp").alias("cp"), F.lit(0).alias("role"), "node", "label")
     asking = known.filter(F.col("label") != F.col("main"))
-    if probes is not None:
-        asking = asking.join(probes, ["band", "node"], "left_semi")
+    if busy is not None:
+        waiting = known.join(busy, ["band", "node"], "left_semi")
+        settled = waiting.filter(F.col("label") == F.col("main")).select("band", F.lit(True).alias("__all")).distinct()
+        own = busy.select("band", "node", F.lit(True).alias("__own"))
+        asking = asking.join(own, ["band", "node"], "left").join(settled, "band", "left").filter("__own or __all").drop("__own", "__all")
     asking = asking.select("band", along("km").alias("cm"), cp.alias("cp"), F.lit(1).alias("role"), "node", "label")
     return members.unionByName(asking)
 

@@ -123,3 +123,20 @@ def test_one_document_of_each_class_stays(spark):
     assert len(got) == len(set(got)) and set(wordless) <= set(got)
     assert set(got) == {min(x for x in c if x is not None) for c in classes.values()}
     assert nd.near_classes(docs.limit(0)).count() == 0 and nd.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_busy_probes_ask_when_the_largest_component_changes(spark):
+    """A bucket where the busy probes' component has outgrown the one that was largest when they were found."""
+    old, new = [1, 2, 3], [10, 11, 12, 13]
+    rows = spark.createDataFrame([(7, n, 1) for n in old] + [(7, n, 10) for n in new], "band long, node long, label long")
+    met = lambda busy: {(p, m) for p in asked(busy) for m in old + new}
+
+    def asked(busy):
+        got = nd._chunks(rows, spark.createDataFrame([(7, n) for n in busy], "band long, node long")).collect()
+        assert {r["node"] for r in got if r["role"] == 0} >= (set(old + new) if any(r["role"] == 1 for r in got) else set())
+        return {r["node"] for r in got if r["role"] == 1}
+
+    # Members 10 and 11 were probes of the component 1 and busy; now theirs is the largest.
+    pairs = met([10, 11])
+    assert all((a, b) in pairs or (b, a) in pairs for a in (10, 11) for b in old)
+    assert asked([2]) == {2}
