@@ -6,8 +6,11 @@ text), are sketched by ProbMinHash: every shingle is a Poisson process whose rat
 weight; each arrival falls into one of the sketch's registers, and a register
 keeps the shingle that arrives first. A shingle stops once its next arrival
 is later than every register's first. Two sketches agree in a register with
-the probability Jaccard similarity of the texts. Bands of registers give
-candidate pairs; each pair is verified on the shingles themselves.
+the probability Jaccard similarity of the texts. A second sketch of the same
+kind, with all weights 1, agrees with the Jaccard similarity of the shingle
+sets; it is the first one wherever no shingle repeats. Bands of registers of
+either sketch give candidate pairs, of which those are likely that agree often
+enough in either; each such pair is verified on the shingles themselves.
 
 Texts with the same words in the same order are copies: they form one class
 from the start, and only classes are compared. In a band's bucket the classes
@@ -116,6 +119,26 @@ def text_keys(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
     return mix64(run[begin[1:]] - run[begin[:-1]] + count.astype(np.uint64)).view(np.int64), count
 
 
+def pack_sketches(of: np.ndarray, sh: np.ndarray, seen: np.ndarray, rows: int) -> list[bytes]:
+    """Each row's sketch by set, and after it the one by weights where a shingle repeats."""
+    plain = sketch(of, sh, np.ones(len(of)), rows)
+    more = np.zeros(rows, dtype=bool)
+    more[of[seen > 1]] = True
+    at, some = np.cumsum(more) - 1, more[of]
+    weighted = sketch(at[of[some]], sh[some], 1 + np.log(seen[some]), int(more.sum()))
+    return [x.tobytes() + (weighted[k].tobytes() if m else b"") for x, k, m in zip(plain, at, more, strict=True)]
+
+
+def unpack_sketches(packed: list[bytes]) -> np.ndarray:
+    """The registers of both sketches, by set and by weights, of each row."""
+    return np.frombuffer(b"".join(x if len(x) == 4 * REGISTERS else x + x for x in packed), dtype=np.uint16).reshape(-1, 2 * REGISTERS)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The share of registers in which rows agree, by the sketch in which it is larger."""
+    return (x == y).reshape(-1, 2, REGISTERS).mean(axis=2).max(axis=1)
+
+
 def _sign(batches):
     for batch in batches:
         data, offsets = utf8_buffers(batch.column(2))
@@ -124,15 +147,14 @@ def _sign(batches):
             hashes, row, _, _ = words(part, at)
             key, count = text_keys(hashes, row, hi - lo)
             of, sh, seen = weighed(hashes, row, hi - lo)
-            drawn = sketch(of, sh, 1 + np.log(seen), hi - lo)
             some = pa.array(count == 0)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), hi - lo, [None, pa.py_buffer(np.ascontiguousarray(drawn))])
+            packed = pa.array(pack_sketches(of, sh, seen, hi - lo), pa.binary())
             node = pa.array(key, mask=np.asarray(some))
-            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), batch.column(3).slice(lo, hi - lo), node, packed.cast(pa.binary())], names=["d", "th", "rh", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), batch.column(3).slice(lo, hi - lo), node, packed], names=["d", "th", "rh", "node", "sketch"])
 
 
 def sign(docs: DataFrame, row_hash: bool = False) -> DataFrame:
-    """A row for each document: d (its id), th and rh (hashes of its text and row), node (its class of copies; null without words) and its sketch."""
+    """A row for each document: d (its id), th and rh (hashes of its text and row), node (its class of copies; null without words) and its sketches."""
     text = F.col("text").cast("string")
     # The text's hash tells rows of the same id apart; the row's also counts the other columns.
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]) if row_hash else F.lit(0).cast("long")
@@ -141,26 +163,27 @@ def sign(docs: DataFrame, row_hash: bool = False) -> DataFrame:
 
 
 def band_keys(drawn: np.ndarray) -> np.ndarray:
-    """A key of each band of each sketch."""
-    parts = drawn.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.zeros(parts.shape[:2], dtype=np.uint64)
+    """A key of each band of both sketches: those by set, then those by weights, the same where the registers are."""
+    parts = drawn.reshape(-1, 2, BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(parts.shape[:3], dtype=np.uint64)
     for k in range(ROWS):
-        key = mix64(key + parts[:, :, k] + np.uint64(1))
-    return mix64(key + np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
+        key = mix64(key + parts[:, :, :, k] + np.uint64(1))
+    return mix64(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).reshape(-1, 2 * BANDS)
 
 
 def _bands(batches):
     for batch in batches:
-        key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "node"])
+        key = band_keys(unpack_sketches(batch.column(1).to_pylist()))
+        once = np.ones(key.shape, dtype=bool)
+        once[:, BANDS:] = key[:, BANDS:] != key[:, :BANDS]
+        yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(np.repeat(batch.column(0).to_numpy(), once.sum(axis=1)))], names=["band", "node"])
 
 
 def _agreement(batches):
     """Keeps the pairs whose sketches agree often enough, and by how much."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            share = (x == y).mean(axis=1)
+            share = agreement(*(unpack_sketches(batch.column(k).to_pylist()) for k in (2, 3)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= LIKELY))
 
 
@@ -234,7 +257,7 @@ def _groups(batches, width: int):
 
 def _likely_partners(drawn: np.ndarray, label: np.ndarray, probe: np.ndarray, members: np.ndarray, band: np.ndarray, band_keys: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Which members of other components a probe should meet here: likely ones that share no earlier band with it."""
-    share = (drawn[members] == drawn[probe]).mean(axis=1)
+    share = agreement(drawn[members], drawn[probe])
     same = band_keys[members] == band_keys[probe]
     first = band_keys[probe][same.argmax(axis=1)] == band
     return members[(share >= LIKELY) & first & same.any(axis=1) & (label[members] != label[probe]) & (node[members] != node[probe])]
@@ -242,7 +265,7 @@ def _likely_partners(drawn: np.ndarray, label: np.ndarray, probe: np.ndarray, me
 
 def _grid(group: list[np.ndarray]):
     """A group's sketches, band keys, probes and members. Columns: band, cm, cp, role, node, label, sketch."""
-    drawn = np.frombuffer(b"".join(group[6]), dtype=np.uint16).reshape(-1, REGISTERS)
+    drawn = unpack_sketches(group[6])
     probes, members = np.flatnonzero(group[3] == 1), np.flatnonzero(group[3] == 0)
     return drawn, band_keys(drawn), probes, members
 
@@ -386,7 +409,8 @@ def _signed(docs: DataFrame, scratch: Scratch, row_hash: bool = False) -> DataFr
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, class_id (the least doc_id among its near copies) and the number of links of its text."""
+    """A row for each document: doc_id, class_id (the least doc_id among its near copies), the size of its class, and how many verified links of its text
+    hold the class together (n_links; not every pair within a class is verified)."""
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = _signed(docs, scratch)
     links, labels = near_links(docs, scratch, signed)

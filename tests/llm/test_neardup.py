@@ -140,3 +140,17 @@ def test_busy_probes_ask_when_the_largest_component_changes(spark):
     pairs = met([10, 11])
     assert all((a, b) in pairs or (b, a) in pairs for a in (10, 11) for b in old)
     assert asked([2]) == {2}
+
+
+def test_copies_with_repeated_lines_are_linked(spark):
+    """A fifth of the text's lines repeated: the sets stay alike while the weighted sketches part."""
+    rng = random.Random(3)
+    rows = []
+    for f, times in enumerate((10, 100, 1000, 1000, 100, 300)):
+        lines = [" ".join(f"{rng.choice('bcdfgh')}{rng.randrange(10**6)}" for _ in range(5)) for _ in range(40)]
+        more = "\n".join("\n".join(lines) if k == 0 else "\n".join(lines[-8:]) for k in range(times))
+        rows += [(10 * f, "\n".join(lines)), (10 * f + 1, more)]
+    sets = [shingle_set(t) for _, t in rows]
+    near = {rows[2 * k][0] for k in range(len(rows) // 2) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 6 and all(got[d] == got[d + 1] == d for d in near)
