@@ -9,8 +9,8 @@ together, a numpy row each; a row leaves the batch where its URL ends.
 A canonical URL is ``host/path``: the host lower-cased, the scheme, query and
 fragment gone. Globs match the whole of it, byte by byte in UTF-8: ``*`` any
 run, ``?`` one byte. A host rule is two globs, for the host itself and for
-its subdomains; of all that match, the one with the longest rule wins, on
-ties the earlier one.
+its subdomains, whose leading ``*`` ends where the path begins; of all that
+match, the one with the longest rule wins, on ties the earlier one.
 
 Defined cases: a null url, or one without ``://``, has an empty host and
 path; no rule fits and the globs see an empty URL; repeated rows are judged
@@ -43,10 +43,12 @@ class Glob:
     #: The host rule that it stands for, and how much it outweighs others; globs of their own have none.
     rule: str | None = None
     weight: int = 0
+    #: Whether a leading ``*`` takes bytes of the host only, none from the first ``/`` on.
+    in_host: bool = False
 
 
 def rule_globs(rules: list[tuple[str, str]]) -> list[Glob]:
-    return [Glob(p, verdict, rule, len(rule)) for rule, verdict in rules for p in (f"{rule}*", f"*.{rule}*")]
+    return [Glob(p, verdict, rule, len(rule), p.startswith("*")) for rule, verdict in rules for p in (f"{rule}*", f"*.{rule}*")]
 
 
 @dataclass
@@ -55,6 +57,8 @@ class Automaton:
 
     step: np.ndarray
     keep: np.ndarray
+    #: States kept by bytes other than ``/``.
+    keep_host: np.ndarray
     begin: np.ndarray
     accept: list[tuple[int, int]]
     globs: list[Glob]
@@ -62,26 +66,26 @@ class Automaton:
     @classmethod
     def build(cls, globs: list[Glob]) -> Automaton:
         symbols: list[tuple[int, int | None]] = []
-        loops, starts, accept = [], [], []
+        loops, host_loops, starts, accept = [], [], [], []
         bits = 0
         for glob in globs:
             starts.append(bits)
-            for c in glob.pattern.encode():
+            for at, c in enumerate(glob.pattern.encode()):
                 if c == ord("*"):
-                    loops.append(bits)
+                    (host_loops if glob.in_host and at == 0 else loops).append(bits)
                 else:
                     bits += 1
                     symbols.append((bits, None if c == ord("?") else c))
             accept.append(divmod(bits, 64))
             bits += 1
         words = -(-bits // 64) or 1
-        mask = np.zeros((259, words), dtype=np.uint64)
+        mask = np.zeros((260, words), dtype=np.uint64)
         for bit, c in symbols:
             mask[slice(0, 256) if c is None else c, bit // 64] |= np.uint64(1 << bit % 64)
-        for row, own in ((256, loops), (257, starts)):
+        for row, own in ((256, loops), (257, starts), (258, host_loops)):
             for bit in own:
                 mask[row, bit // 64] |= np.uint64(1 << bit % 64)
-        return cls(mask[:256], mask[256], mask[257], accept, globs)
+        return cls(mask[:256], mask[256], mask[256] | mask[258], mask[257], accept, globs)
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which globs match each URL: a boolean row each."""
@@ -92,12 +96,15 @@ class Automaton:
         alive = np.searchsorted(-size[order], -np.arange(1, longest + 1), side="right")
         first = offsets[:-1][order]
         one, top = np.uint64(1), np.uint64(63)
+        keep = np.repeat(self.keep_host[None, :], 256, axis=0)
+        keep[ord("/")] = self.keep
         for at in range(longest):
             n = int(alive[at])
             now = state[:n]
             moved = now << one
             moved[:, 1:] |= now[:, :-1] >> top
-            state[:n] = (moved & self.step[data[first[:n] + at]]) | (now & self.keep)
+            byte = data[first[:n] + at]
+            state[:n] = (moved & self.step[byte]) | (now & keep[byte])
         out = np.zeros((len(size), len(self.accept)), dtype=bool)
         for k, (word, bit) in enumerate(self.accept):
             out[order, k] = (state[:, word] >> np.uint64(bit)) & one != 0

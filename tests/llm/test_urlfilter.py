@@ -3,6 +3,7 @@
 import fnmatch
 import random
 
+import duckdb
 import pyarrow as pa
 
 from tallyloom.llm import urlfilter as uf
@@ -30,3 +31,13 @@ def test_verdicts(spark):
     assert (got[6]["host"], got[6]["path"]) == ("", "") and got[0]["host"] == "a.example.com"
     assert got[10]["rule"] == "com/en/" and uf.judge_urls(pages).count() == 12
     assert uf.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_host_rules_fit_hosts_only(spark):
+    urls = ["http://a.org/x.com/en/7", "http://a.org/go/www.example.com/en/7", "https://web.archive.org/web/1/http://www.example.net/de/8", "http://b.a.com/en/x.net/de/", "http://a.org/x.zip", "http://x.a.b.org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in uf.judge_urls(pages).collect()}
+    assert [got[i] for i in range(6)] == [(None, "allow"), (None, "allow"), (None, "allow"), ("com/en/", "block"), (None, "block"), ("org/es/", "block")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT unnest(range(6)) AS page_id, unnest(?) AS url", [urls])
+    assert {r[0]: (r[1], r[2]) for r in con.execute(f"SELECT page_id, rule, verdict FROM ({uf.op6_sql()})").fetchall()} == got
