@@ -7,7 +7,8 @@ reported wherever they stand. Weak ones (tokens of high entropy, plain
 identity fields, endpoints) say little alone: they are reported only where
 complementary parts stand in the same scope, a paragraph, at most ``GAP``
 characters apart. Linking is an interval join within the scope: both sides
-are sorted by start, and each part meets the parts within reach of it.
+are sorted by start; a part's partner is the next to start, or the one before
+it that ends nearest, by the running maximum of their ends.
 
 Defined cases: null and empty texts hold no span; repeated rows are reported
 each; parts of one kind don't overlap; of several partners the nearest is
@@ -43,9 +44,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-IDENTITY = re.compile(r"""\b(?:client_?id|user(?:name)?|login|account(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,64}""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s"'<>]{4,256}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{4,128}""", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+IDENTITY = re.compile(r"""\b(?:client_?id|user(?:name)?|login|account(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s"'<>]{4,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{4,}""", re.IGNORECASE | re.ASCII)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 
 _STRONG_SECRET, _STRONG_IDENTITY = {"assign", "hex"}, {"access"}
@@ -90,17 +91,18 @@ def weak_tokens(text: str, covered: list[Span]) -> list[Span]:
     return out
 
 
-def _nearest(span: Span, others: list[Span], scope: tuple[int, int]) -> int | None:
-    """Start of the nearest of ``others`` (sorted by start) within the scope and GAP characters."""
-    at = bisect_left(others, (span.start,), key=lambda s: (s.start,))
-    best = None
-    for i in (at - 1, at - 2, at, at + 1):
-        if 0 <= i < len(others) and others[i] is not span:
-            o = others[i]
-            gap = max(0, o.start - span.end, span.start - o.end)
-            if gap <= GAP and scope[0] <= o.start < scope[1] and (best is None or (gap, o.start) < best):
-                best = (gap, o.start)
-    return best and best[1]
+def _nearest(span: Span, starts: list[int], ends: list[int], scope: tuple[int, int]) -> int | None:
+    """Start of the nearest part within the scope and GAP characters. ``starts`` are sorted, ``ends`` the running maxima of the ends within each scope."""
+    at = bisect_left(starts, span.start)
+    best = []
+    if at < len(starts) and starts[at] < scope[1]:
+        best.append((max(0, starts[at] - span.end), starts[at]))
+    low = bisect_left(starts, scope[0], 0, at)
+    if low < at:
+        end = min(span.start, ends[at - 1])
+        best.append((span.start - end, starts[bisect_left(ends, end, low, at)]))  # the first that ends there or later
+    gap, start = min(best, default=(GAP + 1, 0))
+    return start if gap <= GAP else None
 
 
 def link(text: str, strong: list[Span]) -> list[Span]:
@@ -124,8 +126,12 @@ def link(text: str, strong: list[Span]) -> list[Span]:
 
     out = []
     for part, partners in ((keys, others), (others, keys)):
+        starts, ends, last = [o.start for o in partners], [], None
+        for o in partners:
+            ends.append(max(o.end, ends[-1]) if ends and scope(o) == last else o.end)
+            last = scope(o)
         for s in part:
-            partner = _nearest(s, partners, scope(s))
+            partner = _nearest(s, starts, ends, scope(s))
             if partner is not None or s.kind in _STRONG_SECRET | _STRONG_IDENTITY:
                 out.append(Span(s.kind, s.start, s.end, partner))
     return out

@@ -55,3 +55,30 @@ def test_query_columns_and_redaction(spark):
 def test_long_texts_are_scanned_whole():
     text = "word " * 200_000 + "secret: abcdefghijklmnop"
     assert [s.kind for s in sc.scan(text)] == ["assign"]
+
+
+def test_long_parts_are_whole():
+    long = "Zx81kPq0Lm4Rt7Yw2Vb9" * 20
+    for token in (long, long[:172], long + "=="):
+        text = f"user = {'deploy' * 40} {token} end"
+        assert [(s.kind, text[s.start : s.end]) for s in sc.scan(text)] == [("identity", f"user = {'deploy' * 40}"), ("token", token)]
+        assert sc.blank(text, sc.scan(text)) == "[REDACTED] [REDACTED] end"
+    assert sc.scan("user = deploy " + "Ab" * 200_000 + "1===") == []
+
+
+def test_partners_are_the_nearest_of_all():
+    token = "Zx81kPq0Lm4Rt7Yw2Vb9"
+    url = f"https://h.example.com/?user=abcd&login=abcd&account=abcd&q={'z' * 240}"
+    spans = {s.kind: s for s in sc.scan(f"{url} {'.' * 150} {token}")}
+    assert spans["token"].partner == 0 and "endpoint" in spans
+    rng = random.Random(2)
+    for _ in range(300):
+        cuts = [0, 400, 800, 10**6]
+        others = sorted((sc.Span("endpoint", a, a + rng.randint(1, 300)) for a in (rng.randrange(1200) for _ in range(rng.randint(0, 12)))), key=lambda s: s.start)
+        a = rng.randrange(1200)
+        span, scope = sc.Span("token", a, a + 20), next((x, y) for x, y in zip(cuts, cuts[1:], strict=False) if x <= a < y)
+        starts, ends = [o.start for o in others], []
+        for o in others:
+            ends.append(max(p.end for p in others if p.start <= o.start and not any(p.start < c <= o.start for c in cuts) and others.index(p) <= others.index(o)))
+        want = min(((max(0, o.start - span.end, span.start - o.end), o.start) for o in others if scope[0] <= o.start < scope[1]), default=(sc.GAP + 1, None))
+        assert sc._nearest(span, starts, ends, scope) == (want[1] if want[0] <= sc.GAP else None)
