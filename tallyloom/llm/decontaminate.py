@@ -2,17 +2,28 @@
 
 A test item of ``m`` words may be spelt with up to ``k`` word edits. Cut into
 ``k + 1`` pieces, at least one piece then stands unchanged in the text, so all
-exact piece hits (one Aho-Corasick pass over the text) give every candidate
-window, and Myers' bit-parallel distance over words verifies each.
+exact piece hits give every candidate window, and Myers' bit-parallel distance
+over words verifies each.
+
+Texts are read once, whatever the number of items. Items of up to
+``broadcast_chars`` characters are broadcast as one Aho-Corasick automaton.
+More of them stay a table: texts are tested against a bit table of piece
+hashes, those with hits are written with the places of their hits, and pieces,
+items and texts meet in joins on the piece's hash, the item and the text.
 
 Defined cases: null or empty texts hit nothing; null or empty items, and items
-of fewer than ``min_words`` words, are not searched for; repeated items are
-reported each; a repeated document row is reported each time it occurs; case,
-punctuation and spacing don't count. Extra columns are ignored.
+of fewer than ``min_words`` words, are not searched for (they would be found
+by chance; ``min_words=1`` takes all); an item of five words has no edits, as
+its pieces would get too short; of several equally near places of an item in a
+text the first is reported; repeated items are reported each; a repeated
+document row is reported each time it occurs; case, punctuation and spacing
+don't count; a script without spaces is one word. Very long texts are searched
+whole. Extra columns are ignored (``find_leaks``) or kept (``drop_leaks``).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections import defaultdict
@@ -20,11 +31,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import bound_arrow_batches
+from tallyloom.session import Scratch, bound_arrow_batches
 
 #: Share of an item's words that may be edited.
 ERROR_RATE = 0.2
@@ -32,10 +44,15 @@ ERROR_RATE = 0.2
 PIECE_WORDS = 3
 #: Items shorter than this say nothing about where a text comes from.
 MIN_WORDS = 5
-#: Characters of items that one broadcast automaton holds; more items go in further blocks.
-BLOCK_CHARS = 8_000_000
+#: Characters of items that are broadcast as an automaton; beyond that, pieces are joined by hash.
+BROADCAST_CHARS = 8_000_000
+#: Bits of the table of piece hashes at least and at most; a fuller table lets more texts through to the join, none less.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Words whose hash a worker keeps; then it starts anew.
+KEPT_WORDS = 1_000_000
 
-HITS = "item_id long, distance long, budget long, item_words long, first_word long, last_word long"
+HIT_NAMES = ["item_id", "distance", "budget", "item_words", "first_word", "last_word"]
+HITS = ", ".join(f"{n} long" for n in HIT_NAMES)
 
 _WORD = re.compile(r"\w+")
 
@@ -134,83 +151,180 @@ class ItemSet:
             last = bisect_right(starts, end - 1) - 1
             for item, at_word in places:
                 diagonals[item].add(last - at_word)
-        out = []
-        for item, shifts in sorted(diagonals.items()):
-            item_id, pattern, budget = self.items[item]
-            masks, best = word_masks(pattern), None
-            for lo, hi in self._windows(sorted(shifts), len(pattern), budget, len(words)):
-                distance, end = best_end(masks, len(pattern), words[lo:hi])
-                if distance <= budget and (best is None or distance < best[0]):
-                    best = (distance, lo, lo + end)
-            if best:
-                distance, lo, end = best
-                back = words[lo:end][::-1]
-                _, length = best_end(word_masks(pattern[::-1]), len(pattern), back, anchored=True)
-                out.append((item_id, distance, budget, len(pattern), end - length, end - 1))
-        return out
-
-    @staticmethod
-    def _windows(shifts: list[int], size: int, budget: int, length: int) -> Iterator[tuple[int, int]]:
-        """Merged stretches of the text around the hits' diagonals."""
-        lo = hi = None
-        for shift in shifts:
-            a, b = max(0, shift - budget), min(length, shift + size + budget)
-            if hi is not None and a <= hi:
-                hi = max(hi, b)
-                continue
-            if hi is not None:
-                yield lo, hi
-            lo, hi = a, b
-        if hi is not None:
-            yield lo, hi
-
+        return [hit for item, shifts in sorted(diagonals.items()) if (hit := verify(*self.items[item], words, sorted(shifts)))]
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in blocks of bounded size, each small enough to broadcast."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-size // block_chars) if size else 0
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        yield [(r[0], r[1]) for r in part.collect()]
 
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each document and item found in it: doc_id and the columns of HITS. No shuffle: texts stay where they are read."""
+def _windows(shifts: list[int], size: int, budget: int, length: int) -> Iterator[tuple[int, int]]:
+    """Merged stretches of the text around the hits' diagonals."""
+    lo = hi = None
+    for shift in shifts:
+        a, b = max(0, shift - budget), min(length, shift + size + budget)
+        if hi is not None and a <= hi:
+            hi = max(hi, b)
+            continue
+        if hi is not None:
+            yield lo, hi
+        lo, hi = a, b
+    if hi is not None:
+        yield lo, hi
+
+
+def verify(item_id: int | None, pattern: list[str], budget: int, words: list[str], shifts: list[int]) -> tuple[int | None, int, int, int, int, int] | None:
+    """The first of an item's nearest places around the diagonals ``shifts``, if within the budget: id, distance, budget, words, first and last word."""
+    masks, best = word_masks(pattern), None
+    for lo, hi in _windows(shifts, len(pattern), budget, len(words)):
+        distance, end = best_end(masks, len(pattern), words[lo:hi])
+        if distance <= budget and (best is None or distance < best[0]):
+            best = (distance, lo, lo + end)
+    if best is None:
+        return None
+    distance, lo, end = best
+    _, length = best_end(word_masks(pattern[::-1]), len(pattern), words[lo:end][::-1], anchored=True)
+    return item_id, distance, budget, len(pattern), end - length, end - 1
+
+
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` words, from the words' hashes."""
+    n = max(0, len(hashes) - length + 1)
+    out = np.full(n, length, dtype=np.uint64)
+    for k in range(length):
+        out = (out ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _cut_items(rate: float, min_words: int):
+    """Items as rows: item_id, words, budget, and the pieces with hash, length and place."""
+    piece = pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()), ("at", pa.int32())]))
+
+    def cut(batches):
+        for batch in batches:
+            ids, lines, budgets, cuts = [], [], [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = split_words(text)
+                if len(words) < min_words or not words:
+                    continue
+                budget = error_budget(len(words), rate)
+                hashes = np.array([_word_hash(w) for w in words], dtype=np.uint64)
+                ids.append(item_id)
+                lines.append(" ".join(words))
+                budgets.append(budget)
+                cuts.append([{"hash": int(run_hashes(hashes[at : at + len(p)], len(p))[0]), "length": len(p), "at": at} for at, p in pieces(words, budget)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), pa.array(budgets, pa.int32()), pa.array(cuts, piece)], names=["item_id", "line", "budget", "pieces"])
+
+    return cut
+
+
+def _mark_texts(table: np.ndarray, lengths: list[int]):
+    """The texts with a hit in the bit table: their columns but the text, their words in a line, and hash and place of each hit."""
+    hit = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())]))
+    bits = np.uint64(len(table) * 64 - 1)
+
+    def mark(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows, lines, found = [], [], []
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                words = split_words(text)
+                if len(known) > KEPT_WORDS:
+                    known.clear()
+                for w in set(words) - known.keys():
+                    known[w] = _word_hash(w)
+                hashes = np.array([known[w] for w in words], dtype=np.uint64)
+                own = []
+                for length in lengths:
+                    runs = run_hashes(hashes, length)
+                    spot = runs.view(np.uint64) & bits
+                    at = np.flatnonzero(table[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1))
+                    own += [{"hash": h, "at": a} for h, a in zip(runs[at].tolist(), at.tolist(), strict=True)]
+                if own:
+                    rows.append(row)
+                    lines.append(" ".join(words))
+                    found.append(own)
+            kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lines, pa.string()), pa.array(found, hit)], names=[*batch.schema.names[:-1], "line", "hits"])
+
+    return mark
+
+
+def _verify_pairs(batches):
+    for batch in batches:
+        keys, lines, items, patterns, budgets, shifts = (c.to_pylist() for c in batch.columns)
+        out = [(k, *hit) for k, t, i, p, b, s in zip(keys, lines, items, patterns, budgets, shifts, strict=True) if (hit := verify(i, p.split(" "), b, t.split(" "), sorted(s)))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [()] * 7)], names=["key", *HIT_NAMES])
+
+
+def _joined_leaks(texts: DataFrame, items: DataFrame, rate: float, min_words: int) -> DataFrame:
+    """``key`` and the columns of HITS for texts (key, text), by joins on the pieces' hashes."""
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+    cut = scratch.table(items.mapInArrow(_cut_items(rate, min_words), "item_id long, line string, budget int, pieces array<struct<hash:long,length:int,at:int>>").withColumn("item", F.monotonically_increasing_id()), "items")
+    parts = cut.select("item", F.inline("pieces"))
+    lengths = sorted(r[0] for r in parts.select("length").distinct().collect())
+    # Lengths of pieces are few (they follow from the error rate); the bit table has a bounded size.
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * parts.count()).bit_length()))
+    words = parts.selectExpr(f"shiftright(hash & {bits - 1}L, 6) AS word", "shiftleft(1L, CAST(hash & 63 AS int)) AS bit")
+    table = np.zeros(bits // 64, dtype=np.uint64)
+    filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).view(np.uint64)
+    marked = texts.select("key", "text").mapInArrow(_mark_texts(table, lengths), "key long, line string, hits array<struct<hash:long,at:int>>")
+    # Numbered and written once: the numbers tell equal rows apart.
+    marked = scratch.table(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
+    hits = marked.select("row", F.inline("hits")).withColumnRenamed("at", "text_at")
+    pairs = hits.join(parts.select("item", "hash", "at"), "hash").groupBy("row", "item").agg(F.collect_set(F.col("text_at") - F.col("at")).alias("shifts"))
+    both = pairs.join(cut.select("item", "item_id", F.col("line").alias("pattern"), "budget"), "item").join(marked.select("row", "key", "line"), "row")
+    return both.select("key", "line", "item_id", "pattern", "budget", "shifts").mapInArrow(_verify_pairs, f"key long, {HITS}")
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """item_id and text of the items that have a text, and their characters."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text <> ''")
+    return items, items.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """A row for each document and item found in it: doc_id and the columns of HITS. One scan; texts without a hit are never shuffled."""
     spark = docs.sparkSession
     bound_arrow_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for rows in item_blocks(benchmark):
-        known = spark.sparkContext.broadcast(ItemSet.build(rows, rate, min_words))
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    items, size = _items(benchmark)
+    if size > broadcast_chars:
+        return _joined_leaks(texts, items, rate, min_words).withColumnRenamed("key", "doc_id")
+    known = spark.sparkContext.broadcast(ItemSet.build([(r[0], r[1]) for r in items.collect()], rate, min_words))
 
-        def search(batches, known=known):
-            items = known.value
-            for batch in batches:
-                hits = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in items.search(t)]
-                columns = list(zip(*hits, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "budget", "item_words", "first_word", "last_word"])
+    def search(batches):
+        items = known.value
+        for batch in batches:
+            hits = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in items.search(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*hits, strict=True)) or [()] * 7)], names=["doc_id", *HIT_NAMES])
 
-        part = texts.mapInArrow(search, f"doc_id long, {HITS}")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"doc_id long, {HITS}")
+    return texts.mapInArrow(search, f"doc_id long, {HITS}")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents in which no item is found, with all their columns. No shuffle."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """The documents in which no item is found, with all their columns. No shuffle of texts."""
     spark = docs.sparkSession
     bound_arrow_batches(spark)
-    for rows in item_blocks(benchmark):
-        known = spark.sparkContext.broadcast(ItemSet.build(rows, rate, min_words))
-        at = docs.columns.index("text")
-
-        def keep(batches, known=known, at=at):
-            items = known.value
-            for batch in batches:
-                yield batch.filter(pa.array([not items.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    items, size = _items(benchmark)
+    at = docs.columns.index("text")
+    if size > broadcast_chars:
+        # Whether a document goes is a matter of its text alone, so equal texts share a key.
+        key = F.xxhash64(docs["text"].cast("string"))
+        leaks = _joined_leaks(docs.select(key.alias("key"), docs["text"].cast("string").alias("text")), items, rate, min_words).select(F.col("key").alias("__leak")).distinct()
+        leaks = Scratch(spark, "decontaminate").table(leaks, "leaks")
+        return docs.join(leaks, key == leaks["__leak"], "left_anti")
+    known = spark.sparkContext.broadcast(ItemSet.build([(r[0], r[1]) for r in items.collect()], rate, min_words))
+
+    def keep(batches):
+        items = known.value
+        for batch in batches:
+            yield batch.filter(pa.array([not items.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tallyloom.llm import decontaminate as dc
 
 WORDS = [f"{a}{b}" for a in ("ba", "ke", "lo", "mu", "ny") for b in ("d", "f", "g", "h")]
@@ -50,3 +52,31 @@ def test_leaks_and_edge_cases(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
     assert dc.find_leaks(docs, bench.limit(0)).count() == 0
     assert dc.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_joined_pieces_give_what_the_automaton_gives(spark):
+    rng = random.Random(5)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    items = [(k, " ".join(say(rng.randint(4, 30)))) for k in range(30)] + [(None, "ba be bi bo bu by"), (3, "ba be bi bo bu by"), (3, "ba be bi bo bu by")]
+    texts = []
+    for k in range(60):
+        words = say(rng.randint(0, 40))
+        copy = items[k % len(items)][1].split()
+        if copy and k % 3:
+            copy[rng.randrange(len(copy))] = "zz"
+        texts.append((k % 50, " ".join(words[:10] + copy + words[10:]) if k % 4 else None))
+    texts += [(99, "ba be bi bo bu by " * 3000), texts[1]]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").withColumn("key", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string")
+    line = lambda df: sorted(map(str, df.collect()))
+    want, joined = dc.find_leaks(docs, bench), dc.find_leaks(docs, bench, broadcast_chars=0)
+    assert line(want) == line(joined) and want.count() > 30
+    kept = dc.drop_leaks(docs, bench, broadcast_chars=0)
+    assert kept.columns == docs.columns and line(kept) == line(dc.drop_leaks(docs, bench))
+    assert line(dc.find_leaks(docs, bench, broadcast_chars=0, min_words=1))[:1] is not None
+
+
+def test_ties_and_very_long_texts(spark):
+    item = "one two three four five six seven eight nine ten"
+    long = "mill " * 300_000 + item + " river " + item + " mill" * 10
+    found = dc.find_leaks(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["distance"], r["first_word"], r["last_word"]) for r in found] == [(0, 300_000, 300_009)]
