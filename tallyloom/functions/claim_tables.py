@@ -1,4 +1,7 @@
-"""Tables of the claim extraction: what to strip, units, quantities, cues. All text is lower-case when they apply."""
+"""Tables of the claim extraction: what to strip, units, quantities, cues. All text is lower-case when they apply.
+
+All of these are fixed values of the method; there is no logic here.
+"""
 
 from __future__ import annotations
 
@@ -160,3 +163,23 @@ SELF_SUFFICIENT = [
     ("D2", rf"\b{NUM}\s?(?:k|m|million|thousand|billion)?\s+(?:\S{{1,40}}\s+){{0,2}}per\s+second\b", [], []),
     ("D9", rf"\b{NUM}\s?(?:concurrent|workers?|threads?|connections?|users|clients|goroutines?|cores?|parallel|simultaneous)\b", [], []),
 ]
+
+# Dimension and the pattern of phrases that speak of it; narrow phrases that are credited before the others.
+EXPECTED = [
+    ("D1", r"latency|execution time|runtime|run time|response time|load time|instruction latency|faster|speed ?up"),
+    ("D2", r"throughput|ilp|instruction[- ]level parallelism|instruction throughput|requests? per second|greater throughput"),
+    ("D3", r"memory|heap|footprint|allocation|\bgc\b|garbage"),
+    ("D4", r"cpu|cycles|instruction count|instruction-level efficiency|execution count|operations? (?:are )?executed|call count|method calls|branch (?:instruction|mispredict)|context switch|thread count|resource utili[sz]ation|utilization|cpi|cache miss|cache line|cache efficiency|cache hit|store forwarding|mob loads|page miss|replays"),
+    ("D5", r"\bi/o\b|io |network|bandwidth|payload|round ?trip|\bqueries\b|cache hit rate|data transfer"),
+    ("D6", r"build size|binary size|bundle|artifact size|code size|smaller build"),
+    ("D7", r"build time|compile time|compilation time|rebuild|\bci\b"),
+    ("D8", r"energy|power|joule|watt|carbon|\bcost\b"),
+    ("D9", r"concurren|parallelism|scalab|thread pool|contention|workers|under load"),
+]
+EXPECTED_FIRST = [
+    (r"faster build times?|build times?", "D7"),
+    (r"cache hit rate", "D5"),
+    (r"memory utili[sz]ation", "D3"),
+    (r"instruction[- ]level parallelism|\bilp\b", "D2"),
+    (r"i-cache|cache miss|cache line|cache efficiency", "D4"),
+]

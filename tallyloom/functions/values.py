@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.text import clean
 
@@ -125,3 +126,21 @@ def flags_to_text(flags: dict[str, Column], separator: str = "|") -> Column:
 def text_to_flags(text: Column, names: Sequence[str], separator: str = "|") -> dict[str, Column]:
     parts = F.split(F.coalesce(text, F.lit("")), "\\" + separator)
     return {n: F.array_contains(parts, n) for n in names}
+
+
+def portable(value: Column, kind: T.DataType) -> Column:
+    """A nested value of type ``kind`` as JSON that any reader takes: numbers that aren't finite and missing values are null, fields keep their order; null itself is ""."""
+    text = F.to_json(F.struct(_finite(value, kind).alias("v")), {"ignoreNullFields": "false"})
+    return F.when(value.isNull(), F.lit("")).otherwise(F.substring(text, F.lit(6), F.length(text) - 6))
+
+
+def _finite(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value

@@ -12,14 +12,39 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import claim_tables as ct
-from tallyloom.session import bound_arrow_batches
+from tallyloom.session import Scratch, bound_arrow_batches
+
+
+@dataclass(frozen=True)
+class Configuration:
+    """What counts as a claim: cues and kinds by dimension, which dimensions hide or silence others, and constructions that suffice by themselves.
+
+    ``with_dimensions`` adds dimensions of one's own to the built-in ones.
+    """
+
+    cues: dict[str, str] = field(default_factory=lambda: dict(ct.CUES))
+    kinds: dict[str, list[str]] = field(default_factory=lambda: dict(ct.KINDS))
+    hidden_from: dict[str, list[str]] = field(default_factory=lambda: dict(ct.HIDDEN_FROM))
+    silenced_by: dict[str, list[str]] = field(default_factory=lambda: dict(ct.SILENCED_BY))
+    self_sufficient: tuple = tuple(ct.SELF_SUFFICIENT)
+
+    def with_dimensions(self, cues: dict[str, str], kinds: dict[str, list[str]], self_sufficient: Sequence[tuple] = ()) -> Configuration:
+        if set(cues) != set(kinds):
+            raise ValueError("every new dimension needs a cue and kinds")
+        return replace(self, cues=self.cues | cues, kinds=self.kinds | kinds, self_sufficient=(*self.self_sufficient, *self_sufficient))
+
+
+DEFAULT = Configuration()
 
 MARK = "role string, name string, token int, last_token int, start int, end int, found string"
 
@@ -28,28 +53,31 @@ def normalise(text: Column) -> Column:
     """Lower-case text with units folded, without markup, addresses, versions and hashes."""
     out = F.coalesce(text.cast("string"), F.lit(""))
     for pattern, by in ct.STRIP_RAW:
-        out = F.regexp_replace(out, pattern, by)
+        out = F.regexp_replace(out, f"(?U){pattern}", by)
     out = F.lower(out)
     for pattern, by in ct.STRIP_LOWER:
         out = F.regexp_replace(out, f"(?U){pattern}", by)
     return out
 
 
-def _patterns() -> list[tuple[str, str, re.Pattern]]:
+def _patterns(conf: Configuration) -> list[tuple[str, str, re.Pattern]]:
     rows = [("quantity", kind, re.compile(p)) for kind, p in ct.QUANTITIES.items()]
-    rows += [("cue", d, re.compile(p)) for d, p in ct.CUES.items()]
-    rows += [("self", str(k), re.compile(p)) for k, (_, p, _, _) in enumerate(ct.SELF_SUFFICIENT)]
+    rows += [("cue", d, re.compile(p)) for d, p in conf.cues.items()]
+    rows += [("self", str(k), re.compile(p)) for k, (_, p, _, _) in enumerate(conf.self_sufficient)]
     return [*rows, ("hypothetical", "", re.compile(ct.HYPOTHETICAL)), ("heading", "", re.compile(ct.PROSPECTIVE))]
 
 
 def _hide(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with spans blotted out at equal length, so that offsets stay."""
-    for s, e in spans:
-        text = text[:s] + re.sub(r"\S", "█", text[s:e]) + text[e:]
-    return text
+    """The text with spans blotted out at equal length, so that offsets stay. A span that begins within an earlier one is left as it is."""
+    out, at = [], 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += [text[at:s], re.sub(r"\S", "█", text[s:e])]
+            at = e
+    return "".join(out) + text[at:]
 
 
-def find_marks(text: str, patterns: list[tuple[str, str, re.Pattern]]) -> list[tuple]:
+def find_marks(text: str, patterns: list[tuple[str, str, re.Pattern]], hidden_from: dict[str, list[str]]) -> list[tuple]:
     """All marks of one normalised text. Raw cues hide and silence; effective cues are found with the hiding ones blotted out."""
     starts = [m.start() for m in re.finditer(r"\S+", text)]
     if not starts:
@@ -71,13 +99,13 @@ def find_marks(text: str, patterns: list[tuple[str, str, re.Pattern]]) -> list[t
     cues = {name: p for role, name, p in patterns if role == "cue"}
     for name, found in raw.items():
         out += [("raw_cue", name, token(s), token(s), s, e, "") for s, e in found]
-        hidden = [span for other in ct.HIDDEN_FROM.get(name, []) for span in raw[other]]
+        hidden = [span for other in hidden_from.get(name, []) for span in raw[other]]
         seen = _hide(text, hidden) if hidden else text
         out += [("cue", name, token(m.start()), token(m.end() - 1), m.start(), m.end(), m[0]) for m in cues[name].finditer(seen)]
     return out
 
 
-def marks(texts: DataFrame, key: str, text: str) -> DataFrame:
+def marks(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT) -> DataFrame:
     """Rows of marks: key and the columns of MARK. A text without a digit has no quantity, hence no mark is looked for."""
     bound_arrow_batches(texts.sparkSession)
     prepared = texts.select(F.col(key).alias("key"), normalise(F.col(text)).alias("text")).filter(F.col("text").rlike(r"\d"))
@@ -86,11 +114,11 @@ def marks(texts: DataFrame, key: str, text: str) -> DataFrame:
     types = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string()]
 
     def search(batches):
-        patterns = _patterns()
+        patterns = _patterns(configuration)
         for batch in batches:
             at, rows = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                own = find_marks(t, patterns)
+                own = find_marks(t, patterns, configuration.hidden_from)
                 rows += own
                 at += [k] * len(own)
             if rows:
@@ -128,9 +156,10 @@ def _nearest_quantity(rows: DataFrame, quantities: DataFrame, at: str, kinds: st
     return rows.join(chosen, "id")
 
 
-def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
+def extract_claims(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT) -> DataFrame:
     """A row for each claim: key, dimension, rule, cue and quantity with their places in the normalised text."""
-    found = marks(texts, key, text).persist()
+    # Marks are few against the texts; they serve several times and are written once.
+    found = Scratch(texts.sparkSession, "claims").table(marks(texts, key, text, configuration), "marks")
     quantities, raw = found.filter("role = 'quantity'"), found.filter("role = 'raw_cue'")
     doubtful = found.filter("role = 'hypothetical'").select("key", F.explode(F.sequence("token", "last_token")).alias("token"))
     cues = found.filter("role = 'cue'")
@@ -139,13 +168,13 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
     # Cues with their nearest fitting quantity.
     rows = cues.select("key", F.col("name").alias("dimension"), "token", "last_token", "start", "end", F.col("found").alias("cue"), F.concat_ws(":", F.col("key").cast("string"), "name", "start").alias("id"))
     rows = _near(rows, doubtful, "token", ct.EXCLUSION_WINDOW, "doubtful").filter("not doubtful").drop("doubtful")
-    for dimension, others in ct.SILENCED_BY.items():
+    for dimension, others in configuration.silenced_by.items():
         rows = _near(rows, raw.filter(F.col("name").isin(*others)), "token", ct.PAIR_WINDOW, "silenced").filter((F.col("dimension") != dimension) | ~F.col("silenced")).drop("silenced")
-    paired = _nearest_quantity(rows.withColumn("kinds", by_dimension(ct.KINDS, F.col("dimension"))), quantities, "token", "kinds")
+    paired = _nearest_quantity(rows.withColumn("kinds", by_dimension(configuration.kinds, F.col("dimension"))), quantities, "token", "kinds")
     paired = paired.withColumn("distance", F.when(F.col("quantity_token").between(F.col("token"), F.col("last_token")), 0).otherwise(F.least(F.abs(F.col("quantity_token") - F.col("token")), F.abs(F.col("quantity_token") - F.col("last_token")))))
 
     # A strictly nearer cue of another dimension that takes the kind wins the quantity: look at its last cue before and first at or after it.
-    takers = {k: [d for d, kinds in ct.KINDS.items() if k in kinds] for k in ct.QUANTITIES}
+    takers = {k: [d for d, kinds in configuration.kinds.items() if k in kinds] for k in ct.QUANTITIES}
     asking = paired.select("key", "id", "dimension", F.col("quantity_token").alias("t"), "distance", F.explode(by_dimension(takers, F.col("quantity_kind"))).alias("rival")).filter("rival <> dimension")
     rivals = cues.select("key", F.col("name").alias("rival"), F.col("token").alias("t"), F.struct("token", "last_token").alias("c"))
     both = asking.unionByName(rivals, allowMissingColumns=True)
@@ -166,10 +195,10 @@ def extract_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
     out = paired.withColumn("rule", F.lit("cue+quantity")).select(*columns)
 
     # Constructions that suffice by themselves.
-    rules = F.broadcast(texts.sparkSession.createDataFrame([(str(k), d, need, quiet) for k, (d, _, need, quiet) in enumerate(ct.SELF_SUFFICIENT)], "name string, dimension string, need array<string>, quiet array<string>"))
+    rules = F.broadcast(texts.sparkSession.createDataFrame([(str(k), d, need, quiet) for k, (d, _, need, quiet) in enumerate(configuration.self_sufficient)], "name string, dimension string, need array<string>, quiet array<string>"))
     alone = found.filter("role = 'self'").join(rules, "name").withColumn("id", F.concat_ws(":", F.col("key").cast("string"), "name", "start"))
     alone = _near(alone, doubtful, "token", ct.EXCLUSION_WINDOW, "doubtful").filter("not doubtful").drop("doubtful")
-    every_quiet = sorted({d for *_, quiet in ct.SELF_SUFFICIENT for d in quiet})
+    every_quiet = sorted({d for *_, quiet in configuration.self_sufficient for d in quiet})
     for d in every_quiet:
         alone = _near(alone, raw.filter(F.col("name") == d), "token", ct.PAIR_WINDOW, "silenced").filter(~(F.array_contains("quiet", d) & F.col("silenced"))).drop("silenced")
     needing = alone.filter(F.size("need") > 0)
@@ -184,12 +213,148 @@ def claim_snippets(claims: DataFrame, texts: DataFrame, key: str, text: str) ->
     base = texts.select(F.col(key).alias("key"), normalise(F.col(text)).alias("__text"))
     lo = F.greatest(F.col("start") - ct.SNIPPET_CHARS, F.lit(0))
     piece = F.substring(F.col("__text"), (lo + 1).cast("int"), (F.col("start") + ct.SNIPPET_CHARS - lo).cast("int"))
-    return claims.join(base, "key").withColumn("snippet", F.trim(F.regexp_replace(piece, r"\s+", " "))).drop("__text")
+    return claims.join(base, "key").withColumn("snippet", F.trim(F.regexp_replace(piece, r"(?U)\s+", " "))).drop("__text")
 
 
-def claim_flags(claims: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+def claim_flags(claims: DataFrame, texts: DataFrame, key: str, configuration: Configuration = DEFAULT) -> DataFrame:
     """Per key: a flag for each dimension (false without claims), the number of claims and the dimensions as text."""
-    dimensions = sorted(ct.CUES)
+    dimensions = sorted(configuration.cues)
     flags = claims.groupBy("key").agg(*[F.bool_or(F.col("dimension") == d).alias(d) for d in dimensions], F.count("*").alias("claims"))
     joined = texts.select(F.col(key).alias("key")).distinct().join(flags, "key", "left").na.fill(False, dimensions).na.fill(0, ["claims"])
     return joined.withColumn("dimensions", F.array_join(F.array_compact(F.array(*[F.when(F.col(d), F.lit(d)) for d in dimensions])), "|"))
+
+
+# Places in the raw text --------------------------------------------------------------------------
+
+
+def _offset_steps() -> tuple[list, list]:
+    python = lambda by: by.replace("$", "\\")
+    return [(re.compile(p), python(by)) for p, by in ct.STRIP_RAW], [(re.compile(p), python(by)) for p, by in ct.STRIP_LOWER]
+
+
+def normalise_with_places(raw: str, steps: tuple[list, list] | None = None) -> tuple[str, list[int], list[int]]:
+    """The normalised text, and for each of its characters where the raw characters that it stands for begin and end.
+
+    A replacement stands for the whole of what it replaces; one for nothing
+    has an empty place.
+    """
+    before, after = steps or _offset_steps()
+    text, begin, end = raw, list(range(len(raw))), list(range(1, len(raw) + 1))
+
+    def replaced(pattern: re.Pattern, by: str) -> None:
+        nonlocal text, begin, end
+        parts, lo, hi, at = [], [], [], 0
+        for m in pattern.finditer(text):
+            s, e = m.span()
+            new = m.expand(by)
+            first = begin[s] if s < len(begin) else len(raw)
+            last = end[e - 1] if e > s else first
+            parts += [text[at:s], new]
+            lo += begin[at:s] + [first] * len(new)
+            hi += end[at:s] + [last] * len(new)
+            at = e
+        if parts:
+            text, begin, end = "".join(parts) + text[at:], lo + begin[at:], hi + end[at:]
+
+    for pattern, by in before:
+        replaced(pattern, by)
+    width = [len(c.lower()) for c in text]
+    begin = [b for b, w in zip(begin, width, strict=True) for _ in range(w)]
+    end = [e for e, w in zip(end, width, strict=True) for _ in range(w)]
+    # A letter's lower case may depend on what surrounds it, its length doesn't.
+    text = text.lower()
+    for pattern, by in after:
+        replaced(pattern, by)
+    return text, begin, end
+
+
+def locate_claims(found: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Claims with the places of cue and quantity in the raw text (``raw_start``, ``raw_end``, ``quantity_raw_start``, ``quantity_raw_end``) and the raw ``quote`` from one to the other.
+
+    Only texts with claims are looked at, once each. A claim whose cue isn't
+    where it should be in the text normalised anew is an error.
+    """
+    columns = found.columns
+    per_text = found.groupBy("key").agg(F.collect_list(F.struct(*[c for c in columns if c != "key"])).alias("__claims"))
+    met = per_text.join(texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("__text")), "key")
+    added = "raw_start int, raw_end int, quantity_raw_start int, quantity_raw_end int, quote string"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields) + ", " + added
+
+    def place(frames):
+        steps = _offset_steps()
+        for f in frames:
+            rows = []
+            for own, claims_, raw in zip(f["key"], f["__claims"], f["__text"], strict=True):
+                normal, begin, end = normalise_with_places(raw, steps)
+                for c in claims_:
+                    if normal[c["start"] : c["end"]] != c["cue"] and "█" not in c["cue"]:
+                        raise ValueError(f"{own}: the cue {c['cue']!r} isn't at {c['start']}")
+                    cue, quantity = ((begin[c[a]], end[c[b] - 1]) for a, b in (("start", "end"), ("quantity_start", "quantity_end")))
+                    quote = raw[min(cue[0], quantity[0]) : max(cue[1], quantity[1])]
+                    rows.append((*(own if n == "key" else c[n] for n in columns), *cue, *quantity, quote))
+            yield pd.DataFrame(rows, columns=[*columns, *[a.split()[0] for a in added.split(", ")]])
+
+    return met.mapInPandas(place, schema)
+
+
+# Corpora of several sources ----------------------------------------------------------------------
+
+
+def corpus_claims(pieces: DataFrame, keys: Sequence[str], source: str, order: str, text: str, diff_source: str, configuration: Configuration = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Claims in several sources of texts: a roll-up by keys, the first claim of each source and dimension, and sizes.
+
+    ``pieces``: keys, source, order, text. The pieces of a source are joined
+    by line ends in order. The roll-up has each dimension's flag and its flag
+    without ``diff_source`` (``<dimension>_nodiff``), how many dimensions
+    there are (all, without the fallback, without the diff), and ``dimensions``
+    and ``sources`` as text. Sizes are characters by source, 0 where none is.
+    """
+    scratch = Scratch(pieces.sparkSession, "corpus")
+    joined = pieces.filter(F.col(text).isNotNull()).groupBy(*keys, source).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n").alias("__text"))
+    whole = scratch.table(joined.withColumn("__cell", F.to_json(F.struct(*keys, source))), "texts")
+    found = scratch.table(extract_claims(whole, "__cell", "__text", configuration), "claims")
+    cells = found.groupBy("key", "dimension").agg(F.count("*").alias("n_claims"), F.min(F.struct("start", "rule", "cue", "quantity_kind", "quantity")).alias("first"))
+    cells = whole.select(*keys, source, F.col("__cell").alias("key")).join(cells, "key")
+    around = claim_snippets(cells.select("key", "dimension", "n_claims", "first.*", *keys, source), whole, "__cell", "__text")
+    first = around.select(*keys, source, "dimension", "n_claims", "rule", "cue", "quantity_kind", "quantity", "snippet")
+    dimensions = sorted(configuration.cues)
+    nodiff = F.col(source) != diff_source
+    per_key = cells.groupBy(*keys).agg(*[F.bool_or(F.col("dimension") == d).alias(d) for d in dimensions], *[F.bool_or((F.col("dimension") == d) & nodiff).alias(f"{d}_nodiff") for d in dimensions], F.array_join(F.sort_array(F.collect_set(source)), "|").alias("sources"))
+    flags = [*dimensions, *[f"{d}_nodiff" for d in dimensions]]
+    rolled = pieces.select(*keys).distinct().join(per_key, list(keys), "left").na.fill(False, flags).na.fill("", ["sources"])
+    count = lambda names: reduce(lambda a, b: a + b, [F.col(n).cast("int") for n in names])
+    rolled = rolled.withColumn("n_dimensions", count(dimensions)).withColumn("n_specific", count([d for d in dimensions if d != ct.FALLBACK])).withColumn("n_nodiff", count([f"{d}_nodiff" for d in dimensions]))
+    rolled = rolled.withColumn("dimensions", F.array_join(F.array_compact(F.array(*[F.when(F.col(d), F.lit(d)) for d in dimensions])), "|"))
+    sizes = corpus_sizes(whole.select(*keys, source, "__text"), pieces.select(*keys).distinct(), keys, source, "__text")
+    return rolled, first, sizes
+
+
+def corpus_sizes(texts: DataFrame, population: DataFrame, keys: Sequence[str], source: str, text: str) -> DataFrame:
+    """Long: keys, source and ``chars`` of every source of every key, 0 where there is no text."""
+    every = population.crossJoin(F.broadcast(texts.select(source).distinct()))
+    return every.join(texts.select(*keys, source, F.length(text).cast("long").alias("chars")), [*keys, source], "left").na.fill(0, ["chars"])
+
+
+def coverage(flags: dict[str, DataFrame], key: str, group: str, base: str) -> DataFrame:
+    """What each configuration covers: per configuration and group, keys, the share with a dimension, the mean number, and how many are new against ``base``.
+
+    ``flags``: roll-ups (key, group, ``n_dimensions``) by configuration.
+    """
+    known = flags[base].select(key, F.col("n_dimensions").alias("__base"))
+    rows = [f.select(F.lit(name).alias("configuration"), key, group, "n_dimensions") for name, f in flags.items()]
+    joined = reduce(lambda a, b: a.unionByName(b), rows).join(known, key)
+    has = F.col("n_dimensions") > 0
+    return joined.groupBy("configuration", group).agg(F.count("*").alias("n"), F.avg(has.cast("int")).alias("covered"), F.avg("n_dimensions").alias("mean_dimensions"), F.count_if(has & (F.col("__base") == 0)).alias("newly_covered"))
+
+
+def expected_dimensions(phrases: Column, rules: Sequence[tuple[str, str]] = tuple(ct.EXPECTED), masks: Sequence[tuple[str, str]] = tuple(ct.EXPECTED_FIRST)) -> Column:
+    """The dimensions that a phrase speaks of, in order, joined by bars. Narrow phrases (``masks``) are credited first and hidden from the broader rules."""
+    text, credit = F.lower(F.coalesce(phrases.cast("string"), F.lit(""))), {}
+    for pattern, dimension in masks:
+        credit.setdefault(dimension, []).append(text.rlike(pattern))
+        text = F.regexp_replace(text, pattern, f"{dimension}TOKEN")
+    tests = dict.fromkeys(sorted({d for _, d in masks} | {d for d, _ in rules}))
+    for d in tests:
+        hits = credit.get(d, []) + [text.rlike(p) for own, p in rules if own == d]
+        tests[d] = reduce(lambda a, b: a | b, hits)
+    return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(d)) for d, c in tests.items()])), "|")

@@ -93,6 +93,43 @@ def none_or_blank(values: Column) -> Column:
     return values.isNull() | (F.size(values) == 0) | F.exists(values, lambda x: x.isNull() | (F.trim(x) == ""))
 
 
+def path_in_list(path: Column, names: Sequence[str] = (), prefixes: Sequence[str] = (), suffixes: Sequence[str] = ()) -> Column:
+    """Whether a path, trimmed and whatever its case, is one of the names or begins or ends as listed; blank paths never."""
+    p = F.lower(F.trim(F.coalesce(path, F.lit(""))))
+    tests = [p.isin(*[n.lower() for n in names])] if names else []
+    tests += [F.startswith(p, F.lit(x.lower())) for x in prefixes] + [F.endswith(p, F.lit(x.lower())) for x in suffixes]
+    return (p != "") & reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def merge_only(flag: Column, messages: Column, title: Column) -> Column:
+    """Whether a change only merges: the flag if it says so, else by the joined messages or the title that begin with "merge ", or messages with "merge branch"."""
+    said = F.lower(clean(flag.cast("string"))).isin("true", "1", "yes")
+    text = F.lower(F.trim(F.array_join(F.coalesce(messages, F.array().cast("array<string>")), " ")))
+    name = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    found = F.startswith(text, F.lit("merge ")) | F.startswith(name, F.lit("merge ")) | F.contains(text, F.lit("merge branch"))
+    return F.coalesce(said, F.lit(False)) | found
+
+
+def match_results(results: DataFrame, targets: DataFrame, address: str, keys: Sequence[str], by_address: Column, by_keys: Sequence[Column]) -> DataFrame:
+    """Search results with the target that they are, and how it was found.
+
+    A result that has a target's address is that target; others are matched
+    by ``by_keys`` against the target's ``keys``. ``matched_by`` is address,
+    keys, ambiguous (several targets, none named) or null (no target). Targets
+    are looked up by joins; rows of results are kept as they are.
+    """
+    told = results.withColumn("__row", F.monotonically_increasing_id()).withColumn("__address", by_address)
+    named = [f"__k{k}" for k in range(len(keys))]
+    told = told.select("*", *[c.alias(n) for c, n in zip(by_keys, named, strict=True)])
+    one = lambda on: targets.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])).groupBy(*on).agg(F.count("*").alias("__n"), F.first(F.struct(*targets.columns)).alias("__t"))
+    first = one([address]).select(F.col(address).alias("__address"), F.col("__n").alias("__n1"), F.col("__t").alias("__t1"))
+    second = one(list(keys)).select(*[F.col(c).alias(n) for c, n in zip(keys, named, strict=True)], F.col("__n").alias("__n2"), F.col("__t").alias("__t2"))
+    met = told.join(first, "__address", "left").join(second, named, "left")
+    how = F.when(F.col("__n1") == 1, "address").when(F.col("__n1") > 1, "ambiguous").when(F.col("__n2") == 1, "keys").when(F.col("__n2") > 1, "ambiguous")
+    target = F.when(F.col("__n1") == 1, F.col("__t1")).when(F.col("__n1").isNull() & (F.col("__n2") == 1), F.col("__t2"))
+    return met.select(*results.columns, how.alias("matched_by"), target.alias("target"))
+
+
 def attribute(rows: DataFrame, matches: DataFrame, searches: DataFrame, key: str, scope: str, created: str, rules: DataFrame, end: str) -> DataFrame:
     """Attribution of rows to agents by searches that may be incomplete.
 
@@ -107,10 +144,12 @@ def attribute(rows: DataFrame, matches: DataFrame, searches: DataFrame, key: str
     known = F.broadcast(rules.select(F.col("rule").alias("__rule"), "agent", F.col("since").cast("date").alias("__since")))
     hits = matches.join(known, F.col("rule") == F.col("__rule")).join(base.select(key, "__day"), key).filter(F.col("__day") >= F.col("__since"))
     found = hits.groupBy(key).agg(F.min(F.struct("rule", "agent")).alias("__hit"))
-    applicable = base.select(key, scope, "__day").join(known, F.col("__day") >= F.col("__since"))
-    done = searches.filter("complete").select(F.col(scope), F.col("rule").alias("__rule")).distinct().withColumn("__done", F.lit(1))
-    gaps = applicable.join(done, [scope, "__rule"], "left").groupBy(key).agg(F.sum(F.when(F.col("__done").isNull(), 1).otherwise(0)).alias("__gaps"))
-    joined = base.join(found, key, "left").join(gaps, key, "left")
+    # Rules in force on a day, and those of them searched completely in a scope, are counted from their dates: rows meet one list each.
+    dates = known.agg(F.collect_list("__since").alias("__all"))
+    done = searches.filter("complete").select(F.col(scope).alias("__scope"), F.col("rule").alias("__rule")).distinct().join(known, "__rule").groupBy("__scope").agg(F.collect_list("__since").alias("__done"))
+    joined = base.join(found, key, "left").join(done, F.col(scope) == F.col("__scope"), "left").crossJoin(F.broadcast(dates))
+    in_force = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<date>")), lambda d: d <= F.col("__day")))
+    joined = joined.withColumn("__gaps", in_force("__all") - in_force("__done"))
     status = (
         F.when(F.col("__day").isNull(), "invalid_date")
         .when(F.col("__day") > F.to_date(F.lit(end)), "outside_scope")
@@ -119,7 +158,7 @@ def attribute(rows: DataFrame, matches: DataFrame, searches: DataFrame, key: str
         .otherwise("negative")
     )
     named = joined.withColumn("status", status).withColumn("agent", F.when(F.col("status") == "agent", F.col("__hit.agent"))).withColumn("rule", F.when(F.col("status") == "agent", F.col("__hit.rule")))
-    return named.drop("__day", "__hit", "__gaps")
+    return named.drop("__day", "__hit", "__gaps", "__scope", "__done", "__all")
 
 
 def unique_parent(df: DataFrame, taxonomy: DataFrame, child: str, parent: str) -> DataFrame:

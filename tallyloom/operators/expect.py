@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +108,66 @@ def differing_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], rtol
     missing = F.col("__in_l").isNull() | F.col("__in_r").isNull()
     cells = F.array(F.when(missing, F.lit("(row)")), *[F.when(~missing & unequal(c), F.lit(c)) for c in shared])
     return joined.select(*keys, F.explode(F.array_compact(cells)).alias("column"))
+
+
+def required_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows with the table's columns; a key that the table lacks, or has more than once, is an error. Null keys keep nulls."""
+    require_none(bad_keys(table, [key]), f"{key} isn't a key of the table")
+    require_none(df.filter(F.col(key).isNotNull()).select(key).distinct().join(table.select(key), key, "left_anti"), f"{key} without an entry")
+    return df.join(table, key, "left")
+
+
+def differing_hashes(expected: DataFrame, found: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
+    """Keys whose digests differ between two tables, or that one of them lacks: keys and ``problem``."""
+    a, b = (df.select(*keys, F.lit(True).alias(f"__in_{s}"), F.col(digest).alias(f"__{s}")) for df, s in ((expected, "a"), (found, "b")))
+    joined = a.join(b, list(keys), "full_outer")
+    problem = F.when(F.col("__in_b").isNull(), "missing").when(F.col("__in_a").isNull(), "unexpected").when(~F.col("__a").eqNullSafe(F.col("__b")), "changed")
+    return joined.select(*keys, problem.alias("problem")).filter("problem is not null")
+
+
+def stale_hashes(df: DataFrame, keys: Sequence[str], digest: str, derived: Column) -> DataFrame:
+    """Keys of rows whose stored digest isn't the one derived anew."""
+    return df.filter(~F.col(digest).eqNullSafe(derived)).select(*keys)
+
+
+def off_control(df: DataFrame, controls: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Control totals that aren't met: name, expected and found. Each control is an aggregate and its value; all are taken in one pass."""
+    sums = df.agg(*[c.cast("double").alias(n) for n, (c, _) in controls.items()])
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("expected"), F.col(n).alias("found")) for n, (_, v) in controls.items()])
+    return sums.select(F.inline(entries)).filter(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def manifest_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each table: name, columns, rows, and a hash of all rows whatever their order."""
+    rows = [df.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(",".join(df.columns)).alias("columns")).crossJoin(population_hash(df, df.columns)) for name, df in sorted(tables.items())]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def verify_manifest(manifest: DataFrame, read: Callable[[str], DataFrame]) -> DataFrame:
+    """Tables of a manifest (a short table) that aren't as it says: name and problem (path, unreadable, columns, rows or hash, the first that applies).
+
+    Names that leave the folder are never read.
+    """
+    spark, problems = manifest.sparkSession, []
+    for entry in manifest.collect():
+        name = entry["name"]
+        if name.startswith("/") or ".." in name.split("/") or ":" in name:
+            problems.append((name, "path"))
+            continue
+        try:
+            df = read(name)
+        except AnalysisException:
+            problems.append((name, "unreadable"))
+            continue
+        if ",".join(df.columns) != entry["columns"]:
+            problems.append((name, "columns"))
+            continue
+        got = population_hash(df, df.columns).first()
+        if got["rows"] != entry["rows"]:
+            problems.append((name, "rows"))
+        elif got["hash"] != entry["hash"]:
+            problems.append((name, "hash"))
+    return spark.createDataFrame(problems, "name string, problem string")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.stats.rank import percentiles
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts and shares of all values, null among them. Shares come from the counts, not from the rows."""
@@ -17,8 +19,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def describe(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """count, mean, standard deviation, least, exact quartiles and greatest."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), q.alias("__q"), F.max(value).alias("greatest"))
+    moments = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    quartiles = percentiles(df, group, value, (0.25, 0.5, 0.75)).select(*group, F.col("quantiles").alias("__q"))
+    out = moments.join(quartiles, list(group), "left") if group else moments.crossJoin(F.broadcast(quartiles))
     return out.select(*group, "n", "mean", "std", "least", *[F.element_at("__q", k + 1).alias(f"q{25 * (k + 1)}") for k in range(3)], "greatest")
 
 
@@ -99,3 +102,10 @@ def co_reporting(df: DataFrame, group: str, gain: str, other: str, label: str =
         F.when(F.grouping(group) == 1, label).otherwise(F.col(group)).alias("__g"), F.count("*").alias("n"), F.count_if(g).alias("gain"), F.count_if(o).alias("other"), F.count_if(g & o).alias("both"), F.count_if(g & ~o).alias("gain_only")
     )
     return out.select(F.col("__g").alias(group), "n", "gain", "other", "both", "gain_only", F.try_divide(F.col("gain_only"), F.col("gain")).alias("gain_only_share"))
+
+
+def clip_quantiles(df: DataFrame, value: str, low: float, high: float, name: str) -> DataFrame:
+    """``name``: the value clipped to two interpolated quantiles of all rows; null stays null."""
+    bounds = percentiles(df, [], value, (low, high)).select(F.get("quantiles", F.lit(0)).alias("__low"), F.get("quantiles", F.lit(1)).alias("__high"))
+    clipped = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value).cast("double"), F.col("__low")), F.col("__high")))
+    return df.crossJoin(F.broadcast(bounds)).withColumn(name, clipped).drop("__low", "__high")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.stats.rank import running
 
@@ -139,6 +142,21 @@ def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return outer_with_side(a, b, keys).filter("side <> 'both'").withColumn("only_in", F.when(F.col("side") == "left_only", "left").otherwise("right")).drop("side")
 
 
+def bind_columns(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Two frames side by side, row by row in their orders (numbers): the n-th row of one with the n-th of the other.
+
+    Frames of different lengths are an error. Positions go by ranges of the order values, so no task numbers a whole frame.
+    """
+    rows = [df.count() for df in (left, right)]
+    if rows[0] != rows[1]:
+        raise ValueError(f"{rows[0]} rows can't be bound to {rows[1]}")
+    shared = set(left.columns) & set(right.columns)
+    if shared:
+        raise ValueError(f"columns on both sides: {sorted(shared)}")
+    placed = [numbered(df, [], order, "__place") for df, order in ((left, left_order), (right, right_order))]
+    return placed[0].join(placed[1], "__place").drop("__place")
+
+
 # Windows and ranks -------------------------------------------------------------------------------
 
 
@@ -153,10 +171,14 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def share_of(df: DataFrame, count: str, within: Sequence[str] = ()) -> DataFrame:
-    """``total`` and ``share`` of a count within groups; a total of 0 gives a null share."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    total = F.sum(count).over(w)
-    return df.withColumn("total", total).withColumn("share", F.try_divide(F.col(count), F.col("total")))
+    """``total`` and ``share`` of a count within groups; a total of 0 gives a null share. Totals are summed first and joined to the rows."""
+    if not within:
+        out = df.crossJoin(F.broadcast(df.agg(F.sum(count).alias("total"))))
+    else:
+        totals = df.groupBy(*within).agg(F.sum(count).alias("total")).select(*[F.col(k).alias(f"__{k}") for k in within], "total")
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in within])
+        out = df.join(totals, on).drop(*[f"__{k}" for k in within])
+    return out.withColumn("share", F.try_divide(F.col(count), F.col("total")))
 
 
 def ecdf(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
@@ -200,22 +222,48 @@ def fixed_batches(df: DataFrame, keys: Sequence[str], order: Sequence[Column], s
 
 
 def capacity_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, most_rows: int, most_size: int) -> DataFrame:
-    """Batches filled in order until the next row would break a limit: keys, batch, rows, size.
+    """Batches filled in order until the next row would break a limit: keys, batch (from 0), rows, size.
 
-    Filling is sequential by nature; a key's (order, size) pairs are folded in one array, so keys must be bounded.
+    A row over the size limit is a batch of its own; a null size counts as 0.
+    Filling is sequential by nature: a key's rows pass one task in order,
+    which holds the open batch and nothing else.
     """
-    entry = F.struct(*order, F.col(size).alias("__size"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("size")))
-
-    def fold(done, x):
-        last = F.element_at(done, -1)
-        fits = (last["rows"] == 0) | ((last["rows"] < most_rows) & (last["size"] + x["__size"] <= most_size))
-        more = F.struct((last["rows"] + 1).alias("rows"), (last["size"] + x["__size"]).alias("size"))
-        fresh = F.struct(F.lit(1).cast("long").alias("rows"), x["__size"].cast("long").alias("size"))
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(fresh)))
-
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("__all")).withColumn("__batches", F.aggregate("__all", start, fold))
-    return packed.select(*keys, F.posexplode("__batches").alias("batch", "__b")).select(*keys, F.col("batch").cast("long").alias("batch"), "__b.rows", "__b.size")
+    rows = df.select(*keys, *[F.col(c) for c in order if c not in keys], F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "__size").select(*keys, "__size")
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in ("batch", "rows", "size")]])
+
+    def fill(batches):
+        key, batch, n, total = None, 0, 0, 0
+        for data in batches:
+            sizes = data.column(len(keys)).to_pylist()
+            done, kept = [], []
+            for k, own in enumerate(zip(*[data.column(c).to_pylist() for c in range(len(keys))], strict=True)):
+                if n and own == key and n < most_rows and total + sizes[k] <= most_size:
+                    n, total = n + 1, total + sizes[k]
+                    continue
+                if n:
+                    done.append((*key, batch, n, total))
+                batch = batch + 1 if n and own == key else 0
+                key, n, total = own, 1, sizes[k]
+            kept += done
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), [*(f.type for f in list(data.schema)[:-1]), *[pa.int64()] * 3], strict=True)], names=schema.names)
+            types = [f.type for f in list(data.schema)[:-1]]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, batch, n, total), [*types, *[pa.int64()] * 3], strict=True)], names=schema.names)
+
+    return rows.mapInArrow(fill, schema)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """``name``: the row's number from 1 by ``order`` within its keys. Order values are counted into ranges first, so no task has a whole key; rows of equal order are numbered in some order."""
+    counts = df.groupBy(*keys, F.col(order).alias("__o")).agg(F.count("*").alias("__n")).withColumn("__v", F.col("__o").cast("double"))
+    ahead = running(counts, "__v", {"__ahead": "__n"}, keys).select(*[F.col(k).alias(f"__{k}") for k in keys], "__o", "__ahead")
+    on = F.col(order).eqNullSafe(F.col("__o"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    same = F.row_number().over(Window.partitionBy(*keys, order).orderBy(F.lit(0)))
+    return df.join(ahead, on).withColumn(name, F.col("__ahead") + same).drop("__o", "__ahead", *[f"__{k}" for k in keys])
 
 
 # Reshaping ---------------------------------------------------------------------------------------

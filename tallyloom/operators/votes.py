@@ -80,3 +80,10 @@ def transitions(old: DataFrame, new: DataFrame, keys: Sequence[str], label: str)
     b = new.select(*keys, F.col(label).cast("string").alias("new_label"))
     joined = a.join(b, list(keys), "full_outer").na.fill("(none)", ["old_label", "new_label"])
     return joined.groupBy("old_label", "new_label").agg(F.count("*").alias("n"))
+
+
+def mismatches(votes: DataFrame, keys: Sequence[str], voter: str, labels: Sequence[str]) -> DataFrame:
+    """Keys on which voters differ in any label, with every voter's labels side by side: keys and ``said``, "voter=label|label; ..." in the order of voters."""
+    said = F.concat(F.col(voter), F.lit("="), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labels]))
+    kinds = F.countDistinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labels]))
+    return votes.groupBy(*keys).agg(kinds.alias("__kinds"), F.array_join(F.sort_array(F.collect_list(said)), "; ").alias("said")).filter("__kinds > 1").drop("__kinds")

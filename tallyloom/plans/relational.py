@@ -10,6 +10,7 @@ from tallyloom.functions import values as vl
 from tallyloom.operators import classify, expect, measures, sampling
 from tallyloom.operators import relational as rel
 from tallyloom.plans.catalog import Tables, query
+from tallyloom.stats.rank import percentiles
 from tallyloom.sources.tables import accept_results, month_ranges, page_requests, plan_ranges
 
 SEED = "cohort-sample-v1"
@@ -297,8 +298,10 @@ def describe_prices(t: Tables) -> DataFrame:
 
 @query("SELECT l_returnflag, round(median(l_quantity), 4) AS median, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def quantiles_by_group(t: Tables) -> DataFrame:
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.9)))
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.median("l_quantity"), 4).alias("median"), q.alias("q")).select("l_returnflag", "median", F.round(F.col("q")[0], 4).alias("p10"), F.round(F.col("q")[1], 4).alias("p90"))
+    at = lambda k: F.round(F.get("quantiles", F.lit(k)), 4)
+    middle = percentiles(t.lineitem, ["l_returnflag"], "l_quantity", (0.5,)).select("l_returnflag", at(0).alias("median"))
+    tails = percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", (0.1, 0.9)).select("l_returnflag", at(0).alias("p10"), at(1).alias("p90"))
+    return middle.join(tails, "l_returnflag")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY 1")
@@ -432,7 +435,9 @@ def fixed_batches(t: Tables) -> DataFrame:
     return rel.fixed_batches(t.conversations.select("conv_id", "turn"), ["conv_id"], [F.col("turn")], 3)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, length(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations),
+f AS (SELECT conv_id, k, 0 AS batch, 1 AS rows, s AS size FROM c WHERE k = 1 UNION ALL SELECT c.conv_id, c.k, CASE WHEN rows < 3 AND size + s <= 1500 THEN batch ELSE batch + 1 END, CASE WHEN rows < 3 AND size + s <= 1500 THEN rows + 1 ELSE 1 END,
+CASE WHEN rows < 3 AND size + s <= 1500 THEN size + s ELSE s END FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1) SELECT conv_id, batch::BIGINT AS batch, max(rows)::BIGINT AS rows, max(size)::BIGINT AS size FROM f GROUP BY ALL""")
 def capacity_batches(t: Tables) -> DataFrame:
     """Turns packed in order into batches of at most 3 turns and 1500 characters."""
     c = t.conversations.select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
@@ -441,8 +446,9 @@ def capacity_batches(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, format('case-{:05d}', row_number() OVER (PARTITION BY event_type ORDER BY event_id)) AS case_id FROM events")
 def sequential_ids(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return t.events.select("event_id", F.format_string("case-%05d", n).alias("case_id"))
+    """Numbers within each type, without a task that sorts a whole type."""
+    numbered = rel.numbered(t.events.select("event_id", "event_type"), ["event_type"], "event_id", "n")
+    return numbered.select("event_id", F.format_string("case-%05d", "n").alias("case_id"))
 
 
 # Sets, reshaping, ranges -------------------------------------------------------------------------
@@ -505,10 +511,14 @@ def month_range_plan(t: Tables) -> DataFrame:
     return m.select("month", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format("last_day", "yyyy-MM-dd").alias("last_day"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1), days AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM n),
+c AS (SELECT d, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (ORDER BY d) AS upto FROM days LEFT JOIN n USING (d)), r AS (SELECT min(d) AS a, max(d) AS b FROM c
+UNION ALL SELECT CASE s WHEN 0 THEN a ELSE (a + ((b - a) // 2 + 1)::INTEGER)::DATE END, CASE s WHEN 0 THEN (a + ((b - a) // 2)::INTEGER)::DATE ELSE b END FROM r JOIN c x ON x.d = r.a JOIN c y ON y.d = r.b, (VALUES (0), (1)) v(s) WHERE y.upto - x.upto + x.n > 1000 AND a < b)
+SELECT strftime(a, '%Y-%m-%d') AS first_day, strftime(b, '%Y-%m-%d') AS last_day, (y.upto - x.upto + x.n)::BIGINT AS rows, y.upto - x.upto + x.n > 1000 AS capped FROM r JOIN c x ON x.d = r.a JOIN c y ON y.d = r.b WHERE y.upto - x.upto + x.n <= 1000 OR a = b""")
 def capped_range_plan(t: Tables) -> DataFrame:
     """Days of events in ranges of at most 1000 rows."""
-    return plan_ranges(t.events, "ts", 1000)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return plan_ranges(t.events, "ts", 1000).select(day("first_day"), day("last_day"), "rows", "capped")
 
 
 @query("""SELECT l_suppkey, p::INTEGER AS page, least(100, n - (p - 1) * 100)::BIGINT AS rows_on_page FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), LATERAL (SELECT unnest(range(1, (ceil(n / 100))::BIGINT + 1)) AS p)""")
@@ -517,12 +527,12 @@ def paged_listing(t: Tables) -> DataFrame:
     return page_requests(totals, "n", 100).select("l_suppkey", "page", "rows_on_page")
 
 
-@query("""WITH r AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 300), x AS (SELECT o_custkey AS id, bool_and(o_orderstatus = 'P') AS failed FROM orders WHERE o_custkey < 400 GROUP BY 1)
+@query("""WITH r AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0), x AS (SELECT o_custkey AS id, bool_and(o_orderstatus = 'P') AS failed FROM orders GROUP BY 1)
 SELECT CASE WHEN r.id IS NULL THEN 'unknown' WHEN x.id IS NULL THEN 'missing' WHEN failed THEN 'failed' ELSE 'completed' END AS outcome, count(*) AS n FROM r FULL JOIN x USING (id) GROUP BY 1""")
 def batch_result_outcomes(t: Tables) -> DataFrame:
     """Results against requests: completed, failed, unknown and missing."""
-    requested = t.customer.filter("c_custkey < 300").select(F.col("c_custkey").alias("id"))
-    results = t.orders.filter("o_custkey < 400").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderstatus")
+    requested = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    results = t.orders.select(F.col("o_custkey").alias("id"), "o_orderkey", "o_orderstatus")
     parts = accept_results(results, requested, "id", F.col("o_orderstatus") == "P")
     out = None
     for name, df in parts.items():
@@ -560,7 +570,8 @@ def row_hashes(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", vl.row_hash(["c_nationkey", "c_mktsegment"]).alias("hash"))
 
 
-@query()
+@query("""WITH h AS (SELECT sha256(o_orderkey || chr(9) || o_custkey) AS h FROM orders), s AS (SELECT count(*) AS rows, sum(('0x' || h[1:15])::BIGINT)::VARCHAR AS a, sum(('0x' || h[16:30])::BIGINT)::VARCHAR AS b, sum(('0x' || h[31:45])::BIGINT)::VARCHAR AS c, sum(('0x' || h[46:60])::BIGINT)::VARCHAR AS d FROM h)
+SELECT rows, sha256(rows || '|' || a || '|' || b || '|' || c || '|' || d) AS hash FROM s""")
 def population_hash(t: Tables) -> DataFrame:
     """One order-independent hash of all order keys."""
     return expect.population_hash(t.orders, ["o_orderkey", "o_custkey"])
@@ -571,8 +582,18 @@ def literal_occurrences(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tx.occurrences(F.col("html"), F.lit("<li>")).alias("items"))
 
 
-@query()
+def _visible_sql(markup: str) -> str:
+    """The same steps in SQL; the pattern that refers back to the tag is one for each tag."""
+    steps = [("<!--.*?-->", " ", "gs"), ("<script\\b.*?</script\\s*>", " ", "gis"), ("<style\\b.*?</style\\s*>", " ", "gis"), ("<[^>]*>", " ", "gs"), ("!?\\[([^\\]]*)\\]\\([^)]*\\)", "\\1", "g"), ("[*_`~]{1,3}", "", "g"),
+             ("(?m)^\\s{0,3}#{1,6}\\s+", "", "g"), ("&nbsp;", " ", "g"), ("&lt;", "<", "g"), ("&gt;", ">", "g"), ("&quot;", '"', "g"), ("&amp;", "&", "g"), ("[\\s\\x0b\\x85\\p{Z}]+", " ", "g")]
+    for pattern, by, flags in steps:
+        markup = f"regexp_replace({markup}, '{pattern}', '{by}', '{flags}')"
+    return f"trim({markup})"
+
+
+@query(f"SELECT page_id, {_visible_sql('html')} AS text FROM pages")
 def visible_page_text(t: Tables) -> DataFrame:
+    """The visible text of all pages."""
     return t.pages.select("page_id", tx.visible_text(F.col("html")).alias("text"))
 
 

@@ -14,6 +14,26 @@ from tallyloom.stats.prob import chi2_sf
 Z = intervals.Z
 _WEEK = "(isoyear(ts) || '-W' || lpad(week(ts)::VARCHAR, 2, '0'))"
 
+
+
+def normal_tail_sql(z: str) -> str:
+    """SQL for the chance of a standard normal above ``z`` (0 or more): a series below 3, a continued fraction above."""
+    x = f"(({z}) / sqrt(2.0))"
+    series = f"2 / sqrt(pi()) * exp(-{x} * {x}) * {x} * list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(120, 0, -1), lambda k: k::DOUBLE)), lambda a, k: 1 + a * 2 * {x} * {x} / (2 * k + 1))"
+    fraction = f"exp(-{x} * {x}) / sqrt(pi()) / list_reduce(list_prepend({x}, list_transform(range(150, 0, -1), lambda k: k::DOUBLE)), lambda a, k: {x} + k / 2 / a)"
+    return f"(0.5 * (CASE WHEN {x} < 3 THEN 1 - {series} ELSE {fraction} END))"
+
+
+def adjusted_sql(tests: str, key: str) -> str:
+    """SQL for Holm's and Benjamini and Hochberg's values over all rows of ``tests`` (columns: the key and p)."""
+    return f"""(SELECT *, max(least(1, (m - i + 1) * p)) OVER (ORDER BY p, {key} ROWS UNBOUNDED PRECEDING) AS holm, min(least(1, m / i * p)) OVER (ORDER BY p DESC, {key} DESC ROWS UNBOUNDED PRECEDING) AS bh
+FROM (SELECT *, row_number() OVER (ORDER BY p, {key}) AS i, count(*) OVER ()::DOUBLE AS m FROM {tests}))"""
+
+
+#: SQL for the logarithm of a binomial coefficient.
+LOG_CHOOSE = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
 # Votes: three voters made from hashes of the labelled documents -------------------------------------
 
 _VOTERS = ("a", "b", "c")
@@ -80,14 +100,14 @@ def label_transitions(t: Tables) -> DataFrame:
 # Proportions -------------------------------------------------------------------------------------
 
 
-def _wilson_sql(k: str, n: str) -> tuple[str, str]:
+def wilson_sql(k: str, n: str) -> tuple[str, str]:
     p = f"({k} / {n}::DOUBLE)"
     base, mid = f"(1 + {Z * Z} / {n})", f"({p} + {Z * Z} / (2.0 * {n}))"
     half = f"({Z} * sqrt({p} * (1 - {p}) / {n} + {Z * Z} / (4.0 * {n} * {n})))"
     return f"greatest(0, ({mid} - {half}) / {base})", f"least(1, ({mid} + {half}) / {base})"
 
 
-_LOW, _HIGH = _wilson_sql("k", "n")
+_LOW, _HIGH = wilson_sql("k", "n")
 
 
 @query(f"""WITH p AS (SELECT {_WEEK} AS period, count(*) FILTER (event_type = 'purchase') AS k, count(*) AS n FROM events GROUP BY 1)
@@ -99,8 +119,8 @@ def wilson_rates_by_period(t: Tables) -> DataFrame:
     return p.select("period", "k", "n", F.round(F.col("k") / F.col("n"), 9).alias("rate"), F.round(w["low"], 9).alias("low"), F.round(w["high"], 9).alias("high"))
 
 
-_L1, _H1 = _wilson_sql("a", "n1")
-_L0, _H0 = _wilson_sql("c", "n0")
+_L1, _H1 = wilson_sql("a", "n1")
+_L0, _H0 = wilson_sql("c", "n0")
 _ARMS = f"""p AS (SELECT {_WEEK} AS period, count(*) FILTER (user_id % 2 = 0 AND event_type = 'purchase') AS a, count(*) FILTER (user_id % 2 = 0) AS n1, count(*) FILTER (user_id % 2 = 1 AND event_type = 'purchase') AS c, count(*) FILTER (user_id % 2 = 1) AS n0 FROM events GROUP BY 1)"""
 
 
@@ -137,17 +157,21 @@ def chi2_cramers(t: Tables) -> DataFrame:
     return out.withColumn("chi_square", F.round("chi_square", 6)).withColumn("cramers_v", F.round("cramers_v", 9)).withColumn("least_expected", F.round("least_expected", 6))
 
 
-@query()
+_HYPER = f"({LOG_CHOOSE.format(n='r1', k='k')} + {LOG_CHOOSE.format(n='(n - r1)', k='(c1 - k)')} - {LOG_CHOOSE.format(n='n', k='c1')})"
+
+
+@query(f"""WITH t AS (SELECT lang, count(*) FILTER (toxic = 0 AND quality = 0)::DOUBLE AS a, count(*) FILTER (toxic = 0 AND quality = 1)::DOUBLE AS b, count(*) FILTER (toxic = 1 AND quality = 0)::DOUBLE AS c, count(*) FILTER (toxic = 1 AND quality = 1)::DOUBLE AS d
+FROM labels JOIN documents USING (doc_id) GROUP BY 1), m AS (SELECT *, a + b AS r1, c + d AS r2, a + c AS c1, b + d AS c2, a + b + c + d AS n FROM t),
+x AS (SELECT *, least(r1, r2) * least(c1, c2) / n AS least_e, (a * d - b * c) ** 2 * n / (r1 * r2 * c1 * c2) AS x2 FROM m),
+f AS (SELECT lang, a, r1, c1, n, unnest(range(greatest(0, r1 + c1 - n)::BIGINT, least(r1, c1)::BIGINT + 1)) AS k FROM x WHERE r1 > 0 AND r2 > 0 AND c1 > 0 AND c2 > 0),
+h AS (SELECT lang, k = a AS own, {_HYPER} AS l FROM f), o AS (SELECT lang, max(l) FILTER (own) + ln(1 + 1e-7) AS bound FROM h GROUP BY 1), p AS (SELECT h.lang, least(1, sum(exp(l)) FILTER (l <= bound)) AS p FROM h JOIN o USING (lang) GROUP BY 1)
+SELECT lang, CASE WHEN least(r1, r2, c1, c2) = 0 THEN 'n/a' WHEN least_e >= 5 THEN 'chi-square' ELSE 'fisher' END AS test, CASE WHEN least(r1, r2, c1, c2) > 0 THEN round(CASE WHEN least_e >= 5 THEN x2 WHEN b * c > 0 THEN a * d / (b * c) WHEN a * d > 0 THEN 'inf'::DOUBLE END, 6) END AS statistic,
+CASE WHEN least(r1, r2, c1, c2) > 0 AND least_e >= 5 THEN 1 END::INTEGER AS dof, round(CASE WHEN least(r1, r2, c1, c2) = 0 THEN NULL WHEN least_e >= 5 THEN 2 * {normal_tail_sql('sqrt(x2)')} ELSE p.p END, 9) AS p FROM x LEFT JOIN p USING (lang)""")
 def independence_by_language(t: Tables) -> DataFrame:
     """The adaptive test of toxic against quality within each language."""
     d = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
-    cells = d.groupBy("lang", "toxic", "quality").agg(F.count("*").alias("n")).collect()
-    rows = []
-    for lang in sorted({c["lang"] for c in cells}):
-        table = [[sum(c["n"] for c in cells if (c["lang"], c["toxic"], c["quality"]) == (lang, x, q)) for q in (0, 1)] for x in (0, 1)]
-        out = contingency.independence(table)
-        rows.append((lang, out["test"], out["statistic"], out["dof"], out["p"]))
-    return t.spark.createDataFrame(rows, "lang string, test string, statistic double, dof int, p double")
+    out = contingency.tests_by(d, "toxic", "quality", ["lang"])
+    return out.withColumn("statistic", F.round("statistic", 6)).withColumn("p", F.round("p", 9))
 
 
 def weekly_tables(t: Tables) -> DataFrame:
@@ -201,15 +225,17 @@ def mann_whitney_u(t: Tables) -> DataFrame:
     return rank.mann_whitney(t.orders, "o_orderstatus", "o_totalprice", "F", "O").withColumn("z", F.round("z", 9)).withColumn("delta", F.round("delta", 9))
 
 
-@query()
+@query(f"""WITH {_UV}, s AS (SELECT sum(a)::DOUBLE AS n1, sum(b)::DOUBLE AS n2, sum(a * (bb + b / 2))::DOUBLE AS u, sum((a + b) ** 3 - (a + b))::DOUBLE AS t FROM w), z AS (SELECT *, greatest((abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z FROM s)
+SELECT u, round(2 * u / (n1 * n2) - 1, 9) AS delta, round(2 * {normal_tail_sql('z')}, 9) AS p FROM z""")
 def mann_whitney_test(t: Tables) -> DataFrame:
-    row = rank.mann_whitney(t.orders, "o_orderstatus", "o_totalprice", "F", "O").first()
-    return t.spark.createDataFrame([(float(row["u"]), float(row["delta"]), rank.mann_whitney_p(row))], "u double, delta double, p double")
+    """The test of the two arms above, with its p-value."""
+    out = rank.with_p(rank.mann_whitney(t.orders, "o_orderstatus", "o_totalprice", "F", "O"))
+    return out.select("u", F.round("delta", 9).alias("delta"), F.round("p", 9).alias("p"))
 
 
 @query(f"""WITH {_UV}, n AS (SELECT sum(a)::DOUBLE AS n1, sum(b)::DOUBLE AS n2 FROM w), d AS (SELECT a, b, bb, n1, n2, (bb - (n2 - bb - b)) / n2 AS oa, ((n1 - ab - a) - ab) / n1 AS ob FROM w, n),
 s AS (SELECT any_value(n1) AS m, any_value(n2) AS k, sum(a * oa) / any_value(n1) AS d, sum(a * oa * oa) AS sa, sum(b * ob * ob) AS sb, sum(a * (n2 - b)) AS decided FROM d),
-g AS (SELECT *, greatest((k * k * (sa - m * d * d) + m * m * (sb - k * d * d) - (decided - m * k * d * d)) / (m * k * (m - 1) * (k - 1)), (1 - d * d) / (m * k - 1)) AS v FROM s)
+g AS (SELECT *, greatest((k * k * (sa - m * d * d) + m * m * (sb - k * d * d) - (decided - m * k * d * d)) / (m * k * (m - 1) * (k - 1)), 0) AS v FROM s)
 SELECT m::BIGINT AS n1, k::BIGINT AS n2, round(d, 9) AS delta, round((d - d ** 3 - {Z} * sqrt(v) * sqrt((1 - d * d) ** 2 + {Z * Z} * v)) / (1 - d * d + {Z * Z} * v), 9) AS low, round((d - d ** 3 + {Z} * sqrt(v) * sqrt((1 - d * d) ** 2 + {Z * Z} * v)) / (1 - d * d + {Z * Z} * v), 9) AS high FROM g""")
 def cliffs_delta(t: Tables) -> DataFrame:
     d = rank.cliffs_delta(t.orders, "o_orderstatus", "o_totalprice", "F", "O")
@@ -227,20 +253,29 @@ def kruskal_h(t: Tables) -> DataFrame:
 @query("""SELECT round(median(a.c_acctbal - b.c_acctbal), 6) AS shift FROM customer a, customer b WHERE a.c_mktsegment = 'MACHINERY' AND b.c_mktsegment = 'BUILDING'""")
 def hodges_lehmann(t: Tables) -> DataFrame:
     """Shift of balances between two segments, without forming the differences."""
-    out = rank.hodges_lehmann(t.customer, "c_mktsegment", "c_acctbal", "MACHINERY", "BUILDING")
-    return t.spark.createDataFrame([(round(out["shift"], 6),)], "shift double")
+    return rank.hodges_lehmann(t.customer, "c_mktsegment", "c_acctbal", "MACHINERY", "BUILDING").select(F.round("shift", 6).alias("shift"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT a.c_acctbal - b.c_acctbal AS x FROM customer a, customer b WHERE a.c_mktsegment = 'MACHINERY' AND b.c_mktsegment = 'BUILDING'),
+n AS (SELECT count(*) FILTER (c_mktsegment = 'MACHINERY') AS n1, count(*) FILTER (c_mktsegment = 'BUILDING') AS n2 FROM customer), r AS (SELECT n1 * n2 AS pairs, greatest(1, least(n1 * n2, round_even(n1 * n2 / 2.0 - {Z} * sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 0)))::BIGINT AS r FROM n),
+o AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM d)
+SELECT round(median(x), 6) AS shift, round(max(x) FILTER (i = r), 6) AS low, round(max(x) FILTER (i = pairs - r + 1), 6) AS high FROM o, r""")
 def hodges_lehmann_interval(t: Tables) -> DataFrame:
+    """Moses' interval of the shift.
+
+    Its bounds are order statistics of the differences, found as the shift is.
+    """
     out = rank.hodges_lehmann(t.customer, "c_mktsegment", "c_acctbal", "MACHINERY", "BUILDING")
-    return t.spark.createDataFrame([(out["shift"], out["low"], out["high"])], "shift double, low double, high double")
+    return out.select(*[F.round(x, 6).alias(x) for x in ("shift", "low", "high")])
 
 
-@query()
+@query(f"""WITH s AS (SELECT o_orderpriority, count(*) AS n, median(o_totalprice) AS median FROM orders GROUP BY 1), k AS (SELECT DISTINCT n, unnest(range(0, n + 1)) AS k FROM s),
+c AS (SELECT n, k, sum(exp({LOG_CHOOSE.format(n='n', k='k')} - n * ln(2))) OVER (PARTITION BY n ORDER BY k) AS upto FROM k), r AS (SELECT n, min(k) AS r FROM c WHERE upto >= 0.025 * (1 - 1e-12) GROUP BY 1),
+v AS (SELECT o_orderpriority, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS i FROM orders)
+SELECT o_orderpriority, n, round(median, 6) AS median, max(x) FILTER (i = r) AS low, max(x) FILTER (i = n - r + 1) AS high FROM s JOIN r USING (n) JOIN v USING (o_orderpriority) GROUP BY ALL""")
 def median_ci_rank(t: Tables) -> DataFrame:
     """Median price by priority with its distribution-free interval."""
-    return rank.median_interval(t.orders, "o_orderpriority", "o_totalprice")
+    return rank.median_interval(t.orders, "o_orderpriority", "o_totalprice").withColumn("median", F.round("median", 6))
 
 
 # Regression and resampling -----------------------------------------------------------------------
@@ -272,20 +307,19 @@ def perm_richness(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(out["first"], out["second"], out["difference"], float(out["p"]))], "first long, second long, difference long, p double")
 
 
-@query()
+@query(f"""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT lang, sum(n)::BIGINT AS t, least(100, sum(n))::BIGINT AS m, count(*) AS observed FROM c GROUP BY 1)
+SELECT lang, observed, round(sum(1 - CASE WHEN t - n < m THEN 0 ELSE exp({LOG_CHOOSE.format(n='(t - n)', k='m')} - {LOG_CHOOSE.format(n='t', k='m')}) END), 6) AS expected FROM c JOIN s USING (lang) GROUP BY ALL""")
 def rarefaction(t: Tables) -> DataFrame:
     """Distinct sources expected among 100 documents of each language."""
-    counts = t.documents.groupBy("lang", "source").agg(F.count("*").alias("n")).collect()
-    rows = []
-    for lang in sorted({c["lang"] for c in counts}):
-        own = [c["n"] for c in counts if c["lang"] == lang]
-        rows.append((lang, len(own), resample.rarefied(own, min(100, sum(own)))))
-    return t.spark.createDataFrame(rows, "lang string, observed long, expected double")
+    return resample.rarefied_by(t.documents, ["lang"], "source", 100).withColumn("expected", F.round("expected", 6))
 
 
-@query()
+@query("""WITH x AS (SELECT c_nationkey, c_mktsegment AS r, o_orderstatus AS c, count(*)::DOUBLE AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), rr AS (SELECT c_nationkey, r, sum(n) AS nr FROM x GROUP BY ALL), cc AS (SELECT c_nationkey, c, sum(n) AS nc FROM x GROUP BY ALL),
+s AS (SELECT c_nationkey, sum(n) AS t, count(DISTINCT r) AS a, count(DISTINCT c) AS b FROM x GROUP BY 1), k AS (SELECT s.c_nationkey, t, (a - 1) * (b - 1) AS dof, t * (sum(n * n / (nr * nc)) - 1) AS x2 FROM x JOIN rr USING (c_nationkey, r) JOIN cc USING (c_nationkey, c) JOIN s USING (c_nationkey) GROUP BY s.c_nationkey, t, a, b)
+SELECT c_nationkey, CASE WHEN dof > 0 THEN round(x2, 6) END AS chi_square, dof, CASE WHEN dof > 0 AND dof % 2 = 0 THEN round(exp(-x2 / 2) * list_sum(list_transform(range(0, dof // 2), lambda i: (x2 / 2) ** i / factorial(i::INTEGER))), 9) END AS p FROM k""")
 def chi2_tail(t: Tables) -> DataFrame:
-    """p-values of the chi-square of status against segment, by nation."""
+    """p-values of the chi-square of status against segment, by nation. The SQL has the tail of even degrees of freedom, which three states give."""
     j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "c_mktsegment", "o_orderstatus")
-    rows = contingency.chi_square(j, "c_mktsegment", "o_orderstatus", ["c_nationkey"]).collect()
-    return t.spark.createDataFrame([(r["c_nationkey"], r["chi_square"], r["dof"], chi2_sf(r["chi_square"], r["dof"])) for r in rows], "c_nationkey int, chi_square double, dof long, p double")
+    tail = F.udf(lambda x, dof: chi2_sf(x, dof), "double")
+    rows = contingency.chi_square(j, "c_mktsegment", "o_orderstatus", ["c_nationkey"])
+    return rows.select("c_nationkey", F.round("chi_square", 6).alias("chi_square"), "dof", F.round(tail("chi_square", "dof"), 9).alias("p"))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch handed to Python; whole texts ride in a batch, so it is small.
-ARROW_ROWS = 512
-#: Bytes of one Arrow batch, where the Spark version knows the setting.
-ARROW_BYTES = 16 * 1024 * 1024
+#: Rows and bytes of one Arrow batch handed to Python: short rows are bounded by number, whole texts by size.
+ARROW_ROWS = 4096
+ARROW_BYTES = 4 * 1024 * 1024
 
 
 def build_session(app_name: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,32 +35,59 @@ def build_session(app_name: str = "tallyloom", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small: a batch of whole texts must fit beside the others of its executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: a batch of whole texts must fit beside the others of its executor.
+
+    Plans read the settings when they run, so they are the same for every operator.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Local masters may leave it unset and get a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tallyloom.sharedDir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.tallyloom.sharedDir", spark.conf.get("spark.tallyloom.sharedDir", found))
-        found = spark.conf.get("spark.tallyloom.sharedDir")
+        spark.conf.set("spark.tallyloom.sharedDir", found)
     return found.rstrip("/")
 
 
+#: Scratch folders that are still there, in the order in which they were made.
+_folders: list[str] = []
+
+
+@contextmanager
+def scratch_released(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch folders made within it. For callers who have stored their results by then."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        for folder in _folders[before:]:
+            _delete(spark, folder)
+        del _folders[before:]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and outlive lost executors.
 
-    Each instance owns one fresh folder. ``drop`` deletes what no later plan reads.
+    Each instance owns one fresh folder. ``drop`` deletes what no later plan
+    reads; ``scratch_released`` deletes all once results are stored.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
         self._made = 0
+        _folders.append(self.path)
 
     def new_path(self, name: str) -> str:
         self._made += 1
@@ -72,9 +100,5 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
-            for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
-                where = jvm.org.apache.hadoop.fs.Path(folder)
-                where.getFileSystem(conf).delete(where, True)
+        for folder in {name.rpartition("/")[0] for table in tables for name in table.inputFiles()}:
+            _delete(self.spark, folder)

@@ -66,5 +66,11 @@ def to_latex(df: DataFrame, most_rows: int = 500) -> str:
 
 
 def to_json_lines(df: DataFrame, most_rows: int = 500) -> str:
-    head, rows = df.columns, df.limit(most_rows).collect()
-    return "".join(json.dumps(dict(zip(head, map(str, r), strict=True)), sort_keys=True) + "\n" for r in rows)
+    """A small result as JSON lines of text values, keys sorted."""
+    head, rows = _cells(df, most_rows)
+    return "".join(json.dumps(dict(zip(head, r, strict=True)), sort_keys=True) + "\n" for r in rows)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A CSV table with header that ``read_any`` reads back as it was: quotes doubled, numbers in their shortest exact form."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", None).csv(path)

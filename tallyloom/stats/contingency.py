@@ -7,32 +7,68 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyloom.session import Scratch
 from tallyloom.stats.prob import chi2_sf, fisher_exact
+from tallyloom.stats.rank import running
 
 
 def chi_square(df: DataFrame, row: str, column: str, by: Sequence[str] = ()) -> DataFrame:
     """n, levels, chi-square, degrees of freedom, Cramér's V and the shares of small expected counts, by groups.
 
     Rows are counted into cells once; expected counts come from the cells'
-    margins. Null values are left out. Where a side has one level only the
-    statistics are null.
+    margins. Empty cells are never formed: each adds its expected count, and
+    all expected counts together are n. Null values are left out. Where a
+    side has one level only the statistics are null.
     """
     cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*by, F.col(row).alias("__r"), F.col(column).alias("__c")).agg(F.count("*").alias("__n"))
+    cells = Scratch(df.sparkSession, "contingency").table(cells, "cells")
+    joined = lambda a, b: a.join(b, list(by)) if by else a.crossJoin(F.broadcast(b))
     rows = cells.groupBy(*by, "__r").agg(F.sum("__n").alias("__nr"))
     columns = cells.groupBy(*by, "__c").agg(F.sum("__n").alias("__nc"))
-    whole = rows.groupBy(*by).agg(F.sum("__nr").alias("n"), F.count("*").alias("row_levels"))
-    grid = (rows.join(columns, list(by)) if by else rows.crossJoin(columns)).join(cells, [*by, "__r", "__c"], "left")
-    grid = grid.join(whole, list(by)) if by else grid.crossJoin(whole)
-    expected = F.col("__nr").cast("double") * F.col("__nc") / F.col("n")
-    off = F.coalesce("__n", F.lit(0)) - expected
-    sums = grid.groupBy(*by, "n", "row_levels").agg(
-        (F.count("*") / F.first("row_levels")).cast("long").alias("column_levels"), F.sum(off * off / expected).alias("__x"), F.min(expected).alias("least_expected"), F.avg((expected >= 5).cast("double")).alias("share_expected_5")
+    whole = joined(
+        rows.groupBy(*by).agg(F.sum("__nr").alias("n"), F.count("*").alias("row_levels"), F.min("__nr").alias("__least_r")),
+        columns.groupBy(*by).agg(F.count("*").alias("column_levels"), F.min("__nc").alias("__least_c")),
     )
+    expected = F.col("__nr").cast("double") * F.col("__nc") / F.col("n")
+    off = F.col("__n") - expected
+    filled = joined(cells.join(rows, [*by, "__r"]).join(columns, [*by, "__c"]), whole.select(*by, "n"))
+    sums = filled.groupBy(*by).agg(F.sum(off * off / expected).alias("__off"), F.sum(expected).alias("__met"))
+    # A row's expected count is 5 or more in the columns of at least 5 n / row total: counted over the sorted margins.
+    marks = joined(rows, whole.select(*by, "n")).select(*by, F.expr("CAST((5 * n + __nr - 1) div __nr AS double)").alias("v"), F.lit(1).alias("asked"), F.lit(0).alias("there"))
+    marks = marks.unionByName(columns.select(*by, F.col("__nc").cast("double").alias("v"), F.lit(0).alias("asked"), F.lit(1).alias("there"))).groupBy(*by, "v").agg(F.sum("asked").alias("asked"), F.sum("there").alias("there"))
+    below = joined(running(marks, "v", {"below": "there"}, by), whole.select(*by, "column_levels"))
+    large = below.groupBy(*by).agg(F.sum(F.col("asked") * (F.col("column_levels") - F.col("below"))).alias("__large"))
+    out = joined(joined(whole, sums), large)
     dof = ((F.col("row_levels") - 1) * (F.col("column_levels") - 1)).cast("long")
     fine = dof > 0
-    v = F.sqrt(F.col("__x") / (F.col("n") * (F.least("row_levels", "column_levels") - 1)))
-    return sums.select(*by, "n", "row_levels", "column_levels", dof.alias("dof"), F.when(fine, F.col("__x")).alias("chi_square"), F.when(fine, v).alias("cramers_v"), "least_expected", "share_expected_5")
+    x = F.col("__off") + F.greatest(F.lit(0.0), F.col("n") - F.col("__met"))
+    v = F.sqrt(x / (F.col("n") * (F.least("row_levels", "column_levels") - 1)))
+    least = F.col("__least_r").cast("double") * F.col("__least_c") / F.col("n")
+    return out.select(*by, "n", "row_levels", "column_levels", dof.alias("dof"), F.when(fine, x).alias("chi_square"), F.when(fine, v).alias("cramers_v"), least.alias("least_expected"), (F.col("__large") / (F.col("row_levels") * F.col("column_levels"))).alias("share_expected_5"))
+
+
+def tests_by(df: DataFrame, row: str, column: str, by: Sequence[str]) -> DataFrame:
+    """The adaptive test of ``independence`` for each group: test, statistic, degrees of freedom and p. A group's cells make one small table."""
+    cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*by, F.col(row).cast("string").alias("r"), F.col(column).cast("string").alias("c")).agg(F.count("*").alias("n"))
+    tables = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("r", "c", "n"))).alias("__cells"))
+
+    def judge(frames):
+        for f in frames:
+            out = []
+            for own in f.pop("__cells"):
+                rows, columns = ({v: k for k, v in enumerate(sorted({x[d] for x in own}))} for d in ("r", "c"))
+                table = np.zeros((len(rows), len(columns)))
+                for x in own:
+                    table[rows[x["r"]], columns[x["c"]]] = x["n"]
+                out.append(independence(table))
+            for name in ("test", "statistic", "dof", "p"):
+                f[name] = [o[name] for o in out]
+            yield f
+
+    keys = [f for f in tables.schema.fields if f.name in by]
+    return tables.mapInPandas(judge, T.StructType([*keys, T.StructField("test", T.StringType()), T.StructField("statistic", T.DoubleType()), T.StructField("dof", T.IntegerType()), T.StructField("p", T.DoubleType())]))
 
 
 def cell_matrix(df: DataFrame, row: str, column: str, most_cells: int = 10_000) -> tuple[list, list, np.ndarray]:

@@ -74,8 +74,10 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float | None, float]:
 
 def binomial_ppf(q: float, n: int, p: float = 0.5) -> int:
     """The least k with at least q of the distribution up to it."""
+    # Sums begin where the distribution does: what lies forty standard deviations below the mean is 0 in double precision.
+    begin = max(0, int(n * p - 40 * math.sqrt(n * p * (1 - p)) - 40))
     total = 0.0
-    for k in range(n + 1):
+    for k in range(begin, n + 1):
         total += math.exp(log_choose(n, k) + (k * math.log(p) if k else 0) + ((n - k) * math.log1p(-p) if n - k else 0))
         if total >= q * (1 - 1e-12):
             return k

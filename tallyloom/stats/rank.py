@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyloom.session import Scratch
 from tallyloom.stats.prob import binomial_ppf, chi2_sf, normal_ppf, normal_sf
 
 #: Distinct values up to which ranks are made in one ordered pass; beyond it values are dealt into ranges first.
 ONE_PASS = 200_000
 
 
-def two_arms(df: DataFrame, arm: str, value: str, first: str, second: str) -> DataFrame:
-    """A row for each distinct value: rows of either arm (a, b), and rows of either arm below it (a_below, b_below)."""
-    counts = df.filter(F.col(value).isNotNull() & F.col(arm).isin(first, second)).groupBy(F.col(value).cast("double").alias("x")).agg(F.count_if(F.col(arm) == first).alias("a"), F.count_if(F.col(arm) == second).alias("b"))
-    return running(counts, "x", {"a_below": "a", "b_below": "b"})
+def two_arms(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each distinct value, in groups: rows of either arm (a, b), and rows of either arm below it (a_below, b_below)."""
+    known = df.filter(F.col(value).isNotNull() & F.col(arm).isin(first, second))
+    counts = known.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count_if(F.col(arm) == first).alias("a"), F.count_if(F.col(arm) == second).alias("b"))
+    return running(counts, "x", {"a_below": "a", "b_below": "b"}, by)
 
 
 def running(counts: DataFrame, order: str, sums: dict[str, str], within: Sequence[str] = ()) -> DataFrame:
@@ -30,29 +34,35 @@ def running(counts: DataFrame, order: str, sums: dict[str, str], within: Sequenc
     totals = dealt.groupBy(*within, "__bucket").agg(*[F.sum(s).alias(f"__{n}") for n, s in sums.items()])
     ahead = totals.select(*within, "__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
     inside = Window.partitionBy(*within, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = dealt.join(ahead if within else F.broadcast(ahead), [*within, "__bucket"])
+    # Null keys are groups, too.
+    right = ahead.select(*[F.col(c).alias(f"__r_{c}") for c in (*within, "__bucket")], *[f"__{n}" for n in sums])
+    on = F.col("__bucket") == F.col("__r___bucket")
+    for c in within:
+        on = on & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    joined = dealt.join(right if within else F.broadcast(right), on).drop(*[f"__r_{c}" for c in (*within, "__bucket")])
     return joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for n, s in sums.items()}).drop("__bucket", *[f"__{n}" for n in sums])
 
 
-def mann_whitney(df: DataFrame, arm: str, value: str, first: str, second: str) -> DataFrame:
-    """One row: sizes, U of the first arm, the tie term, z with continuity correction, and Cliff's delta with its pieces."""
-    t = two_arms(df, arm, value, first, second)
+def mann_whitney(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each group: sizes, U of the first arm, the tie term, z with continuity correction, and Cliff's delta."""
+    t = two_arms(df, arm, value, first, second, by)
     wins = F.col("a") * (F.col("b_below") + F.col("b") / 2)
     ties = F.col("a") + F.col("b")
-    sums = t.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(wins).alias("u"), F.sum(ties * ties * ties - ties).cast("double").alias("tie_term"))
+    sums = t.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(wins).alias("u"), F.sum(ties * ties * ties - ties).cast("double").alias("tie_term"))
     n = F.col("n1") + F.col("n2")
     variance = F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
     mean = F.col("n1") * F.col("n2") / 2.0
     z = (F.abs(F.col("u") - mean) - 0.5) / F.sqrt(variance)
     fine = (F.col("n1") > 0) & (F.col("n2") > 0)
-    return sums.select("n1", "n2", F.when(fine, F.col("u")).alias("u"), "tie_term", F.when(fine & (variance > 0), F.greatest(z, F.lit(0.0))).alias("z"), F.when(fine, 2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("delta"))
+    return sums.select(*by, "n1", "n2", F.when(fine, F.col("u")).alias("u"), "tie_term", F.when(fine & (variance > 0), F.greatest(z, F.lit(0.0))).alias("z"), F.when(fine, 2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("delta"))
 
 
 def mann_whitney_p(row) -> float | None:
     """Two-sided p of a row of ``mann_whitney``: exact for small arms without ties, else normal."""
     n1, n2, u = row["n1"], row["n2"], row["u"]
-    if not n1 or not n2:
+    if not n1 or not n2 or u is None:
         return None
+    n1, n2 = int(n1), int(n2)
     if row["tie_term"] == 0 and min(n1, n2) <= 8:
         counts = [1] + [0] * (n1 * n2)
         for k in range(1, n1 + 1):  # the generating function of U, factor by factor
@@ -65,14 +75,31 @@ def mann_whitney_p(row) -> float | None:
     return 1.0 if row["z"] is None else min(1.0, 2 * normal_sf(row["z"]))
 
 
-def cliffs_delta(df: DataFrame, arm: str, value: str, first: str, second: str, z: float = 1.959963984540054) -> DataFrame:
-    """One row: delta with Cliff's asymmetric interval, from each value's dominance over the other arm."""
-    t = two_arms(df, arm, value, first, second)
-    n = t.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
-    r = t.crossJoin(F.broadcast(n))
+def with_p(tests: DataFrame) -> DataFrame:
+    """Rows of ``mann_whitney`` with their two-sided ``p``; a row for each group, worked out on the executors."""
+
+    def add(frames):
+        for f in frames:
+            f["p"] = [mann_whitney_p({k: None if v is None or v != v else v for k, v in r.items()}) for r in f.to_dict("records")]
+            yield f
+
+    wide = tests.withColumn("u", F.col("u").cast("double"))
+    return wide.mapInPandas(add, T.StructType([*wide.schema.fields, T.StructField("p", T.DoubleType())]))
+
+
+def cliffs_delta(df: DataFrame, arm: str, value: str, first: str, second: str, z: float = 1.959963984540054, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each group: delta with Cliff's asymmetric interval, from each value's dominance over the other arm.
+
+    A variance below 0 counts as 0; bounds are given as the formula has them,
+    so in very small samples they may pass -1 or 1. Null bounds for arms of
+    fewer than two rows.
+    """
+    t = two_arms(df, arm, value, first, second, by)
+    n = t.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    r = t.join(n, list(by)) if by else t.crossJoin(F.broadcast(n))
     over_b = (F.col("b_below") - (F.col("n2") - F.col("b_below") - F.col("b"))) / F.col("n2")
     over_a = ((F.col("n1") - F.col("a_below") - F.col("a")) - F.col("a_below")) / F.col("n1")
-    sums = r.groupBy("n1", "n2").agg(
+    sums = r.groupBy(*by, "n1", "n2").agg(
         F.sum(F.col("a") * over_b).alias("s"), F.sum(F.col("a") * over_b * over_b).alias("sa"), F.sum(F.col("b") * over_a * over_a).alias("sb"), F.sum(F.col("a") * (F.col("b_below") + (F.col("n2") - F.col("b_below") - F.col("b")))).alias("decided")
     )
     d = F.col("s") / F.col("n1")
@@ -80,17 +107,20 @@ def cliffs_delta(df: DataFrame, arm: str, value: str, first: str, second: str, z
     va, vb = F.col("sa") - m * d * d, F.col("sb") - k * d * d
     all_pairs = F.col("decided") - m * k * d * d
     var = (k * k * va + m * m * vb - all_pairs) / (m * k * (m - 1) * (k - 1))
-    var = F.greatest(var, (1 - d * d) / (m * k - 1))
+    var = F.greatest(var, F.lit(0.0))
     root = z * F.sqrt(var) * F.sqrt(F.pow(1 - d * d, 2) + z * z * var)
     bottom = 1 - d * d + z * z * var
     fine = (m > 1) & (k > 1) & (bottom > 0)
-    return sums.select("n1", "n2", d.alias("delta"), F.when(fine, F.greatest(F.lit(-1.0), (d - d * d * d - root) / bottom)).alias("low"), F.when(fine, F.least(F.lit(1.0), (d - d * d * d + root) / bottom)).alias("high"))
+    return sums.select(*by, "n1", "n2", d.alias("delta"), F.when(fine, (d - d * d * d - root) / bottom).alias("low"), F.when(fine, (d - d * d * d + root) / bottom).alias("high"))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: groups, rows, H with tie correction, degrees of freedom and epsilon squared. Groups of one row are left out; equal values give 0."""
-    big = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("__n")).filter(F.col("__n") >= 2).select(group)
-    cells = df.filter(F.col(value).isNotNull()).join(F.broadcast(big) if big.limit(10_001).count() <= 10_000 else big, group).groupBy(group, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("m"))
+    cells = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("m"))
+    # The counts serve three times; they are written once.
+    cells = Scratch(df.sparkSession, "kruskal").table(cells, "cells")
+    sizes = cells.groupBy(group).agg(F.sum("m").alias("__n"))
+    cells = cells.join(sizes.filter("__n >= 2").select(group), group)
     values = running(cells.groupBy("x").agg(F.sum("m").alias("t")), "x", {"below": "t"}).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     sums = cells.join(values.select("x", "rank"), "x").groupBy(group).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("rank")).alias("r"))
     ties = values.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
@@ -106,25 +136,21 @@ def kruskal_p(row) -> float | None:
     return None if row["dof"] is None or row["dof"] < 1 else (1.0 if row["h"] == 0 else chi2_sf(row["h"], row["dof"]))
 
 
-def _value_counts(df: DataFrame, value: Column, most: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select(value.cast("double").alias("x")).filter("x is not null").groupBy("x").count().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} distinct values; round them first")
-    rows.sort()
-    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+def moses_rank(n: int, m: int, level: float = 0.95) -> int:
+    """The rank of the difference that bounds Moses' interval from below."""
+    pairs = n * m
+    return min(max(round(pairs / 2 - normal_ppf(0.5 + level / 2) * math.sqrt(pairs * (n + m + 1) / 12)), 1), pairs)
 
 
-def hodges_lehmann(df: DataFrame, arm: str, value: str, first: str, second: str, most: int = ONE_PASS, level: float = 0.95) -> dict:
-    """Median of all differences first - second, with Moses' interval by ranks.
+def shift_ranks(n: int, m: int, level: float = 0.95) -> list[int]:
+    """Ranks of the differences that the median (two of them) and the interval's bounds are."""
+    pairs, low = n * m, moses_rank(n, m, level)
+    return [(pairs + 1) // 2, pairs // 2 + 1, low, pairs - low + 1]
 
-    Distinct values with their counts come to the driver (an error beyond
-    ``most``); the differences' order statistics are found by bisection over
-    how many differences lie below, never by forming them.
-    """
-    (x, nx), (y, ny) = (_value_counts(df.filter(F.col(arm) == a), F.col(value), most) for a in (first, second))
-    n, m = int(nx.sum()), int(ny.sum())
-    if not n or not m:
-        return {"shift": None, "low": None, "high": None}
+
+def differences_at(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, ranks: Sequence[int]) -> list[float]:
+    """The differences x - y of some ranks, from sorted distinct values and their counts, by bisection over how many lie below."""
+    m = int(ny.sum())
     cy = np.concatenate(([0], np.cumsum(ny)))
 
     def below(t: float) -> int:
@@ -152,12 +178,72 @@ def hodges_lehmann(df: DataFrame, arm: str, value: str, first: str, second: str,
                 best = c if best is None or abs(c - hi) < abs(best - hi) else best
         return hi if best is None else best
 
-    pairs = n * m
-    shift = (statistic((pairs + 1) // 2) + statistic(pairs // 2 + 1)) / 2
-    z = normal_ppf(0.5 + level / 2)
-    rank = round(pairs / 2 - z * math.sqrt(pairs * (n + m + 1) / 12))
-    rank = min(max(rank, 1), pairs)
-    return {"shift": shift, "low": statistic(rank), "high": statistic(pairs - rank + 1)}
+    return [statistic(k) for k in ranks]
+
+
+def _shifts_of_large(counts: DataFrame, by: Sequence[str], sizes: list, level: float) -> list[tuple]:
+    """Shift and interval of groups too large for one task: the brackets of all ranks narrow by one aggregate over all value counts a step.
+
+    Brackets end within 1e-13 of their size; the driver holds four for each such group.
+    """
+    spark = counts.sparkSession
+    open_ = [{"key": tuple(s[c] for c in by), "k": k, "at": i, "lo": s["low"], "hi": s["high"]} for s in sizes for i, k in enumerate(shift_ranks(s["n"], s["m"], level))]
+    keys = [f for f in counts.schema.fields if f.name in by]
+    schema = T.StructType([*keys, T.StructField("__ask", T.IntegerType()), T.StructField("__t", T.DoubleType())])
+    for _ in range(60):
+        asked = [(i, [o["lo"] + (o["hi"] - o["lo"]) * j / 8 for j in range(1, 8)]) for i, o in enumerate(open_) if o["hi"] - o["lo"] > 1e-13 * max(1.0, abs(o["lo"]), abs(o["hi"]))]
+        if not asked:
+            break
+        table = spark.createDataFrame([(*open_[i]["key"], 8 * i + j, t) for i, ts in asked for j, t in enumerate(ts)], schema)
+        met = counts.join(F.broadcast(table), list(by)) if by else counts.crossJoin(F.broadcast(table))
+        # Each x moves to x - t; what counts are the y's at or above it.
+        moved = met.select("__ask", F.when(F.col("__first"), F.col("x") - F.col("__t")).otherwise(F.col("x")).alias("v"), F.when(F.col("__first"), F.col("n")).otherwise(0).alias("nx"), F.when(F.col("__first"), 0).otherwise(F.col("n")).alias("ny"))
+        merged = running(moved.groupBy("__ask", "v").agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny")), "v", {"below": "ny"}, ["__ask"])
+        got = {r[0]: r[1] for r in merged.groupBy("__ask").agg(F.sum(F.col("nx").cast("decimal(38,0)") * F.col("below"))).collect()}
+        for i, ts in asked:
+            o = open_[i]
+            pairs = next(s["n"] * s["m"] for s in sizes if tuple(s[c] for c in by) == o["key"])
+            inside = [pairs - int(got[8 * i + j]) >= o["k"] for j in range(7)]
+            first = inside.index(True) if True in inside else 7
+            o["lo"], o["hi"] = (ts[first - 1] if first else o["lo"]), (ts[first] if first < 7 else o["hi"])
+    found: dict[tuple, list[float]] = {}
+    for o in open_:
+        found.setdefault(o["key"], []).append(o["hi"])
+    return [(*key, (v[0] + v[1]) / 2, v[2], v[3]) for key, v in found.items()]
+
+
+def hodges_lehmann(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = (), most: int = ONE_PASS, level: float = 0.95) -> DataFrame:
+    """Per group: sizes, the median of all differences first - second, and Moses' interval by ranks; null where an arm is empty.
+
+    Distinct values are counted. A group of up to ``most`` of them is worked
+    out in one task; the ranks of larger groups are bracketed by aggregates
+    over the counts. Differences are never formed.
+    """
+    known = df.filter(F.col(value).isNotNull() & F.col(arm).isin(first, second))
+    counts = known.groupBy(*by, (F.col(arm) == first).alias("__first"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    counts = Scratch(df.sparkSession, "shift").table(counts, "counts")
+    side = F.col("__first")
+    sizes = counts.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.when(~side, F.col("n"))), F.lit(0)).alias("n2"), F.count("*").alias("__distinct"),
+        (F.min(F.when(side, F.col("x"))) - F.max(F.when(~side, F.col("x")))).alias("__low"), (F.max(F.when(side, F.col("x"))) - F.min(F.when(~side, F.col("x")))).alias("__high"),
+    )
+    keys = [f for f in sizes.schema.fields if f.name in by]
+    schema = T.StructType([*keys, *[T.StructField(c, T.DoubleType()) for c in ("shift", "low", "high")]])
+    fits = sizes.filter(f"n1 > 0 and n2 > 0 and __distinct <= {most}")
+    few = counts.join(fits.select(*by), list(by), "left_semi") if by else counts.join(fits.select(F.lit(1).alias("__one")), F.lit(True), "left_semi")
+
+    def work(pdf):
+        pdf = pdf.sort_values("x")
+        x, y = pdf[pdf["__first"]], pdf[~pdf["__first"]]
+        a, b, low, high = differences_at(x["x"].to_numpy(), x["n"].to_numpy(), y["x"].to_numpy(), y["n"].to_numpy(), shift_ranks(int(x["n"].sum()), int(y["n"].sum()), level))
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), (a + b) / 2, low, high]], columns=schema.names)
+
+    out = (few.groupBy(*by) if by else few.withColumn("__all", F.lit(1)).groupBy("__all")).applyInPandas(work, schema)
+    large = sizes.filter(f"n1 > 0 and n2 > 0 and __distinct > {most}").select(*by, F.col("n1").alias("n"), F.col("n2").alias("m"), F.col("__low").alias("low"), F.col("__high").alias("high")).collect()
+    if large:
+        out = out.unionByName(df.sparkSession.createDataFrame(_shifts_of_large(counts, by, large, level), schema))
+    base = sizes.select(*by, "n1", "n2")
+    return base.join(out, list(by), "left") if by else base.join(out, F.lit(True), "left")
 
 
 def median_ranks(n: int, level: float = 0.95) -> tuple[int, int] | None:
@@ -166,14 +252,45 @@ def median_ranks(n: int, level: float = 0.95) -> tuple[int, int] | None:
     return (r, n - r + 1) if r >= 1 else None
 
 
+def order_statistics(df: DataFrame, group: Sequence[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
+    """Per group: ``n`` and ``found``, the values at the ranks (from 1, null for none) that ``ranks`` makes of n, an array.
+
+    Looked up in running counts of distinct values, which go by ranges: no
+    task and no buffer holds a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__m"))
+    counts = Scratch(df.sparkSession, "ranks").table(counts, "counts")
+    sizes = counts.groupBy(*group).agg(F.sum("__m").alias("n")).withColumn("__ranks", ranks(F.col("n")))
+    steps = running(counts, "__x", {"__below": "__m"}, group)
+    met = steps.join(sizes, list(group)) if group else steps.crossJoin(F.broadcast(sizes))
+    asked = met.select(*group, "n", "__x", "__below", "__m", F.posexplode("__ranks").alias("__k", "__r"))
+    hit = asked.filter("__r > __below and __r <= __below + __m").groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("__k", "__x"))).alias("__at"))
+    whole = sizes.join(hit.drop("n"), list(group), "left") if group else sizes.crossJoin(F.broadcast(hit.drop("n")))
+    return whole.select(*group, "n", F.transform("__ranks", lambda r, k: F.element_at("__at", k)).alias("found"))
+
+
+def percentiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Per group: ``n`` and the interpolated quantiles at ``shares``, an array ``quantiles``."""
+    at = lambda n, q: (n - 1) * q
+    found = order_statistics(df, group, value, lambda n: F.array(*[r.cast("long") for q in shares for r in (F.floor(at(n, q)) + 1, F.ceil(at(n, q)) + 1)]))
+
+    def between(k: int, q: float) -> Column:
+        lo, hi, part = F.get("found", F.lit(2 * k)), F.get("found", F.lit(2 * k + 1)), at(F.col("n"), q) - F.floor(at(F.col("n"), q))
+        return F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)
+
+    return found.select(*group, "n", F.array(*[between(k, q) for k, q in enumerate(shares)]).alias("quantiles"))
+
+
 def median_interval(df: DataFrame, group: str, value: str, level: float = 0.95) -> DataFrame:
-    """Per group: rows, median and its distribution-free interval. Ranks are looked up in running counts of distinct values."""
-    spark = df.sparkSession
-    known = df.filter(F.col(value).isNotNull())
-    sizes = known.groupBy(group).agg(F.count("*").alias("n"), F.median(value).alias("median"))
-    ranks = [(r["n"], *(median_ranks(r["n"], level) or (None, None))) for r in sizes.select("n").distinct().collect()]
-    table = F.broadcast(spark.createDataFrame(ranks, "n long, low_rank long, high_rank long"))
-    upto = Window.partitionBy(group).orderBy("x")
-    steps = known.groupBy(group, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(upto))
-    met = sizes.join(table, "n").join(steps, group)
-    return met.groupBy(group, "n", "median").agg(F.min(F.when(F.col("upto") >= F.col("low_rank"), F.col("x"))).alias("low"), F.min(F.when(F.col("upto") >= F.col("high_rank"), F.col("x"))).alias("high"))
+    """Per group: rows, median and its distribution-free interval; null bounds where there are too few rows."""
+
+    @F.pandas_udf("array<long>")
+    def bounds(sizes: pd.Series) -> pd.Series:
+        known: dict[int, list[int | None]] = {}
+        for n in sizes.unique().tolist():
+            known[n] = [(n + 1) // 2, n // 2 + 1, *(median_ranks(n, level) or (None, None))]
+        return sizes.map(known)
+
+    found = order_statistics(df, [group], value, bounds)
+    at = lambda k: F.get("found", F.lit(k))
+    return found.select(group, "n", ((at(0) + at(1)) / 2).alias("median"), at(2).alias("low"), at(3).alias("high"))

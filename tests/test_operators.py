@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallyloom.functions import quotes
 from tallyloom.functions import text as tx
 from tallyloom.functions import values as vl
 from tallyloom.operators import claims, classify, expect, measures, relational, sampling, votes
@@ -200,3 +201,89 @@ def test_claims(spark, text, want):
     assert {r["dimension"] for r in out.collect()} == want
     flags = {r["key"]: r["dimensions"] for r in claims.claim_flags(out, df, "id").collect()}
     assert flags == {1: "|".join(sorted(want)), 2: "", 3: ""}
+
+
+def test_claims_see_unicode_spaces_and_own_dimensions(spark):
+    df = spark.createDataFrame([(1, "https://x.y/z\u3000実行時間 120ms"), (2, "disk usage 20 mb")], "id long, text string")
+    assert {(r["key"], r["dimension"]) for r in claims.extract_claims(df, "id", "text").collect()} == {(1, "D1")}
+    wider = claims.DEFAULT.with_dimensions({"X1": r"\bdisk usage\b"}, {"X1": ["bytes"]})
+    assert (2, "X1") in {(r["key"], r["dimension"]) for r in claims.extract_claims(df, "id", "text", wider).collect()}
+    with pytest.raises(ValueError):
+        claims.DEFAULT.with_dimensions({"X1": "x"}, {})
+
+
+def test_hidden_spans_that_overlap():
+    assert claims._hide("abc def", [(0, 2), (1, 5), (4, 7)]) == "██c ███"
+
+
+RAW = [
+    "Latency decreased from 20 milliseconds to 10 milliseconds. https://example.org/x \nMemory: 20 MiB",
+    "大对象阈值（1MB）\n内存 latency 20秒 -> 10秒",
+    "<!-- remove --> <b>Time</b>: 0.4101774 seconds. 0 Warning(s)\n0 Error(s)",
+    "İΟΔΟΣ v1.2.3 abcdef1234 \nRuntime 2µs -> 1μs",
+    "x" * 200 + "\n10x faster",
+    "",
+]
+
+
+def test_places_in_the_raw_text(spark):
+    df = spark.createDataFrame(list(enumerate(RAW)), "id long, text string")
+    normal = {r["id"]: r["n"] for r in df.select("id", claims.normalise(F.col("text")).alias("n")).collect()}
+    for k, raw in enumerate(RAW):
+        text, begin, end = claims.normalise_with_places(raw)
+        assert len(text) == len(begin) == len(end) and all(0 <= b <= e <= len(raw) for b, e in zip(begin, end, strict=True))
+        assert text == normal[k]
+    found = claims.extract_claims(df, "id", "text")
+    placed = claims.locate_claims(found, df, "id", "text").collect()
+    assert len(placed) == found.count() > 3
+    for r in placed:
+        raw = RAW[r["key"]]
+        assert 0 <= r["raw_start"] < r["raw_end"] <= len(raw) and r["quote"] in raw
+    assert "20 milliseconds to 10 milliseconds" in next(r["quote"] for r in placed if r["key"] == 0 and r["dimension"] == "D1")
+
+
+def test_quotes(spark):
+    raw = "+- **First compilation**: PCH built in ~1.15s"
+    texts = [raw, None, "a  b\nc", "a b c"]
+    assert quotes.find_quote("First compilation: PCH built in ~1.15s", texts) == ("First compilation**: PCH built in ~1.15s", None)
+    assert quotes.find_quote("PCH built in ~1.14s", texts) == (None, "missing")
+    assert quotes.find_quote("a b c", texts) == (None, "ambiguous") and quotes.find_quote(" ** ", texts) == (None, "empty")
+    df = spark.createDataFrame([("x", ["y"])], "q string, t array<string>")
+    with pytest.raises(expect.ExpectationError):
+        quotes.require_quotes(df, "q", "t")
+
+
+def test_corpus_of_several_sources(spark):
+    rows = [(1, "description", 0, "Latency dropped from 120 ms to 45 ms."), (1, "code_diff", 0, "Memory usage reduced by 40%."), (1, "code_diff", 1, None), (2, "description", 0, "nothing"), (1, "description", 1, "Latency rose by 3 ms")]
+    df = spark.createDataFrame(rows, "id long, source string, n int, text string")
+    rolled, first, sizes = claims.corpus_claims(df, ["id"], "source", "n", "text", "code_diff")
+    got = {r["id"]: (r["dimensions"], r["D3"], r["D3_nodiff"], r["n_nodiff"], r["sources"]) for r in rolled.collect()}
+    assert got == {1: ("D1|D3", True, False, 1, "code_diff|description"), 2: ("", False, False, 0, "")}
+    one = {(r["source"], r["dimension"]): r for r in first.collect()}
+    assert set(one) == {("description", "D1"), ("code_diff", "D3")} and one["description", "D1"]["n_claims"] >= 2 and "120" in one["description", "D1"]["snippet"]
+    assert {(r["id"], r["source"]): r["chars"] for r in sizes.collect()} == {(1, "description"): 58, (1, "code_diff"): 28, (2, "description"): 7, (2, "code_diff"): 0}
+
+
+def test_checked_lookups_binding_and_controls(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, k string")
+    table = spark.createDataFrame([("a", 10), ("b", 20)], "k string, v int")
+    assert {r["id"]: r["v"] for r in expect.required_lookup(df, table, "k").collect()} == {1: 10, 2: 20, 3: None}
+    with pytest.raises(expect.ExpectationError):
+        expect.required_lookup(df, table.filter("v = 10"), "k")
+    with pytest.raises(ValueError):
+        relational.bind_columns(df.select("id"), table, "id", "v")
+    assert expect.off_control(df, {"rows": (F.count("*"), 3)}).count() == 0
+
+
+def test_batches_in_order(spark):
+    rows = [("a", k, s) for k, s in enumerate([5, 5, 1, 30, 2, None, 2])] + [(None, 0, 4), ("b", 0, 1)]
+    df = spark.createDataFrame(rows, "g string, k int, s long")
+    got = sorted(((r["g"] or "", r["batch"], r["rows"], r["size"]) for r in relational.capacity_batches(df, ["g"], ["k"], "s", 3, 10).collect()))
+    assert got == [("", 0, 1, 4), ("a", 0, 2, 10), ("a", 1, 1, 1), ("a", 2, 1, 30), ("a", 3, 3, 4), ("b", 0, 1, 1)]
+    assert relational.capacity_batches(df.limit(0), ["g"], ["k"], "s", 3, 10).count() == 0
+
+
+def test_portable_values(spark):
+    df = spark.createDataFrame([(1, {"a": float("nan"), "b": 2.5}, "NaN"), (2, None, "x")], "id int, m map<string,double>, s string")
+    out = {r["id"]: (r["m"], r["s"]) for r in df.select("id", vl.portable(F.col("m"), df.schema["m"].dataType).alias("m"), vl.portable(F.col("s"), df.schema["s"].dataType).alias("s")).collect()}
+    assert out == {1: ('{"a":null,"b":2.5}', '"NaN"'), 2: ("", '"x"')}

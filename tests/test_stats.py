@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.stats import contingency, intervals, multiplicity, prob, rank, regression, resample, stratified
+from tallyloom.stats import contingency, intervals, multiplicity, outcomes, prob, rank, regression, resample, stratified
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 numbers = st.lists(st.integers(-5, 5), min_size=2, max_size=12)
@@ -73,7 +73,8 @@ def test_ranks_against_pairs(spark, x, y):
     mean = np.mean(d)
     got = rank.cliffs_delta(df, "arm", "v", "x", "y").first()
     assert got["delta"] == pytest.approx(mean)
-    assert rank.hodges_lehmann(df, "arm", "v", "x", "y")["shift"] == pytest.approx(median(a - b for a, b in itertools.product(x, y)))
+    want = median(a - b for a, b in itertools.product(x, y))
+    assert rank.hodges_lehmann(df, "arm", "v", "x", "y").first()["shift"] == pytest.approx(want)
 
 
 def test_exact_mann_whitney_p(spark):
@@ -88,12 +89,57 @@ def test_exact_mann_whitney_p(spark):
 def test_moses_interval(spark):
     rng = np.random.default_rng(0)
     x, y = rng.normal(1, 1, 40).tolist(), rng.normal(0, 1, 30).tolist()
-    out = rank.hodges_lehmann(arms(spark, x, y), "arm", "v", "x", "y")
+    out = rank.hodges_lehmann(arms(spark, x, y), "arm", "v", "x", "y").first()
     d = sorted(a - b for a in x for b in y)
     k = round(len(d) / 2 - 1.959963984540054 * math.sqrt(len(d) * 71 / 12))
     assert (out["low"], out["high"]) == pytest.approx((d[k - 1], d[len(d) - k]))
 
 
+def test_shifts_by_groups_with_and_without_a_task_for_each(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, arm, float(round(v, 2))) for g, n in (("a", 25), ("b", 7)) for arm, d in (("x", 1.0), ("y", 0.0)) for v in rng.normal(d, 2, n)] + [("c", "x", 1.0)]
+    df = spark.createDataFrame(rows, "g string, arm string, v double")
+    one = {r["g"]: (r["shift"], r["low"], r["high"]) for r in rank.hodges_lehmann(df, "arm", "v", "x", "y", ["g"]).collect()}
+    many = {r["g"]: (r["shift"], r["low"], r["high"]) for r in rank.hodges_lehmann(df, "arm", "v", "x", "y", ["g"], most=10).collect()}
+    assert one["c"] == many["c"] == (None, None, None)
+    assert all(one[g] == pytest.approx(many[g], abs=1e-9) for g in "ab")
+
+
+def test_percentiles_and_expected_counts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g, n in (("a", 101), ("b", 2), ("c", 1)) for v in rng.integers(0, 30, n)] + [(None, 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["quantiles"] for r in rank.percentiles(df, ["g"], "v", (0.1, 0.5, 0.9)).collect()}
+    assert set(got) >= {"a", "b", "c"}
+    for g in "abc":
+        assert got[g] == pytest.approx(np.quantile([v for x, v in rows if x == g], [0.1, 0.5, 0.9]).tolist())
+    cells = [(int(a), int(b)) for a, b in zip(rng.integers(0, 4, 60), rng.integers(0, 6, 60), strict=True) if (a, b) != (0, 0)]
+    row = contingency.chi_square(spark.createDataFrame(cells, "r int, c int"), "r", "c").first()
+    table = np.zeros((4, 6))
+    for a, b in cells:
+        table[a, b] += 1
+    x, dof, expected = contingency.pearson(contingency.trim(table))
+    assert (row["chi_square"], row["dof"], row["least_expected"], row["share_expected_5"]) == pytest.approx((x, dof, expected.min(), (expected >= 5).mean()))
+
+
+def test_small_samples_keep_the_formulas_bounds(spark):
+    # Variance 0 in a complete separation; bounds are the formula's.
+    row = rank.cliffs_delta(arms(spark, [5.0, 6.0], [1.0, 2.0]), "arm", "v", "x", "y").first()
+    assert row["delta"] == 1.0
+    assert rank.cliffs_delta(arms(spark, [5.0], [1.0, 2.0]), "arm", "v", "x", "y").first()["low"] is None
+
+
+def test_outcome_bundle(spark):
+    rows = [("x", True, 1.0), ("x", False, 2.0), ("x", None, 9.0), ("y", False, 3.0), ("y", False, None), ("y", True, 5.0)] * 4
+    df = spark.createDataFrame(rows, "arm string, done boolean, v double")
+    got = {(r["arm"], r["measure"]): (r["rows"], r["n"], r["estimate"]) for r in outcomes.summarise(df, "arm", "done", ["v"]).collect()}
+    assert got == {("x", "done"): (12, 8, 0.5), ("y", "done"): (12, 12, pytest.approx(1 / 3)), ("x", "v"): (12, 12, 2.0), ("y", "v"): (12, 8, 4.0)}
+    tests = {r["measure"]: r for r in outcomes.contrasts(df, "arm", "x", "y", "done", ["v"]).collect()}
+    assert tests["done"]["method"] == "fisher" and tests["done"]["estimate"] == pytest.approx(1 / 6)
+    assert tests["v"]["estimate"] == pytest.approx(median(a - b for a, b in itertools.product([1.0, 2.0, 9.0] * 4, [3.0, 5.0] * 4)))
+    assert all(t["bh"] >= t["p"] for t in tests.values())
+
+
 def test_kruskal_and_median_interval(spark):
     groups = {"a": [1, 2, 2, 5], "b": [3, 4, 4, 6, 7], "c": [8], "d": [2, 9, 9]}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
