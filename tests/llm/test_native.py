@@ -39,6 +39,35 @@ def test_licences(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_wrapped_texts_gaps_and_tables(spark):
+    mit = """# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction.
+#
+# The above copyright notice and this permission notice shall be included in all
+# copies or substantial portions of the Software. All rights reserved. The software is provided "as is", without
+# warranty of any kind."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice."""
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with\nthe License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+    long = "river mill " * 100_000 + "\nReleased under the MIT License"
+    docs = spark.createDataFrame([(1, mit), (2, bsd), (3, apache), (4, "a line\nReleased under the MIT License\nanother line"), (5, long), (6, "it is dedicated to the\npublic domain")], "doc_id long, text string")
+    out = licenses.scan_licenses(docs)
+    got = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in out.collect()}
+    assert got == {1: ("MIT,Proprietary", ""), 2: ("BSD-2-Clause", ""), 3: ("Apache-2.0", ""), 4: ("MIT", ""), 5: ("MIT", ""), 6: ("CC0-1.0", "")}
+    assert same(spark, out, licenses.op4_sql(), documents=docs)
+    # Without gaps the shorter rule fits, and what stands behind the foreign sentence is left.
+    assert {(r["licenses"], r["unmatched"]) for r in licenses.scan_licenses(docs, gap=0).collect() if r["doc_id"] == 1} == {("MIT,Proprietary", "as_is")}
+    # Tables of a caller's own, thousands of them, and no stems.
+    own = licenses.sentence_table(spark, [(f"s{k}", [f"known sentence number {k}", f"start of one {k} *"]) for k in range(3000)])
+    rules = licenses.rule_table(spark, [("Two", ["s7", "s9"]), ("One", ["s9"])])
+    text = spark.createDataFrame([(1, "Known sentence, number 7! Known sentence number 8. Start of one 9 and more."), (2, "known sentence number 9")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["licenses"], r["unmatched"]) for r in licenses.scan_licenses(text, own, rules).collect()) == [(1, "Two", "s8"), (2, "One", "")]
+
+
 @pytest.fixture()
 def corpus(spark):
     rows = [(i, "w " * (1 + (i * 7) % 40), f"s{i % 4}" if i % 11 else None) for i in range(300)]
