@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm import ann
 
 
+SMALL = "/root/testdata/sf0.01"
+
+
 def exact(ids, x, q, k):
     score = x @ x[q] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
     order = sorted((-s, i) for s, i in zip(score, ids, strict=True) if i != ids[q])
@@ -22,8 +25,8 @@ def test_recall_on_a_shard():
     shard = ann.Shard.build(ids, x)
     q = np.arange(0, 6000, 60)
     got = {}
-    for a, b, _ in zip(*shard.search(ids[q], x[q], 5, ann.SHARE), strict=True):
-        got.setdefault(a, set()).add(b)
+    for a, b, _ in zip(*(c.tolist() for c in shard.search(ids[q], x[q], 5, ann.SHARE)), strict=True):
+        got.setdefault(int(q[a]), set()).add(b)
     hits = [len(got[int(i)] & {b for b, _ in exact(ids, x, i, 5)}) for i in q]
     assert np.mean(hits) / 5 >= 0.9
 
@@ -52,3 +55,28 @@ def test_few_candidates_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1)]
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_blocks_and_shards_answer_alike(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((900, 8)).tolist())] + [(7, [0.5] * 8), (7, [0.4] * 8), (50, [0.1, 0.2])], "vec_id long, embedding array<double>")
+    # A share over the number of trees looks at everything: exact whatever the shards and blocks.
+    asked = lambda **kw: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0, share=float(ann.TREES), **kw).collect())
+    one = asked()
+    assert one == asked(shard_rows=100, block_bytes=64) == asked(shard_rows=100)
+    assert len(one) == 18 * 5 and len({(q, v) for q, _, v in one}) == len(one)
+
+
+def test_recall_of_the_registered_query(spark):
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x, ids = np.array(rows["embedding"].tolist(), dtype=np.float64), rows["vec_id"].to_numpy()
+    got = {}
+    for r in ann.op7_ann(spark, SMALL).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert sorted(got) == sorted(i for i in ids.tolist() if i % 50 == 0)
+    hits = 0
+    for q, found in got.items():
+        want = dict(exact(ids, x, int(np.flatnonzero(ids == q)[0]), 5))
+        hits += len(want.keys() & found.keys())
+        assert len(found) == 5 and all(abs(want[i] - s) < 1e-12 for i, s in found.items() if i in want)
+    assert hits / (5 * len(got)) >= 0.9
