@@ -1,27 +1,42 @@
 """Toxicity by a subsequence string kernel with Nyström landmarks.
 
-A *unit* is a token, or a run of single letters set apart ("i d i o t"). Its
-kernel features are all ordered triples of its letters within a short span;
-a triple counts ``DECAY`` to the power of the span, so letters put in between
-weaken a match and don't break it. Characters that aren't letters take up
-room and form no features. Landmarks are units of labelled rows; a linear
+Training is multi-instance: labels mark documents, some wrongly, so a
+document is a bag of sentences and a sentence a bag of *stretches*: a token, a
+run of single letters set apart ("i d i o t", "i - d - i - o - t"), or
+neighbouring tokens. A stretch's kernel features are all ordered triples of
+its letters within a short span; a triple counts ``DECAY`` to the power of the
+span, so characters put in between, a blank or a line end like any other,
+weaken a match and don't break it. Characters that aren't letters take up room
+and form no features. Landmarks are stretches of labelled sentences; a linear
 support vector machine is fitted on the Nyström map of the normalised kernel.
 As the kernel is an inner product of those features, the landmark expansion
-folds into one weight per triple, which scores a unit exactly as the kernel
+folds into one weight per triple, which scores a stretch exactly as the kernel
 sum over landmarks does.
 
-Labels mark documents, not sentences, and some are wrong, so training is
-multi-instance: every sentence of a clean document is clean; of a toxic one,
-those count as toxic that hold a unit which marks toxic documents beyond
-chance (a binomial tail over all units tested). A text's score is that of its
-worst unit, hence of its worst sentence; the logistic map to a probability is
-fitted on the worst margins of the sample, weighted to the corpus's own rates.
-
-Defined cases: null and empty texts hold no unit and get the calibrated score
-of "no evidence", below the threshold; repeated rows score alike; labels that
-are null are left out, a doc_id with several labels is toxic if any says so;
-without rows of both labels every text gets that same score. Extra columns
-are ignored (``score``) or kept (``drop_toxic``).
+The instances that stand for a toxic document are found in turns. First those
+tokens that mark toxic documents beyond chance (a binomial tail over all that
+were tested), and pairs of neighbouring words that mark the toxic documents in
+which the machine then finds nothing; with the machine fitted on them, the stretch of each toxic document's worst sentence,
+where the machine takes it for toxic and clean documents don't hold it. All
+sentences of clean documents are clean; those stretches of theirs that the
+machine takes for toxic join the other side each time. The logistic map to a
+probability is fitted on the margins of the documents' worst sentences,
+weighted to the corpus's own rates, and on gapped spellings of the stretches
+that stand for toxic documents.
+
+A text's score is that of its worst sentence, hence of its worst stretch.
+Tokens and runs of letters are scored all; neighbouring tokens are scored
+together where the letters that meet at the blank also meet in a stretch that
+stands for toxic documents ("id iot" by "d i"), and no stretch goes beyond the
+end of a sentence.
+
+Defined cases: null and empty texts hold no stretch and get the calibrated
+score of "no evidence", below the threshold; very long texts are scored whole,
+long stretches in overlapping parts; repeated rows score alike; of several
+worst stretches the last in code point order is named; labels that are null
+are left out, a doc_id with several labels is toxic if any says so; without
+rows of both labels every text gets that same score. Extra columns are
+ignored (``score``) or kept (``drop_toxic``).
 """
 
 from __future__ import annotations
@@ -46,7 +61,7 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Clean units drawn to train on, and landmarks of the Nyström map.
 CLEAN_UNITS, LANDMARKS = 16_000, 320
-#: Rounds in which clean units that the machine takes for toxic are added, and so many a round at most.
+#: Turns in which instances are chosen anew, and clean stretches that join in one turn at most.
 HARD_ROUNDS, HARD_UNITS = 2, 1500
 #: Letters of a triple lie within so many characters; each character of the span counts so much.
 SPAN, DECAY = 7, 0.75
@@ -61,7 +76,9 @@ FOLD = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 #: Longer units (base64, markup) are cut into overlapping stretches of this length.
 UNIT_CHARS = 40
 _LETTERS = 64
-_SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s+){2,}\w[^\w\s]?(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s+(?:[^\w\s.!?]\s+)?){2,}\w[^\w\s]?(?!\S)")
+_LONE = re.compile(r"\s+(?:[^\w\s]\s+)?")
+_END = ".!?"
 _EDGE = ".,;:!?\"'()[]{}<>|%&*#$-_/\\"
 
 
@@ -71,17 +88,54 @@ def plain(unit: str) -> str:
     return core if core.isalpha() else core.translate(FOLD)
 
 
-def document_units(text: str | None) -> set[str]:
-    """Distinct units of a text, plain."""
+def neighbours(tokens: list[str], junctions: frozenset[str]) -> list[str]:
+    """Neighbouring tokens that meet at a known junction: each two, and each whole run of them."""
+    out, begin, last = [], 0, -1
+    for k in [k for k, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if f"{a[-2:]} {b[:2]}" in junctions]:
+        out.append(f"{tokens[k]} {tokens[k + 1]}")
+        if k != last + 1 or last < 0:
+            begin = k
+        elif k > begin:
+            out.append(" ".join(tokens[begin : k + 2]))
+        last = k
+    return out
+
+
+def junctions_of(stretch: str) -> set[str]:
+    """The letters on both sides of every place at which a stretch may be broken, as ``neighbours`` looks them up."""
+    out = set()
+    words = stretch.split()
+    for a, b in zip(words, words[1:], strict=False):
+        out.add(f"{a[-2:]} {b[:2]}")
+    core = "".join(c for c in stretch if c.isalpha())
+    if len(words) == 1 and len(core) >= 4:
+        for p in range(1, len(core)):
+            # Of a token of one letter only that letter is seen.
+            out.update(f"{a} {b}" for a in {core[max(0, p - 2) : p], core[p - 1]} for b in {core[p : p + 2], core[p]})
+    return out
+
+
+def document_units(text: str | None, junctions: frozenset[str] = frozenset()) -> set[str]:
+    """Distinct stretches of a text, plain."""
     if not text:
         return set()
     low = text.lower()
-    units = set(map(plain, set(low.split())))
-    units.update(plain(m[0]) for m in _SPACED.finditer(low))
+    tokens = low.split()
+    units = set(map(plain, set(tokens)))
+    # Marks that stand alone between single letters take no room.
+    units.update(plain(_LONE.sub(" ", m[0])) for m in _SPACED.finditer(low))
+    if junctions:
+        units.update(map(plain, neighbours(tokens, junctions)))
     units.discard("")
     return units
 
 
+def word_pairs(text: str) -> set[str]:
+    """Each two neighbouring words of a sentence, plain."""
+    tokens = text.lower().split()
+    return {f"{x} {y}" for a, b in zip(tokens, tokens[1:], strict=False) if a[-1] not in _END and (x := plain(a)) and (y := plain(b))}
+
+
 @cache
 def _letter_codes() -> np.ndarray:
     """The code of every character: letters by themselves, foreign letters by remainder, -1 for what is no letter."""
@@ -151,12 +205,13 @@ def stretches(unit: str) -> list[str]:
 
 @dataclass
 class Model:
-    """``weights`` by triple, ``bias``, and the logistic map from a margin to a score."""
+    """``weights`` by triple, ``bias``, the logistic map from a margin to a score, and where neighbouring tokens are scored together."""
 
     weights: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    junctions: frozenset[str] = frozenset()
 
     def margins(self, units: list[str]) -> np.ndarray:
         """The machine's margin for each unit (its worst stretch)."""
@@ -182,7 +237,7 @@ class Scorer:
 
     def worst(self, texts: list[str | None]) -> list[tuple[float | None, str | None]]:
         """Highest margin of each text, and the unit that has it."""
-        found = [document_units(t) for t in texts]
+        found = [document_units(t, self.model.junctions) for t in texts]
         if len(self.known) > KEPT_UNITS:
             self.known = {}
         new = sorted(set().union(*found) - self.known.keys()) if found else []
@@ -242,14 +297,15 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w[:-1], float(w[-1])
 
 
-def _spelt_around(unit: str, k: int) -> list[str]:
-    """Variants with characters put between the letters, as gapped insults have."""
+def _spelt_around(unit: str, k: int, every: bool = False) -> list[str]:
+    """Variants with characters put between the letters, as gapped insults have; ``every``: a letter put in at each place, not in the middle only."""
     core = unit.strip(_EDGE)
     if len(core) < 4:
         return []
     mark = ".*-_ "[k % 5]
     middle = len(core) // 2
-    return [mark.join(core), core[:middle] + "xzqw"[k % 4] + core[middle:], core[: middle - 1] + mark + core[middle - 1 :]]
+    put_in = [core[:p] + "xzqw"[(k + p) % 4] + core[p:] for p in range(2, len(core))]
+    return [mark.join(core), core[: middle - 1] + mark + core[middle - 1 :], *(put_in if every else put_in[middle - 2 : middle - 1])]
 
 
 def tail(toxic: int, total: int, share: float) -> float:
@@ -262,14 +318,19 @@ def tail(toxic: int, total: int, share: float) -> float:
 def pick_seeds(counted: list[tuple[str, int, int]], share: float, tested: int) -> list[tuple[str, int]]:
     """Units (with their toxic documents) that mark toxic documents beyond chance, all tests counted; the strongest first."""
     judged = sorted((tail(toxic, total, share), -toxic, unit) for unit, toxic, total in counted)
-    sure = [(u, -t) for p, t, u in judged if p * max(tested, 1) < LEVEL]
-    return sure or [(u, -t) for p, t, u in judged[:20] if p < 1e-3]
+    return [(u, -t) for p, t, u in judged if p * max(tested, 1) < LEVEL]
+
+
+def expansion(basis: list[str], coefficients: np.ndarray) -> np.ndarray:
+    """One weight per triple, for a sum of kernels with landmarks."""
+    bu, bt, bv = triples(basis)
+    return np.bincount(bt, weights=bv * coefficients[bu], minlength=1 << 18)
 
 
 def fit(seeds: list[tuple[str, int]], clean: list[str], hard: list[tuple[str, int]] = ()) -> Model:
-    """The machine: ``seeds`` against units of clean documents, each also with characters put between its letters.
+    """The machine: ``seeds`` (with their toxic documents) against stretches of clean documents, each also with characters put between its letters.
 
-    ``hard``: clean units (with their documents) that an earlier fit took for toxic.
+    ``hard``: clean stretches (with their documents) that an earlier fit took for toxic.
     """
     usable = lambda units: [(u, n) for u, n in units if 0 < len(u) <= UNIT_CHARS]
     seeds, hard = usable(seeds), usable(hard)
@@ -281,7 +342,7 @@ def fit(seeds: list[tuple[str, int]], clean: list[str], hard: list[tuple[str, in
     value, vector = np.linalg.eigh(_dense(basis, basis))
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    good = seeds + [(s, n) for k, (u, n) in enumerate(seeds) for s in _spelt_around(u, k)]
+    good = seeds + [(s, n) for k, (u, n) in enumerate(seeds) for s in _spelt_around(u, k, True)]
     bad = clean + [u for u, _ in hard] + [s for k, u in enumerate(clean[::5]) for s in _spelt_around(u, k)]
     x = np.vstack([mapped([u for u, _ in good], basis, whiten), mapped(bad, basis, whiten)])
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
@@ -290,8 +351,7 @@ def fit(seeds: list[tuple[str, int]], clean: list[str], hard: list[tuple[str, in
     against[len(clean) : len(clean) + len(hard)] = 3 * np.sqrt([n for _, n in hard])
     weight = np.concatenate([often * (0.5 * against.sum() / often.sum()), against])
     w, b = _fit_svm(x, y, weight)
-    bu, bt, bv = triples(basis)
-    return Model(np.bincount(bt, weights=bv * (whiten @ w)[bu], minlength=1 << 18), b)
+    return Model(expansion(basis, whiten @ w), b, junctions=frozenset().union(*(junctions_of(u) for u, _ in seeds)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -311,15 +371,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(0.1, float(a)), float(c)
 
 
-def _unit_rows(batches):
-    for batch in batches:
-        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = sorted(document_units(t))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["unit", "label"])
+def _counted(rows: DataFrame, units) -> DataFrame:
+    """unit, and in how many toxic documents and in how many at all it occurs; ``units`` gives a text's distinct ones."""
+
+    def tell(batches):
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sorted(units(t))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["unit", "label"])
+
+    return rows.mapInArrow(tell, "unit string, label int").groupBy("unit").agg(F.sum("label").cast("int").alias("toxic"), F.count("*").cast("int").alias("total"))
+
+
+def _single(text: str) -> set[str]:
+    return {s for u in document_units(text) for s in stretches(u)}
+
+
+def _paired(text: str) -> set[str]:
+    return {p for p in word_pairs(text) if len(p) <= UNIT_CHARS}
+
+
+def _seeds(counted: DataFrame, share: float) -> list[tuple[str, int]]:
+    """Stretches, with their toxic documents, that mark toxic documents beyond chance."""
+    often = counted.filter(F.col("total") >= LEAST_DOCS)
+    telling = often.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > 2 * share * F.col("total")))
+    return pick_seeds([(r["unit"], r["toxic"], r["total"]) for r in telling.collect()], share, often.count())
+
+
+def _unexplained(rows: DataFrame, model: Model) -> DataFrame:
+    """The clean rows, and the toxic ones in which the machine finds nothing."""
+    known = rows.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        scorer = Scorer(known.value)
+        for batch in batches:
+            worst = scorer.worst(batch.column(0).to_pylist())
+            yield batch.filter(pa.array([y == 0 or m is None or m < 0 for (m, _), y in zip(worst, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    return rows.select("text", "label").mapInArrow(keep, "text string, label int")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
-    """Fit on a bounded sample of labelled rows: units are counted on executors, the telling ones come to the driver."""
+    """Fit on a bounded sample of labelled rows: stretches are counted on executors, the telling ones come to the driver."""
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     drawn, shares = bounded_sample(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT), {1: sample_toxic, 0: sample_clean})
@@ -330,53 +423,75 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     if not n_toxic or not n_clean:
         return Model(np.zeros(1 << 18), -1.0)
     share = n_toxic / (n_toxic + n_clean)
-    met = rows.mapInArrow(_unit_rows, "unit string, label int")
-    counted = scratch.table(met.groupBy("unit").agg(F.sum("label").cast("int").alias("toxic"), F.count("*").cast("int").alias("total")), "units")
-    telling = counted.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > 2 * share * F.col("total"))).filter(F.length("unit") <= UNIT_CHARS)
-    tested = counted.filter(F.col("total") >= LEAST_DOCS).count()
-    seeds = pick_seeds([tuple(r) for r in telling.collect()], share, tested)
-    idle = counted.filter((F.col("total") > F.col("toxic")) & (F.col("toxic") <= 1.5 * share * F.col("total"))).filter(F.length("unit") <= UNIT_CHARS)
+    single = scratch.table(_counted(rows, _single), "units")
+    seeds = _seeds(single, share)
+    idle = single.filter((F.col("total") > F.col("toxic")) & (F.col("toxic") <= 1.5 * share * F.col("total")))
     often = idle.orderBy(F.desc("total"), "unit").limit(CLEAN_UNITS // 2)
     spread = idle.orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS // 2)
     clean = sorted({r[0] for r in often.select("unit").union(spread.select("unit")).collect()}, key=lambda u: zlib.crc32(u.encode()))
-    model, hard = fit(seeds, clean), {}
+    model = fit(seeds, clean)
+    # Pairs of words are looked for where no token tells anything.
+    left = scratch.table(_unexplained(rows, model), "unexplained")
+    n_left = left.filter("label = 1").count()
+    if n_left >= LEAST_DOCS:
+        pairs = scratch.table(_counted(left, _paired).filter(F.col("total") >= LEAST_DOCS), "pairs")
+        by_pairs = [(u, n) for u, n in _seeds(pairs, n_left / (n_left + n_clean)) if n >= LEAST_DOCS]
+        if by_pairs:
+            seeds = sorted(seeds + by_pairs, key=lambda x: (-x[1], x[0]))
+            model = fit(seeds, clean)
+    hard: dict[str, int] = {}
+    chosen: dict[str, int] = dict(seeds)
+    in_clean = idle.select("unit")
     for _ in range(HARD_ROUNDS if seeds else 0):
-        # Clean units that the machine takes for toxic ones, wherever they are among the sample's.
+        before = len(hard), len(chosen)
+        # Clean stretches that the machine takes for toxic ones, wherever they are among the sample's.
         taken = _unit_margins(idle.filter(F.col("total") >= 2), model).filter("margin > -0.5").orderBy(F.desc("margin"), "unit").limit(HARD_UNITS).collect()
-        before = len(hard)
-        hard |= {r["unit"]: r["total"] for r in taken}
-        if len(hard) == before:
+        worst = _margins(rows, model)
+        crossing = worst.filter("label = 0 and margin > -0.5 and instr(unit, ' ') > 0").groupBy("unit").agg(F.count("*").cast("int").alias("total")).orderBy(F.desc("total"), "unit").limit(HARD_UNITS).collect()
+        hard |= {r["unit"]: r["total"] for r in taken} | {r["unit"]: r["total"] for r in crossing if r["unit"] not in chosen}
+        # The instance that stands for each toxic document, in its worst sentence: a bounded sample has a bounded number of them.
+        found = worst.filter("label = 1 and margin > 0").join(in_clean, "unit", "left_anti").groupBy("unit").agg(F.count("*").cast("int").alias("toxic")).collect()
+        chosen |= {r["unit"]: r["toxic"] for r in found if r["unit"] not in chosen and r["unit"] not in hard and len(r["unit"]) <= UNIT_CHARS}
+        if (len(hard), len(chosen)) == before:
             break
-        model = fit(seeds, clean, sorted(hard.items(), key=lambda x: (-x[1], x[0])))
-    margins = np.array([(m, y) for m, y in _margins(rows, model).collect() if m is not None]).reshape(-1, 2)
+        model = fit(sorted(chosen.items(), key=lambda x: (-x[1], x[0])), clean, sorted(hard.items(), key=lambda x: (-x[1], x[0])))
+    margins = np.array([(r["margin"], r["label"]) for r in _margins(rows, model).select("margin", "label").collect() if r["margin"] is not None]).reshape(-1, 2)
     x, y = margins[:, 0], margins[:, 1]
     if 0 < y.sum() < len(y):
-        model.slope, model.shift = _logistic(x, y, np.where(y == 1, 1 / shares[1], 1 / shares[0]))
+        weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+        # Gapped spellings of what stands for toxic documents count as toxic, too, together an eighth of what the documents do.
+        gapped = [v for k, (u, _) in enumerate(sorted(chosen.items())) for v in _spelt_around(u, k, True)]
+        if gapped:
+            more = model.margins(gapped)
+            x, weight = np.concatenate((x, more)), np.concatenate((weight, np.full(len(more), weight[y == 1].sum() / 8 / len(more))))
+            y = np.concatenate((y, np.ones(len(more))))
+        model.slope, model.shift = _logistic(x, y, weight)
     return model
 
 
 def _unit_margins(units: DataFrame, model: Model) -> DataFrame:
-    """unit, total and margin of a table of units."""
+    """unit, toxic, total and margin of a table of stretches."""
     known = units.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.value.margins(batch.column(0).to_pylist()), pa.float64())], names=["unit", "total", "margin"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.value.margins(batch.column(0).to_pylist()), pa.float64())], names=["unit", "toxic", "total", "margin"])
 
-    return units.select("unit", "total").mapInArrow(judge, "unit string, total int, margin double")
+    return units.select("unit", "toxic", "total").mapInArrow(judge, "unit string, toxic int, total int, margin double")
 
 
 def _margins(rows: DataFrame, model: Model) -> DataFrame:
-    """Worst margin and label of each row of the sample."""
+    """Worst margin, its stretch, and label of each row of the sample."""
     known = rows.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         scorer = Scorer(known.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in scorer.worst(batch.column(0).to_pylist())], pa.float64()), batch.column(1)], names=["margin", "label"])
+            worst = scorer.worst(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in worst], pa.float64()), pa.array([u for _, u in worst], pa.string()), batch.column(1)], names=["margin", "unit", "label"])
 
-    return rows.select("text", "label").mapInArrow(judge, "margin double, label int")
+    return rows.select("text", "label").mapInArrow(judge, "margin double, unit string, label int")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
