@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import Scratch
 from tallyloom.stats.prob import chi2_sf, normal_sf
 
 
@@ -57,26 +58,26 @@ def _sums(df: DataFrame, x: list[str], y: str, beta: np.ndarray) -> tuple[np.nda
     return h, np.array([row[m + i] for i in range(k)], float), float(row["log"]), int(row["n"])
 
 
-def fit_logistic(df: DataFrame, terms: dict[str, Column], response: Column, most_steps: int = 100, tolerance: float = 1e-10) -> Fit:
+def fit_logistic(df: DataFrame, terms: dict[str, Column], response: Column, most_steps: int = 100, tolerance: float = 1e-10, start: Sequence[float] | None = None) -> Fit:
     """Maximum likelihood fit; ``terms`` name the design's columns (give an intercept as ``F.lit(1.0)``). Rows with nulls are left out.
 
-    Equal rows are counted into one first, so that each step reads distinct rows only.
+    Equal rows are counted into one first and written, so that each step reads
+    distinct rows only and a lost executor loses none. ``start``: coefficients
+    to begin with.
     """
     names = list(terms)
     x = [f"__x{k}" for k in range(len(names))]
     rows = df.select(*[c.cast("double").alias(a) for a, c in zip(x, terms.values(), strict=True)], response.cast("double").alias("__y")).dropna()
-    counted = rows.groupBy(*x, "__y").agg(F.count("*").cast("double").alias("__n")).persist()
-    beta = np.zeros(len(names))
-    try:
-        for _ in range(most_steps):
-            h, g, _, _ = _sums(counted, x, "__y", beta)
-            step = np.linalg.solve(h, g)
-            beta = beta + step
-            if np.abs(step).max() < tolerance:
-                break
-        h, _, log, n = _sums(counted, x, "__y", beta)
-    finally:
-        counted.unpersist()
+    counted = rows.groupBy(*x, "__y").agg(F.count("*").cast("double").alias("__n"))
+    counted = Scratch(df.sparkSession, "logistic").table(counted, "counted")
+    beta = np.zeros(len(names)) if start is None else np.array(start, float)
+    for _ in range(most_steps):
+        h, g, _, _ = _sums(counted, x, "__y", beta)
+        step = np.linalg.solve(h, g)
+        beta = beta + step
+        if np.abs(step).max() < tolerance:
+            break
+    h, _, log, n = _sums(counted, x, "__y", beta)
     return Fit(names, beta, np.linalg.inv(h), log, n)
 
 
@@ -109,5 +110,5 @@ def trend(df: DataFrame, arm: Column, time: Column, event: Column, cluster: str)
     a = arm.cast("double")
     terms = {"intercept": F.lit(1.0), "arm": a, "time": t, "arm:time": a * t}
     full = fit_logistic(df, terms, event)
-    reduced = fit_logistic(df, {k: v for k, v in terms.items() if k != "arm:time"}, event)
+    reduced = fit_logistic(df, {k: v for k, v in terms.items() if k != "arm:time"}, event, start=full.beta[:3])
     return cluster_covariance(df, terms, event, cluster, full), likelihood_ratio(full, reduced)
