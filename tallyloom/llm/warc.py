@@ -17,14 +17,17 @@ all others, and its capture has a null page_id; a null url is written as
 ``urn:tallyloom:none`` and read back as null; equal rows (page_id, url and
 html) are one capture with ``copies``; rows of one page_id with different
 urls are different captures, of which one is the response; extra columns are
-ignored; an empty table gives an empty archive.
+ignored; an empty table gives an empty archive; archives that are cut off or
+broken give the records that can be read, with their ``problem``.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,24 +101,41 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None
 
 
 def parse(data: bytes):
-    """Header fields (lower-case names) and block of each record."""
+    """Header fields (lower-case names), block and problem (null, or what is wrong) of each record.
+
+    A record that ends early is given with what is there. Without a usable
+    length, or where no record begins, the block goes on to what looks like
+    the next record's beginning.
+    """
     at, n = 0, len(data)
     while at < n:
         while data[at : at + 2] == b"\r\n":
             at += 2
         if at >= n:
             return
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
+        stop = data.find(b"\r\n\r\n", at)
+        lines = data[at : stop if stop >= 0 else n].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record at byte {at}")
+            following = data.find(b"\r\n\r\nWARC/", at)
+            yield {}, data[at : following if following >= 0 else n], "no record"
+            at = following if following >= 0 else n
+            continue
         fields = {}
         for line in lines[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
+        if stop < 0:
+            yield fields, b"", "truncated"
+            return
         begin = stop + 4
-        at = begin + int(fields["content-length"])
-        yield fields, data[begin:at]
+        length = fields.get("content-length", "")
+        if not length.isdecimal():
+            following = data.find(b"\r\n\r\nWARC/", begin)
+            at = following if following >= 0 else n
+            yield fields, data[begin:at], "no length"
+            continue
+        at = begin + int(length)
+        yield fields, data[begin:at], "truncated" if at > n else None
 
 
 def digest_hex(text: str | None) -> str | None:
@@ -123,21 +143,42 @@ def digest_hex(text: str | None) -> str | None:
     if not text:
         return None
     value = text.rpartition(":")[2]
-    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+    try:
+        return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+    except binascii.Error:
+        return value.lower()
 
 
-RECORD = "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, block string"
+RECORD = "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, block string, problem string"
 _FIELDS = ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri")
 
 
+def _unpacked(data: bytes) -> bytes:
+    """The bytes of an archive, packed or not; of a packed one that ends early or is broken, what can be read."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    try:
+        return gzip.decompress(data)
+    except (EOFError, OSError, zlib.error):
+        out, rest = [], data
+        while rest:
+            member = zlib.decompressobj(31)
+            try:
+                out.append(member.decompress(rest))
+            except zlib.error:
+                break
+            rest = member.unused_data
+        return b"".join(out)
+
+
 def _records(batches):
     names = [x.split()[0] for x in RECORD.split(", ")]
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.string()]
+    kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         for data in batch.column(0).to_pylist():
-            raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+            raw = _unpacked(data)
             rows, held = [], 0
-            for fields, block in parse(raw):
+            for fields, block, problem in parse(raw):
                 kind, digest, size = fields.get("warc-type"), digest_hex(fields.get("warc-payload-digest")), None
                 if kind in ("response", "revisit"):
                     head, _, payload = block.partition(b"\r\n\r\n")
@@ -145,12 +186,13 @@ def _records(batches):
                         size = len(payload)
                         own = hashlib.sha1(payload).hexdigest()
                         if digest and digest != own:
-                            raise ValueError(f"{fields['warc-record-id']}: the payload's digest is {own}, not {digest}")
+                            problem = problem or "digest"
                         digest, block = own, payload
                     else:
-                        size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+                        said = next((x.split(b":")[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+                        size = int(said) if said.isdigit() else None
                         block = b""
-                rows.append((*(fields.get(f) for f in _FIELDS), digest, size, block.decode("utf-8", "replace")))
+                rows.append((*(fields.get(f) for f in _FIELDS), digest, size, block.decode("utf-8", "replace"), problem))
                 held += len(block)
                 if held > 4 << 20 or len(rows) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -160,7 +202,12 @@ def _records(batches):
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in ``path``; payloads' lengths and digests are taken from the payloads."""
+    """A row for each record of the archives in ``path``; payloads' lengths and digests are taken from the payloads.
+
+    ``problem`` says what is wrong with a record: truncated, no length, no
+    record (bytes where one should begin) or digest (the payload has another
+    one than its header says); null for sound records.
+    """
     bound_arrow_batches(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_records, RECORD)
 

@@ -79,3 +79,31 @@ def test_held_out(spark):
     assert ql.train(docs, labels.limit(0)) == 0.5
     assert ql.train(docs, labels.filter("quality = 1")) == 1.0
     assert ql.score(docs.limit(0), net).count() == 0
+
+
+def naive_probability(net, text):
+    """The network by loops over one text: every filter at every place, chunks of blocks, mean and maximum over chunks."""
+    blocks = -(-(len(text) + 2 * ql.WIDTH) // ql.BLOCK)
+    padded = list(text) + [0] * (blocks * ql.BLOCK - len(text))
+    back = lambda p: any(p - lag - 3 >= 0 and padded[p - 3 : p + 1] == padded[p - lag - 3 : p - lag + 1] for lag in range(2, ql.LAGS + 1))
+    repeat = [float(p >= ql.LAGS + 4 and padded[p] != 0 and back(p)) for p in range(len(padded))]
+    peaks = []
+    for b in range(blocks):
+        best = [-1e9] * ql.FILTERS
+        for p in range(b * ql.BLOCK, (b + 1) * ql.BLOCK):
+            if p + ql.WIDTH > len(padded):
+                continue
+            seen = [v for q in range(p, p + ql.WIDTH) for v in (*net.table[padded[q]].tolist(), repeat[q])]
+            best = [max(x, sum(s * w for s, w in zip(seen, net.filters[:, f].tolist(), strict=True))) for f, x in enumerate(best)]
+        peaks.append([max(0.0, x + float(o)) for x, o in zip(best, net.offset, strict=True)])
+    starts = range(0, 1 + ql.HOP * -(-max(blocks - ql.CHUNK, 0) // ql.HOP), ql.HOP)
+    pooled = [[max(peaks[min(s + k, blocks - 1)][f] for k in range(ql.CHUNK)) for f in range(ql.FILTERS)] for s in starts]
+    x = [sum(p[f] for p in pooled) / len(pooled) for f in range(ql.FILTERS)] + [max(p[f] for p in pooled) for f in range(ql.FILTERS)]
+    return 1 / (1 + np.exp(-(float(np.dot(x, net.top)) + float(net.bias[0]))))
+
+
+def test_forward_pass_against_loops():
+    net = ql.Network.start()
+    texts = [b"", b"plain words", b"the same the same the same " * 9, bytes(range(1, 250)) * 3]
+    got = ql.probabilities(net, *offsets(texts))
+    assert got == pytest.approx([naive_probability(net, t) for t in texts], abs=1e-5)

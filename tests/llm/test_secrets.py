@@ -82,3 +82,10 @@ def test_partners_are_the_nearest_of_all():
             ends.append(max(p.end for p in others if p.start <= o.start and not any(p.start < c <= o.start for c in cuts) and others.index(p) <= others.index(o)))
         want = min(((max(0, o.start - span.end, span.start - o.end), o.start) for o in others if scope[0] <= o.start < scope[1]), default=(sc.GAP + 1, None))
         assert sc._nearest(span, starts, ends, scope) == (want[1] if want[0] <= sc.GAP else None)
+
+
+def test_columns_that_clash_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefghijklmnop", "x", 1), (None, None, "y", 2)], "doc_id long, text string, spans string, n_chars int")
+    assert sorted(len(r["spans"]) for r in sc.find_secrets(docs).collect()) == [0, 1]
+    assert sc.redact_secrets(docs).columns == docs.columns
+    assert sc.find_secrets(docs.limit(0)).count() == sc.redact_secrets(docs.limit(0)).count() == 0
