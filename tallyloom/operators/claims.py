@@ -102,7 +102,9 @@ def find_marks(text: str, patterns: list[tuple[str, str, re.Pattern]], hidden_fr
         hidden = [span for other in hidden_from.get(name, []) for span in raw[other]]
         seen = _hide(text, hidden) if hidden else text
         out += [("cue", name, token(m.start()), token(m.end() - 1), m.start(), m.end(), m[0]) for m in cues[name].finditer(seen)]
-    return out
+    # A claim is a cue with a quantity, or a construction of its own: other texts needn't be looked at again.
+    roles = {role for role, *_ in out}
+    return out if "self" in roles or {"cue", "quantity"} <= roles else []
 
 
 def marks(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT) -> DataFrame:

@@ -141,7 +141,7 @@ def attribute(rows: DataFrame, matches: DataFrame, searches: DataFrame, key: str
     """
     day = F.col(created).cast("string").try_cast("date")
     base = rows.withColumn("__day", day)
-    known = F.broadcast(rules.select(F.col("rule").alias("__rule"), "agent", F.col("since").cast("date").alias("__since")))
+    known = rules.select(F.col("rule").alias("__rule"), "agent", F.col("since").cast("date").alias("__since"))
     hits = matches.join(known, F.col("rule") == F.col("__rule")).join(base.select(key, "__day"), key).filter(F.col("__day") >= F.col("__since"))
     found = hits.groupBy(key).agg(F.min(F.struct("rule", "agent")).alias("__hit"))
     # Rules in force on a day, and those of them searched completely in a scope, are counted from their dates: rows meet one list each.

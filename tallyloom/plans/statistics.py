@@ -294,7 +294,7 @@ def logit_trend_cluster(t: Tables) -> DataFrame:
 def bootstrap_cramers(t: Tables) -> DataFrame:
     """Language against length, documents drawn by source."""
     d = t.documents.select("source", "lang", F.when(F.col("n_chars") < 1500, "short").otherwise("long").alias("size"))
-    out = resample.bootstrap_cramers_v(resample.cluster_tensor(d, "source", "lang", "size"), draws=2000)
+    out = resample.bootstrap_cramers_v(resample.cluster_tensor(d, "source", "lang", "size"), draws=2000, spark=t.spark)
     return t.spark.createDataFrame([(out["cramers_v"], float(out["low"]), float(out["high"]), out["draws"])], "cramers_v double, low double, high double, draws long")
 
 

@@ -35,7 +35,7 @@ def incremental_enrichment(t: Tables) -> DataFrame:
     """Purchases enriched by micro-batches from files, each batch written once."""
     scratch = Scratch(t.spark, "stream")
     source, out = scratch.new_path("source"), scratch.new_path("out")
-    t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "value").repartition(4, "event_id").write.parquet(source)
+    t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "value").write.option("maxRecordsPerFile", 50_000).parquet(source)
     schema = t.spark.read.parquet(source).schema
     stream = inc.file_stream(t.spark, source, schema, 2).withColumn("doubled", F.col("value") * 2)
     inc.run_available(stream, inc.write_batch(out), scratch.new_path("checkpoint"))

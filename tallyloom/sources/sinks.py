@@ -72,5 +72,5 @@ def to_json_lines(df: DataFrame, most_rows: int = 500) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A CSV table with header that ``read_any`` reads back as it was: quotes doubled, numbers in their shortest exact form."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", None).csv(path)
+    """A CSV table with header that ``read_any`` reads back as it was: quotes doubled, numbers in their shortest exact form; only empty texts come back as nulls."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

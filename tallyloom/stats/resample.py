@@ -29,15 +29,33 @@ def cluster_tensor(df: DataFrame, cluster: str, row: str, column: str, most_cell
     return out
 
 
-def bootstrap_cramers_v(tensor: np.ndarray, draws: int = 10_000, seed: int = 20_260_911, degenerate: str = "skip") -> dict:
-    """Cramér's V and its percentile interval when clusters are drawn with replacement; degenerate draws are skipped or count as 0."""
-    rng = np.random.default_rng(seed)
-    values = []
-    for _ in range(draws):
-        weight = np.bincount(rng.integers(0, len(tensor), len(tensor)), minlength=len(tensor))
-        v = cramers_v(np.tensordot(weight, tensor, axes=1))
-        if v is not None or degenerate == "zero":
-            values.append(v or 0.0)
+def bootstrap_cramers_v(tensor: np.ndarray, draws: int = 10_000, seed: int = 20_260_911, degenerate: str = "skip", spark: SparkSession | None = None) -> dict:
+    """Cramér's V and its percentile interval when clusters are drawn with replacement; degenerate draws are skipped or count as 0.
+
+    Runs of draws have a seed each; with ``spark`` they are dealt over tasks,
+    with the same result.
+    """
+
+    def play(run: int) -> list[float]:
+        rng = np.random.default_rng([seed, run])
+        out = []
+        for _ in range(min(RUN, draws - run * RUN)):
+            weight = np.bincount(rng.integers(0, len(tensor), len(tensor)), minlength=len(tensor))
+            v = cramers_v(np.tensordot(weight, tensor, axes=1))
+            if v is not None or degenerate == "zero":
+                out.append(v or 0.0)
+        return out
+
+    def batches_of(batches):
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(play(run), pa.float64())], names=["v"])
+
+    runs = -(-draws // RUN)
+    if spark is None:
+        values = [v for run in range(runs) for v in play(run)]
+    else:
+        values = [r["v"] for r in spark.range(0, runs, 1, runs).mapInArrow(batches_of, "v double").collect()]
     low, high = np.quantile(values, [0.025, 0.975]) if values else (None, None)
     return {"cramers_v": cramers_v(tensor.sum(0)), "low": low, "high": high, "draws": len(values)}
 

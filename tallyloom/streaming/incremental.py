@@ -10,6 +10,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,33 @@ def run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], che
     return query
 
 
+class Stopped(Exception):
+    """A run was asked to stop before a batch began."""
+
+
+def run_until(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, stop: Callable[[], bool]) -> bool:
+    """Process what has arrived until ``stop`` says so between two batches; whether all was processed.
+
+    A batch under way is finished. The one that was to come isn't begun and
+    is the first of the next run from the same checkpoint.
+    """
+    asked = []
+
+    def unless_stopped(batch: DataFrame, batch_id: int) -> None:
+        if stop():
+            asked.append(batch_id)
+            raise Stopped(f"before batch {batch_id}")
+        work(batch, batch_id)
+
+    query = stream.writeStream.foreachBatch(unless_stopped).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not asked:
+            raise
+    return not asked
+
+
 def write_batch(path: str) -> Callable[[DataFrame, int], None]:
     """Work that writes each batch to a folder of its own: a batch run again replaces itself, so that rows arrive exactly once."""
 

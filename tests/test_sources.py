@@ -82,3 +82,25 @@ def test_results_by_outcome(spark):
     got = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("z", False)], "id string, bad boolean")
     out = tables.accept_results(got, asked, "id", F.col("bad"))
     assert {k: [r["id"] for r in d.collect()] for k, d in out.items()} == {"completed": ["a"], "failed": ["b"], "unknown": ["z"], "missing": ["c"]}
+
+
+def test_a_run_stops_between_batches_and_goes_on(spark, tmp_path):
+    source, out, state = (f"file://{tmp_path}/{x}" for x in ("source", "out", "state"))
+    schema = spark.range(1).schema
+    spark.range(12).repartition(4).write.parquet(source)
+    done = []
+    work = inc.write_batch(out)
+    go = lambda b, k: (work(b, k), done.append(k))
+    assert not inc.run_until(inc.file_stream(spark, source, schema, 1), go, state, lambda: len(done) >= 2)
+    assert spark.read.parquet(out).count() < 12 and len(done) == 2
+    assert inc.run_until(inc.file_stream(spark, source, schema, 1), go, state, lambda: False)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(12))
+
+
+def test_csv_and_json_lines(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c\nd', 1 / 3), (2, "", 1e-300), (3, None, None)], "id long, t string, x double")
+    sinks.write_csv(df, f"file://{tmp_path}/x.csv")
+    assert sorted(map(tuple, tables.read_any(spark, f"file://{tmp_path}/x.csv", df.schema).collect()), key=lambda r: r[0]) == [(1, 'a "b", c\nd', 1 / 3), (2, None, 1e-300), (3, None, None)]
+    with pytest.raises(ValueError):
+        sinks.to_json_lines(spark.range(3), 2)
+    assert sinks.to_json_lines(spark.range(1)) == '{"id": "0"}\n'
