@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to Python: short rows are bounded by number, whole texts by size.
 ARROW_ROWS = 4096
-ARROW_BYTES = 4 * 1024 * 1024
+ARROW_BYTES = 1 << 20
 
 
 def build_session(app_name: str = "tallyloom", master: str | None = None, **conf: str) -> SparkSession:
