@@ -115,17 +115,23 @@ def junctions_of(stretch: str) -> set[str]:
     return out
 
 
-def document_units(text: str | None, junctions: frozenset[str] = frozenset()) -> set[str]:
-    """Distinct stretches of a text, plain."""
+def raw_units(text: str | None, junctions: frozenset[str] = frozenset()) -> set[str]:
+    """Distinct stretches of a text, lower-case, as they stand there."""
     if not text:
         return set()
     low = text.lower()
     tokens = low.split()
-    units = set(map(plain, set(tokens)))
+    units = set(tokens)
     # Marks that stand alone between single letters take no room.
-    units.update(plain(_LONE.sub(" ", m[0])) for m in _SPACED.finditer(low))
+    units.update(_LONE.sub(" ", m[0]) for m in _SPACED.finditer(low))
     if junctions:
-        units.update(map(plain, neighbours(tokens, junctions)))
+        units.update(neighbours(tokens, junctions))
+    return units
+
+
+def document_units(text: str | None, junctions: frozenset[str] = frozenset()) -> set[str]:
+    """Distinct stretches of a text, plain."""
+    units = set(map(plain, raw_units(text, junctions)))
     units.discard("")
     return units
 
@@ -184,7 +190,7 @@ def triples(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             values.append(value)
     key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
     value = np.concatenate(values) if values else np.zeros(0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, value = key[order], value[order]
     if not len(key):
         return key, key, value
@@ -230,25 +236,35 @@ class Model:
 
 
 class Scorer:
-    """Scores texts with a model, keeping the margins of units it has met."""
+    """Scores texts with a model, keeping the margins of stretches it has met."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
+    def _meet(self, units: list[str]) -> None:
+        """Learn the margins of stretches; those that are alike once plain are worked out once."""
+        known, plains = self.known, list(map(plain, units))
+        new = sorted(set(plains) - known.keys() - {""})
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
+            known.update(zip(part, self.model.margins(part).tolist(), strict=True))
+        known[""] = -math.inf
+        known.update((u, known[p]) for u, p in zip(units, plains, strict=True))
+
     def worst(self, texts: list[str | None]) -> list[tuple[float | None, str | None]]:
-        """Highest margin of each text, and the unit that has it."""
-        found = [document_units(t, self.model.junctions) for t in texts]
+        """Highest margin of each text, and the stretch that has it; of several the last by code points."""
+        found = [raw_units(t, self.model.junctions) for t in texts]
         if len(self.known) > KEPT_UNITS:
             self.known = {}
-        new = sorted(set().union(*found) - self.known.keys()) if found else []
-        for at in range(0, len(new), 5_000):
-            part = new[at : at + 5_000]
-            self.known.update(zip(part, self.model.margins(part).tolist(), strict=True))
+        new = set().union(*found) - self.known.keys() if found else set()
+        if new:
+            self._meet(list(new))
         get = self.known.__getitem__
         out = []
         for units in found:
-            top = max(units, key=lambda u: (get(u), u)) if units else None
-            out.append((get(top), top) if top is not None else (None, None))
+            each = list(map(get, units))
+            top = max(each, default=-math.inf)
+            out.append((top, max(plain(u) for u, m in zip(units, each, strict=True) if m == top)) if top > -math.inf else (None, None))
         return out
 
 
@@ -398,19 +414,6 @@ def _seeds(counted: DataFrame, share: float) -> list[tuple[str, int]]:
     return pick_seeds([(r["unit"], r["toxic"], r["total"]) for r in telling.collect()], share, often.count())
 
 
-def _unexplained(rows: DataFrame, model: Model) -> DataFrame:
-    """The clean rows, and the toxic ones in which the machine finds nothing."""
-    known = rows.sparkSession.sparkContext.broadcast(model)
-
-    def keep(batches):
-        scorer = Scorer(known.value)
-        for batch in batches:
-            worst = scorer.worst(batch.column(0).to_pylist())
-            yield batch.filter(pa.array([y == 0 or m is None or m < 0 for (m, _), y in zip(worst, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
-
-    return rows.select("text", "label").mapInArrow(keep, "text string, label int")
-
-
 def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
     """Fit on a bounded sample of labelled rows: stretches are counted on executors, the telling ones come to the driver."""
     spark = docs.sparkSession
@@ -430,15 +433,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     spread = idle.orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS // 2)
     clean = sorted({r[0] for r in often.select("unit").union(spread.select("unit")).collect()}, key=lambda u: zlib.crc32(u.encode()))
     model = fit(seeds, clean)
+    worst = scratch.table(_margins(rows, model), "worst")
     # Pairs of words are looked for where no token tells anything.
-    left = scratch.table(_unexplained(rows, model), "unexplained")
+    left = worst.filter("label = 0 or margin is null or margin < 0").select("text", "label")
     n_left = left.filter("label = 1").count()
     if n_left >= LEAST_DOCS:
         pairs = scratch.table(_counted(left, _paired).filter(F.col("total") >= LEAST_DOCS), "pairs")
-        by_pairs = [(u, n) for u, n in _seeds(pairs, n_left / (n_left + n_clean)) if n >= LEAST_DOCS]
+        by_pairs = _seeds(pairs, n_left / (n_left + n_clean))
         if by_pairs:
             seeds = sorted(seeds + by_pairs, key=lambda x: (-x[1], x[0]))
             model = fit(seeds, clean)
+            worst = scratch.table(_margins(rows, model), "worst")
     hard: dict[str, int] = {}
     chosen: dict[str, int] = dict(seeds)
     in_clean = idle.select("unit")
@@ -446,7 +451,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         before = len(hard), len(chosen)
         # Clean stretches that the machine takes for toxic ones, wherever they are among the sample's.
         taken = _unit_margins(idle.filter(F.col("total") >= 2), model).filter("margin > -0.5").orderBy(F.desc("margin"), "unit").limit(HARD_UNITS).collect()
-        worst = _margins(rows, model)
         crossing = worst.filter("label = 0 and margin > -0.5 and instr(unit, ' ') > 0").groupBy("unit").agg(F.count("*").cast("int").alias("total")).orderBy(F.desc("total"), "unit").limit(HARD_UNITS).collect()
         hard |= {r["unit"]: r["total"] for r in taken} | {r["unit"]: r["total"] for r in crossing if r["unit"] not in chosen}
         # The instance that stands for each toxic document, in its worst sentence: a bounded sample has a bounded number of them.
@@ -455,7 +459,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         if (len(hard), len(chosen)) == before:
             break
         model = fit(sorted(chosen.items(), key=lambda x: (-x[1], x[0])), clean, sorted(hard.items(), key=lambda x: (-x[1], x[0])))
-    margins = np.array([(r["margin"], r["label"]) for r in _margins(rows, model).select("margin", "label").collect() if r["margin"] is not None]).reshape(-1, 2)
+        worst = scratch.table(_margins(rows, model), "worst")
+    margins = np.array([(r["margin"], r["label"]) for r in worst.filter("margin is not null").select("margin", "label").collect()]).reshape(-1, 2)
     x, y = margins[:, 0], margins[:, 1]
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, 1 / shares[1], 1 / shares[0])
@@ -482,16 +487,16 @@ def _unit_margins(units: DataFrame, model: Model) -> DataFrame:
 
 
 def _margins(rows: DataFrame, model: Model) -> DataFrame:
-    """Worst margin, its stretch, and label of each row of the sample."""
+    """Worst margin, its stretch, label and text of each row of the sample."""
     known = rows.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         scorer = Scorer(known.value)
         for batch in batches:
             worst = scorer.worst(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in worst], pa.float64()), pa.array([u for _, u in worst], pa.string()), batch.column(1)], names=["margin", "unit", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in worst], pa.float64()), pa.array([u for _, u in worst], pa.string()), batch.column(1), batch.column(0)], names=["margin", "unit", "label", "text"])
 
-    return rows.select("text", "label").mapInArrow(judge, "margin double, unit string, label int")
+    return rows.select("text", "label").mapInArrow(judge, "margin double, unit string, label int, text string")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
