@@ -90,13 +90,15 @@ def plain(unit: str) -> str:
 
 def neighbours(tokens: list[str], junctions: frozenset[str]) -> list[str]:
     """Neighbouring tokens that meet at a known junction: each two, and each whole run of them."""
-    out, begin, last = [], 0, -1
-    for k in [k for k, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if f"{a[-2:]} {b[:2]}" in junctions]:
-        out.append(f"{tokens[k]} {tokens[k + 1]}")
-        if k != last + 1 or last < 0:
+    out, begin, last = [], 0, -2
+    for k in [*(k for k, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if f"{a[-2:]} {b[:2]}" in junctions), len(tokens)]:
+        if k != last + 1:
+            # The run before ends here; of two tokens it is there already.
+            if last > begin:
+                out.append(" ".join(tokens[begin : last + 2]))
             begin = k
-        elif k > begin:
-            out.append(" ".join(tokens[begin : k + 2]))
+        if k < len(tokens):
+            out.append(f"{tokens[k]} {tokens[k + 1]}")
         last = k
     return out
 

@@ -70,6 +70,9 @@ def test_stretches_of_sentences():
     assert "id iot" in units("an id iot here") and "i diot" in units("an i diot here") and "id io t" in units("id io t")
     assert "id. iot" not in " ".join(units("an id. iot")) and "id iot" not in units("an id. Iot")
     assert "i d i o t" in units("i - d - i - o - t") and "i d i o t" in units("i d i o t")
+    assert sorted(tx.neighbours("x id io t y id iot".split(), known)) == ["id io", "id io t", "id iot", "io t"]
+    # A long run is one stretch, not one for each of its beginnings.
+    assert len(tx.neighbours(["id", "io"] * 5000, frozenset({"id io", "io id"}))) == 10_000
     assert tx.word_pairs("Go away. You fool!") == {"go away", "you fool"}
 
 
