@@ -26,6 +26,11 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
 
+#: Words between ASCII white space, and bytes that differ by case.
+SPACED = np.ones(256, dtype=bool)
+SPACED[[0x20, *range(0x09, 0x0E)]] = False
+EXACT = np.arange(1, 257, dtype=np.uint64)
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -62,13 +67,13 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - (at[0] if len(at) else 0)
 
 
-def _slices(data: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int]]:
+def _slices(data: np.ndarray, cuts: np.ndarray, word_byte: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of about SLICE bytes that no word straddles; one word longer than that stays whole."""
     out, lo, n = [], 0, len(data)
     while lo < n:
         hi = min(n, lo + SLICE)
         while hi < n:
-            gap = np.flatnonzero(~WORD_BYTE[data[hi : hi + SLICE]])
+            gap = np.flatnonzero(~word_byte[data[hi : hi + SLICE]])
             edge = cuts[np.searchsorted(cuts, hi) : np.searchsorted(cuts, hi) + 1]
             stop = min([hi + int(gap[0])] * bool(len(gap)) + [int(e) for e in edge] + [n + 1])
             if stop <= n:
@@ -80,12 +85,12 @@ def _slices(data: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, start and end byte of every word of the concatenated texts, in order."""
+def words(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = WORD_BYTE, values: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, start and end byte of every word of the concatenated texts, in order. ``word_byte`` says which bytes make words, ``values`` what each counts."""
     hashes, starts, ends = [], [], []
-    for lo, hi in _slices(data, offsets):
+    for lo, hi in _slices(data, offsets, word_byte):
         part = data[lo:hi]
-        inside = WORD_BYTE[part]
+        inside = word_byte[part]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
@@ -96,7 +101,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = _power_table(len(part) + 1)
         run = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_LOWER[part] * up[: len(part)], out=run[1:], dtype=np.uint64)
+        np.cumsum(values[part] * up[: len(part)], out=run[1:], dtype=np.uint64)
         hashes.append(mix64((run[e] - run[s]) * down[s]))
         starts.append(s + lo)
         ends.append(e + lo)

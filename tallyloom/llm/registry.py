@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.anchors import op11_anchors, op11_sql
 from tallyloom.llm.ann import op7_ann
 from tallyloom.llm.decontaminate import op1_decontaminate
 from tallyloom.llm.licenses import op4_licenses, op4_sql
+from tallyloom.llm.merkle import op13_merkle, op13_sql
 from tallyloom.llm.mixing import op5_mixing, op5_sql
 from tallyloom.llm.neardup import op9_neardup
 from tallyloom.llm.quality import op8_quality
+from tallyloom.llm.runs import op12_runs
 from tallyloom.llm.secrets import op3_secrets
 from tallyloom.llm.toxicity import op2_toxicity
 from tallyloom.llm.urlfilter import op6_sql, op6_urlfilter
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_neardup": op9_neardup,
     "op10_warc": op10_warc,
+    "op11_anchors": op11_anchors,
+    "op12_runs": op12_runs,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +41,6 @@ ORACLES: dict[str, str] = {
     "op5_mixing": op5_sql(),
     "op6_urlfilter": op6_sql(),
     "op10_warc": op10_sql(),
+    "op11_anchors": op11_sql(),
+    "op13_merkle": op13_sql(),
 }
