@@ -245,19 +245,30 @@ def outcome_summary(t: Tables) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("estimate", "low", "high")})
 
 
+_NINE = ("p", "effect", "effect_low", "effect_high", "estimate", "estimate_low", "estimate_high", "bh")
+
+
 @query(f"""WITH {_BASE}, b AS (SELECT population, count(*) FILTER (arm = 'even' AND finished)::DOUBLE AS a, count(*) FILTER (arm = 'even' AND NOT finished)::DOUBLE AS b, count(*) FILTER (arm = 'odd' AND finished)::DOUBLE AS c, count(*) FILTER (arm = 'odd' AND NOT finished)::DOUBLE AS d FROM pops GROUP BY 1),
-x AS (SELECT *, (a + b + c + d) * greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)) AS x FROM b),
-v AS (SELECT population, measure, value, count(*) FILTER (arm = 'even') AS a, count(*) FILTER (arm = 'odd') AS b FROM long GROUP BY ALL), w AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY population, measure ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bb FROM v),
-s AS (SELECT population, measure, sum(a)::DOUBLE AS n1, sum(b)::DOUBLE AS n2, sum(a * (bb + b / 2))::DOUBLE AS u, sum((a + b) ** 3 - (a + b))::DOUBLE AS t FROM w GROUP BY ALL),
-z AS (SELECT *, greatest((abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z FROM s),
-tests AS (SELECT population, 'finished' AS measure, 'chi-square' AS method, (a + b)::BIGINT AS n1, (c + d)::BIGINT AS n2, x AS statistic, 2 * {normal_tail_sql('sqrt(x)')} AS p, sqrt(x / (a + b + c + d)) AS effect FROM x
-UNION ALL SELECT population, measure, 'mann-whitney', n1::BIGINT, n2::BIGINT, u, least(1, 2 * {normal_tail_sql('z')}), 2 * u / (n1 * n2) - 1 FROM z),
-i AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY p, measure) AS i, count(*) OVER (PARTITION BY population)::DOUBLE AS m FROM tests)
-SELECT population, measure, method, n1, n2, round(statistic, 6) AS statistic, round(p, 9) AS p, round(effect, 9) AS effect, round(min(least(1, m / i * p)) OVER (PARTITION BY population ORDER BY p DESC, measure DESC ROWS UNBOUNDED PRECEDING), 9) AS bh FROM i""")
+x AS (SELECT *, (a + b + c + d) * greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)) AS x, a / (a + b) AS p1, c / (c + d) AS p0, {intervals.Z} * sqrt(a * b / (a + b) ** 3 + c * d / (c + d) ** 3) AS half FROM b),
+v AS (SELECT population, measure, CASE WHEN measure = 'price' THEN floor(value / 1000) ELSE value END AS value, count(*) FILTER (arm = 'even')::DOUBLE AS a, count(*) FILTER (arm = 'odd')::DOUBLE AS b FROM long GROUP BY ALL),
+w AS (SELECT *, sum(b) OVER g - b AS bb, sum(a) OVER g - a AS ab, sum(a) OVER h AS n1, sum(b) OVER h AS n2 FROM v WINDOW g AS (PARTITION BY population, measure ORDER BY value), h AS (PARTITION BY population, measure)),
+s AS (SELECT population, measure, n1, n2, sum(a * (bb + b / 2)) AS u, sum((a + b) ** 3 - (a + b)) AS t, sum(a * (2 * bb + b - n2) / n2) / n1 AS d, sum(a * ((2 * bb + b - n2) / n2) ** 2) AS sa, sum(b * ((n1 - a - 2 * ab) / n1) ** 2) AS sb, sum(a * (n2 - b)) AS decided FROM w GROUP BY population, measure, n1, n2),
+z AS (SELECT *, greatest((abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z,
+  greatest((n2 * n2 * (sa - n1 * d * d) + n1 * n1 * (sb - n2 * d * d) - (decided - n1 * n2 * d * d)) / (n1 * n2 * (n1 - 1) * (n2 - 1)), 0) AS v,
+  greatest(1, least(n1 * n2, round_even(n1 * n2 / 2.0 - {intervals.Z} * sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0), 0))) AS low FROM s),
+apart AS (SELECT e.population, e.measure, e.value - o.value AS d, sum(e.a * o.b) AS n FROM v e JOIN v o USING (population, measure) WHERE e.a > 0 AND o.b > 0 GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY population, measure ORDER BY d) AS k FROM apart),
+shift AS (SELECT population, measure, (min(u.d) FILTER (k >= ((n1 * n2)::BIGINT + 1) // 2) + min(u.d) FILTER (k >= (n1 * n2)::BIGINT // 2 + 1)) / 2 AS estimate, min(u.d) FILTER (k >= low) AS estimate_low, min(u.d) FILTER (k >= n1 * n2 - low + 1) AS estimate_high FROM upto u JOIN z USING (population, measure) GROUP BY population, measure),
+tests AS (SELECT population, 'finished' AS measure, 'chi-square' AS method, (a + b)::BIGINT AS n1, (c + d)::BIGINT AS n2, x AS statistic, 2 * {normal_tail_sql('sqrt(x)')} AS p, sqrt(x / (a + b + c + d)) AS effect, NULL::DOUBLE AS effect_low, NULL::DOUBLE AS effect_high, p1 - p0 AS estimate, p1 - p0 - half AS estimate_low, p1 - p0 + half AS estimate_high FROM x
+UNION ALL SELECT population, measure, 'mann-whitney', n1::BIGINT, n2::BIGINT, u, least(1, 2 * {normal_tail_sql('z')}), 2 * u / (n1 * n2) - 1, (d - d ** 3 - {intervals.Z} * sqrt(v) * sqrt((1 - d * d) ** 2 + {intervals.Z ** 2} * v)) / (1 - d * d + {intervals.Z ** 2} * v), (d - d ** 3 + {intervals.Z} * sqrt(v) * sqrt((1 - d * d) ** 2 + {intervals.Z ** 2} * v)) / (1 - d * d + {intervals.Z ** 2} * v), estimate, estimate_low, estimate_high FROM z JOIN shift USING (population, measure)),
+i AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY p, measure) AS i, count(*) OVER (PARTITION BY population)::DOUBLE AS m FROM tests),
+j AS (SELECT *, min(least(1, m / i * p)) OVER (PARTITION BY population ORDER BY p DESC, measure DESC ROWS UNBOUNDED PRECEDING) AS bh FROM i)
+SELECT population, measure, method, n1, n2, round(statistic, 6) AS statistic, {', '.join(f'round({c}, 9) AS {c}' for c in _NINE)} FROM j""")
 def outcome_tests(t: Tables) -> DataFrame:
-    """The two arms compared on all seven outcomes, one adjusted family in each population."""
-    out = outcomes.contrasts(order_outcomes(t), "arm", "even", "odd", "finished", _MEASURES, ["population"], shifts=False)
-    return out.select("population", "measure", "method", "n1", "n2", F.round("statistic", 6).alias("statistic"), *[F.round(c, 9).alias(c) for c in ("p", "effect", "bh")])
+    """The two arms compared on all seven outcomes (prices in thousands), with the effects' intervals and the shifts, one adjusted family in each population."""
+    orders = order_outcomes(t).withColumn("price", F.floor(F.col("price") / 1000))
+    out = outcomes.contrasts(orders, "arm", "even", "odd", "finished", _MEASURES, ["population"])
+    return out.select("population", "measure", "method", "n1", "n2", F.round("statistic", 6).alias("statistic"), *[F.round(c, 9).alias(c) for c in _NINE])
 
 
 _HYPER = f"({LOG_CHOOSE.format(n='n1', k='k')} + {LOG_CHOOSE.format(n='n0', k='(m1 - k)')} - {LOG_CHOOSE.format(n='(n1 + n0)', k='m1')})"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import Scratch
 from tallyloom.stats import intervals, rank
 from tallyloom.stats.contingency import pearson
 from tallyloom.stats.multiplicity import adjust
@@ -95,11 +96,15 @@ def contrasts(df: DataFrame, arm: str, first: str, second: str, event: str, meas
     rates = binary.select(*by, F.lit(event).alias("measure"), "method", (F.col("a") + F.col("b")).alias("n1"), (F.col("c") + F.col("d")).alias("n2"), "statistic", "p", "effect", null.alias("effect_low"), null.alias("effect_high"), "estimate", "estimate_low", "estimate_high")
     keys = [*by, "measure"]
     known = long_measures(df, [*by, arm], measures)
-    u = rank.with_p(rank.mann_whitney(known, arm, "value", first, second, keys)).filter("n1 > 0 and n2 > 0")
-    delta = rank.cliffs_delta(known, arm, "value", first, second, by=keys).select(*keys, F.col("low").alias("effect_low"), F.col("high").alias("effect_high"))
+    # Counts of distinct values serve three statistics; they and their running sums are written once.
+    scratch = Scratch(df.sparkSession, "contrasts")
+    counts = scratch.table(rank.arm_counts(known, arm, "value", first, second, keys), "counts")
+    running = scratch.table(rank.with_below(counts, keys), "running")
+    u = rank.with_p(rank.mann_whitney_of(running, keys)).filter("n1 > 0 and n2 > 0")
+    delta = rank.cliffs_delta_of(running, Z, keys).select(*keys, F.col("low").alias("effect_low"), F.col("high").alias("effect_high"))
     ranks = u.join(delta, keys)
     if shifts:
-        found = rank.hodges_lehmann(known, arm, "value", first, second, keys)
+        found = rank.hodges_lehmann_of(counts, keys)
         ranks = ranks.join(found.select(*keys, F.col("shift").alias("estimate"), F.col("low").alias("estimate_low"), F.col("high").alias("estimate_high")), keys)
     else:
         ranks = ranks.withColumns({c: null for c in ("estimate", "estimate_low", "estimate_high")})

@@ -18,13 +18,22 @@ from tallyloom.stats.prob import binomial_ppf, chi2_sf, normal_ppf, normal_sf
 ONE_PASS = 200_000
 
 
-def two_arms(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
-    """A row for each distinct value, in groups: rows of either arm (a, b), and rows of either arm below it (a_below, b_below)."""
+def arm_counts(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each distinct value, in groups: ``x`` and the rows of either arm, ``a`` and ``b``."""
     known = df.filter(F.col(value).isNotNull() & F.col(arm).isin(first, second))
-    counts = known.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count_if(F.col(arm) == first).alias("a"), F.count_if(F.col(arm) == second).alias("b"))
+    return known.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count_if(F.col(arm) == first).alias("a"), F.count_if(F.col(arm) == second).alias("b"))
+
+
+def with_below(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts with the rows of either arm below each value (a_below, b_below)."""
     return running(counts, "x", {"a_below": "a", "b_below": "b"}, by)
 
 
+def two_arms(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of distinct values with those below. They serve several times and are written once."""
+    return with_below(Scratch(df.sparkSession, "arms").table(arm_counts(df, arm, value, first, second, by), "counts"), by)
+
+
 def running(counts: DataFrame, order: str, sums: dict[str, str], within: Sequence[str] = ()) -> DataFrame:
     """Sums over all smaller values, in groups. Values are dealt into ranges by approximate quantiles: sums within a range, and over the ranges before."""
     cuts = sorted(set(counts.approxQuantile(order, [k / 64 for k in range(1, 64)], 0.01)))
@@ -43,18 +52,27 @@ def running(counts: DataFrame, order: str, sums: dict[str, str], within: Sequenc
     return joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for n, s in sums.items()}).drop("__bucket", *[f"__{n}" for n in sums])
 
 
+def _real(name: str) -> Column:
+    """A count for products: those of longs would overflow."""
+    return F.col(name).cast("double")
+
+
 def mann_whitney(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
     """A row for each group: sizes, U of the first arm, the tie term, z with continuity correction, and Cliff's delta."""
-    t = two_arms(df, arm, value, first, second, by)
-    wins = F.col("a") * (F.col("b_below") + F.col("b") / 2)
-    ties = F.col("a") + F.col("b")
-    sums = t.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(wins).alias("u"), F.sum(ties * ties * ties - ties).cast("double").alias("tie_term"))
-    n = F.col("n1") + F.col("n2")
-    variance = F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
-    mean = F.col("n1") * F.col("n2") / 2.0
-    z = (F.abs(F.col("u") - mean) - 0.5) / F.sqrt(variance)
+    return mann_whitney_of(two_arms(df, arm, value, first, second, by), by)
+
+
+def mann_whitney_of(t: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``mann_whitney`` from counts (``with_below``)."""
+    wins = _real("a") * (F.col("b_below") + F.col("b") / 2)
+    ties = _real("a") + _real("b")
+    sums = t.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(wins).alias("u"), F.sum(ties * ties * ties - ties).alias("tie_term"))
+    n1, n2 = _real("n1"), _real("n2")
+    n, pairs = n1 + n2, n1 * n2
+    variance = pairs / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
+    z = (F.abs(F.col("u") - pairs / 2.0) - 0.5) / F.sqrt(variance)
     fine = (F.col("n1") > 0) & (F.col("n2") > 0)
-    return sums.select(*by, "n1", "n2", F.when(fine, F.col("u")).alias("u"), "tie_term", F.when(fine & (variance > 0), F.greatest(z, F.lit(0.0))).alias("z"), F.when(fine, 2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("delta"))
+    return sums.select(*by, "n1", "n2", F.when(fine, F.col("u")).alias("u"), "tie_term", F.when(fine & (variance > 0), F.greatest(z, F.lit(0.0))).alias("z"), F.when(fine, 2 * F.col("u") / pairs - 1).alias("delta"))
 
 
 def mann_whitney_p(row) -> float | None:
@@ -94,16 +112,18 @@ def cliffs_delta(df: DataFrame, arm: str, value: str, first: str, second: str, z
     so in very small samples they may pass -1 or 1. Null bounds for arms of
     fewer than two rows.
     """
-    t = two_arms(df, arm, value, first, second, by)
+    return cliffs_delta_of(two_arms(df, arm, value, first, second, by), z, by)
+
+
+def cliffs_delta_of(t: DataFrame, z: float = 1.959963984540054, by: Sequence[str] = ()) -> DataFrame:
+    """``cliffs_delta`` from counts (``with_below``)."""
     n = t.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     r = t.join(n, list(by)) if by else t.crossJoin(F.broadcast(n))
-    over_b = (F.col("b_below") - (F.col("n2") - F.col("b_below") - F.col("b"))) / F.col("n2")
-    over_a = ((F.col("n1") - F.col("a_below") - F.col("a")) - F.col("a_below")) / F.col("n1")
-    sums = r.groupBy(*by, "n1", "n2").agg(
-        F.sum(F.col("a") * over_b).alias("s"), F.sum(F.col("a") * over_b * over_b).alias("sa"), F.sum(F.col("b") * over_a * over_a).alias("sb"), F.sum(F.col("a") * (F.col("b_below") + (F.col("n2") - F.col("b_below") - F.col("b")))).alias("decided")
-    )
-    d = F.col("s") / F.col("n1")
-    m, k = F.col("n1"), F.col("n2")
+    a, b, m, k = _real("a"), _real("b"), _real("n1"), _real("n2")
+    over_b = (F.col("b_below") - (F.col("n2") - F.col("b_below") - F.col("b"))) / k
+    over_a = ((F.col("n1") - F.col("a_below") - F.col("a")) - F.col("a_below")) / m
+    sums = r.groupBy(*by, "n1", "n2").agg(F.sum(a * over_b).alias("s"), F.sum(a * over_b * over_b).alias("sa"), F.sum(b * over_a * over_a).alias("sb"), F.sum(a * (k - b)).alias("decided"))
+    d = F.col("s") / m
     va, vb = F.col("sa") - m * d * d, F.col("sb") - k * d * d
     all_pairs = F.col("decided") - m * k * d * d
     var = (k * k * va + m * m * vb - all_pairs) / (m * k * (m - 1) * (k - 1))
@@ -118,14 +138,19 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: groups, rows, H with tie correction, degrees of freedom and epsilon squared. Groups of one row are left out; equal values give 0."""
     cells = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("m"))
     # The counts serve three times; they are written once.
-    cells = Scratch(df.sparkSession, "kruskal").table(cells, "cells")
+    return kruskal_of(Scratch(df.sparkSession, "kruskal").table(cells, "cells"), group)
+
+
+def kruskal_of(cells: DataFrame, group: str) -> DataFrame:
+    """``kruskal`` from counts: the group, a value ``x`` and ``m``, how many rows have it."""
     sizes = cells.groupBy(group).agg(F.sum("m").alias("__n"))
     cells = cells.join(sizes.filter("__n >= 2").select(group), group)
     values = running(cells.groupBy("x").agg(F.sum("m").alias("t")), "x", {"below": "t"}).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
     sums = cells.join(values.select("x", "rank"), "x").groupBy(group).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("rank")).alias("r"))
-    ties = values.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
+    t = _real("t")
+    ties = values.agg(F.sum(t * t * t - t).alias("ties"))
     whole = sums.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q")).crossJoin(ties)
-    n, k = F.col("n"), F.col("groups")
+    n, k = _real("n"), F.col("groups")
     h0 = 12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
     correction = 1 - F.col("ties") / (n * n * n - n)
     h = F.when(correction > 0, h0 / correction).otherwise(0.0)
@@ -195,7 +220,8 @@ def _shifts_of_large(counts: DataFrame, by: Sequence[str], sizes: list, level: f
         if not asked:
             break
         table = spark.createDataFrame([(*open_[i]["key"], 8 * i + j, t) for i, ts in asked for j, t in enumerate(ts)], schema)
-        met = counts.join(F.broadcast(table), list(by)) if by else counts.crossJoin(F.broadcast(table))
+        # Without groups there are 28 thresholds; with groups as many for each, which a join deals out.
+        met = counts.join(table, list(by)) if by else counts.crossJoin(F.broadcast(table))
         # Each x moves to x - t; what counts are the y's at or above it.
         moved = met.select("__ask", F.when(F.col("__first"), F.col("x") - F.col("__t")).otherwise(F.col("x")).alias("v"), F.when(F.col("__first"), F.col("n")).otherwise(0).alias("nx"), F.when(F.col("__first"), 0).otherwise(F.col("n")).alias("ny"))
         merged = running(moved.groupBy("__ask", "v").agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny")), "v", {"below": "ny"}, ["__ask"])
@@ -219,9 +245,13 @@ def hodges_lehmann(df: DataFrame, arm: str, value: str, first: str, second: str,
     out in one task; the ranks of larger groups are bracketed by aggregates
     over the counts. Differences are never formed.
     """
-    known = df.filter(F.col(value).isNotNull() & F.col(arm).isin(first, second))
-    counts = known.groupBy(*by, (F.col(arm) == first).alias("__first"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    counts = Scratch(df.sparkSession, "shift").table(counts, "counts")
+    return hodges_lehmann_of(Scratch(df.sparkSession, "shift").table(arm_counts(df, arm, value, first, second, by), "counts"), by, most, level)
+
+
+def hodges_lehmann_of(arms: DataFrame, by: Sequence[str] = (), most: int = ONE_PASS, level: float = 0.95) -> DataFrame:
+    """``hodges_lehmann`` from counts (``arm_counts``)."""
+    sides = F.explode(F.array(*[F.struct(F.lit(k == "a").alias("__first"), F.col(k).alias("n")) for k in "ab"])).alias("__s")
+    counts = arms.select(*by, "x", sides).select(*by, "x", "__s.*").filter("n > 0")
     side = F.col("__first")
     sizes = counts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.when(~side, F.col("n"))), F.lit(0)).alias("n2"), F.count("*").alias("__distinct"),
@@ -241,7 +271,7 @@ def hodges_lehmann(df: DataFrame, arm: str, value: str, first: str, second: str,
     out = (few.groupBy(*by) if by else few.withColumn("__all", F.lit(1)).groupBy("__all")).applyInPandas(work, schema)
     large = sizes.filter(f"n1 > 0 and n2 > 0 and __distinct > {most}").select(*by, F.col("n1").alias("n"), F.col("n2").alias("m"), F.col("__low").alias("low"), F.col("__high").alias("high")).collect()
     if large:
-        out = out.unionByName(df.sparkSession.createDataFrame(_shifts_of_large(counts, by, large, level), schema))
+        out = out.unionByName(arms.sparkSession.createDataFrame(_shifts_of_large(counts, by, large, level), schema))
     base = sizes.select(*by, "n1", "n2")
     return base.join(out, list(by), "left") if by else base.join(out, F.lit(True), "left")
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from fractions import Fraction
 from statistics import median
 
 import numpy as np
@@ -219,3 +220,38 @@ def test_random_tables_are_hypergeometric(spark):
     assert np.bincount(drawn[:, 0, 0], minlength=7) / 40_000 == pytest.approx(want, abs=0.01)
     counts = np.array([[9, 3, 0, 1], [4, 6, 1, 0]])
     assert resample.richness_permutation(counts, 1200, spark=spark) == resample.richness_permutation(counts, 1200)
+
+
+def _counts_of_tens_of_millions(spark):
+    """Values 0 to 4 with some 10**7 rows each in either arm, as counts."""
+    return [(float(x), 10_000_000 + 100_000 * x, 12_000_000 - 90_000 * x) for x in range(5)]
+
+
+def test_rank_statistics_of_very_many_rows(spark):
+    """No product of counts overflows; the same numbers by Python's integers and fractions."""
+    rows = _counts_of_tens_of_millions(spark)
+    counts = spark.createDataFrame(rows, "x double, a long, b long")
+    n, m = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    t = rank.with_below(counts)
+    u = Fraction(sum(a * (2 * sum(r[2] for r in rows if r[0] < x) + b) for x, a, b in rows), 2)
+    ties = sum((a + b) ** 3 - (a + b) for _, a, b in rows)
+    got = rank.mann_whitney_of(t).first()
+    assert (got["n1"], got["n2"], got["u"]) == (n, m, float(u)) and got["tie_term"] == pytest.approx(ties, rel=1e-14)
+    variance = Fraction(n * m, 12) * ((n + m + 1) - Fraction(ties, (n + m) * (n + m - 1)))
+    assert got["z"] == pytest.approx((abs(float(u) - n * m / 2) - 0.5) / float(variance) ** 0.5, rel=1e-9)
+    d = 2 * u / (n * m) - 1
+    cliff = rank.cliffs_delta_of(t).first()
+    assert cliff["delta"] == pytest.approx(float(d), rel=1e-9) and cliff["low"] < cliff["delta"] < cliff["high"]
+    over_b = {x: Fraction(sum(r[2] for r in rows if r[0] < x) - sum(r[2] for r in rows if r[0] > x), m) for x, _, _ in rows}
+    over_a = {x: Fraction(sum(r[1] for r in rows if r[0] > x) - sum(r[1] for r in rows if r[0] < x), n) for x, _, _ in rows}
+    va, vb = sum(a * (over_b[x] - d) ** 2 for x, a, _ in rows), sum(b * (over_a[x] - d) ** 2 for x, _, b in rows)
+    inner = sum(a * (m - b) for _, a, b in rows) - n * m * d * d
+    var = float((m * m * va + n * n * vb - inner) / (n * m * (n - 1) * (m - 1)))
+    f, z = float(d), 1.959963984540054
+    assert cliff["low"] == pytest.approx((f - f**3 - z * var**0.5 * ((1 - f * f) ** 2 + z * z * var) ** 0.5) / (1 - f * f + z * z * var), rel=1e-6)
+    shift = rank.hodges_lehmann_of(counts).first()
+    assert (shift["shift"], shift["low"], shift["high"]) == (0.0, 0.0, 0.0)
+    cells = spark.createDataFrame([(g, x, k) for x, a, b in rows for g, k in (("a", a), ("b", b))], "g string, x double, m long")
+    k = rank.kruskal_of(cells, "g").first()
+    # Of two groups H is the square of U's distance from its mean, in standard errors.
+    assert k["groups"] == 2 and k["h"] == pytest.approx(float((u - Fraction(n * m, 2)) ** 2 / variance), rel=1e-7)
