@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, at sentence marks and blank lines, so that a
-notice wrapped over lines is one sentence; what isn't known as a whole is
+A text is cut into sentences, at sentence marks (but not that of "v. 2.0")
+and blank lines, so that a notice wrapped over lines is one sentence; what isn't known as a whole is
 tried line by line, so that a notice without a final mark is found, too. Each
 sentence is normalised (letters lower-cased, every run of other characters
 one space) and looked up among known licence sentences, which gives an
@@ -59,7 +59,10 @@ SENTENCES: list[tuple[str, list[str]]] = [
     ("bsd_names", ["* neither the name of * nor the names of its contributors may be used to endorse or promote products *"]),
     ("gpl3", _forms("file work software program", [f"the gnu general public license version 3{x}" for x in ("", " 0", " or later", " or later 0")])),
     ("gpl2", _forms("file work software program", [f"the gnu general public license version 2{x}" for x in ("", " 0", " or later", " or later 0")])),
-    ("gpl_free", ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license *"]),
+    *((f"gpl_free_{v}", [f"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {v} *"]) for v in "32"),
+    ("gpl_free", ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license *", "you can redistribute it and or modify it under the terms of the gnu general public license *"]),
+    ("lgpl_free", ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license *", "you can redistribute it and or modify it under the terms of the gnu lesser general public license *"]),
+    *((f"version_{v}", [f"either version {v} of the license *"]) for v in "32"),
     ("gpl_warranty", ["this program is distributed in the hope that it will be useful but without any warranty *"]),
     ("lgpl3", _forms("file work software library", [f"the gnu lesser general public license version 3{x}" for x in ("", " 0", " or later", " or later 0")])),
     ("mpl2", ["this source code form is subject to the terms of the mozilla public license v 2 0"]),
@@ -82,6 +85,9 @@ RULES = [
     ("MIT", ["mit_grant", "mit_notice"]),
     ("Apache-2.0", ["apache2", "apache2_condition", "apache2_copy"]),
     ("Apache-2.0", ["apache2", "apache2_condition"]),
+    *((f"GPL-{v}.0", [f"gpl_free_{v}", *more]) for v in "32" for more in (["gpl_warranty"], [])),
+    *((f"GPL-{v}.0", ["gpl_free", f"version_{v}", *more]) for v in "32" for more in (["gpl_warranty"], [])),
+    ("LGPL-3.0", ["lgpl_free", "version_3"]),
     ("GPL", ["gpl_free", "gpl_warranty"]),
     ("GPL", ["gpl_free"]),
     ("Apache-2.0", ["apache2"]),
@@ -103,6 +109,8 @@ STEMS = ("licen", "redistribut", "warrant", "permission", "public domain", "free
 
 _CUT = "[.!?;]+[ \\t\\r\\n\\f]+|\\n[ \\t\\r]*[#*/;]*[ \\t\\r]*\\n[ \\t\\r\\n\\f]*"
 _LINE = "[\\n\\r]+"
+#: A mark that ends an abbreviation before a number ends no sentence.
+_SHORT = "\\b(v|ver|vers|no|sec|art)[.][ \\t\\r\\n\\f#*/;]+([0-9])"
 #: What may stand for a blank where a text is wrapped, within a comment, too.
 _SPACE = "[ \\t\\r\\n\\f#*/;]+"
 
@@ -131,7 +139,7 @@ def _holds(text: Column, words: list[str]) -> Column:
 def candidate_sentences(docs: DataFrame, scratch: Scratch, stems: tuple[str, ...] | None) -> DataFrame:
     """row, doc_id and the pieces of each text, lower-cased, that may be known; a written table, the only reading of the texts."""
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
-    pieces = F.split("low", _CUT)
+    pieces = F.split(F.regexp_replace("low", _SHORT, "$1.$2"), _CUT)
     if stems:
         # Words by a plain search; stems of several words, which a wrapped text may break, by pattern where their first word stands.
         spread = lambda words: "|".join(w.replace(" ", _SPACE) for w in words)
@@ -236,7 +244,7 @@ def op4_sql() -> str:
     stems = "|".join(STEMS)
     return f"""
     WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS low FROM documents),
-    pieces AS (SELECT r, unnest(p) AS raw, generate_subscripts(p, 1) AS piece FROM (SELECT r, list_filter(string_split_regex(low, {_quoted(_CUT)}),
+    pieces AS (SELECT r, unnest(p) AS raw, generate_subscripts(p, 1) AS piece FROM (SELECT r, list_filter(string_split_regex(regexp_replace(low, {_quoted(_SHORT)}, '\\1.\\2', 'g'), {_quoted(_CUT)}),
       lambda s: regexp_matches(regexp_replace(s, {_quoted(_SPACE)}, ' ', 'g'), '{stems}')) AS p FROM numbered)),
     tried AS (SELECT r, piece, 0 AS line, raw FROM pieces
       UNION ALL SELECT r, piece, generate_subscripts(l, 1), unnest(l) FROM (SELECT r, piece, string_split_regex(raw, {_quoted(_LINE)}) AS l FROM pieces WHERE regexp_matches(raw, {_quoted(_LINE)}))),
