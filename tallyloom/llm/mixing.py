@@ -153,7 +153,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_P
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     first = F.round(F.element_at(F.transform("passes", lambda p: p["position"]), 1), 6)
-    out = plan.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.when(F.size("passes") > 0, first).alias("first_position"))
+    out = plan.select("doc_id", "size", "source_size", "target", "taken", F.when(F.size("passes") > 0, first).alias("first_position"))
     return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id", "size")
 
 
@@ -186,4 +186,4 @@ def op5_sql() -> str:
       FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
     taken AS (SELECT *, ({drawn})::BIGINT AS taken, greatest(0, least(size, demand - first)) AS words FROM queued),
     asked AS (SELECT *, CASE WHEN target > 0 THEN least((first + words / 2.0) / target, 1.0) ELSE 0 END * ({total}) AS asked FROM taken)
-    SELECT doc_id, size, source_size, round(target, 4) AS target, taken, CASE WHEN taken > 0 THEN round(CASE {cases} ELSE {KNOTS[-1]} END, 6) END AS first_position FROM asked"""
+    SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE {cases} ELSE {KNOTS[-1]} END, 6) END AS first_position FROM asked"""
