@@ -23,6 +23,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,12 +82,13 @@ def weak_tokens(text: str, covered: list[Span]) -> list[Span]:
     """Tokens with letters of both cases, digits and high entropy, outside the strong parts."""
     out = []
     taken = sorted((s.start, s.end) for s in covered)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in TOKEN.finditer(text):
         token = m[0]
         if not (any(c.islower() for c in token) and any(c.isupper() for c in token)) or entropy(token) < ENTROPY:
             continue
-        at = bisect_left(taken, (m.end(), -1))
-        if not any(end > m.start() for _, end in taken[max(0, at - 3) : at]):
+        at = bisect_left(starts, m.end())
+        if not at or reach[at - 1] <= m.start():
             out.append(Span("token", m.start(), m.end()))
     return out
 
