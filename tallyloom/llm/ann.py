@@ -161,14 +161,19 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, fine) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component below 1: products neither overflow nor vanish, cosines stay as they are."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _by_dim(batch: pa.RecordBatch, column: int):
-    """Length, rows and the matrix of the vectors of each length in a column of lists."""
+    """Length, rows and the matrix of the vectors (``scaled``) of each length in a column of lists."""
     lists = batch.column(column)
     size = lists.value_lengths().to_numpy()
     flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size)))
     for dim in np.unique(size).tolist():
         own = np.flatnonzero(size == dim)
-        yield dim, own, flat[at[own][:, None] + np.arange(dim)[None, :]]
+        yield dim, own, scaled(flat[at[own][:, None] + np.arange(dim)[None, :]].astype(np.float64))
 
 
 _SHARD = "shard int, dim int, vectors binary, ids binary, keys binary, entries binary"
