@@ -32,7 +32,7 @@ from tallyloom.session import bound_arrow_batches
 #: Host rules as host/path, with their verdicts.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 #: Globs over host/path for what no host rule decides.
-GLOBS = [("*pills*", "block"), ("*casino*", "block"), ("*porn*", "block"), ("*free-money*", "block"), ("*/wp-login*", "block"), ("*.exe", "block"), ("*.zip", "block")]
+GLOBS = [("*pills*", "block"), ("*casino*", "block"), ("*porn*", "block"), ("*free-money*", "block"), ("*/wp-login*", "block"), ("*/*.exe", "block"), ("*/*.zip", "block")]
 DEFAULT = "allow"
 
 
