@@ -80,3 +80,18 @@ def test_recall_of_the_registered_query(spark):
         hits += len(want.keys() & found.keys())
         assert len(found) == 5 and all(abs(want[i] - s) < 1e-12 for i, s in found.items() if i in want)
     assert hits / (5 * len(got)) >= 0.9
+
+
+def test_very_large_and_very_small_vectors(spark):
+    """Cosines don't depend on magnitudes, whatever finite size they have."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((60, 6))
+    sizes = [1.0, 1e200, 1e-200, 1e300, 1e-300, 3e-310]
+    big = [(x[k] * sizes[k % 6]).tolist() for k in range(60)]
+    out = {}
+    for name, rows in (("plain", x.tolist()), ("sized", big)):
+        df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+        out[name] = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest_neighbours(df, F.col("vec_id") % 10 == 0).collect()}
+    assert out["plain"].keys() == out["sized"].keys() and len(out["plain"]) == 30
+    for key, (i, s) in out["plain"].items():
+        assert out["sized"][key][0] == i and abs(out["sized"][key][1] - s) < 1e-12

@@ -96,7 +96,7 @@ def test_mix_meets_targets(spark, corpus):
 def test_mix_agrees_with_duckdb(spark, corpus):
     first = F.round(F.element_at(F.transform("passes", lambda p: p["position"]), 1), 6)
     out = mixing.plan_mix(corpus).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", F.when(F.size("passes") > 0, first).alias("first_position"))
-    assert same(spark, out.select(*[F.col(c).cast("double") for c in out.columns]), f"SELECT doc_id::DOUBLE AS doc_id, size::DOUBLE AS size, source_size::DOUBLE AS source_size, target, taken::DOUBLE AS taken, first_position FROM ({mixing.op5_sql()})", documents=corpus)
+    assert same(spark, out.select(*[F.col(c).cast("double") for c in out.columns]), f"SELECT doc_id::DOUBLE AS doc_id, size::DOUBLE AS size, source_size::DOUBLE AS source_size, round(target, 4) AS target, taken::DOUBLE AS taken, first_position FROM ({mixing.op5_sql()})", documents=corpus)
 
 
 def test_empty_mix(spark, corpus):
@@ -111,3 +111,26 @@ def test_schedule_inverts(spark):
     area = [t * t * 2 if t <= 0.5 else 0.5 + (2 * (t - 0.5) - (t - 0.5) ** 2) for t in times]
     got = row.select(*[mixing.invert_demand(F.lit(a), F.lit(area[-1]), F.col("p")).alias(f"t{k}") for k, a in enumerate(area)]).first()
     assert list(got) == pytest.approx(times, abs=1e-9)
+
+
+NOTICES = {
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "GPL-3.0": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "GPL-2.0": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty.",
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 3 of the License, or (at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use.",
+    "CC0-1.0": "This work is licensed CC0 1.0 Universal.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice,\n   this list of conditions.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS WARRANTIES ARE DISCLAIMED.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction.\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+}
+
+
+def test_notices_as_they_stand_in_files(spark):
+    rows = [(k, text) for k, text in enumerate(NOTICES.values())] + [(99, "see no. 3 and sec. 4, v. 2 of it. " * 30_000 + NOTICES["MPL-2.0"]), (100, "Released under the MIT License. 2024 was a year.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = licenses.scan_licenses(docs)
+    got = {r["doc_id"]: r["licenses"] for r in out.collect()}
+    assert {name: got[k] for k, name in enumerate(NOTICES)} == {name: name for name in NOTICES}
+    assert got[99] == "MPL-2.0" and got[100] == "MIT"
+    assert same(spark, out, licenses.op4_sql(), documents=docs)

@@ -89,3 +89,11 @@ def test_columns_that_clash_and_empty_tables(spark):
     assert sorted(len(r["spans"]) for r in sc.find_secrets(docs).collect()) == [0, 1]
     assert sc.redact_secrets(docs).columns == docs.columns
     assert sc.find_secrets(docs.limit(0)).count() == sc.redact_secrets(docs.limit(0)).count() == 0
+
+
+def test_no_token_is_reported_inside_a_strong_part():
+    """An assignment that covers several hex runs covers the token behind them, too."""
+    text = "user=alice token=" + ".".join(["0123456789abcdef"] * 4) + ".Ab3xYz9Kq7Lm2Pw5Rt8Vn1Q"
+    spans = sc.scan(text)
+    assert [s.kind for s in spans].count("hex") == 4 and "token" not in {s.kind for s in spans}
+    assert "token" in {s.kind for s in sc.scan(text + " Ab3xYz9Kq7Lm2Pw5Rt8Vn1Q")}
