@@ -65,6 +65,8 @@ CLEAN_UNITS, LANDMARKS = 16_000, 320
 HARD_ROUNDS, HARD_UNITS = 2, 1500
 #: Letters of a triple lie within so many characters; each character of the span counts so much.
 SPAN, DECAY = 7, 0.75
+#: Rows and triples that the fit works on at once.
+BLOCK = 4096
 #: Chance of one false seed among all units tested; a seed stands in so many toxic documents.
 LEVEL, LEAST_DOCS = 0.05, 3
 THRESHOLD = 0.3
@@ -270,44 +272,54 @@ class Scorer:
         return out
 
 
-def _dense(units: list[str], basis: list[str]) -> np.ndarray:
-    """Normalised kernel between units (rows) and landmarks (columns)."""
-    _, keys = np.unique(triples(basis)[1], return_inverse=True)
-    bu, bt, bv = triples(basis)
-    index = np.full(1 << 18, -1)
-    index[bt] = keys
-    land = np.zeros((int(keys.max()) + 1 if len(keys) else 1, len(basis)))
-    land[keys, bu] = bv
-    uu, ut, uv = triples(units)
-    col = index[ut]
-    hit = col >= 0
-    uu, col, uv = uu[hit], col[hit], uv[hit]
-    out = np.zeros((len(units), len(basis)))
-    step = 16_384
-    for at in range(0, len(uu), step):
-        rows, first = np.unique(uu[at : at + step], return_index=True)
-        part = np.add.reduceat(land[col[at : at + step]] * uv[at : at + step, None], first, axis=0)
-        out[rows] += part
-    return out
+class Landmarks:
+    """The landmarks' triples, and the normalised kernel with them."""
+
+    def __init__(self, basis: list[str]) -> None:
+        unit, triple, value = triples(basis)
+        known, keys = np.unique(triple, return_inverse=True)
+        self.size, self.index = len(basis), np.full(1 << 18, -1)
+        self.index[triple] = keys
+        self.land = np.zeros((max(1, len(known)), len(basis)))
+        self.land[keys, unit] = value
+
+    def kernel(self, units: list[str]) -> np.ndarray:
+        """Units are rows, landmarks columns."""
+        row, triple, value = triples(units)
+        col = self.index[triple]
+        hit = col >= 0
+        row, col, value = row[hit], col[hit], value[hit]
+        out = np.zeros((len(units), self.size))
+        for at in range(0, len(row), BLOCK):
+            part = slice(at, at + BLOCK)
+            rows, first = np.unique(row[part], return_index=True)
+            out[rows] += np.add.reduceat(self.land[col[part]] * value[part, None], first, axis=0)
+        return out
 
 
-def mapped(units: list[str], basis: list[str], whiten: np.ndarray) -> np.ndarray:
-    """The Nyström map of units, a block at a time."""
-    blocks = [_dense(units[at : at + 1000], basis) @ whiten for at in range(0, len(units), 1000)]
-    return np.vstack(blocks).astype(np.float32) if blocks else np.zeros((0, whiten.shape[1]), np.float32)
+def mapped(units: list[str], landmarks: Landmarks, whiten: np.ndarray, out: np.ndarray) -> None:
+    """The Nyström map of units, a block at a time, into the rows of ``out``."""
+    for at in range(0, len(units), BLOCK // 4):
+        part = units[at : at + BLOCK // 4]
+        out[at : at + len(part), : whiten.shape[1]] = landmarks.kernel(part) @ whiten
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear support vector machine, by Newton steps on its active rows."""
-    n, m = x.shape
-    z = np.hstack([x, np.ones((n, 1), x.dtype)])
-    w = np.zeros(m + 1)
-    penal = np.full(m + 1, ridge * weight.sum() / n)
+def _fit_svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear support vector machine, by Newton steps on its active rows, which are summed up in blocks. The last column of ``z`` is ones."""
+    n, m = z.shape
+    w = np.zeros(m)
+    penal = np.full(m, ridge * weight.sum() / n)
     penal[-1] = 1e-6
     for _ in range(20):
-        active = y * (z @ w.astype(z.dtype)) < 1
-        za, wa = z[active].astype(float), weight[active]
-        target = np.linalg.solve((za * wa[:, None]).T @ za + np.diag(penal), (za * wa[:, None]).T @ y[active])
+        left, right = np.diag(penal), np.zeros(m)
+        for at in range(0, n, BLOCK):
+            part, sign, heavy = z[at : at + BLOCK], y[at : at + BLOCK], weight[at : at + BLOCK]
+            active = sign * (part @ w.astype(z.dtype)) < 1
+            rows = part[active].astype(float)
+            pulled = rows * heavy[active, None]
+            left += pulled.T @ rows
+            right += pulled.T @ sign[active]
+        target = np.linalg.solve(left, right)
         done = np.allclose(target, w, atol=1e-6)
         w = target
         if done:
@@ -357,12 +369,15 @@ def fit(seeds: list[tuple[str, int]], clean: list[str], hard: list[tuple[str, in
     basis = [u for u, _ in seeds[: LANDMARKS // 2]] + [u for u, _ in hard[: LANDMARKS // 4]]
     basis += clean[:: max(1, len(clean) // (LANDMARKS - len(basis)))][: LANDMARKS - len(basis)]
     basis = [b for b in dict.fromkeys(basis) if len(triples([b])[0])]
-    value, vector = np.linalg.eigh(_dense(basis, basis))
+    landmarks = Landmarks(basis)
+    value, vector = np.linalg.eigh(landmarks.kernel(basis))
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
     good = seeds + [(s, n) for k, (u, n) in enumerate(seeds) for s in _spelt_around(u, k, True)]
     bad = clean + [u for u, _ in hard] + [s for k, u in enumerate(clean[::5]) for s in _spelt_around(u, k)]
-    x = np.vstack([mapped([u for u, _ in good], basis, whiten), mapped(bad, basis, whiten)])
+    x = np.ones((len(good) + len(bad), whiten.shape[1] + 1), np.float32)
+    mapped([u for u, _ in good], landmarks, whiten, x[: len(good)])
+    mapped(bad, landmarks, whiten, x[len(good) :])
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
     often = np.sqrt([n for _, n in good])
     against = np.ones(len(bad))
