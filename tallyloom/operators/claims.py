@@ -1,28 +1,37 @@
 """Quantified claims in text: a cue of a dimension near a quantity of a fitting kind.
 
-Texts are normalised by column expressions. A small Arrow helper only finds
-*marks*, the places of cues, quantities and hypothetical wording, as rows
-with token positions. What belongs together is then decided on the marks
-with windows ordered by token and joins on the text's key: the nearest
-fitting quantity, wording nearby that excludes, and whether another
-dimension's cue is nearer.
+A small Arrow helper normalises each text and finds *marks*, the places of
+cues, quantities and hypothetical wording, in tokens and characters, and
+where in the raw text they come from. What belongs together is then decided
+on the marks: ordered by token once forwards and once backwards, each mark
+sees the nearest of every other sort on either side; the rest are conditions
+on these and one join of claims with their quantities.
+
+Several configurations are answered together: texts are read, normalised and
+matched once, a mark carries the set of configurations that it counts for.
+
+Each row of texts has a number of its own, so equal rows, repeated keys and
+null keys have the claims of their own text, each.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import claim_tables as ct
-from tallyloom.session import Scratch, bound_arrow_batches
+from tallyloom.functions.offsets import Lower, Places, Step, rewrite, traced
+from tallyloom.session import Scratch, bound_arrow_batches, spread
 
 
 @dataclass(frozen=True)
@@ -46,176 +55,302 @@ class Configuration:
 
 DEFAULT = Configuration()
 
-MARK = "role string, name string, token int, last_token int, start int, end int, found string"
 
+# Normalised text ---------------------------------------------------------------------------------
 
-def normalise(text: Column) -> Column:
+
+@cache
+def normal_steps() -> tuple[Step | Lower, ...]:
+    """The rewriting steps in order. Units after a number need a digit with a letter behind it."""
+    spelt = re.compile(r"\d\s*[^\W\d_]")
+    step = lambda p, by: Step(re.compile(p), by.replace("$", "\\"), spelt if p.startswith(r"(?<=\d)\s*") else None)
+    return (*(step(p, by) for p, by in ct.STRIP_RAW), Lower(), *(step(p, by) for p, by in ct.STRIP_LOWER))
+
+
+def normalise_text(raw: str | None) -> str:
     """Lower-case text with units folded, without markup, addresses, versions and hashes."""
-    out = F.coalesce(text.cast("string"), F.lit(""))
-    for pattern, by in ct.STRIP_RAW:
-        out = F.regexp_replace(out, f"(?U){pattern}", by)
-    out = F.lower(out)
-    for pattern, by in ct.STRIP_LOWER:
-        out = F.regexp_replace(out, f"(?U){pattern}", by)
-    return out
+    return rewrite(raw or "", normal_steps())[0]
+
+
+@F.pandas_udf(T.StringType())
+def normalise(text: pd.Series) -> pd.Series:
+    """``normalise_text`` of a column; null is empty."""
+    return text.map(normalise_text)
+
+
+def normalise_with_places(raw: str) -> tuple[str, Places]:
+    """The normalised text, and the table that leads its places back to the raw text."""
+    text, log = rewrite(raw, normal_steps())
+    return text, traced(len(raw), log)
+
 
+# Marks -------------------------------------------------------------------------------------------
 
-def _patterns(conf: Configuration) -> list[tuple[str, str, re.Pattern]]:
-    rows = [("quantity", kind, re.compile(p)) for kind, p in ct.QUANTITIES.items()]
-    rows += [("cue", d, re.compile(p)) for d, p in conf.cues.items()]
-    rows += [("self", str(k), re.compile(p)) for k, (_, p, _, _) in enumerate(conf.self_sufficient)]
-    return [*rows, ("hypothetical", "", re.compile(ct.HYPOTHETICAL)), ("heading", "", re.compile(ct.PROSPECTIVE))]
+MARK = "role string, name string, conf long, token int, last_token int, start int, end int, raw_start int, raw_end int, found string"
+_ARROW = [pa.string(), pa.string(), pa.int64(), *[pa.int32()] * 6, pa.string()]
 
 
-def _hide(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with spans blotted out at equal length, so that offsets stay. A span that begins within an earlier one is left as it is."""
+#: What every quantity of a kind holds, where that is found much faster than the quantity.
+_HOLDS = {"mult": r"\d\s?(?:x|times)\b", "pct": r"\d\s?(?:%|percent)", "currency": r"[$€£]|\b(?:usd|eur|gbp|dollars?|cents?)\b|\d(?:usd|eur|gbp|dollar|cent)", "from_to": r"\bfrom\s|->"}
+
+
+@dataclass(frozen=True)
+class Patterns:
+    """The distinct patterns of several configurations; each with the set of configurations, as bits, that have it."""
+
+    #: kind, pattern and what a text with such a quantity holds
+    quantities: list[tuple[str, re.Pattern, re.Pattern | None]]
+    #: dimension, pattern, configurations
+    cues: list[tuple[str, re.Pattern, int]]
+    #: which of ``cues``, those that hide it, configurations
+    seen: list[tuple[int, tuple[int, ...], int]]
+    #: number of the rule, pattern, configurations
+    alone: list[tuple[str, re.Pattern, int]]
+    hypothetical: re.Pattern
+    heading: re.Pattern
+    block: re.Pattern
+    every: int
+
+
+def rule_numbers(configurations: Sequence[Configuration]) -> dict[tuple, int]:
+    """Distinct self-sufficient rules (dimension, pattern, kinds needed, silencing dimensions), numbered."""
+    return {r: k for k, r in enumerate(dict.fromkeys((d, p, tuple(need), tuple(quiet)) for c in configurations for d, p, need, quiet in c.self_sufficient))}
+
+
+def pattern_table(configurations: Sequence[Configuration]) -> Patterns:
+    cues: dict[tuple[str, str], int] = {}
+    seen: dict[tuple, int] = {}
+    for k, c in enumerate(configurations):
+        for cue in c.cues.items():
+            cues[cue] = cues.get(cue, 0) | 1 << k
+    place = {cue: at for at, cue in enumerate(cues)}
+    for k, c in enumerate(configurations):
+        for d, p in c.cues.items():
+            key = place[d, p], tuple(sorted(place[o, c.cues[o]] for o in c.hidden_from.get(d, []) if o in c.cues))
+            seen[key] = seen.get(key, 0) | 1 << k
+    alone: dict[tuple, int] = {}
+    for k, c in enumerate(configurations):
+        for d, p, need, quiet in c.self_sufficient:
+            rule = d, p, tuple(need), tuple(quiet)
+            alone[rule] = alone.get(rule, 0) | 1 << k
+    numbers = rule_numbers(configurations)
+    return Patterns(
+        [(kind, re.compile(p), re.compile(_HOLDS[kind]) if kind in _HOLDS else None) for kind, p in ct.QUANTITIES.items()],
+        [(d, re.compile(p), bits) for (d, p), bits in cues.items()],
+        [(at, hiding, bits) for (at, hiding), bits in seen.items()],
+        [(str(numbers[r]), re.compile(r[1]), bits) for r, bits in alone.items()],
+        re.compile(ct.HYPOTHETICAL), re.compile(ct.PROSPECTIVE), re.compile(ct.BLOCK_BREAK), (1 << len(configurations)) - 1,
+    )
+
+
+def open_stretches(size: int, hiding: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What intervals leave of a text."""
     out, at = [], 0
-    for s, e in sorted(spans):
-        if s >= at:
-            out += [text[at:s], re.sub(r"\S", "█", text[s:e])]
-            at = e
-    return "".join(out) + text[at:]
+    for s, e in sorted(hiding):
+        if s > at:
+            out.append((at, s))
+        at = max(at, e)
+    return [*out, (at, size)] if at < size else out
+
 
+def find_marks(text: str, patterns: Patterns) -> list[tuple]:
+    """Role, name, configurations, start and end of all marks of one normalised text; none where no claim can be.
 
-def find_marks(text: str, patterns: list[tuple[str, str, re.Pattern]], hidden_from: dict[str, list[str]]) -> list[tuple]:
-    """All marks of one normalised text. Raw cues hide and silence; effective cues are found with the hiding ones blotted out."""
-    starts = [m.start() for m in re.finditer(r"\S+", text)]
-    if not starts:
+    A cue must lie in what the cues that hide it leave of the text. It is
+    looked for there only, so one that a hidden phrase would have begun or
+    gone on with is found as well.
+    """
+    out = [("quantity", kind, patterns.every, m.start(), m.end()) for kind, p, held in patterns.quantities if held is None or held.search(text) for m in p.finditer(text)]
+    alone = [("self", number, bits, m.start(), m.end()) for number, p, bits in patterns.alone for m in p.finditer(text)]
+    if not out and not alone:
+        return []
+    spans = [[(m.start(), m.end()) for m in p.finditer(text)] for _, p, _ in patterns.cues]
+    if not alone and not any(spans):
         return []
-    token = lambda at: max(bisect_right(starts, at) - 1, 0)
-    breaks = re.compile(ct.BLOCK_BREAK)
-    out, raw = [], {}
-    for role, name, pattern in patterns:
-        found = [(m.start(), m.end()) for m in pattern.finditer(text)]
-        if role == "cue":
-            raw[name] = found
-        if role == "heading":
-            for s, e in found:
-                stop = min(len(text), e + ct.BLOCK_CHARS)
-                cut = breaks.search(text, e, stop)
-                out.append(("hypothetical", "", token(s), token((cut.start() if cut else stop) - 1), s, e, ""))
-        elif role != "cue":
-            out += [(role, name, token(s), token(s), s, e, text[s:e]) for s, e in found]
-    cues = {name: p for role, name, p in patterns if role == "cue"}
-    for name, found in raw.items():
-        out += [("raw_cue", name, token(s), token(s), s, e, "") for s, e in found]
-        hidden = [span for other in hidden_from.get(name, []) for span in raw[other]]
-        seen = _hide(text, hidden) if hidden else text
-        out += [("cue", name, token(m.start()), token(m.end() - 1), m.start(), m.end(), m[0]) for m in cues[name].finditer(seen)]
-    # A claim is a cue with a quantity, or a construction of its own: other texts needn't be looked at again.
-    roles = {role for role, *_ in out}
-    return out if "self" in roles or {"cue", "quantity"} <= roles else []
-
-
-def marks(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT) -> DataFrame:
-    """Rows of marks: key and the columns of MARK. A text without a digit has no quantity, hence no mark is looked for."""
+    out += alone
+    for (d, _, bits), found in zip(patterns.cues, spans, strict=True):
+        out += [("raw_cue", d, bits, s, e) for s, e in found]
+    for at, hiding, bits in patterns.seen:
+        d, p, _ = patterns.cues[at]
+        hidden = [span for o in hiding for span in spans[o]]
+        found = spans[at] if not hidden else [(m.start(), m.end()) for lo, hi in open_stretches(len(text), hidden) for m in p.finditer(text, lo, hi)]
+        out += [("cue", d, bits, s, e) for s, e in found]
+    out += [("hypothetical", "", patterns.every, m.start(), m.end()) for m in patterns.hypothetical.finditer(text)]
+    for m in patterns.heading.finditer(text):
+        stop = min(len(text), m.end() + ct.BLOCK_CHARS)
+        cut = patterns.block.search(text, m.end(), stop)
+        out.append(("block", "", patterns.every, m.start(), cut.start() if cut else stop))
+    return out
+
+
+_SHOWN = ("quantity", "cue", "self")
+
+
+def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Configuration] = (DEFAULT,), snippets: bool = False, quotes: bool = False) -> DataFrame:
+    """Rows of marks: row (the text's number), key and the columns of MARK. A text without a digit has no quantity, hence no mark is looked for.
+
+    With ``snippets`` cues bring the normalised text around them; with
+    ``quotes`` places in the raw text are filled in, and a mark of role
+    ``text`` holds each raw text that has marks.
+    """
     bound_arrow_batches(texts.sparkSession)
-    prepared = texts.select(F.col(key).alias("key"), normalise(F.col(text)).alias("text")).filter(F.col("text").rlike(r"\d"))
-    kind = prepared.schema["key"].dataType.simpleString()
-    names = ["key", *[c.split()[0] for c in MARK.split(", ")]]
-    types = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string()]
+    chosen = spread(texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))).filter(F.col("text").rlike(r"(?U)\d"))
+    kind = chosen.schema["key"].dataType.simpleString()
+    names = ["row", "key", *[c.split()[0] for c in MARK.split(", ")], "snippet"]
+    configurations = list(configurations)
 
     def search(batches):
-        patterns = _patterns(configuration)
+        patterns, steps = pattern_table(configurations), normal_steps()
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            at, rows = [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                own = find_marks(t, patterns, configuration.hidden_from)
-                rows += own
-                at += [k] * len(own)
+            at, numbers, rows = [], [], []
+            for k, raw in enumerate(batch.column(1).to_pylist()):
+                number += 1
+                normal, log = rewrite(raw, steps)
+                found = find_marks(normal, patterns)
+                if not found:
+                    continue
+                starts = [m.start() for m in re.finditer(r"\S+", normal)]
+                token = lambda c: max(bisect_right(starts, c) - 1, 0)  # noqa: B023, E731
+                lo, hi = [f[3] for f in found], [f[4] for f in found]
+                raw_lo, raw_hi = (x.tolist() for x in traced(len(raw), log).span(lo, hi)) if quotes else ([None] * len(found),) * 2
+                for (role, name, bits, s, e), a, b in zip(found, raw_lo, raw_hi, strict=True):
+                    near = " ".join(normal[max(0, s - ct.SNIPPET_CHARS) : s + ct.SNIPPET_CHARS].split()) if snippets and role in ("cue", "self") else None
+                    first = token(s)
+                    rows.append((role, name, bits, first, token(e - 1) if role in ("cue", "block") else first, s, e, a, b, normal[s:e] if role in _SHOWN else "", near))
+                if quotes:
+                    rows.append(("text", "", patterns.every, None, None, None, None, None, None, raw, None))
+                fresh = len(found) + bool(quotes)
+                at += [k] * fresh
+                numbers += [number] * fresh
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]], names=names)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*_ARROW, pa.string()], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column(0).take(pa.array(at)), *columns], names=names)
+
+    return chosen.mapInArrow(search, f"row long, key {kind}, {MARK}, snippet string")
+
+
+# Claims ------------------------------------------------------------------------------------------
+
 
-    return prepared.mapInArrow(search, f"key {kind}, {MARK}")
+def _gap(token: Column, at: str) -> Column:
+    """Tokens between a place and a cue: 0 within it."""
+    t = F.col(at)
+    return F.when(t.between(token["token"], token["last_token"]), 0).otherwise(F.least(F.abs(t - token["token"]), F.abs(t - token["last_token"])))
 
 
-def _near(rows: DataFrame, places: DataFrame, at: str, window: int, flag: str, same: list[str] | None = None) -> DataFrame:
-    """``flag``: whether any place (key, token and ``same``) lies within ``window`` tokens of ``at``; a range frame over both together."""
-    keys = ["key", *(same or [])]
-    both = rows.withColumn("__t", F.col(at)).withColumn("__p", F.lit(0)).unionByName(places.select(*keys, F.col("token").alias("__t"), F.lit(1).alias("__p")), allowMissingColumns=True)
-    frame = Window.partitionBy(*keys).orderBy("__t").rangeBetween(-window, window)
-    return both.withColumn(flag, F.max("__p").over(frame) == 1).filter("__p = 0").drop("__t", "__p")
+def _table(values: Mapping[tuple[int, str], Sequence[str]], conf: Column, name: Column) -> Column:
+    """The list of (configuration, name) in a table; empty where there is none."""
+    literal = F.create_map(*[x for (k, n), v in values.items() for x in (F.lit(f"{k}/{n}"), F.array(*[F.lit(y) for y in v]).cast("array<string>"))]) if values else None
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.try_element_at(literal, F.concat_ws("/", conf.cast("string"), name)), none) if values else none
 
 
-def _nearest_quantity(rows: DataFrame, quantities: DataFrame, at: str, kinds: str) -> DataFrame:
-    """The nearest quantity of one of the row's kinds: within PAIR_WINDOW, ties to the kind first by name, then to the earlier.
+def _surroundings(found: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """Marks with the nearest of each sort on either side: quantities by kind (``q``), cues and raw cues by dimension (``c``, ``r``), hypothetical wording (``h``).
 
-    ``rows`` has key, ``id``, the token ``at`` and an array ``kinds``. Rows and
-    quantities of a kind are put in order together; each row looks one
-    quantity back and one ahead.
+    Two orders of a text's marks, forwards and backwards, one sort each. At a
+    token quantities come behind the others, so that a cue's own token is ahead of it.
     """
-    asked = rows.select("key", "id", F.col(at).alias("t"), F.explode(kinds).alias("kind"))
-    q = quantities.select("key", F.col("name").alias("kind"), F.col("token").alias("t"), F.struct("token", "found", "start", "end").alias("q"))
-    both = asked.unionByName(q, allowMissingColumns=True)
-    # A quantity at the row's own token counts as ahead: rows sort before quantities there.
-    order = [F.col("t"), F.col("q").isNotNull(), F.col("q.found"), F.col("q.start")]
-    back = Window.partitionBy("key", "kind").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("key", "kind").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    seen = both.withColumn("before", F.last("q", ignorenulls=True).over(back)).withColumn("after", F.first("q", ignorenulls=True).over(ahead)).filter("id is not null")
-    options = F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.token") - F.col("t")).alias("distance"), F.col("kind").alias("kind"), F.lit(k).alias("side"), F.col(s).alias("q"))) for k, s in enumerate(("before", "after"))]))
-    best = seen.withColumn("o", F.explode(options)).filter(F.col("o.distance") <= ct.PAIR_WINDOW).groupBy("id").agg(F.min("o").alias("o"))
-    chosen = best.select("id", F.col("o.kind").alias("quantity_kind"), F.col("o.q.token").alias("quantity_token"), F.col("o.q.found").alias("quantity"), F.col("o.q.start").alias("quantity_start"), F.col("o.q.end").alias("quantity_end"))
-    return rows.join(chosen, "id")
-
-
-def extract_claims(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT) -> DataFrame:
-    """A row for each claim: key, dimension, rule, cue and quantity with their places in the normalised text."""
+    is_q = F.col("role") == "quantity"
+    within = [F.col("token"), is_q.cast("int"), F.when(is_q, F.col("found")), F.when(~is_q, F.col("last_token")), F.col("start"), F.col("end"), F.col("name"), F.col("role")]
+    q = F.struct("token", "found", "start", "end", "raw_start", "raw_end")
+    sorts = {f"q_{k}": F.when(is_q & (F.col("name") == k), q) for k in ct.QUANTITIES}
+    sorts |= {f"c_{d}": F.when((F.col("role") == "cue") & (F.col("name") == d), F.struct("token", "last_token")) for d in dimensions}
+    sorts |= {f"r_{d}": F.when((F.col("role") == "raw_cue") & (F.col("name") == d), F.col("token")) for d in dimensions}
+    doubt = F.col("role").isin("hypothetical", "block")
+    own = Window.partitionBy("row", "conf")
+    back = own.orderBy(*[c.asc() for c in within]).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = own.orderBy(*[c.desc() for c in within]).rowsBetween(Window.unboundedPreceding, -1)
+    seen = found
+    for side, frame, edge in (("b", back, F.max(F.when(doubt, F.col("last_token")))), ("a", ahead, F.min(F.when(doubt, F.col("token"))))):
+        seen = seen.withColumns({f"{n}_{side}": F.last(c, ignorenulls=True).over(frame) for n, c in sorts.items()} | {f"h_{side}": edge.over(frame)})
+    return seen
+
+
+def _within(kind: str, names: Sequence[str], tokens: int) -> Column:
+    """Whether one of some names is so near on either side: ``r`` raw cues, ``c`` cues by their first token, ``q`` quantities."""
+    at = lambda n, side: F.col(f"r_{n}_{side}") if kind == "r" else F.col(f"{kind}_{n}_{side}.token")
+    tests = [F.coalesce(F.abs(at(n, side) - F.col("token")) <= tokens, F.lit(False)) for n in names for side in "ba"]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _nearest(allowed: Column) -> Column:
+    """The nearest quantity of the allowed kinds within PAIR_WINDOW: distance, kind, side and the quantity; ties to the kind first by name, then to the earlier."""
+    options = []
+    for kind in sorted(ct.QUANTITIES):
+        for k, side in enumerate("ba"):
+            c = F.col(f"q_{kind}_{side}")
+            distance = F.abs(c["token"] - F.col("token"))
+            options.append(F.when(c.isNotNull() & F.array_contains(allowed, kind) & (distance <= ct.PAIR_WINDOW), F.struct(distance.alias("distance"), F.lit(kind).alias("kind"), F.lit(k).alias("side"), c.alias("q"))))
+    return F.array_min(F.array_compact(F.array(*options)))
+
+
+CLAIM = ["key", "dimension", "rule", "cue", "start", "end", "quantity_kind", "quantity", "quantity_start", "quantity_end"]
+RAW = ["raw_start", "raw_end", "quantity_raw_start", "quantity_raw_end"]
+
+
+def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str, Configuration], snippets: bool = False, quotes: bool = False) -> DataFrame:
+    """A row for each claim of each configuration: row, configuration and the columns of CLAIM; with ``snippets`` the text around the cue,
+    with ``quotes`` the places in the raw text and the raw ``quote`` from cue to quantity. Texts are read once for all configurations.
+    """
+    names, confs = list(configurations), list(configurations.values())
+    if len(confs) > 60:
+        raise ValueError("at most 60 configurations fit into the bits of a mark")
     # Marks are few against the texts; they serve several times and are written once.
-    found = Scratch(texts.sparkSession, "claims").table(marks(texts, key, text, configuration), "marks")
-    quantities, raw = found.filter("role = 'quantity'"), found.filter("role = 'raw_cue'")
-    doubtful = found.filter("role = 'hypothetical'").select("key", F.explode(F.sequence("token", "last_token")).alias("token"))
-    cues = found.filter("role = 'cue'")
-    by_dimension = lambda table, column: reduce(lambda e, d: e.when(column == d, F.array(*[F.lit(k) for k in table[d]])), list(table)[1:], F.when(column == next(iter(table)), F.array(*[F.lit(k) for k in table[next(iter(table))]])))
+    stored = Scratch(texts.sparkSession, "claims").table(marks(texts, key, text, confs, snippets, quotes), "marks")
+    having = F.array_compact(F.array(*[F.when(F.col("conf").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(len(confs))]))
+    found = stored.filter("role <> 'text'").withColumn("conf", F.explode(having))
+    dimensions = list(dict.fromkeys(d for c in confs for d in c.cues))
+    seen = _surroundings(found, dimensions).filter(F.col("role").isin(*_SHOWN))
+    per_conf = lambda pick: {(k, n): v for k, c in enumerate(confs) for n, v in pick(c).items()}
+    kinds, quiet = per_conf(lambda c: c.kinds), per_conf(lambda c: c.silenced_by)
+    conf, name, token = F.col("conf"), F.col("name"), F.col("token")
+    sure = ~(F.coalesce(F.col("h_b") >= token - ct.EXCLUSION_WINDOW, F.lit(False)) | F.coalesce(F.col("h_a") <= token + ct.EXCLUSION_WINDOW, F.lit(False)))
+    silenced = lambda by: reduce(lambda a, b: a | b, [F.array_contains(by, d) & _within("r", [d], ct.PAIR_WINDOW) for d in dimensions], F.lit(False))
 
     # Cues with their nearest fitting quantity.
-    rows = cues.select("key", F.col("name").alias("dimension"), "token", "last_token", "start", "end", F.col("found").alias("cue"), F.concat_ws(":", F.col("key").cast("string"), "name", "start").alias("id"))
-    rows = _near(rows, doubtful, "token", ct.EXCLUSION_WINDOW, "doubtful").filter("not doubtful").drop("doubtful")
-    for dimension, others in configuration.silenced_by.items():
-        rows = _near(rows, raw.filter(F.col("name").isin(*others)), "token", ct.PAIR_WINDOW, "silenced").filter((F.col("dimension") != dimension) | ~F.col("silenced")).drop("silenced")
-    paired = _nearest_quantity(rows.withColumn("kinds", by_dimension(configuration.kinds, F.col("dimension"))), quantities, "token", "kinds")
-    paired = paired.withColumn("distance", F.when(F.col("quantity_token").between(F.col("token"), F.col("last_token")), 0).otherwise(F.least(F.abs(F.col("quantity_token") - F.col("token")), F.abs(F.col("quantity_token") - F.col("last_token")))))
-
-    # A strictly nearer cue of another dimension that takes the kind wins the quantity: look at its last cue before and first at or after it.
-    takers = {k: [d for d, kinds in configuration.kinds.items() if k in kinds] for k in ct.QUANTITIES}
-    asking = paired.select("key", "id", "dimension", F.col("quantity_token").alias("t"), "distance", F.explode(by_dimension(takers, F.col("quantity_kind"))).alias("rival")).filter("rival <> dimension")
-    rivals = cues.select("key", F.col("name").alias("rival"), F.col("token").alias("t"), F.struct("token", "last_token").alias("c"))
-    both = asking.unionByName(rivals, allowMissingColumns=True)
-    order = [F.col("t"), F.col("c").isNotNull(), F.col("c.last_token")]
-    back = Window.partitionBy("key", "rival").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("key", "rival").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    away = lambda c: F.when(F.col("t").between(F.col(f"{c}.token"), F.col(f"{c}.last_token")), 0).otherwise(F.least(F.abs(F.col("t") - F.col(f"{c}.token")), F.abs(F.col("t") - F.col(f"{c}.last_token"))))
-    seen = both.withColumn("b", F.last("c", ignorenulls=True).over(back)).withColumn("a", F.first("c", ignorenulls=True).over(ahead)).filter("id is not null")
-    nearer = seen.filter((F.least(F.when(F.col("b").isNotNull(), away("b")), F.when(F.col("a").isNotNull(), away("a")))) < F.col("distance")).select("id").distinct()
-    paired = paired.join(nearer, "id", "left_anti")
-
-    # The fallback dimension: no other cue near the quantity, and no quantity with a unit right beside it.
-    named = cues.filter(F.col("name") != ct.FALLBACK)
-    paired = _near(paired, named, "quantity_token", ct.PAIR_WINDOW, "named")
-    paired = _near(paired, quantities.filter(F.col("name").isin(*ct.UNIT_KINDS)), "quantity_token", ct.UNIT_WINDOW, "unit")
-    paired = paired.filter((F.col("dimension") != ct.FALLBACK) | ~(F.col("named") | F.col("unit")))
-    columns = ["key", "dimension", "rule", "cue", "start", "end", "quantity_kind", "quantity", "quantity_start", "quantity_end"]
-    out = paired.withColumn("rule", F.lit("cue+quantity")).select(*columns)
+    cues = seen.filter("role = 'cue'").filter(sure & ~silenced(_table(quiet, conf, name)))
+    cues = cues.withColumn("best", _nearest(_table(kinds, conf, name))).filter("best is not null")
+    cues = cues.select("row", "key", "conf", name.alias("dimension"), "token", "last_token", "start", "end", "raw_start", "raw_end", F.col("found").alias("cue"), "snippet", F.col("best.kind").alias("quantity_kind"), F.col("best.q").alias("q"))
+
+    # What quantities have around them: of each dimension that takes their kind the nearest cue, and whether the fallback is out of the question.
+    takers = per_conf(lambda c: {k: [d for d, own in c.kinds.items() if k in own] for k in ct.QUANTITIES})
+    rival = lambda d: F.when(F.array_contains(F.col("takers"), d), F.least(*[_gap(F.col(f"c_{d}_{side}"), "token") for side in "ba"]))
+    quantities = seen.filter("role = 'quantity'").withColumn("takers", _table(takers, conf, name))
+    quantities = quantities.select(
+        F.col("row").alias("q_row"), F.col("conf").alias("q_conf"), F.col("name").alias("q_kind"), F.col("start").alias("q_start"), F.col("end").alias("q_end"),
+        F.array_compact(F.array(*[F.when(rival(d).isNotNull(), F.struct(F.lit(d).alias("dimension"), rival(d).alias("distance"))) for d in dimensions])).alias("rivals"),
+        (_within("c", [d for d in dimensions if d != ct.FALLBACK], ct.PAIR_WINDOW) | _within("q", ct.UNIT_KINDS, ct.UNIT_WINDOW) | name.isin(*ct.UNIT_KINDS)).alias("named"),
+    )
+    same = (F.col("row") == F.col("q_row")) & (conf == F.col("q_conf")) & (F.col("quantity_kind") == F.col("q_kind")) & (F.col("q.start") == F.col("q_start")) & (F.col("q.end") == F.col("q_end"))
+    distance = _gap(F.struct("token", "last_token"), "q.token")
+    paired = cues.join(quantities, same).withColumn("distance", distance)
+    # A strictly nearer cue of another dimension wins the quantity; the fallback needs a quantity without any cue or unit beside it.
+    paired = paired.filter(~F.exists("rivals", lambda r: (r["dimension"] != F.col("dimension")) & (r["distance"] < F.col("distance"))))
+    paired = paired.filter((F.col("dimension") != ct.FALLBACK) | ~F.col("named"))
+    own = ["row", "conf", "snippet"]
+    out = paired.select(*own, "key", "dimension", F.lit("cue+quantity").alias("rule"), "cue", "start", "end", "quantity_kind", F.col("q.found").alias("quantity"), F.col("q.start").alias("quantity_start"), F.col("q.end").alias("quantity_end"), "raw_start", "raw_end", F.col("q.raw_start").alias("quantity_raw_start"), F.col("q.raw_end").alias("quantity_raw_end"))
 
     # Constructions that suffice by themselves.
-    rules = F.broadcast(texts.sparkSession.createDataFrame([(str(k), d, need, quiet) for k, (d, _, need, quiet) in enumerate(configuration.self_sufficient)], "name string, dimension string, need array<string>, quiet array<string>"))
-    alone = found.filter("role = 'self'").join(rules, "name").withColumn("id", F.concat_ws(":", F.col("key").cast("string"), "name", "start"))
-    alone = _near(alone, doubtful, "token", ct.EXCLUSION_WINDOW, "doubtful").filter("not doubtful").drop("doubtful")
-    every_quiet = sorted({d for *_, quiet in configuration.self_sufficient for d in quiet})
-    for d in every_quiet:
-        alone = _near(alone, raw.filter(F.col("name") == d), "token", ct.PAIR_WINDOW, "silenced").filter(~(F.array_contains("quiet", d) & F.col("silenced"))).drop("silenced")
-    needing = alone.filter(F.size("need") > 0)
-    met = _nearest_quantity(needing, quantities, "token", "need").select(*alone.columns)
-    alone = alone.filter(F.size("need") == 0).unionByName(met)
-    made = alone.select("key", "dimension", F.lit("self-sufficient").alias("rule"), F.col("found").alias("cue"), "start", "end", F.lit("self").alias("quantity_kind"), F.col("found").alias("quantity"), F.col("start").alias("quantity_start"), F.col("end").alias("quantity_end"))
-    return out.unionByName(made)
-
-
-def claim_snippets(claims: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Claims with the normalised text around the cue, on one line."""
-    base = texts.select(F.col(key).alias("key"), normalise(F.col(text)).alias("__text"))
-    lo = F.greatest(F.col("start") - ct.SNIPPET_CHARS, F.lit(0))
-    piece = F.substring(F.col("__text"), (lo + 1).cast("int"), (F.col("start") + ct.SNIPPET_CHARS - lo).cast("int"))
-    return claims.join(base, "key").withColumn("snippet", F.trim(F.regexp_replace(piece, r"(?U)\s+", " "))).drop("__text")
+    numbers = rule_numbers(confs)
+    if numbers:
+        by = lambda pick: _table({(0, str(k)): pick(r) for r, k in numbers.items()}, F.lit(0), name)
+        need = by(lambda r: r[2])
+        alone = seen.filter("role = 'self'").filter(sure & ~silenced(by(lambda r: r[3])) & ((F.size(need) == 0) | _nearest(need).isNotNull()))
+        made = alone.select(*own, "key", by(lambda r: [r[0]])[0].alias("dimension"), F.lit("self-sufficient").alias("rule"), F.col("found").alias("cue"), "start", "end", F.lit("self").alias("quantity_kind"), F.col("found").alias("quantity"), F.col("start").alias("quantity_start"), F.col("end").alias("quantity_end"), "raw_start", "raw_end", F.col("raw_start").alias("quantity_raw_start"), F.col("raw_end").alias("quantity_raw_end"))
+        out = out.unionByName(made)
+    out = out.withColumn("configuration", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("conf") + 1))
+    if quotes:
+        whole = stored.filter("role = 'text'").select("row", F.col("found").alias("whole"))
+        lo, hi = F.least("raw_start", "quantity_raw_start"), F.greatest("raw_end", "quantity_raw_end")
+        out = out.join(whole, "row").withColumn("quote", F.substring("whole", lo + 1, hi - lo))
+    return out.select("row", "configuration", *CLAIM, *(["snippet"] if snippets else []), *([*RAW, "quote"] if quotes else []))
+
+
+def extract_claims(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT, snippets: bool = False, quotes: bool = False) -> DataFrame:
+    """A row for each claim: key, dimension, rule, cue and quantity with their places in the normalised text; ``snippets`` and ``quotes`` as in ``claims_by``."""
+    return claims_by(texts, key, text, {"": configuration}, snippets, quotes).drop("row", "configuration")
 
 
 def claim_flags(claims: DataFrame, texts: DataFrame, key: str, configuration: Configuration = DEFAULT) -> DataFrame:
@@ -226,80 +361,58 @@ def claim_flags(claims: DataFrame, texts: DataFrame, key: str, configuration: Co
     return joined.withColumn("dimensions", F.array_join(F.array_compact(F.array(*[F.when(F.col(d), F.lit(d)) for d in dimensions])), "|"))
 
 
-# Places in the raw text --------------------------------------------------------------------------
+# Corpora of several sources ----------------------------------------------------------------------
 
 
-def _offset_steps() -> tuple[list, list]:
-    python = lambda by: by.replace("$", "\\")
-    return [(re.compile(p), python(by)) for p, by in ct.STRIP_RAW], [(re.compile(p), python(by)) for p, by in ct.STRIP_LOWER]
+def joined_pieces(pieces: DataFrame, keys: Sequence[str], source: str, order: str, text: str) -> DataFrame:
+    """keys, source, ``cell`` (both as text) and ``whole``: the pieces of a source in order, joined by line ends. Null pieces don't count."""
+    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n")
+    return pieces.filter(F.col(text).isNotNull()).groupBy(*keys, source).agg(in_order.alias("whole")).withColumn("cell", F.to_json(F.struct(*keys, source)))
 
 
-def normalise_with_places(raw: str, steps: tuple[list, list] | None = None) -> tuple[str, list[int], list[int]]:
-    """The normalised text, and for each of its characters where the raw characters that it stands for begin and end.
+def record_boundaries(pieces: DataFrame, keys: Sequence[str], source: str, order: str, text: str) -> DataFrame:
+    """keys, source, order and where each piece stands in its joined source: ``number`` from 1, ``begin`` and ``end`` in characters, by running sums of lengths."""
+    known = pieces.filter(F.col(text).isNotNull())
+    own = Window.partitionBy(*keys, source).orderBy(order, text)
+    size = F.length(text).cast("long")
+    end = F.sum(size + 1).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    return known.select(*keys, source, order, F.row_number().over(own).cast("long").alias("number"), (end - size).alias("begin"), end.alias("end"))
 
-    A replacement stands for the whole of what it replaces; one for nothing
-    has an empty place.
-    """
-    before, after = steps or _offset_steps()
-    text, begin, end = raw, list(range(len(raw))), list(range(1, len(raw) + 1))
-
-    def replaced(pattern: re.Pattern, by: str) -> None:
-        nonlocal text, begin, end
-        parts, lo, hi, at = [], [], [], 0
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            new = m.expand(by)
-            first = begin[s] if s < len(begin) else len(raw)
-            last = end[e - 1] if e > s else first
-            parts += [text[at:s], new]
-            lo += begin[at:s] + [first] * len(new)
-            hi += end[at:s] + [last] * len(new)
-            at = e
-        if parts:
-            text, begin, end = "".join(parts) + text[at:], lo + begin[at:], hi + end[at:]
-
-    for pattern, by in before:
-        replaced(pattern, by)
-    width = [len(c.lower()) for c in text]
-    begin = [b for b, w in zip(begin, width, strict=True) for _ in range(w)]
-    end = [e for e, w in zip(end, width, strict=True) for _ in range(w)]
-    # A letter's lower case may depend on what surrounds it, its length doesn't.
-    text = text.lower()
-    for pattern, by in after:
-        replaced(pattern, by)
-    return text, begin, end
-
-
-def locate_claims(found: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Claims with the places of cue and quantity in the raw text (``raw_start``, ``raw_end``, ``quantity_raw_start``, ``quantity_raw_end``) and the raw ``quote`` from one to the other.
-
-    Only texts with claims are looked at, once each. A claim whose cue isn't
-    where it should be in the text normalised anew is an error.
-    """
-    columns = found.columns
-    per_text = found.groupBy("key").agg(F.collect_list(F.struct(*[c for c in columns if c != "key"])).alias("__claims"))
-    met = per_text.join(texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("__text")), "key")
-    added = "raw_start int, raw_end int, quantity_raw_start int, quantity_raw_end int, quote string"
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields) + ", " + added
-
-    def place(frames):
-        steps = _offset_steps()
-        for f in frames:
-            rows = []
-            for own, claims_, raw in zip(f["key"], f["__claims"], f["__text"], strict=True):
-                normal, begin, end = normalise_with_places(raw, steps)
-                for c in claims_:
-                    if normal[c["start"] : c["end"]] != c["cue"] and "█" not in c["cue"]:
-                        raise ValueError(f"{own}: the cue {c['cue']!r} isn't at {c['start']}")
-                    cue, quantity = ((begin[c[a]], end[c[b] - 1]) for a, b in (("start", "end"), ("quantity_start", "quantity_end")))
-                    quote = raw[min(cue[0], quantity[0]) : max(cue[1], quantity[1])]
-                    rows.append((*(own if n == "key" else c[n] for n in columns), *cue, *quantity, quote))
-            yield pd.DataFrame(rows, columns=[*columns, *[a.split()[0] for a in added.split(", ")]])
-
-    return met.mapInPandas(place, schema)
 
+def spans_in_records(spans: DataFrame, records: DataFrame, cell: str, span: str, start: str, end: str) -> DataFrame:
+    """``spans`` once for each record that they overlap, with the record's columns and the overlap's place in it (``record_start``, ``record_end``).
 
-# Corpora of several sources ----------------------------------------------------------------------
+    ``spans``: cell, an identifier ``span``, start and end. ``records``: cell,
+    number, begin, end, apart and in order. Where a span's first and last
+    character stand is looked up in the order of both together, so spans and
+    records of a cell are never paired off against each other.
+    """
+    kind = spans.schema[span].dataType
+    at = lambda edge, place: spans.select(F.col(cell).alias("__c"), place.cast("long").alias("__p"), F.lit(1).alias("__k"), F.col(span).alias("__s"), F.lit(edge).alias("__e"), F.lit(None).cast("long").alias("__n"))
+    begins = records.select(F.col(cell).alias("__c"), F.col("begin").cast("long").alias("__p"), F.lit(0).alias("__k"), F.lit(None).cast(kind).alias("__s"), F.lit("").alias("__e"), F.col("number").cast("long").alias("__n"))
+    both = begins.unionByName(at("first", F.col(start))).unionByName(at("last", F.greatest(F.col(start), F.col(end) - 1)))
+    run = Window.partitionBy("__c").orderBy("__p", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("__n", F.last("__n", ignorenulls=True).over(run)).filter("__k = 1")
+    ranges = seen.groupBy("__s").agg(*[F.max(F.when(F.col("__e") == e, F.col("__n"))).alias(f"__{e}") for e in ("first", "last")])
+    each = spans.join(ranges, spans[span] == ranges["__s"]).withColumn("number", F.explode(F.sequence("__first", "__last"))).drop("__s", "__first", "__last")
+    met = each.join(records.withColumnsRenamed({"begin": "__begin", "end": "__end"}), [cell, "number"])
+    met = met.filter((F.col("__begin") < F.col(end)) & (F.col("__end") > F.col(start)))
+    return met.withColumn("record_start", F.greatest(F.col(start), F.col("__begin")) - F.col("__begin")).withColumn("record_end", F.least(F.col(end), F.col("__end")) - F.col("__begin")).drop("__begin", "__end")
+
+
+def claim_records(pieces: DataFrame, keys: Sequence[str], source: str, order: str, text: str, configuration: Configuration = DEFAULT) -> DataFrame:
+    """Cue and quantity of each claim of a corpus, once for each piece that they stand in: keys, source, claim (a number), dimension, rule, part, words, the piece's order and the place in it."""
+    scratch = Scratch(pieces.sparkSession, "records")
+    whole = scratch.table(joined_pieces(pieces, keys, source, order, text), "texts")
+    found = extract_claims(whole, "cell", "whole", configuration, quotes=True).withColumn("claim", F.monotonically_increasing_id())
+    found = scratch.table(found.withColumnRenamed("key", "cell"), "claims")
+    part = lambda name, words, lo, hi: F.struct(F.lit(name).alias("part"), F.col(words).alias("words"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    parts = F.explode(F.array(part("cue", "cue", "raw_start", "raw_end"), part("quantity", "quantity", "quantity_raw_start", "quantity_raw_end"))).alias("p")
+    parts = found.select("cell", "claim", "dimension", "rule", parts).select("cell", "claim", "dimension", "rule", "p.*")
+    parts = parts.withColumn("span", F.concat_ws("/", F.col("claim").cast("string"), "part"))
+    records = record_boundaries(pieces, keys, source, order, text).withColumn("cell", F.to_json(F.struct(*keys, source)))
+    out = spans_in_records(parts, records, "cell", "span", "lo", "hi")
+    return out.select(*keys, source, "claim", "dimension", "rule", "part", "words", order, "number", "record_start", "record_end")
 
 
 def corpus_claims(pieces: DataFrame, keys: Sequence[str], source: str, order: str, text: str, diff_source: str, configuration: Configuration = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -310,15 +423,14 @@ def corpus_claims(pieces: DataFrame, keys: Sequence[str], source: str, order: st
     without ``diff_source`` (``<dimension>_nodiff``), how many dimensions
     there are (all, without the fallback, without the diff), and ``dimensions``
     and ``sources`` as text. Sizes are characters by source, 0 where none is.
+    Texts to be kept apart, as those of bots, have a key of their own that says so.
     """
     scratch = Scratch(pieces.sparkSession, "corpus")
-    joined = pieces.filter(F.col(text).isNotNull()).groupBy(*keys, source).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n").alias("__text"))
-    whole = scratch.table(joined.withColumn("__cell", F.to_json(F.struct(*keys, source))), "texts")
-    found = scratch.table(extract_claims(whole, "__cell", "__text", configuration), "claims")
-    cells = found.groupBy("key", "dimension").agg(F.count("*").alias("n_claims"), F.min(F.struct("start", "rule", "cue", "quantity_kind", "quantity")).alias("first"))
-    cells = whole.select(*keys, source, F.col("__cell").alias("key")).join(cells, "key")
-    around = claim_snippets(cells.select("key", "dimension", "n_claims", "first.*", *keys, source), whole, "__cell", "__text")
-    first = around.select(*keys, source, "dimension", "n_claims", "rule", "cue", "quantity_kind", "quantity", "snippet")
+    whole = scratch.table(joined_pieces(pieces, keys, source, order, text), "texts")
+    found = scratch.table(extract_claims(whole, "cell", "whole", configuration, snippets=True), "claims")
+    cells = found.groupBy("key", "dimension").agg(F.count("*").alias("n_claims"), F.min(F.struct("start", "rule", "cue", "quantity_kind", "quantity", "snippet")).alias("first"))
+    cells = whole.select(*keys, source, F.col("cell").alias("key")).join(cells, "key")
+    first = cells.select(*keys, source, "dimension", "n_claims", *[F.col(f"first.{c}").alias(c) for c in ("rule", "cue", "quantity_kind", "quantity", "snippet")])
     dimensions = sorted(configuration.cues)
     nodiff = F.col(source) != diff_source
     per_key = cells.groupBy(*keys).agg(*[F.bool_or(F.col("dimension") == d).alias(d) for d in dimensions], *[F.bool_or((F.col("dimension") == d) & nodiff).alias(f"{d}_nodiff") for d in dimensions], F.array_join(F.sort_array(F.collect_set(source)), "|").alias("sources"))
@@ -327,26 +439,35 @@ def corpus_claims(pieces: DataFrame, keys: Sequence[str], source: str, order: st
     count = lambda names: reduce(lambda a, b: a + b, [F.col(n).cast("int") for n in names])
     rolled = rolled.withColumn("n_dimensions", count(dimensions)).withColumn("n_specific", count([d for d in dimensions if d != ct.FALLBACK])).withColumn("n_nodiff", count([f"{d}_nodiff" for d in dimensions]))
     rolled = rolled.withColumn("dimensions", F.array_join(F.array_compact(F.array(*[F.when(F.col(d), F.lit(d)) for d in dimensions])), "|"))
-    sizes = corpus_sizes(whole.select(*keys, source, "__text"), pieces.select(*keys).distinct(), keys, source, "__text")
+    sizes = corpus_sizes(whole.select(*keys, source, "whole"), pieces.select(*keys).distinct(), keys, source, "whole")
     return rolled, first, sizes
 
 
+#: Sources of a corpus that are listed at most.
+MOST_SOURCES = 1000
+
+
 def corpus_sizes(texts: DataFrame, population: DataFrame, keys: Sequence[str], source: str, text: str) -> DataFrame:
     """Long: keys, source and ``chars`` of every source of every key, 0 where there is no text."""
-    every = population.crossJoin(F.broadcast(texts.select(source).distinct()))
+    names = [r[0] for r in texts.select(source).distinct().limit(MOST_SOURCES + 1).collect()]
+    if len(names) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: a source is a kind of text, not a key")
+    every = population.withColumn(source, F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
     return every.join(texts.select(*keys, source, F.length(text).cast("long").alias("chars")), [*keys, source], "left").na.fill(0, ["chars"])
 
 
-def coverage(flags: dict[str, DataFrame], key: str, group: str, base: str) -> DataFrame:
+def coverage_by(texts: DataFrame, key: str, text: str, group: str, configurations: Mapping[str, Configuration], base: str) -> DataFrame:
     """What each configuration covers: per configuration and group, keys, the share with a dimension, the mean number, and how many are new against ``base``.
 
-    ``flags``: roll-ups (key, group, ``n_dimensions``) by configuration.
+    Texts are read and matched once for all configurations. Keys are unique.
     """
-    known = flags[base].select(key, F.col("n_dimensions").alias("__base"))
-    rows = [f.select(F.lit(name).alias("configuration"), key, group, "n_dimensions") for name, f in flags.items()]
-    joined = reduce(lambda a, b: a.unionByName(b), rows).join(known, key)
+    kept = texts.select(F.col(key).alias("key"), F.col(group).alias("__group"))
+    found = claims_by(texts, key, text, configurations).groupBy("key", "configuration").agg(F.count_distinct("dimension").alias("n_dimensions"))
+    every = kept.withColumn("configuration", F.explode(F.array(*[F.lit(n) for n in configurations])))
+    flags = every.join(found, ["key", "configuration"], "left").na.fill(0, ["n_dimensions"])
+    flags = flags.withColumn("__base", F.max(F.when(F.col("configuration") == base, F.col("n_dimensions"))).over(Window.partitionBy("key")))
     has = F.col("n_dimensions") > 0
-    return joined.groupBy("configuration", group).agg(F.count("*").alias("n"), F.avg(has.cast("int")).alias("covered"), F.avg("n_dimensions").alias("mean_dimensions"), F.count_if(has & (F.col("__base") == 0)).alias("newly_covered"))
+    return flags.groupBy("configuration", F.col("__group").alias(group)).agg(F.count("*").alias("n"), F.avg(has.cast("int")).alias("covered"), F.avg("n_dimensions").alias("mean_dimensions"), F.count_if(has & (F.col("__base") == 0)).alias("newly_covered"))
 
 
 def expected_dimensions(phrases: Column, rules: Sequence[tuple[str, str]] = tuple(ct.EXPECTED), masks: Sequence[tuple[str, str]] = tuple(ct.EXPECTED_FIRST)) -> Column:

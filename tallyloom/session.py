@@ -44,6 +44,19 @@ def bound_arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its input is so small that Spark would read it in fewer tasks than there are cores.
+
+    For costly work on each row. What is dealt out is bounded by the bytes
+    that so many read tasks hold; a larger input is left as it is read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m").rstrip("b")))
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < split * cores
+    return df.repartition(cores) if small else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Local masters may leave it unset and get a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tallyloom.sharedDir", None)

@@ -7,7 +7,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.functions import quotes
 from tallyloom.functions import text as tx
 from tallyloom.functions import values as vl
 from tallyloom.operators import claims, classify, expect, measures, relational, sampling, votes
@@ -212,47 +211,6 @@ def test_claims_see_unicode_spaces_and_own_dimensions(spark):
         claims.DEFAULT.with_dimensions({"X1": "x"}, {})
 
 
-def test_hidden_spans_that_overlap():
-    assert claims._hide("abc def", [(0, 2), (1, 5), (4, 7)]) == "██c ███"
-
-
-RAW = [
-    "Latency decreased from 20 milliseconds to 10 milliseconds. https://example.org/x \nMemory: 20 MiB",
-    "大对象阈值（1MB）\n内存 latency 20秒 -> 10秒",
-    "<!-- remove --> <b>Time</b>: 0.4101774 seconds. 0 Warning(s)\n0 Error(s)",
-    "İΟΔΟΣ v1.2.3 abcdef1234 \nRuntime 2µs -> 1μs",
-    "x" * 200 + "\n10x faster",
-    "",
-]
-
-
-def test_places_in_the_raw_text(spark):
-    df = spark.createDataFrame(list(enumerate(RAW)), "id long, text string")
-    normal = {r["id"]: r["n"] for r in df.select("id", claims.normalise(F.col("text")).alias("n")).collect()}
-    for k, raw in enumerate(RAW):
-        text, begin, end = claims.normalise_with_places(raw)
-        assert len(text) == len(begin) == len(end) and all(0 <= b <= e <= len(raw) for b, e in zip(begin, end, strict=True))
-        assert text == normal[k]
-    found = claims.extract_claims(df, "id", "text")
-    placed = claims.locate_claims(found, df, "id", "text").collect()
-    assert len(placed) == found.count() > 3
-    for r in placed:
-        raw = RAW[r["key"]]
-        assert 0 <= r["raw_start"] < r["raw_end"] <= len(raw) and r["quote"] in raw
-    assert "20 milliseconds to 10" in next(r["quote"] for r in placed if r["key"] == 0 and r["dimension"] == "D1")
-
-
-def test_quotes(spark):
-    raw = "+- **First compilation**: PCH built in ~1.15s"
-    texts = [raw, None, "a  b\nc", "a b c"]
-    assert quotes.find_quote("First compilation: PCH built in ~1.15s", texts) == ("First compilation**: PCH built in ~1.15s", None)
-    assert quotes.find_quote("PCH built in ~1.14s", texts) == (None, "missing")
-    assert quotes.find_quote("a b c", texts) == (None, "ambiguous") and quotes.find_quote(" ** ", texts) == (None, "empty")
-    df = spark.createDataFrame([("x", ["y"])], "q string, t array<string>")
-    with pytest.raises(expect.ExpectationError):
-        quotes.require_quotes(df, "q", "t")
-
-
 def test_corpus_of_several_sources(spark):
     rows = [(1, "description", 0, "Latency dropped from 120 ms to 45 ms."), (1, "code_diff", 0, "Memory usage reduced by 40%."), (1, "code_diff", 1, None), (2, "description", 0, "nothing"), (1, "description", 1, "Latency rose by 3 ms")]
     df = spark.createDataFrame(rows, "id long, source string, n int, text string")
