@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import Scratch
 from tallyloom.stats.rank import running
 
 # Filters -----------------------------------------------------------------------------------------
@@ -255,10 +256,16 @@ def capacity_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], s
     return rows.mapInArrow(fill, schema)
 
 
+def _as_double(value: Column, kind: T.DataType) -> Column:
+    return F.unix_date(value).cast("double") if isinstance(kind, T.DateType) else F.unix_micros(value.cast("timestamp")).cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else value.cast("double")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
-    """``name``: the row's number from 1 by ``order`` within its keys. Order values are counted into ranges first, so no task has a whole key; rows of equal order are numbered in some order."""
-    counts = df.groupBy(*keys, F.col(order).alias("__o")).agg(F.count("*").alias("__n")).withColumn("__v", F.col("__o").cast("double"))
-    ahead = running(counts, "__v", {"__ahead": "__n"}, keys).select(*[F.col(k).alias(f"__{k}") for k in keys], "__o", "__ahead")
+    """``name``: the row's number from 1 by ``order`` (numbers, dates or times) within its keys. Order values are counted into ranges first, so no task has a whole key; rows of equal order are numbered in some order."""
+    if not isinstance(df.schema[order].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"{order} is no number, date or time")
+    counts = df.groupBy(*keys, F.col(order).alias("__o")).agg(F.count("*").alias("__n")).withColumn("__v", _as_double(F.col("__o"), df.schema[order].dataType))
+    ahead = running(counts, "__v", {"__ahead": "__n"}, keys, exact="__o").select(*[F.col(k).alias(f"__{k}") for k in keys], "__o", "__ahead")
     on = F.col(order).eqNullSafe(F.col("__o"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -266,6 +273,18 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataF
     return df.join(ahead, on).withColumn(name, F.col("__ahead") + same).drop("__o", "__ahead", *[f"__{k}" for k in keys])
 
 
+def dense_numbers(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The distinct values of a column with their numbers from 0 in order. Values are dealt by ranges; no task has them all. Null is a value, the first."""
+    scratch = Scratch(df.sparkSession, "numbers")
+    dealt = df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    placed = scratch.table(dealt.withColumn("__place", F.monotonically_increasing_id()), "placed").withColumn("__part", F.shiftright("__place", 33))
+    held = placed.groupBy("__part").agg(F.count("*").alias("__rows"), F.min("__place").alias("__first"))
+    # One row for each range.
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = held.select("__part", (before - F.col("__first")).alias("__shift"))
+    return placed.join(shifts, "__part").select(column, (F.col("__place") + F.col("__shift")).alias(name))
+
+
 # Reshaping ---------------------------------------------------------------------------------------
 
 

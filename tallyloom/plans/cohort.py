@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as tx
@@ -13,7 +13,7 @@ from tallyloom.operators import classify, expect, relational
 from tallyloom.plans.catalog import Tables, query
 from tallyloom.sources.tables import find_column, read_table
 from tallyloom.plans.statistics import LOG_CHOOSE, adjusted_sql, normal_tail_sql, wilson_sql
-from tallyloom.stats import intervals, multiplicity, outcomes, rank, regression, resample
+from tallyloom.stats import intervals, multiplicity, outcomes, rank, regression, sparse
 
 # Scans -------------------------------------------------------------------------------------------
 
@@ -324,14 +324,11 @@ def category_contrasts(t: Tables) -> DataFrame:
 @query()
 def expected_alignment(t: Tables) -> DataFrame:
     """Whether languages and lengths go together more than when lengths are dealt anew."""
-    d = t.documents.select("lang", F.least(F.floor(F.col("n_chars") / 2000), F.lit(2)).cast("int").alias("size")).groupBy("lang", "size").agg(F.count("*").alias("n")).collect()
-    langs = sorted({r["lang"] for r in d})
-    hits, table = (resample.np.zeros((len(langs), 3), dtype="int64") for _ in range(2))
-    for k in range(len(langs)):
-        hits[k, k % 3] = 1
-    for r in d:
-        table[langs.index(r["lang"]), r["size"]] = r["n"]
-    out = resample.alignment_of_counts(hits, table, spark=t.spark)
+    d = t.documents.select("lang", F.least(F.floor(F.col("n_chars") / 2000), F.lit(2)).cast("int").alias("size"))
+    # Each language expects one size, in turn.
+    langs = d.select("lang").distinct()
+    expected = langs.select("lang", ((F.row_number().over(Window.orderBy("lang")) - 1) % 3).cast("int").alias("size"))
+    out = sparse.alignment_permutation(d, "lang", "size", expected)
     return t.spark.createDataFrame([tuple(out.values())], "observed double, expected double, low double, high double, p double")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import values as vl
 from tallyloom.operators import votes
 from tallyloom.plans.catalog import Tables, query
-from tallyloom.stats import contingency, intervals, multiplicity, rank, regression, resample, stratified
+from tallyloom.stats import contingency, intervals, multiplicity, rank, regression, resample, sparse, stratified
 from tallyloom.stats.prob import chi2_sf
 
 Z = intervals.Z
@@ -294,16 +294,15 @@ def logit_trend_cluster(t: Tables) -> DataFrame:
 def bootstrap_cramers(t: Tables) -> DataFrame:
     """Language against length, documents drawn by source."""
     d = t.documents.select("source", "lang", F.when(F.col("n_chars") < 1500, "short").otherwise("long").alias("size"))
-    out = resample.bootstrap_cramers_v(resample.cluster_tensor(d, "source", "lang", "size"), draws=2000, spark=t.spark)
-    return t.spark.createDataFrame([(out["cramers_v"], float(out["low"]), float(out["high"]), out["draws"])], "cramers_v double, low double, high double, draws long")
+    out = sparse.bootstrap_cramers_v(d, "source", "lang", "size", draws=2000)
+    return t.spark.createDataFrame([(out["cramers_v"], out["low"], out["high"], out["draws"])], "cramers_v double, low double, high double, draws long")
 
 
 @query()
 def perm_richness(t: Tables) -> DataFrame:
     """Distinct part types sold in two halves of the suppliers."""
     d = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select((F.col("l_suppkey") % 2).alias("arm"), "p_brand")
-    _, _, table = contingency.cell_matrix(d, "arm", "p_brand")
-    out = resample.richness_permutation(table, spark=t.spark)
+    out = sparse.richness_permutation(d, "arm", "p_brand")
     return t.spark.createDataFrame([(out["first"], out["second"], out["difference"], float(out["p"]))], "first long, second long, difference long, p double")
 
 

@@ -71,18 +71,6 @@ def tests_by(df: DataFrame, row: str, column: str, by: Sequence[str]) -> DataFra
     return tables.mapInPandas(judge, T.StructType([*keys, T.StructField("test", T.StringType()), T.StructField("statistic", T.DoubleType()), T.StructField("dof", T.IntegerType()), T.StructField("p", T.DoubleType())]))
 
 
-def cell_matrix(df: DataFrame, row: str, column: str, most_cells: int = 10_000) -> tuple[list, list, np.ndarray]:
-    """Row levels, column levels and counts of a small table, sorted; an error if it has too many cells."""
-    cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("n")).limit(most_cells + 1).collect()
-    if len(cells) > most_cells:
-        raise ValueError(f"{row} x {column} has over {most_cells} cells")
-    r, c = sorted({x[0] for x in cells}), sorted({x[1] for x in cells})
-    out = np.zeros((len(r), len(c)))
-    for a, b, n in cells:
-        out[r.index(a), c.index(b)] = n
-    return r, c, out
-
-
 def pearson(table: np.ndarray, yates: bool = False) -> tuple[float, int, np.ndarray]:
     """Chi-square, degrees of freedom and expected counts; Yates' correction never passes 0."""
     expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()

@@ -34,15 +34,18 @@ def two_arms(df: DataFrame, arm: str, value: str, first: str, second: str, by: S
     return with_below(Scratch(df.sparkSession, "arms").table(arm_counts(df, arm, value, first, second, by), "counts"), by)
 
 
-def running(counts: DataFrame, order: str, sums: dict[str, str], within: Sequence[str] = ()) -> DataFrame:
-    """Sums over all smaller values, in groups. Values are dealt into ranges by approximate quantiles: sums within a range, and over the ranges before."""
+def running(counts: DataFrame, order: str, sums: dict[str, str], within: Sequence[str] = (), exact: str | None = None) -> DataFrame:
+    """Sums over all smaller values, in groups. Values are dealt into ranges by approximate quantiles: sums within a range, and over the ranges before.
+
+    ``exact``: the column that ``order``, a double, stands for, where doubles may not tell its values apart.
+    """
     cuts = sorted(set(counts.approxQuantile(order, [k / 64 for k in range(1, 64)], 0.01)))
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     dealt = counts.withColumn("__bucket", bucket)
     before = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(*within, "__bucket").agg(*[F.sum(s).alias(f"__{n}") for n, s in sums.items()])
     ahead = totals.select(*within, "__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
-    inside = Window.partitionBy(*within, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*within, "__bucket").orderBy(exact or order).rowsBetween(Window.unboundedPreceding, -1)
     # Null keys are groups, too.
     right = ahead.select(*[F.col(c).alias(f"__r_{c}") for c in (*within, "__bucket")], *[f"__{n}" for n in sums])
     on = F.col("__bucket") == F.col("__r___bucket")

@@ -1,106 +1,15 @@
-"""Resampling over small tables that Spark has counted."""
+"""Rarefaction: distinct labels expected in smaller samples. Resampling is in ``sparse``."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.stats.contingency import cramers_v, random_tables
-
-#: Random tables that one seed draws.
-RUN = 500
-
-
-def cluster_tensor(df: DataFrame, cluster: str, row: str, column: str, most_cells: int = 2_000_000) -> np.ndarray:
-    """Counts by cluster, row and column, on the driver; an error if there are too many cells."""
-    cells = df.dropna(subset=[cluster, row, column]).groupBy(cluster, row, column).agg(F.count("*").alias("n")).orderBy(cluster, row, column).limit(most_cells + 1).collect()
-    if len(cells) > most_cells:
-        raise ValueError(f"over {most_cells} cells to resample")
-    index = [{v: k for k, v in enumerate(sorted({c[d] for c in cells}))} for d in range(3)]
-    out = np.zeros(tuple(map(len, index)))
-    for *key, n in cells:
-        out[tuple(i[v] for i, v in zip(index, key, strict=True))] = n
-    return out
-
-
-def bootstrap_cramers_v(tensor: np.ndarray, draws: int = 10_000, seed: int = 20_260_911, degenerate: str = "skip", spark: SparkSession | None = None) -> dict:
-    """Cramér's V and its percentile interval when clusters are drawn with replacement; degenerate draws are skipped or count as 0.
-
-    Runs of draws have a seed each; with ``spark`` they are dealt over tasks,
-    with the same result.
-    """
-
-    def play(run: int) -> list[float]:
-        rng = np.random.default_rng([seed, run])
-        out = []
-        for _ in range(min(RUN, draws - run * RUN)):
-            weight = np.bincount(rng.integers(0, len(tensor), len(tensor)), minlength=len(tensor))
-            v = cramers_v(np.tensordot(weight, tensor, axes=1))
-            if v is not None or degenerate == "zero":
-                out.append(v or 0.0)
-        return out
-
-    def batches_of(batches):
-        for batch in batches:
-            for run in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(play(run), pa.float64())], names=["v"])
-
-    runs = -(-draws // RUN)
-    if spark is None:
-        values = [v for run in range(runs) for v in play(run)]
-    else:
-        values = [r["v"] for r in spark.range(0, runs, 1, runs).mapInArrow(batches_of, "v double").collect()]
-    low, high = np.quantile(values, [0.025, 0.975]) if values else (None, None)
-    return {"cramers_v": cramers_v(tensor.sum(0)), "low": low, "high": high, "draws": len(values)}
-
-
-def permuted(table: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], draws: int, seed: int, spark: SparkSession | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Values of an integer statistic over random tables of the same margins, sorted, and how often each came.
-
-    ``statistic`` maps an array (draws, rows, columns) to a value each. Runs
-    of draws have a seed each; with ``spark`` they are dealt over tasks and
-    their values counted, with the same result.
-    """
-
-    def tally(run: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(statistic(random_tables(table, min(RUN, draws - run * RUN), [seed, run])).astype(np.int64), return_counts=True)
-
-    def play(batches):
-        for batch in batches:
-            for run in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in tally(run)], names=["value", "n"])
-
-    runs = -(-draws // RUN)
-    if spark is None:
-        parts = [tally(run) for run in range(runs)]
-        values, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    else:
-        rows = spark.range(0, runs, 1, runs).mapInArrow(play, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
-        values, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
-    each, at = np.unique(values, return_inverse=True)
-    return each, np.bincount(at, weights=n).astype(np.int64)
-
-
-def richness_permutation(counts: np.ndarray, draws: int = 10_000, seed: int = 20_260_911, spark: SparkSession | None = None) -> dict:
-    """Distinct labels of two arms (2 x labels), their difference and its two-sided p when arms are shuffled."""
-    counts = np.asarray(counts, int)
-    seen = (counts > 0).sum(1)
-    observed = abs(int(seen[0] - seen[1]))
-
-    def apart(tables: np.ndarray) -> np.ndarray:
-        drawn = (tables > 0).sum(2)
-        return np.abs(drawn[:, 0] - drawn[:, 1])
-
-    values, n = permuted(counts, apart, draws, seed, spark)
-    hits = int(n[values >= observed].sum())
-    return {"first": int(seen[0]), "second": int(seen[1]), "difference": int(seen[0] - seen[1]), "p": (hits + 1) / (draws + 1)}
-
 
 def rarefied(counts: Sequence[int], sample: int) -> float:
     """Distinct labels expected in a sample without replacement, in exact integers."""
@@ -129,24 +38,3 @@ def rarefied_by(df: DataFrame, group: Sequence[str], label: str, sample: int) ->
     # Labels with the same count share a chance.
     same = met.groupBy(*group, "__n", "__t").agg(F.count("*").alias("__labels"))
     return same.withColumn("__p", 1 - absent("__n", "__t")).groupBy(*group).agg(F.sum("__labels").alias("observed"), F.sum(F.col("__labels") * F.col("__p")).alias("expected"))
-
-
-def alignment_permutation(hits: np.ndarray, groups: Sequence[int], draws: int = 20_000, seed: int = 20_260_921) -> dict:
-    """``alignment_of_counts`` of each row's (group, set) pair."""
-    pairs = np.asarray(groups)
-    table = np.zeros(hits.shape, dtype=np.int64)
-    np.add.at(table, (pairs[:, 0], pairs[:, 1]), 1)
-    return alignment_of_counts(hits, table, draws, seed)
-
-
-def alignment_of_counts(hits: np.ndarray, table: np.ndarray, draws: int = 20_000, seed: int = 20_260_921, spark: SparkSession | None = None) -> dict:
-    """Share of rows whose set is expected for their group, against sets dealt at random.
-
-    ``hits[g, s]``: whether set s is expected for group g. ``table[g, s]``: rows of group g with set s.
-    """
-    wanted, rows = hits > 0, int(table.sum())
-    observed = int(table[wanted].sum())
-    values, n = permuted(table, lambda tables: tables[:, wanted].sum(1), draws, seed, spark)
-    low, high = np.quantile(np.repeat(values, n), [0.025, 0.975]) / rows
-    return {"observed": observed / rows, "expected": float((values * n).sum() / draws / rows), "low": float(low), "high": float(high), "p": (int(n[values >= observed].sum()) + 1) / (draws + 1)}
-

@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.stats import contingency, intervals, multiplicity, outcomes, prob, rank, regression, resample, stratified
+from tallyloom.stats import contingency, intervals, multiplicity, outcomes, prob, rank, regression, resample, sparse, stratified
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 numbers = st.lists(st.integers(-5, 5), min_size=2, max_size=12)
@@ -184,16 +184,74 @@ def test_logistic_regression(spark):
     assert regression.likelihood_ratio(fit, small)["dof"] == 1
 
 
-def test_resampling():
+def test_rarefied():
     assert resample.rarefied([3, 2, 1], 6) == 3
     assert resample.rarefied([2, 1], 1) == pytest.approx(1)
-    tensor = np.random.default_rng(0).integers(0, 5, (20, 2, 3)).astype(float)
-    out = resample.bootstrap_cramers_v(tensor, 200)
-    assert out["low"] <= out["cramers_v"] * 1.5 and out["draws"] == 200
-    assert resample.bootstrap_cramers_v(tensor, 200) == out
-    assert resample.richness_permutation([[5, 5, 0], [5, 5, 0]], 200)["p"] == 1
-    hits = np.eye(3)
-    assert resample.alignment_permutation(hits, [(g, g) for g in range(3)] * 10, 500)["p"] < 0.01
+
+
+def test_bootstrap_against_whole_tensors(spark):
+    """Weights drawn by halves, over several blocks, are a multinomial draw; the sparse tables give the V of the dense ones."""
+    rng = np.random.default_rng(0)
+    tensor = rng.integers(0, 3, (600, 2, 3))
+    rows = [(f"k{k:04d}", f"r{r}", f"c{c}", int(n)) for (k, r, c), n in np.ndenumerate(tensor) if n]
+    df = spark.createDataFrame(rows, "k string, r string, c string, n int").select("k", "r", "c", F.explode(F.sequence(F.lit(1), "n")))
+    names = sorted({x[0] for x in rows})
+    tensor = tensor[[int(n[1:]) for n in names]]
+    draws, seed = 700, 5
+    weights = np.concatenate([np.concatenate([sparse.cluster_weights(len(names), b, seed, run, size) for b in range(-(-len(names) // sparse.BLOCK))]) for run, size in ((0, 500), (1, 200))], axis=1)
+    assert (weights.sum(0) == len(names)).all() and weights.mean() == 1 and weights.var(1).mean() == pytest.approx(1 - 1 / len(names), abs=0.03)
+    assert np.corrcoef(weights[:300].sum(0), weights[300:].sum(0))[0, 1] < -0.99
+    want = [contingency.cramers_v(np.tensordot(w, tensor, axes=1)) for w in weights.T]
+    tables = sparse.bootstrap_tables(df, "k", "r", "c", draws, seed)
+    got = {r["draw"]: r["v"] for r in sparse.cramers_v_by(tables, "draw").collect()}
+    assert [got[d] for d in range(draws)] == pytest.approx(want, rel=1e-9)
+    out = sparse.bootstrap_cramers_v(df, "k", "r", "c", draws, seed)
+    assert (out["low"], out["high"]) == pytest.approx(tuple(np.quantile(want, [0.025, 0.975]))) and out["cramers_v"] == pytest.approx(contingency.cramers_v(tensor.sum(0))) and out["draws"] == draws
+    assert sparse.bootstrap_cramers_v(df.limit(0), "k", "r", "c", 10)["draws"] == 0
+    one = spark.createDataFrame([("a", "x", "p"), ("b", "x", "q")], "k string, r string, c string")
+    assert sparse.bootstrap_cramers_v(one, "k", "r", "c", 10)["draws"] == 0 and sparse.bootstrap_cramers_v(one, "k", "r", "c", 10, degenerate="zero")["high"] == 0
+
+
+def test_bootstrap_of_more_cells_than_a_driver_would_take(spark):
+    """2.4 million filled cells of 600,000 clusters: V stays where the whole table has it."""
+    df = spark.range(2_400_000).select((F.col("id") % 600_000).alias("k"), (F.col("id") % 2).alias("r"), ((F.col("id") * 7919 + F.floor(F.col("id") / 3)) % 3).alias("c"))
+    out = sparse.bootstrap_cramers_v(df, "k", "r", "c", draws=6)
+    assert out["draws"] == 6 and out["low"] - 0.01 <= out["cramers_v"] <= out["high"] + 0.01
+
+
+def test_random_tables_by_ranges(spark):
+    """Margins hold in every block, means are those of shuffled labels, and results agree with small tables drawn whole."""
+    rng = np.random.default_rng(3)
+    table = rng.integers(0, 4, (3, 700))
+    cells = spark.createDataFrame([(int(r), int(c), int(n)) for (r, c), n in np.ndenumerate(table) if n], "r long, c long, n long")
+    marks = rng.integers(0, 2, 700)
+    score = lambda numbers, tables: np.stack([tables.sum((1, 2)), *[(tables[:, :, r] * marks[numbers]).sum(1) for r in range(3)], *[(tables[:, :, r] > 0).sum(1) for r in range(3)]], axis=1)
+    own, sums = sparse.permuted_sums(cells, score, 3, 800, 9)
+    got = np.array([[r[f"s{k}"] for k in range(7)] for r in sums.orderBy("draw").collect()])
+    assert own.tolist() == [table.sum(), *(table * marks).sum(1), *(table > 0).sum(1)]
+    assert got.shape == (800, 7) and (got[:, 0] == table.sum()).all() and (got[:, 1:4].sum(1) == (table * marks).sum()).all()
+    assert got[:, 1:4].mean(0) == pytest.approx(table.sum(1) * (table * marks).sum() / table.sum(), rel=0.01)
+    dense = (contingency.random_tables(table, 800, 1) > 0).sum(2)
+    assert got[:, 4:].mean(0) == pytest.approx(dense.mean(0), rel=0.01) and got[:, 4:].std(0) == pytest.approx(dense.std(0), rel=0.15)
+
+
+def test_permutation_tests(spark):
+    df = lambda counts: spark.createDataFrame([(a, f"l{k}") for a, row in enumerate(counts) for k, n in enumerate(row) for _ in range(n)], "arm int, label string")
+    assert sparse.richness_permutation(df([[5, 5, 0], [5, 5, 0]]), "arm", "label", 200)["p"] == 1
+    out = sparse.richness_permutation(df([[4, 0, 0, 0], [1, 1, 1, 1]]), "arm", "label", 4000)
+    # Of 70 ways to deal five labels' rows over two arms of four, all with four labels against one.
+    rows, hits, ways = [0, 0, 0, 0, 0, 1, 2, 3], 0, 0
+    for chosen in itertools.combinations(range(8), 4):
+        a, b = {rows[k] for k in chosen}, {rows[k] for k in range(8) if k not in chosen}
+        ways, hits = ways + 1, hits + (abs(len(a) - len(b)) >= 3)
+    assert (out["first"], out["second"], out["difference"]) == (1, 4, -3) and out["p"] == pytest.approx(hits / ways, abs=0.02)
+    with pytest.raises(ValueError):
+        sparse.richness_permutation(df([[1], [1], [1]]), "arm", "label", 10)
+    pairs = spark.createDataFrame([(g, g) for g in range(3)] * 10, "g int, s int")
+    expected = spark.createDataFrame([(g, g) for g in range(3)] * 2 + [(0, 9)], "g int, s int")
+    found = sparse.alignment_permutation(pairs, "g", "s", expected, 500)
+    assert found["observed"] == 1 and found["p"] == 1 / 501 and found["low"] <= found["expected"] <= found["high"] < 1
+    assert sparse.weighted_quantile(np.array([1, 5, 9]), np.array([2, 3, 1]), 0.4) == np.quantile([1, 1, 5, 5, 5, 9], 0.4)
 
 
 def test_permutations_over_all_rows(spark):
@@ -209,7 +267,9 @@ def test_permutations_over_all_rows(spark):
     table = np.array([[4, 1], [2, 6]]) * 10**12
     drawn = contingency.random_tables(table, 50, 1)
     assert (drawn.sum(1) == table.sum(0)).all() and (drawn.sum(2) == table.sum(1)).all()
-    assert resample.alignment_of_counts(np.eye(2), table, 200)["p"] == 1 / 201
+    cells = spark.createDataFrame([(r, c, int(table[r, c])) for r in range(2) for c in range(2)], "r long, c long, n long")
+    own, sums = sparse.permuted_sums(cells, lambda numbers, tables: tables.sum(1), 2, 50, 1)
+    assert own.tolist() == table.sum(1).tolist() and {tuple(r) for r in sums.select("s0", "s1").collect()} == {tuple(table.sum(1).tolist())}
 
 
 def test_random_tables_are_hypergeometric(spark):
@@ -218,8 +278,6 @@ def test_random_tables_are_hypergeometric(spark):
     assert drawn.mean(0) == pytest.approx(table.sum(1, keepdims=True) * table.sum(0) / table.sum(), abs=0.03)
     want = [math.comb(6, k) * math.comb(11, 6 - k) / math.comb(17, 6) for k in range(7)]
     assert np.bincount(drawn[:, 0, 0], minlength=7) / 40_000 == pytest.approx(want, abs=0.01)
-    counts = np.array([[9, 3, 0, 1], [4, 6, 1, 0]])
-    assert resample.richness_permutation(counts, 1200, spark=spark) == resample.richness_permutation(counts, 1200)
 
 
 def _counts_of_tens_of_millions(spark):
