@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions import quotes
+from tallyloom.functions import quotes, tokens
 from tallyloom.functions import text as tx
 from tallyloom.functions import values as vl
-from tallyloom.operators import claims, classify, expect, measures, relational, votes
+from tallyloom.operators import claims, classify, corrections, expect, measures, relational, votes
 from tallyloom.plans.catalog import Tables, query
 from tallyloom.plans.statistics import _VOTES, made_votes
 from tallyloom.plans.texts import with_sentence
@@ -356,3 +356,113 @@ def expected_dimension_labels(t: Tables) -> DataFrame:
     """The dimensions that phrases speak of, narrow phrases before broad ones."""
     phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("p_partkey") % 6 + 1).cast("int"))
     return t.part.select("p_partkey", claims.expected_dimensions(phrase).alias("expected"))
+
+
+# Corrections, retries, exports --------------------------------------------------------------------
+
+_CORRECTED = """c AS (SELECT doc_id, text, 'D' || (doc_id % 3) AS old, CASE WHEN doc_id % 28 = 0 THEN 'D9' ELSE 'D' || (doc_id % 3) END AS from_label, CASE WHEN doc_id % 20 = 0 THEN 'other' ELSE text END AS shown, CASE WHEN doc_id % 12 = 4 THEN '@@misquoted' ELSE substr(text, 1, 5) END AS quote FROM documents WHERE doc_id % 4 = 0 AND text <> ''),
+j AS (SELECT doc_id, CASE WHEN from_label <> old THEN 'another label' WHEN shown <> text THEN 'no such record' WHEN NOT contains(text, quote) THEN 'no evidence' END AS problem FROM c)"""
+
+
+def corrections_of(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels of documents, corrections of a quarter of them (some without their evidence), and the documents as records."""
+    k = F.col("doc_id")
+    d = t.documents.filter("text <> ''")
+    labels = t.documents.select("doc_id", F.lit("a").alias("item"), F.concat(F.lit("D"), (k % 3).cast("string")).alias("dimension"))
+    own = F.concat(F.lit("D"), (k % 3).cast("string"))
+    asked = d.filter(k % 4 == 0).select(
+        "doc_id", F.lit("a").alias("item"), F.when(k % 28 == 0, "D9").otherwise(own).alias("from_label"), F.lit("D7").alias("to_label"), F.lit("read anew").alias("rationale"),
+        F.sha2(F.when(k % 20 == 0, "other").otherwise(F.col("text")), 256).alias("record_sha256"), F.array(F.when(k % 12 == 4, "@@misquoted").otherwise(F.substring("text", 1, 5))).alias("quotes"),
+    )
+    return labels, asked, d.select("doc_id", "text")
+
+
+@query(f"WITH {_CORRECTED} SELECT doc_id, problem FROM j")
+def judged_corrections(t: Tables) -> DataFrame:
+    """What speaks against each audited correction: its label, its record by digest, its quotes."""
+    labels, asked, records = corrections_of(t)
+    return corrections.judged_corrections(asked, labels, records, ["doc_id"], "item", "dimension", "text", [f"D{k}" for k in range(10)]).select("doc_id", "problem")
+
+
+@query(f"WITH {_CORRECTED} SELECT doc_id, CASE WHEN j.doc_id IS NOT NULL AND problem IS NULL THEN 'D7' ELSE 'D' || (doc_id % 3) END AS dimension, j.doc_id IS NOT NULL AND problem IS NULL AS corrected FROM documents LEFT JOIN j USING (doc_id)")
+def corrected_labels(t: Tables) -> DataFrame:
+    """Labels after the corrections that carry their evidence."""
+    labels, asked, records = corrections_of(t)
+    judged = corrections.judged_corrections(asked, labels, records, ["doc_id"], "item", "dimension", "text", [f"D{k}" for k in range(10)])
+    return corrections.correct_labels(labels, judged, ["doc_id"], "item", "dimension").select("doc_id", "dimension", "corrected")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 2 = 0 AND event_id % 6 > 0 THEN 'view' ELSE event_type END AS event_type FROM events")
+def bound_error_replacement(t: Tables) -> DataFrame:
+    """Errors replaced by retries of the same input; a third of the retries were given another one."""
+    base = t.events.select("event_id", "event_type", F.sha2(F.concat_ws(":", "event_id", "user_id"), 256).alias("asked"))
+    k = F.col("event_id")
+    retry = base.filter((k % 2 == 0) & (F.col("event_type") == "error")).select("event_id", F.lit("view").alias("event_type"), F.when(k % 6 == 0, "other").otherwise(F.col("asked")).alias("asked"))
+    return corrections.replace_errors(base, retry, ["event_id"], F.col("event_type") == "error", "asked").select("event_id", "event_type")
+
+
+@query("SELECT '| n_nationkey | n_name |' AS value UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' FROM nation")
+def markdown_table(t: Tables) -> DataFrame:
+    """A table as lines of Markdown."""
+    return sinks.markdown_lines(t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])
+
+
+@query(r"SELECT '\begin{tabular}{ll}' AS value UNION ALL SELECT '\hline' FROM range(3) UNION ALL SELECT 'n\_nationkey & n\_name \\' UNION ALL SELECT n_nationkey || ' & ' || replace(n_name, '_', '\_') || ' \\' FROM nation UNION ALL SELECT '\end{tabular}'")
+def latex_table(t: Tables) -> DataFrame:
+    """A table as lines of a LaTeX tabular."""
+    return sinks.latex_lines(t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS arm FROM orders")
+def export_projection(t: Tables) -> DataFrame:
+    """A projection for export: declared columns, one row a key, known arms only, in a stable order."""
+    out = t.orders.select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd").alias("arm"))
+    expect.require_none(expect.bad_keys(out, ["o_orderkey"]), "o_orderkey isn't a key")
+    expect.require_none(out.filter(~F.col("arm").isin("even", "odd")), "unknown arms")
+    return out.orderBy("arm", "o_orderkey")
+
+
+@query("""WITH x AS (SELECT doc_id % 500 AS id, doc_id, CASE doc_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN 'Excluded' ELSE ' ' || upper(lang) || ' ' END AS said FROM documents), k AS (SELECT *, lower(trim(said)) AS label FROM x WHERE trim(said) <> '' AND lower(trim(said)) <> 'excluded')
+SELECT id, label FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1""")
+def clean_labels(t: Tables) -> DataFrame:
+    """Labels trimmed and lower-cased, blank and excluded ones dropped, the first of each id."""
+    k = F.col("doc_id")
+    said = F.when(k % 7 == 0, "  ").when(k % 7 == 1, "Excluded").otherwise(F.concat(F.lit(" "), F.upper("lang"), F.lit(" ")))
+    rows = t.documents.select((k % 500).alias("id"), "doc_id", tx.label(said).alias("label")).filter("label is not null and label <> 'excluded'")
+    return relational.keep_first(rows, ["id"], [F.col("doc_id")]).select("id", "label")
+
+
+@query("SELECT doc_id, sha256(doc_id || chr(9) || source) AS row_sha256, sha256('Text:' || chr(10) || CASE WHEN trim(text) = '' THEN '[NONE]' ELSE regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '', 'g') END) AS prompt_sha256, sha256('v1|D0|D1') AS contract_sha256 FROM documents".replace("\\\\", "\\"))
+def request_manifest(t: Tables) -> DataFrame:
+    """A row for each request: the hashes of its row, its prompt and its contract."""
+    return t.documents.select("doc_id", F.sha2(F.concat_ws("\t", F.col("doc_id").cast("string"), "source"), 256).alias("row_sha256"), F.sha2(tx.section("Text", F.col("text")), 256).alias("prompt_sha256"), F.sha2(F.lit("v1|D0|D1"), 256).alias("contract_sha256"))
+
+
+@query("SELECT doc_id, quality AS consensus, coalesce(n, 0) AS matches FROM documents LEFT JOIN (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1) USING (doc_id)")
+def review_frame(t: Tables) -> DataFrame:
+    """Evidence with its consensus and the number of its matches, 0 where there are none; no row is lost."""
+    consensus = relational.keep_first(t.labels, ["doc_id"], [F.col("quality")]).select("doc_id", F.col("quality").alias("consensus"))
+    matches = t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("matches"))
+    return t.documents.select("doc_id").join(consensus, "doc_id", "left").join(matches, "doc_id", "left").na.fill(0, ["matches"])
+
+
+@query("SELECT 'nation' AS name, count(*) AS rows, 'n_nationkey,n_name,n_regionkey' AS columns, TRUE AS allowed FROM nation UNION ALL SELECT 'region', count(*), 'r_regionkey,r_name', TRUE FROM region UNION ALL SELECT 'labels', count(*), 'doc_id,quality,toxic', FALSE FROM labels")
+def table_inspection(t: Tables) -> DataFrame:
+    """Rows and columns of tables, and whether the allowlist has them."""
+    out = None
+    for name in ("nation", "region", "labels"):
+        df = getattr(t, name)
+        row = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(",".join(df.columns)).alias("columns"), F.lit(name in ("nation", "region", "orders")).alias("allowed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: A small table of merges: all bytes, and some pairs of frequent letters.
+_PAIRS = "th he in er an re on at en nd the ing and ent tion ion to or is it as es ed ar te ti io de la ch ie ei un der que".split()
+
+
+@query()
+def truncated_texts(t: Tables) -> DataFrame:
+    """Documents cut after fifty byte-pair tokens, and how many they have."""
+    ranks = {bytes([k]): k for k in range(256)} | {p.encode(): 256 + k for k, p in enumerate(_PAIRS)}
+    return t.documents.select("doc_id", tokens.token_counts(F.col("text"), ranks).alias("tokens"), tokens.truncate_tokens(F.col("text"), 50, ranks).alias("cut"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import values as vl
 from tallyloom.operators import votes
 from tallyloom.plans.catalog import Tables, query
-from tallyloom.stats import contingency, intervals, multiplicity, rank, regression, resample, sparse, stratified
+from tallyloom.stats import contingency, intervals, multiplicity, outcomes, rank, regression, resample, sparse, stratified
 from tallyloom.stats.prob import chi2_sf
 
 Z = intervals.Z
@@ -202,6 +203,24 @@ def breslow_day(t: Tables) -> DataFrame:
     return stratified.breslow_day(tables, odds).withColumn("breslow_day", F.round("breslow_day", 6)).withColumn("tarone", F.round("tarone", 6))
 
 
+_BUNDLE = f"""e AS (SELECT {_WEEK} AS week, dayofweek(ts)::VARCHAR AS day, user_id % 2 = 0 AS even, event_type = 'purchase' AS buy FROM events), l AS (SELECT 'week' AS stratified_by, week AS k, even, buy FROM e UNION ALL SELECT 'day', day, even, buy FROM e),
+t AS (SELECT stratified_by, k, count(*) FILTER (even AND buy)::DOUBLE AS a, count(*) FILTER (even AND NOT buy)::DOUBLE AS b, count(*) FILTER (NOT even AND buy)::DOUBLE AS c, count(*) FILTER (NOT even AND NOT buy)::DOUBLE AS d, count(*)::DOUBLE AS n FROM l GROUP BY ALL),
+u AS (SELECT * FROM t WHERE a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0),
+s AS (SELECT stratified_by, sum(a * d / n) AS r, sum(b * c / n) AS s, sum((a + d) / n * a * d / n) AS pr, sum((a + d) / n * b * c / n + (b + c) / n * a * d / n) AS m, sum((b + c) / n * b * c / n) AS qs, sum(a - (a + b) * (a + c) / n) AS off, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS v FROM u GROUP BY 1),
+q AS (SELECT stratified_by, a, a + c AS m1, a + b AS n1, c + d AS n0, r / s AS w FROM u JOIN s USING (stratified_by)), f AS (SELECT *, n0 - m1 + w * (n1 + m1) AS qb FROM q),
+g AS (SELECT *, (-qb + sqrt(qb * qb + 4 * (1 - w) * w * n1 * m1)) / (2 * (1 - w)) AS x1, (-qb - sqrt(qb * qb + 4 * (1 - w) * w * n1 * m1)) / (2 * (1 - w)) AS x2 FROM f), h AS (SELECT *, CASE WHEN x1 BETWEEN greatest(0, m1 - n0) AND least(m1, n1) THEN x1 ELSE x2 END AS f FROM g),
+b AS (SELECT stratified_by, count(*) AS strata, sum((a - f) ** 2 / v) AS breslow_day, sum((a - f) ** 2 / v) - sum(a - f) ** 2 / sum(v) AS tarone, count(*) - 1 AS dof FROM (SELECT *, 1 / (1 / f + 1 / (m1 - f) + 1 / (n1 - f) + 1 / (n0 - m1 + f)) AS v FROM h) GROUP BY 1),
+o AS (SELECT *, sqrt(pr / (2 * r * r) + m / (2 * r * s) + qs / (2 * s * s)) AS se FROM s)"""
+
+
+@query(f"""WITH {_BUNDLE} SELECT stratified_by, strata, round(r / s, 9) AS odds_ratio, round(exp(ln(r / s) - {Z} * se), 9) AS low, round(exp(ln(r / s) + {Z} * se), 9) AS high, round(greatest(abs(off) - 0.5, 0) ** 2 / v, 6) AS chi_square, round(breslow_day, 6) AS breslow_day, round(tarone, 6) AS tarone, dof FROM o JOIN b USING (stratified_by)""")
+def stratified_bundle(t: Tables) -> DataFrame:
+    """Purchases of two arms, stratified by week and by day of the week: the common odds ratio, its test, and whether the strata's odds agree."""
+    e = t.events.select(vl.iso_week(F.col("ts")).alias("week"), (F.dayofweek("ts") - 1).cast("string").alias("day"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("arm"), (F.col("event_type") == "purchase").alias("buy"))
+    out = outcomes.stratified_bundle(e, ["week", "day"], "arm", "even", "odd", "buy")
+    return out.withColumns({c: F.round(c, 9) for c in ("odds_ratio", "low", "high")} | {c: F.round(c, 6) for c in ("chi_square", "breslow_day", "tarone")})
+
+
 @query("""WITH x AS (SELECT c_mktsegment AS family, c_custkey, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE ((c_custkey * 7919) % 1009) / 1009.0 END::DOUBLE AS p FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, c_custkey) AS i, count(*) OVER (PARTITION BY family) AS m FROM x WHERE p IS NOT NULL)
 SELECT family, c_custkey, round(p, 9) AS p, round(max(least(1, (m - i + 1) * p)) OVER (PARTITION BY family ORDER BY p, c_custkey ROWS UNBOUNDED PRECEDING), 9) AS holm, round(min(least(1, m / i * p)) OVER (PARTITION BY family ORDER BY p DESC, c_custkey DESC ROWS UNBOUNDED PRECEDING), 9) AS bh FROM k
 UNION ALL SELECT family, c_custkey, p, NULL, NULL FROM x WHERE p IS NULL""")
@@ -319,6 +338,10 @@ SELECT c_nationkey, CASE WHEN dof > 0 THEN round(x2, 6) END AS chi_square, dof,
 def chi2_tail(t: Tables) -> DataFrame:
     """p-values of the chi-square of status against segment, by nation. The SQL has the tail of even degrees of freedom, which three states give."""
     j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "c_mktsegment", "o_orderstatus")
-    tail = F.udf(lambda x, dof: chi2_sf(x, dof), "double")
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v or v is None or not k else chi2_sf(v, int(k)) for v, k in zip(x.tolist(), dof.tolist(), strict=True)], dtype="float64")
+
     rows = contingency.chi_square(j, "c_mktsegment", "o_orderstatus", ["c_nationkey"])
     return rows.select("c_nationkey", F.round("chi_square", 6).alias("chi_square"), "dof", F.round(tail("chi_square", "dof"), 9).alias("p"))

@@ -127,9 +127,10 @@ def period_contrasts(df: DataFrame, period: str, arm: str, first: str, second: s
 
 def stratified_bundle(df: DataFrame, strata: Sequence[str], arm: str, first: str, second: str, event: str) -> DataFrame:
     """A row for each way to stratify: the common odds ratio with its interval and test, and the homogeneity of the strata's odds ratios."""
-    out = None
+    out, scratch = None, Scratch(df.sparkSession, "strata")
     for by in strata:
-        tables = strata_tables(df, by, arm, first, second, event)
+        # Read for the common odds ratio and again for what it implies: written once.
+        tables = scratch.table(strata_tables(df, by, arm, first, second, event), "tables")
         common = mantel_haenszel(tables)
         homogeneous = breslow_day(tables, common.first()["odds_ratio"])
         row = common.drop("strata").crossJoin(F.broadcast(homogeneous)).withColumn("stratified_by", F.lit(by))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators.relational import pending
+from tallyloom.sources.atomic import create_text, read_text
 
 
 def pipeline_signature(config: dict) -> str:
@@ -24,13 +25,33 @@ def pipeline_signature(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+class OtherConfiguration(Exception):
+    """A checkpoint belongs to a run under another configuration."""
+
+
+def bind_checkpoint(spark: SparkSession, checkpoint: str, config: dict) -> bool:
+    """Bind a checkpoint to a configuration, whose digest stands beside it; whether this is its first run.
+
+    The digest is created if there is none, so of several first runs one
+    binds it. Under another configuration it is an error, before anything is read.
+    """
+    path, signature = checkpoint.rstrip("/") + ".signature", pipeline_signature(config)
+    if create_text(spark, path, signature):
+        return True
+    if (found := read_text(spark, path)) != signature:
+        raise OtherConfiguration(f"{checkpoint} was begun under {found}, not {signature}")
+    return False
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 16) -> DataFrame:
     """Parquet files of a folder as they arrive; each is read once for a checkpoint."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Process all that has arrived in micro-batches, then stop. ``work`` must be idempotent for a batch id."""
+def run_available(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, config: dict | None = None) -> StreamingQuery:
+    """Process all that has arrived in micro-batches, then stop. ``work`` must be idempotent for a batch id. With ``config`` the checkpoint is bound to it."""
+    if config is not None:
+        bind_checkpoint(stream.sparkSession, checkpoint, config)
     query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
@@ -40,12 +61,15 @@ class Stopped(Exception):
     """A run was asked to stop before a batch began."""
 
 
-def run_until(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, stop: Callable[[], bool]) -> bool:
+def run_until(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, stop: Callable[[], bool], config: dict | None = None) -> bool:
     """Process what has arrived until ``stop`` says so between two batches; whether all was processed.
 
     A batch under way is finished. The one that was to come isn't begun and
-    is the first of the next run from the same checkpoint.
+    is the first of the next run from the same checkpoint. With ``config`` the
+    checkpoint is bound to it.
     """
+    if config is not None:
+        bind_checkpoint(stream.sparkSession, checkpoint, config)
     asked = []
 
     def unless_stopped(batch: DataFrame, batch_id: int) -> None:
