@@ -309,6 +309,38 @@ def logit_trend_cluster(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "term string, estimate double, se double, p double, odds_ratio double, low double, high double")
 
 
+_TWO = f"""e AS (SELECT user_id, user_id % 2 = 0 AS x, event_type = 'purchase' AS y FROM events), t AS (SELECT count(*) FILTER (x AND y)::DOUBLE AS a, count(*) FILTER (x AND NOT y)::DOUBLE AS b, count(*) FILTER (NOT x AND y)::DOUBLE AS c, count(*) FILTER (NOT x AND NOT y)::DOUBLE AS d FROM e),
+m AS (SELECT *, a / (a + b) AS p1, c / (c + d) AS p0, 1 / c + 1 / d AS v0, 1 / a + 1 / b AS v1, a + b + c + d AS n FROM t),
+g AS (SELECT user_id, any_value(x) AS x, sum(CASE WHEN y THEN 1 ELSE 0 END - CASE WHEN x THEN p1 ELSE p0 END) AS s FROM e, m GROUP BY user_id),
+r AS (SELECT sum(s * s) AS m00, sum(s * s) FILTER (x) AS m11, count(*)::DOUBLE AS g FROM g),
+k AS (SELECT *, g / (g - 1) * (n - 1) / (n - 2) AS f FROM m, r),
+w AS (SELECT 'intercept' AS term, ln(c / d) AS estimate, sqrt(f * v0 * v0 * (m00 - m11)) AS se FROM k UNION ALL SELECT 'arm', ln(a * d / (b * c)), sqrt(f * (v0 * v0 * m00 - 2 * v0 * (v0 + v1) * m11 + (v0 + v1) ** 2 * m11)) FROM k),
+l AS (SELECT 2 * (a * ln(p1) + b * ln(1 - p1) + c * ln(p0) + d * ln(1 - p0) - (a + c) * ln((a + c) / n) - (b + d) * ln((b + d) / n)) AS x FROM m)"""
+
+
+@query(f"""WITH {_TWO} SELECT term, round(estimate, 7) AS estimate, round(se, 7) AS se, round(2 * {normal_tail_sql('abs(estimate / se)')}, 7) AS p, round(exp(estimate), 7) AS odds_ratio FROM w UNION ALL SELECT 'arm (LR)', round(x, 7), NULL, round(2 * {normal_tail_sql('sqrt(greatest(x, 0))')}, 7), NULL FROM l""")
+def logit_two_arms(t: Tables) -> DataFrame:
+    """Purchases by arm as a logistic regression, errors clustered by user, and its likelihood-ratio test. Two arms make a table that has closed forms, which the SQL uses."""
+    e = t.events.select("user_id", (F.col("user_id") % 2 == 0).cast("double").alias("x"), (F.col("event_type") == "purchase").cast("double").alias("y"))
+    terms = {"intercept": F.lit(1.0), "arm": F.col("x")}
+    fit = regression.fit_logistic(e, terms, F.col("y"))
+    test = regression.likelihood_ratio(fit, regression.fit_logistic(e, {"intercept": F.lit(1.0)}, F.col("y")))
+    rows = [(r["term"], r["estimate"], r["se"], r["p"], r["odds_ratio"]) for r in regression.cluster_covariance(e, terms, F.col("y"), "user_id", fit).terms()] + [("arm (LR)", test["chi_square"], None, test["p"], None)]
+    out = t.spark.createDataFrame(rows, "term string, estimate double, se double, p double, odds_ratio double")
+    return out.withColumns({c: F.round(c, 7) for c in ("estimate", "se", "p", "odds_ratio")})
+
+
+@query(f"""WITH c AS (SELECT user_id % 2 = 0 AS x, user_id % 3 = 0 AS z, count(*) FILTER (event_type = 'purchase')::DOUBLE AS a, count(*) FILTER (event_type <> 'purchase')::DOUBLE AS b FROM events GROUP BY ALL),
+s AS (SELECT sum(CASE WHEN x = z THEN 1 ELSE -1 END * ln(a / b)) AS estimate, sqrt(sum(1 / a + 1 / b)) AS se FROM c)
+SELECT round(exp(estimate), 7) AS ratio_of_odds, round(exp(estimate - {Z} * se), 7) AS low, round(exp(estimate + {Z} * se), 7) AS high, round(2 * {normal_tail_sql('abs(estimate / se)')}, 7) AS p FROM s""")
+def interaction_wald(t: Tables) -> DataFrame:
+    """How the odds ratio of two arms differs between two groups: the interaction of a logistic regression, which has a closed form for its four cells."""
+    e = t.events.select((F.col("user_id") % 2 == 0).cast("double").alias("x"), (F.col("user_id") % 3 == 0).cast("double").alias("z"), (F.col("event_type") == "purchase").cast("double").alias("y"))
+    fit = regression.fit_logistic(e, {"one": F.lit(1.0), "x": F.col("x"), "z": F.col("z"), "both": F.col("x") * F.col("z")}, F.col("y"))
+    r = fit.terms()[3]
+    return t.spark.createDataFrame([(r["odds_ratio"], r["low"], r["high"], r["p"])], "ratio_of_odds double, low double, high double, p double").withColumns({c: F.round(c, 7) for c in ("ratio_of_odds", "low", "high", "p")})
+
+
 @query()
 def bootstrap_cramers(t: Tables) -> DataFrame:
     """Language against length, documents drawn by source."""
