@@ -36,27 +36,25 @@ BLOCK_TAGS = "li ul ol p div pre br table thead tbody tr td th details summary"
 ENTITY = r"&(?:#[0-9]+|#x[0-9a-f]+|[a-z][a-z0-9]+);"
 
 _ATTRIBUTES = r"""(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>"""
-_BLOCKS = frozenset(BLOCK_TAGS.split())
+_INLINE = frozenset(FORMAT_TAGS.split()) - frozenset(BLOCK_TAGS.split())
 _SPACE = Step(re.compile(r"\s+"), " ")
-_NAME = re.compile(r"</?([a-z]+)", re.I)
+_NAME = re.compile(r"</?([a-z][a-z0-9:-]*)", re.I)
 
 
 def _shown(m: re.Match) -> str:
-    """What stands for a piece of markup: a blank for block tags, the character for entities, else nothing."""
+    """What stands for a piece of markup: the character for entities, nothing for emphasis and tags within a line, a blank for other tags."""
     found = m[0]
     if found[0] == "&":
         return html.unescape(found)
-    name = _NAME.match(found)
-    return " " if name and name[1].lower() in _BLOCKS else ""
+    return " " if found[0] == "<" and _NAME.match(found)[1].lower() not in _INLINE else ""
 
 
-#: White space as blanks is the last step of each; a document loses its comments, scripts and all other tags first.
+#: White space as blanks is the last step of each. A document loses all tags, and its comments and scripts first.
 PLAIN = (Step(re.compile(EMPHASIS), ""), _SPACE)
 RENDERED = (Step(re.compile(rf"</?(?:{FORMAT_TAGS.replace(' ', '|')}){_ATTRIBUTES}|{EMPHASIS}|{ENTITY}", re.I), _shown), _SPACE)
 DOCUMENT = (
     Step(re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<![a-z][^>]*>", re.I | re.S), " "),
-    RENDERED[0],
-    Step(re.compile(r"""</?[a-z][a-z0-9:-]*(?:\s(?:[^>"']|"[^"]*"|'[^']*')*|/)?>""", re.I), " "),
+    Step(re.compile(rf"</?[a-z][a-z0-9:-]*{_ATTRIBUTES}|{EMPHASIS}|{ENTITY}", re.I), _shown),
     _SPACE,
 )
 #: How a record may be read.
