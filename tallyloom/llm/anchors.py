@@ -221,7 +221,7 @@ def anchors(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """k1, k2 (the text's key) and the numbers of its blocks that occur elsewhere, too."""
     size = docs.agg(F.sum(F.octet_length(_text()))).first()[0] or 0
     ranges = max(LEAST_RANGES, 1 << (size // RANGE_BYTES).bit_length())
-    # Words are two bytes at least: by chance one run in 32 or fewer meets an indexed hash that isn't its own.
+    # A block takes 36 bytes at least, so by chance one run in 576 or fewer meets an indexed hash of another one.
     bits = min(60, max(24, size.bit_length() + 4, ranges.bit_length() + 8))
     probes = docs.select(_text().alias("text")).mapInArrow(_probes(bits, ranges), "range int, n int, packed binary")
     hits = scratch.table(probes.groupBy("range").applyInArrow(_hits(bits - (ranges.bit_length() - 1)), "h long"), "hits")
