@@ -60,6 +60,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = scratch.table(stage(spark, docs, sf_dir), name)
+        # Nothing reads a stage's input once its result is stored.
+        if k:
+            scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
