@@ -13,7 +13,7 @@ items and texts meet in joins on the piece's hash, the item and the text.
 
 Defined cases: null or empty texts hit nothing; null or empty items, and items
 of fewer than ``min_words`` words, are not searched for (they would be found
-by chance; ``min_words=1`` takes all); an item of five words has no edits, as
+by chance; ``min_words=1`` takes all, ``unsearched_items`` names them); an item of five words has no edits, as
 its pieces would get too short; of several equally near places of an item in a
 text the first is reported; repeated items are reported each; a repeated
 document row is reported each time it occurs; case, punctuation and spacing
@@ -286,6 +286,19 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
     return items, items.agg(F.sum(F.length("text"))).first()[0] or 0
 
 
+def unsearched_items(benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """item_id and words of the items that are too short to be searched for, those without a text too (0 words): what a scan says nothing about."""
+    bound_arrow_batches(benchmark.sparkSession)
+
+    def count(batches):
+        for batch in batches:
+            size = [len(split_words(t)) for t in batch.column(1).to_pylist()]
+            short = pa.array([n < max(1, min_words) for n in size], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(short), pa.array(size, pa.int64()).filter(short)], names=["item_id", "words"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "item_id long, words long")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_words: int = MIN_WORDS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """A row for each document and item found in it: doc_id and the columns of HITS. One scan; texts without a hit are never shuffled."""
     spark = docs.sparkSession

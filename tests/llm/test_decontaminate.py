@@ -80,3 +80,11 @@ def test_ties_and_very_long_texts(spark):
     long = "mill " * 300_000 + item + " river " + item + " mill" * 10
     found = dc.find_leaks(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [(r["distance"], r["first_word"], r["last_word"]) for r in found] == [(0, 300_000, 300_009)]
+
+
+def test_items_that_are_not_searched_are_named(spark):
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "one two three four five"), (3, None), (4, " .. "), (1, "x"), (None, "y z")], "item_id long, text string").withColumn("words", F.lit("clash"))
+    rows = sorted(((r["item_id"] or 0), r["words"]) for r in dc.unsearched_items(bench).collect())
+    assert rows == [(0, 2), (1, 1), (1, 4), (3, 0), (4, 0)]
+    assert sorted(r["item_id"] for r in dc.unsearched_items(bench, 1).collect()) == [3, 4]
+    assert dc.unsearched_items(bench.limit(0)).count() == 0
