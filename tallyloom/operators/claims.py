@@ -298,11 +298,13 @@ def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str
     if len(confs) > 60:
         raise ValueError("at most 60 configurations fit into the bits of a mark")
     # Marks are few against the texts; they serve several times and are written once.
-    stored = Scratch(texts.sparkSession, "claims").table(marks(texts, key, text, confs, snippets, quotes), "marks")
+    scratch = Scratch(texts.sparkSession, "claims")
+    stored = scratch.table(marks(texts, key, text, confs, snippets, quotes), "marks")
     having = F.array_compact(F.array(*[F.when(F.col("conf").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(len(confs))]))
     found = stored.filter("role <> 'text'").withColumn("conf", F.explode(having))
     dimensions = list(dict.fromkeys(d for c in confs for d in c.cues))
-    seen = _surroundings(found, dimensions).filter(F.col("role").isin(*_SHOWN))
+    # Three sorts of marks ask for their surroundings; both orders are made once.
+    seen = scratch.table(_surroundings(found, dimensions).filter(F.col("role").isin(*_SHOWN)), "seen")
     per_conf = lambda pick: {(k, n): v for k, c in enumerate(confs) for n, v in pick(c).items()}
     kinds, quiet = per_conf(lambda c: c.kinds), per_conf(lambda c: c.silenced_by)
     conf, name, token = F.col("conf"), F.col("name"), F.col("token")
