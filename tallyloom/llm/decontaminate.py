@@ -3,7 +3,11 @@
 A test item of ``m`` words may be spelt with up to ``k`` word edits. Cut into
 ``k + 1`` pieces, at least one piece then stands unchanged in the text, so all
 exact piece hits give every candidate window, and Myers' bit-parallel distance
-over words verifies each.
+over words verifies each. Any cut into ``k + 1`` pieces will do: pieces are of
+nearly equal length unless one of them stands in more than ``SHARED`` items (a
+stock phrase). Such an item is cut anew, so that its pieces stand in as few
+other items as they can: a stock phrase then is part of a longer piece with
+words of the item's own, and a text that has it meets few items.
 
 Texts are read once, whatever the number of items. Items of up to
 ``broadcast_chars`` characters are broadcast as one Aho-Corasick automaton.
@@ -26,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +46,8 @@ from tallyloom.session import Scratch, bound_arrow_batches
 ERROR_RATE = 0.2
 #: A piece has at least so many words: shorter ones hit everywhere.
 PIECE_WORDS = 3
+#: An item that shares a piece with more items than this is cut elsewhere, in blocks of so many pieces, of so many words at most (twice the mean, if more).
+SHARED, BLOCK_PIECES, LONG_PIECE = 4, 64, 24
 #: Items shorter than this say nothing about where a text comes from.
 MIN_WORDS = 5
 #: Characters of items that are broadcast as an automaton; beyond that, pieces are joined by hash.
@@ -68,10 +74,68 @@ def error_budget(words: int, rate: float = ERROR_RATE, piece_words: int = PIECE_
 
 def pieces(words: list[str], budget: int) -> list[tuple[int, list[str]]]:
     """``budget + 1`` consecutive pieces of nearly equal length, with the position of each."""
-    cuts = [len(words) * i // (budget + 1) for i in range(budget + 2)]
+    return at_cuts(words, equal_cuts(len(words), budget))
+
+
+def equal_cuts(size: int, budget: int) -> list[int]:
+    return [size * i // (budget + 1) for i in range(budget + 2)]
+
+
+def at_cuts(words: list[str], cuts: list[int]) -> list[tuple[int, list[str]]]:
     return [(lo, words[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
+def _least_shared(common: np.ndarray, size: int, count: int) -> list[int]:
+    """The ends of ``count`` pieces of ``size`` words for which the sum of ``common``'s least value within each piece is least; pieces alike in that are of like length."""
+    mean = size / count
+    longest = min(size - PIECE_WORDS * (count - 1), max(LONG_PIECE, int(2 * mean) + 1))
+    lengths = np.arange(PIECE_WORDS, longest + 1)
+    starts = np.arange(size + 1)[None, :] - lengths[:, None]
+    price = np.full(starts.shape, np.inf)
+    low = np.full(size + 1, np.inf)
+    for k, length in enumerate(lengths):
+        # The least of the runs within the words from each start on.
+        n = size - length + 1
+        low[:n] = np.minimum(low[:n], common[length - PIECE_WORDS : length - PIECE_WORDS + n])
+        price[k, length:] = low[:n] + (length - mean) ** 2 / (1000 + size * size)
+    total = np.where(np.arange(size + 1) == 0, 0.0, np.inf)
+    chosen = []
+    for _ in range(count):
+        sums = np.where(starts >= 0, total[starts], np.inf) + price
+        best = sums.argmin(axis=0)
+        chosen.append(best)
+        total = sums[best, np.arange(size + 1)]
+    ends, at = [], size
+    for best in reversed(chosen):
+        ends.append(at)
+        at -= int(lengths[best[at]])
+    return ends[::-1]
+
+
+def rare_cuts(common: np.ndarray, size: int, budget: int) -> list[int]:
+    """Cuts of an item of ``size`` words into ``budget + 1`` pieces that stand in few items.
+
+    ``common``: how often each run of PIECE_WORDS words stands in all items; a
+    piece stands in no more items than the rarest run within it. Long items
+    are cut in blocks of BLOCK_PIECES pieces, so the work is linear in their
+    length.
+    """
+    cuts = equal_cuts(size, budget)
+    if not budget:
+        return cuts
+    out = [0]
+    for first in range(0, budget + 1, BLOCK_PIECES):
+        last = min(first + BLOCK_PIECES, budget + 1)
+        lo, hi = cuts[first], cuts[last]
+        out += [lo + e for e in _least_shared(common[lo : hi - PIECE_WORDS + 1], hi - lo, last - first)]
+    return out
+
+
+def word_runs(words: list[str]) -> list[str]:
+    """The runs of PIECE_WORDS words, one for each place that has one."""
+    return [" ".join(words[i : i + PIECE_WORDS]) for i in range(len(words) - PIECE_WORDS + 1)]
+
+
 def word_masks(words: list[str]) -> dict[str, int]:
     masks: dict[str, int] = defaultdict(int)
     for i, word in enumerate(words):
@@ -116,16 +180,23 @@ class ItemSet:
 
     @classmethod
     def build(cls, rows: list[tuple[int | None, str | None]], rate: float, min_words: int) -> ItemSet:
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         items = []
         for item_id, text in rows:
             words = split_words(text)
-            if len(words) < min_words:
-                continue
-            budget = error_budget(len(words), rate)
-            for at, piece in pieces(words, budget):
-                where[f" {' '.join(piece)} "].append((len(items), at + len(piece) - 1))
-            items.append((item_id, words, budget))
+            if len(words) >= min_words and words:
+                items.append((item_id, words, error_budget(len(words), rate)))
+        cut = [pieces(words, budget) for _, words, budget in items]
+        held = Counter(" ".join(piece) for own in cut for _, piece in own)
+        shared = [i for i, own in enumerate(cut) if items[i][2] and any(held[" ".join(piece)] > SHARED for _, piece in own)]
+        if shared:
+            runs = Counter(run for _, words, _ in items for run in word_runs(words))
+            for i in shared:
+                _, words, budget = items[i]
+                cut[i] = at_cuts(words, rare_cuts(np.array([runs[r] for r in word_runs(words)], dtype=float), len(words), budget))
+        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for i, own in enumerate(cut):
+            for at, piece in own:
+                where[f" {' '.join(piece)} "].append((i, at + len(piece) - 1))
         automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             automaton.add_word(piece, places)
@@ -197,9 +268,20 @@ def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+_PIECES = "array<struct<hash:long,length:int,at:int>>"
+
+
+def _piece_rows(words: list[str], cuts: list[int]) -> list[dict[str, int]]:
+    hashes = np.array([_word_hash(w) for w in words], dtype=np.uint64)
+    return [{"hash": int(run_hashes(hashes[lo:hi], hi - lo)[0]), "length": hi - lo, "at": lo} for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _piece_type() -> pa.DataType:
+    return pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()), ("at", pa.int32())]))
+
+
 def _cut_items(rate: float, min_words: int):
     """Items as rows: item_id, words, budget, and the pieces with hash, length and place."""
-    piece = pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()), ("at", pa.int32())]))
 
     def cut(batches):
         for batch in batches:
@@ -209,16 +291,49 @@ def _cut_items(rate: float, min_words: int):
                 if len(words) < min_words or not words:
                     continue
                 budget = error_budget(len(words), rate)
-                hashes = np.array([_word_hash(w) for w in words], dtype=np.uint64)
                 ids.append(item_id)
                 lines.append(" ".join(words))
                 budgets.append(budget)
-                cuts.append([{"hash": int(run_hashes(hashes[at : at + len(p)], len(p))[0]), "length": len(p), "at": at} for at, p in pieces(words, budget)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), pa.array(budgets, pa.int32()), pa.array(cuts, piece)], names=["item_id", "line", "budget", "pieces"])
+                cuts.append(_piece_rows(words, equal_cuts(len(words), budget)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string()), pa.array(budgets, pa.int32()), pa.array(cuts, _piece_type())], names=["item_id", "line", "budget", "pieces"])
 
     return cut
 
 
+def _item_runs(batches):
+    """item, at and hash of every run of PIECE_WORDS words of items (item, line)."""
+    for batch in batches:
+        for item, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            runs = run_hashes(np.array([_word_hash(w) for w in line.split(" ")], dtype=np.uint64), PIECE_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(runs), pa.int64()), pa.array(np.arange(len(runs), dtype=np.int32)), pa.array(runs)], names=["item", "at", "run"])
+
+
+def _recut(batches):
+    """Items (item, item_id, line, budget, how common each run is) with pieces that stand in few items."""
+    for batch in batches:
+        item, ids, lines, budgets, common = (c.to_pylist() for c in batch.columns)
+        cuts = []
+        for line, budget, n in zip(lines, budgets, common, strict=True):
+            words = line.split(" ")
+            cuts.append(_piece_rows(words, rare_cuts(np.array(n, dtype=float), len(words), budget)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cuts, _piece_type())], names=["item", "item_id", "line", "budget", "pieces"])
+
+
+def _cut_where_rare(cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """``cut`` (a written table), the items that share a piece with more than SHARED items cut anew."""
+    held = cut.filter("budget > 0").select("item", F.inline("pieces"))
+    shared = held.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > SHARED)
+    again = scratch.table(held.join(shared, "hash", "left_semi").select("item").distinct(), "shared")
+    if not again.limit(1).count():
+        return cut
+    runs = scratch.table(cut.select("item", "line").mapInArrow(_item_runs, "item long, at int, run long"), "runs")
+    often = runs.groupBy("run").agg(F.count("*").alias("n"))
+    known = runs.join(again, "item", "left_semi").join(often, "run").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
+    anew = cut.join(known, "item").select("item", "item_id", "line", "budget", F.col("runs.n").alias("common")).mapInArrow(_recut, f"item long, item_id long, line string, budget int, pieces {_PIECES}")
+    columns = ["item", "item_id", "line", "budget", "pieces"]
+    return scratch.table(cut.join(again, "item", "left_anti").select(*columns).unionByName(anew), "recut")
+
+
 def _mark_texts(table: np.ndarray, lengths: list[int]):
     """The texts with a hit in the bit table: their columns but the text, their words in a line, and hash and place of each hit."""
     hit = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())]))
@@ -262,10 +377,11 @@ def _joined_leaks(texts: DataFrame, items: DataFrame, rate: float, min_words: in
     """``key`` and the columns of HITS for texts (key, text), by joins on the pieces' hashes."""
     spark = texts.sparkSession
     scratch = Scratch(spark, "decontaminate")
-    cut = scratch.table(items.mapInArrow(_cut_items(rate, min_words), "item_id long, line string, budget int, pieces array<struct<hash:long,length:int,at:int>>").withColumn("item", F.monotonically_increasing_id()), "items")
+    cut = items.mapInArrow(_cut_items(rate, min_words), f"item_id long, line string, budget int, pieces {_PIECES}")
+    cut = _cut_where_rare(scratch.table(cut.withColumn("item", F.monotonically_increasing_id()), "items"), scratch)
     parts = cut.select("item", F.inline("pieces"))
     lengths = sorted(r[0] for r in parts.select("length").distinct().collect())
-    # Lengths of pieces are few (they follow from the error rate); the bit table has a bounded size.
+    # Lengths of pieces are few (they follow from the error rate, LONG_PIECE where stock phrases stand); the bit table has a bounded size.
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * parts.count()).bit_length()))
     words = parts.selectExpr(f"shiftright(hash & {bits - 1}L, 6) AS word", "shiftleft(1L, CAST(hash & 63 AS int)) AS bit")
     table = np.zeros(bits // 64, dtype=np.uint64)

@@ -1,10 +1,13 @@
 """Decontamination against brute force: every item against every stretch of every text."""
 
+import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate as dc
+from tallyloom.session import Scratch
 
 WORDS = [f"{a}{b}" for a in ("ba", "ke", "lo", "mu", "ny") for b in ("d", "f", "g", "h")]
 
@@ -88,3 +91,59 @@ def test_items_that_are_not_searched_are_named(spark):
     assert rows == [(0, 2), (1, 1), (1, 4), (3, 0), (4, 0)]
     assert sorted(r["item_id"] for r in dc.unsearched_items(bench, 1).collect()) == [3, 4]
     assert dc.unsearched_items(bench.limit(0)).count() == 0
+
+
+def test_rare_cuts_share_least_of_all_cuts():
+    rng = random.Random(8)
+    for _ in range(40):
+        budget = rng.randint(1, 3)
+        size = rng.randint(3 * (budget + 1), 3 * (budget + 1) + 6)
+        common = np.array([rng.choice([1, 1, 2, 50, 900]) for _ in range(size - 2)], dtype=float)
+        cost = lambda cuts: sum(common[lo : hi - 2].min() for lo, hi in zip(cuts, cuts[1:], strict=False))  # noqa: E731, B023
+        every = [(0, *inner, size) for inner in itertools.combinations(range(1, size), budget)]
+        least = min(cost(c) for c in every if min(b - a for a, b in zip(c, c[1:], strict=False)) >= 3)
+        got = dc.rare_cuts(common, size, budget)
+        assert got[0] == 0 and got[-1] == size and len(got) == budget + 2 and min(b - a for a, b in zip(got, got[1:], strict=False)) >= 3
+        assert cost(got) == least
+    # Longer items are cut in blocks.
+    got = dc.rare_cuts(np.ones(4000 - 2), 4000, 799)
+    assert len(got) == 801 and got[-1] == 4000 and min(np.diff(got)) >= 3
+
+
+def test_a_stock_phrase_in_many_items_meets_few_of_them(spark):
+    rng = random.Random(9)
+    own = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    phrase = "which of these is".split()
+    items = [(k, " ".join(phrase + own(8) + phrase + own(rng.randint(4, 9)))) for k in range(600)]
+    texts = [(k, " ".join(own(20) + phrase * 2 + own(20))) for k in range(30)]
+    for k in range(30, 60):
+        copy = items[7 * k][1].split()
+        for at in rng.sample(range(len(copy)), k % 6):
+            copy[at] = "zz"
+        texts.append((k, " ".join(own(10) + copy + own(10))))
+    found = dc.ItemSet.build(items, dc.ERROR_RATE, dc.MIN_WORDS)
+    met = lambda text: {i for _, places in found.automaton.iter(f" {text} ") for i, _ in places}
+    assert all(not met(t) for _, t in texts[:30]) and max(len(met(t)) for _, t in texts) == 1
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i, least) for d, t in texts[30:] for i, item in [items[7 * d]] if (least := edits(item.split(), t.split())) <= dc.error_budget(len(item.split()))}
+    assert len(want) > 15
+    for limit in (dc.BROADCAST_CHARS, 0):
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in dc.find_leaks(docs, bench, broadcast_chars=limit).collect()} == want
+    scratch = Scratch(spark, "test")
+    cut = bench.mapInArrow(dc._cut_items(dc.ERROR_RATE, dc.MIN_WORDS), f"item_id long, line string, budget int, pieces {dc._PIECES}").withColumn("item", F.monotonically_increasing_id())
+    recut = dc._cut_where_rare(scratch.table(cut, "items"), scratch)
+    assert recut.count() == len(items)
+    assert recut.select("item", F.inline("pieces")).groupBy("hash").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_any_cut_finds_the_same(spark, monkeypatch):
+    rng = random.Random(10)
+    say = lambda n: [rng.choice(WORDS[:9]) for _ in range(n)]
+    items = [(k, " ".join(say(rng.randint(5, 40)))) for k in range(40)] + [(1, "ba be bi bo bu by"), (None, "ba be bi bo bu by")]
+    texts = [(k, " ".join(say(12) + items[k % 41][1].split()[k % 3 :] + say(12))) for k in range(60)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for shared, limit in ((10**9, dc.BROADCAST_CHARS), (0, dc.BROADCAST_CHARS), (0, 0)):
+        monkeypatch.setattr(dc, "SHARED", shared)
+        got.append(sorted(map(str, dc.find_leaks(docs, bench, broadcast_chars=limit).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 40
