@@ -167,3 +167,9 @@ def unique_parent(df: DataFrame, taxonomy: DataFrame, child: str, parent: str) -
     joined = df.join(F.broadcast(one) if one.limit(10_001).count() <= 10_000 else one, child, "left")
     problem = F.when(F.col("__n").isNull(), "unknown").when(F.col("__n") > 1, "ambiguous")
     return joined.withColumn("problem", problem).withColumn(parent, F.when(F.col("__n") == 1, F.col("__parent"))).drop("__n", "__parent")
+
+
+def author_group(label: Column) -> Column:
+    """agent or human where a label says so (agent first), else the label trimmed and lower-cased; unknown for null and blank."""
+    said = F.lower(F.trim(label.cast("string")))
+    return F.when(F.coalesce(said, F.lit("")) == "", "unknown").when(F.contains(said, F.lit("agent")), "agent").when(F.contains(said, F.lit("human")), "human").otherwise(said)
