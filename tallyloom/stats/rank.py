@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.session import Scratch
+from tallyloom.session import Scratch, bound_arrow_batches
 from tallyloom.stats.prob import binomial_ppf, chi2_sf, normal_ppf, normal_sf
 
 #: Distinct values up to which ranks are made in one ordered pass; beyond it values are dealt into ranges first.
 ONE_PASS = 200_000
 
+#: Distinct values of a block of a large group, and thresholds that a step asks about in a bracket.
+BLOCK = 4096
+ASKED = 15
+#: Which bracket each of ``shift_ranks`` begins in: the median's two ranks lie side by side.
+RANK_BRACKETS = (0, 0, 1, 2)
+
 
 def arm_counts(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
     """A row for each distinct value, in groups: ``x`` and the rows of either arm, ``a`` and ``b``."""
@@ -209,49 +217,124 @@ def differences_at(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray,
     return [statistic(k) for k in ranks]
 
 
-def _shifts_of_large(counts: DataFrame, by: Sequence[str], sizes: list, level: float) -> list[tuple]:
-    """Shift and interval of groups too large for one task: the brackets of all ranks narrow by one aggregate over all value counts a step.
+def _open_pairs(xs: pd.DataFrame, ys: pd.DataFrame, ranks: Sequence[int]) -> list[tuple]:
+    """Per bracket of ``RANK_BRACKETS``: its number and ends, the differences surely below it, and the blocks of either side whose differences may lie in it.
 
-    Brackets end within 1e-13 of their size; the driver holds four for each such group.
+    The smallest differences of pairs of blocks have no rank above that of the
+    true ones, the largest none below: both are looked up as differences are.
+    """
+    n, m = (b["size"].to_numpy(object if int(xs["size"].sum()) * int(ys["size"].sum()) >= 1 << 62 else np.int64) for b in (xs, ys))
+    x_lo, x_hi, y_lo, y_hi = (b[c].to_numpy() for b in (xs, ys) for c in ("lo", "hi"))
+    margin = 1e-9 * max(1.0, *(float(np.abs(e).max()) for e in (x_lo, x_hi, y_lo, y_hi)))
+    least, most = differences_at(x_lo, n, y_hi, m, ranks), differences_at(x_hi, n, y_lo, m, ranks)
+    upto = np.concatenate((m[:0], [0], np.cumsum(m)))
+    out = []
+    for k in sorted(set(RANK_BRACKETS)):
+        own = [i for i, b in enumerate(RANK_BRACKETS) if b == k]
+        lo, hi = min(least[i] for i in own) - margin, max(most[i] for i in own) + margin
+        first, stop = np.searchsorted(y_hi, x_lo - hi, side="left"), np.searchsorted(y_lo, x_hi - lo, side="left")
+        sure = sum(int(a) * int(upto[-1] - upto[j]) for a, j in zip(n, stop, strict=True))
+        wide = np.maximum(stop - first, 0)
+        at_y = np.concatenate([np.arange(f, f + w) for f, w in zip(first, wide, strict=True)])
+        out.append((k, float(lo), float(hi), str(sure), np.repeat(xs["id"].to_numpy(), wide), ys["id"].to_numpy()[at_y]))
+    return out
+
+
+def _count_below(batches):
+    """Rows ``ask, j, below`` of a task: over its pairs of blocks, the differences of at most the bracket's j-th threshold."""
+    found: dict[int, list[int]] = {}
+    for batch in batches:
+        column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        for r in range(batch.num_rows):
+            x, n, y, m = (column[c][r].values.to_numpy() for c in ("x", "n", "y", "m"))
+            if float(n.sum()) * float(m.sum()) >= 2.0**62:
+                n, m = n.astype(object), m.astype(object)
+            upto = np.concatenate((m[:0], [0], np.cumsum(m)))
+            sums = found.setdefault(column["ask"][r].as_py(), [0] * ASKED)
+            for j, t in enumerate(thresholds(column["lo"][r].as_py(), column["hi"][r].as_py())):
+                sums[j] += int((n * (upto[-1] - upto[np.searchsorted(y, x - t, side="left")])).sum())
+    rows = [(ask, j, str(s)) for ask, sums in found.items() for j, s in enumerate(sums)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["ask", "j", "below"])
+
+
+def thresholds(lo: float, hi: float) -> list[float]:
+    """Where a step asks within a bracket."""
+    return [lo + (hi - lo) * j / (ASKED + 1) for j in range(1, ASKED + 1)]
+
+
+def _shifts_of_large(counts: DataFrame, by: Sequence[str], sizes: list, level: float, block: int = BLOCK) -> list[tuple]:
+    """Shift and interval of groups too large for one task.
+
+    The values of either side are dealt into blocks. The blocks' ends and
+    sizes bracket each rank so closely that a block's differences to few other
+    blocks can lie in the bracket; these pairs of blocks are written once, and
+    a step counts over them how many differences lie below some thresholds,
+    without a shuffle of values. Brackets end within 1e-13 of their size; the
+    driver holds four for each such group.
     """
     spark = counts.sparkSession
-    open_ = [{"key": tuple(s[c] for c in by), "k": k, "at": i, "lo": s["low"], "hi": s["high"]} for s in sizes for i, k in enumerate(shift_ranks(s["n"], s["m"], level))]
+    bound_arrow_batches(spark)
+    scratch = Scratch(spark, "shift")
+    side = [*by, "__first"]
+    dealt = running(counts.withColumn("__one", F.lit(1)), "x", {"__at": "__one"}, side)
+    blocks = dealt.groupBy(*side, F.floor(F.col("__at") / block).alias("__block")).agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("__v"), F.sum("n").alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    blocks = scratch.table(blocks.select(*side, "size", "lo", "hi", F.col("__v.x").alias("x"), F.col("__v.n").alias("n"), F.monotonically_increasing_id().alias("id")), "blocks")
     keys = [f for f in counts.schema.fields if f.name in by]
-    schema = T.StructType([*keys, T.StructField("__ask", T.IntegerType()), T.StructField("__t", T.DoubleType())])
+    schema = T.StructType([*keys, *T._parse_datatype_string("gid long, bracket int, lo double, hi double, sure string, xs array<long>, ys array<long>").fields])
+
+    def pair(pdf):
+        pdf = pdf.sort_values("lo")
+        xs, ys = pdf[pdf["__first"]], pdf[~pdf["__first"]]
+        own = [pdf[c].iloc[0] for c in by]
+        ranks = shift_ranks(int(xs["size"].sum()), int(ys["size"].sum()), level)
+        return pd.DataFrame([[*own, int(pdf["id"].min()), *row] for row in _open_pairs(xs, ys, ranks)], columns=schema.names)
+
+    ends = blocks.select(*side, "id", "size", "lo", "hi")
+    brackets = scratch.table((ends.groupBy(*by) if by else ends.withColumn("__all", F.lit(1)).groupBy("__all")).applyInPandas(pair, schema), "brackets")
+    each = brackets.select("gid", "bracket", F.explode(F.arrays_zip("xs", "ys")).alias("p")).select("gid", "bracket", "p.*")
+    pairs = each.join(blocks.select(F.col("id").alias("xs"), "x", "n"), "xs").join(blocks.select(F.col("id").alias("ys"), F.col("x").alias("y"), F.col("n").alias("m")), "ys")
+    pairs = scratch.table(pairs.select("gid", "bracket", "x", "n", "y", "m"), "pairs")
+
+    ranks = {tuple(s[c] for c in by): shift_ranks(s["n"], s["m"], level) for s in sizes}
+    open_ = [{"key": tuple(r[c] for c in by), "at": i, "gid": r["gid"], "bracket": r["bracket"], "lo": r["lo"], "hi": r["hi"], "k": ranks[tuple(r[c] for c in by)][i] - int(r["sure"])} for r in brackets.drop("xs", "ys").collect() for i, b in enumerate(RANK_BRACKETS) if b == r["bracket"]]
     for _ in range(60):
-        asked = [(i, [o["lo"] + (o["hi"] - o["lo"]) * j / 8 for j in range(1, 8)]) for i, o in enumerate(open_) if o["hi"] - o["lo"] > 1e-13 * max(1.0, abs(o["lo"]), abs(o["hi"]))]
-        if not asked:
+        wide = [o for o in open_ if o["hi"] - o["lo"] > 1e-13 * max(1.0, abs(o["lo"]), abs(o["hi"]))]
+        if not wide:
             break
-        table = spark.createDataFrame([(*open_[i]["key"], 8 * i + j, t) for i, ts in asked for j, t in enumerate(ts)], schema)
-        # Without groups there are 28 thresholds; with groups as many for each, which a join deals out.
-        met = counts.join(table, list(by)) if by else counts.crossJoin(F.broadcast(table))
-        # Each x moves to x - t; what counts are the y's at or above it.
-        moved = met.select("__ask", F.when(F.col("__first"), F.col("x") - F.col("__t")).otherwise(F.col("x")).alias("v"), F.when(F.col("__first"), F.col("n")).otherwise(0).alias("nx"), F.when(F.col("__first"), 0).otherwise(F.col("n")).alias("ny"))
-        merged = running(moved.groupBy("__ask", "v").agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny")), "v", {"below": "ny"}, ["__ask"])
-        got = {r[0]: r[1] for r in merged.groupBy("__ask").agg(F.sum(F.col("nx").cast("decimal(38,0)") * F.col("below"))).collect()}
-        for i, ts in asked:
-            o = open_[i]
-            pairs = next(s["n"] * s["m"] for s in sizes if tuple(s[c] for c in by) == o["key"])
-            inside = [pairs - int(got[8 * i + j]) >= o["k"] for j in range(7)]
-            first = inside.index(True) if True in inside else 7
-            o["lo"], o["hi"] = (ts[first - 1] if first else o["lo"]), (ts[first] if first < 7 else o["hi"])
+        # Ranks side by side share their bracket until they part.
+        asks = {ask: i for i, ask in enumerate(dict.fromkeys((o["gid"], o["bracket"], o["lo"], o["hi"]) for o in wide))}
+        table = spark.createDataFrame([(*ask, i) for ask, i in asks.items()], "gid long, bracket int, lo double, hi double, ask long")
+        counted = pairs.join(table, ["gid", "bracket"]).select("ask", "lo", "hi", "x", "n", "y", "m").mapInArrow(_count_below, "ask long, j int, below string")
+        got = {(r[0], r[1]): int(r[2]) for r in counted.groupBy("ask", "j").agg(F.sum(F.col("below").cast("decimal(38,0)"))).collect()}
+        for o in wide:
+            ask, ts = asks[o["gid"], o["bracket"], o["lo"], o["hi"]], thresholds(o["lo"], o["hi"])
+            first = next((j for j in range(ASKED) if got.get((ask, j), 0) >= o["k"]), ASKED)
+            o["lo"], o["hi"] = (ts[first - 1] if first else o["lo"]), (ts[first] if first < ASKED else o["hi"])
+    scratch.drop(pairs)
     found: dict[tuple, list[float]] = {}
-    for o in open_:
+    for o in sorted(open_, key=lambda o: o["at"]):
         found.setdefault(o["key"], []).append(o["hi"])
     return [(*key, (v[0] + v[1]) / 2, v[2], v[3]) for key, v in found.items()]
 
 
-def hodges_lehmann(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = (), most: int = ONE_PASS, level: float = 0.95) -> DataFrame:
+def hodges_lehmann(df: DataFrame, arm: str, value: str, first: str, second: str, by: Sequence[str] = (), most: int = ONE_PASS, level: float = 0.95, block: int = BLOCK) -> DataFrame:
     """Per group: sizes, the median of all differences first - second, and Moses' interval by ranks; null where an arm is empty.
 
     Distinct values are counted. A group of up to ``most`` of them is worked
-    out in one task; the ranks of larger groups are bracketed by aggregates
-    over the counts. Differences are never formed.
+    out in one task; the ranks of larger groups are bracketed over blocks of
+    ``block`` distinct values. Differences are never formed.
     """
-    return hodges_lehmann_of(Scratch(df.sparkSession, "shift").table(arm_counts(df, arm, value, first, second, by), "counts"), by, most, level)
+    return hodges_lehmann_of(Scratch(df.sparkSession, "shift").table(arm_counts(df, arm, value, first, second, by), "counts"), by, most, level, block)
+
+
+def _of_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """A join on groups; a null key is a group, too."""
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in by})
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by], F.lit(True)), how)
 
 
-def hodges_lehmann_of(arms: DataFrame, by: Sequence[str] = (), most: int = ONE_PASS, level: float = 0.95) -> DataFrame:
+def hodges_lehmann_of(arms: DataFrame, by: Sequence[str] = (), most: int = ONE_PASS, level: float = 0.95, block: int = BLOCK) -> DataFrame:
     """``hodges_lehmann`` from counts (``arm_counts``)."""
     sides = F.explode(F.array(*[F.struct(F.lit(k == "a").alias("__first"), F.col(k).alias("n")) for k in "ab"])).alias("__s")
     counts = arms.select(*by, "x", sides).select(*by, "x", "__s.*").filter("n > 0")
@@ -263,7 +346,7 @@ def hodges_lehmann_of(arms: DataFrame, by: Sequence[str] = (), most: int = ONE_P
     keys = [f for f in sizes.schema.fields if f.name in by]
     schema = T.StructType([*keys, *[T.StructField(c, T.DoubleType()) for c in ("shift", "low", "high")]])
     fits = sizes.filter(f"n1 > 0 and n2 > 0 and __distinct <= {most}")
-    few = counts.join(fits.select(*by), list(by), "left_semi") if by else counts.join(fits.select(F.lit(1).alias("__one")), F.lit(True), "left_semi")
+    few = _of_groups(counts, fits, by, "left_semi")
 
     def work(pdf):
         pdf = pdf.sort_values("x")
@@ -274,9 +357,9 @@ def hodges_lehmann_of(arms: DataFrame, by: Sequence[str] = (), most: int = ONE_P
     out = (few.groupBy(*by) if by else few.withColumn("__all", F.lit(1)).groupBy("__all")).applyInPandas(work, schema)
     large = sizes.filter(f"n1 > 0 and n2 > 0 and __distinct > {most}").select(*by, F.col("n1").alias("n"), F.col("n2").alias("m"), F.col("__low").alias("low"), F.col("__high").alias("high")).collect()
     if large:
-        out = out.unionByName(arms.sparkSession.createDataFrame(_shifts_of_large(counts, by, large, level), schema))
-    base = sizes.select(*by, "n1", "n2")
-    return base.join(out, list(by), "left") if by else base.join(out, F.lit(True), "left")
+        many = _of_groups(counts, sizes.filter(f"n1 > 0 and n2 > 0 and __distinct > {most}"), by, "left_semi")
+        out = out.unionByName(arms.sparkSession.createDataFrame(_shifts_of_large(many, by, large, level, block), schema))
+    return _of_groups(sizes.select(*by, "n1", "n2"), out, by, "left").select(*by, "n1", "n2", "shift", "low", "high")
 
 
 def median_ranks(n: int, level: float = 0.95) -> tuple[int, int] | None:

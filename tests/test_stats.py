@@ -106,6 +106,24 @@ def test_shifts_by_groups_with_and_without_a_task_for_each(spark):
     assert all(one[g] == pytest.approx(many[g], abs=1e-9) for g in "ab")
 
 
+def test_large_shifts_take_few_steps(spark):
+    """Blocks bracket the ranks of a large group, so that a handful of steps remain; hot values, null groups and a skewed arm included."""
+    rng = np.random.default_rng(3)
+    rows = [(g, arm, float(v)) for g in (None, "a") for arm, n, d in (("x", 300, 40), ("y", 170, 0)) for v in np.concatenate((rng.integers(0, 900, n) / 4 + d, np.full(n // 3, 100.25)))]
+    df = spark.createDataFrame(rows, "g string, arm string, v double").cache()
+    spark.sparkContext.setJobGroup("large shifts", "")
+    out = rank.hodges_lehmann(df, "arm", "v", "x", "y", ["g"], most=10).collect()
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("large shifts")) < 160
+    small = rank.hodges_lehmann(df, "arm", "v", "x", "y", ["g"], most=10, block=7).collect()
+    for g in (None, "a"):
+        x, y = ([v for h, a, v in rows if h == g and a == arm] for arm in "xy")
+        d = np.sort(np.subtract.outer(x, y).ravel())
+        want = [np.median(d), *(d[k - 1] for k in rank.shift_ranks(len(x), len(y))[2:])]
+        for r in [r for r in (*out, *small) if r["g"] == g]:
+            assert (r["n1"], r["n2"]) == (len(x), len(y)) and (r["shift"], r["low"], r["high"]) == pytest.approx(want, abs=1e-9)
+
+
 def test_percentiles_and_expected_counts(spark):
     rng = np.random.default_rng(2)
     rows = [(g, float(v)) for g, n in (("a", 101), ("b", 2), ("c", 1)) for v in rng.integers(0, 30, n)] + [(None, 5.0), ("d", None)]
