@@ -17,8 +17,8 @@ null keys have the claims of their own text, each.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cache, reduce
 
@@ -59,11 +59,41 @@ DEFAULT = Configuration()
 # Normalised text ---------------------------------------------------------------------------------
 
 
+#: First letters of what stands behind a number.
+_SPELT = re.compile(r"\d\s*([^\W\d_])")
+_JAPANESE_OR_CHINESE = re.compile("[　-ヿ㐀-鿿＀-￯]")
+_DIGITS = re.compile(r"\d+")
+_TOKEN = re.compile(r"\S+")
+
+
+def _holds(pattern: str | re.Pattern) -> Callable[[str], list]:
+    found = re.compile(pattern).search
+    return lambda text: [1] if found(text) else []
+
+
 @cache
 def normal_steps() -> tuple[Step | Lower, ...]:
-    """The rewriting steps in order. Units after a number need a digit with a letter behind it."""
-    spelt = re.compile(r"\d\s*[^\W\d_]")
-    step = lambda p, by: Step(re.compile(p), by.replace("$", "\\"), spelt if p.startswith(r"(?<=\d)\s*") else None)
+    """The rewriting steps in order. Most texts lack what most steps are about, which is told much faster than by the steps' own patterns."""
+    spelt = lambda text: set(_SPELT.findall(text))
+    foreign = _holds(_JAPANESE_OR_CHINESE)
+    needs = {
+        r"\S{120,}": lambda text: [1] if max(map(len, text.split()), default=0) >= 120 else [],
+        r"\S+@\S+\.\S+": _holds("@"),
+        r"\b\d{4}-\d{2}-\d{2}(?:t[\d:.]+z?)?\b": _holds(r"\d{4}-\d"),
+        r"\bv?\d+\.\d+\.\d+(?:[-+.][\w.]+)*\b": _holds(r"\d\.\d+\."),
+        r"\b[0-9a-f]{7,40}\b": _holds(r"[0-9a-f]{7}"),
+        r"([　-ヿ㐀-鿿＀-￯])(?=[\d(~\-+])": foreign,
+        r"(?<=[\d)%xs])(?=[　-ヿ㐀-鿿＀-￯])": foreign,
+        r"(?<=\d)\+(?=\s|$)": _holds(r"\+"),
+        r"(?<=\d)n(?=\s*±)": _holds("±"),
+    }
+
+    def step(p: str, by: str) -> Step:
+        unit = p.removeprefix(r"(?<=\d)\s*")
+        made = re.compile(p), by.replace("$", "\\")
+        # Units after a number need a digit with their first letter behind it.
+        return Step(*made, spelt, frozenset(u[0] for u in unit.removeprefix("(?:").split("|"))) if unit != p else Step(*made, needs.get(p))
+
     return (*(step(p, by) for p, by in ct.STRIP_RAW), Lower(), *(step(p, by) for p, by in ct.STRIP_LOWER))
 
 
@@ -94,14 +124,29 @@ _ARROW = [pa.string(), pa.string(), pa.int64(), *[pa.int32()] * 6, pa.string()]
 _HOLDS = {"mult": r"\d\s?(?:x|times)\b", "pct": r"\d\s?(?:%|percent)", "currency": r"[$€£]|\b(?:usd|eur|gbp|dollars?|cents?)\b|\d(?:usd|eur|gbp|dollar|cent)", "from_to": r"\bfrom\s|->"}
 
 
+#: Tokens on either side of a digit within which a quantity with that digit ends, more than any pattern spans.
+QUANTITY_REACH = 12
+#: Tokens on either side of a quantity or a sufficient construction within which cues and doubts are looked for. What is a claim asks for less: a cue
+#: within PAIR_WINDOW, a cue within PAIR_WINDOW of that one, and a few tokens more for cues that begin or end in one another.
+CUE_REACH = 36
+#: Rules that hold a digit and are as short as quantities; what the rules that begin with a word of speed hold.
+_SHORT_RULES = frozenset(p for _, p, _, _ in ct.SELF_SUFFICIENT if not p.startswith(ct.SPEED) and r"\n" not in p)
+_SPEED_WORDS = ("faster", "slower", "quicker", "speed", "高速化", "加速", "短縮", "缩短")
+
+
+def _short_cue(pattern: str) -> bool:
+    """Whether a cue spans a few tokens at most: a built-in one, or one without repeats, edges and open sets of characters."""
+    return pattern in ct.CUES.values() or (not re.search(r"[*+{^$]|\\[sSWDBAZnrtfvxuUN]|(?<!\\)\.", pattern) and pattern.count(" ") <= 8)
+
+
 @dataclass(frozen=True)
 class Patterns:
     """The distinct patterns of several configurations; each with the set of configurations, as bits, that have it."""
 
     #: kind, pattern and what a text with such a quantity holds
     quantities: list[tuple[str, re.Pattern, re.Pattern | None]]
-    #: dimension, pattern, configurations
-    cues: list[tuple[str, re.Pattern, int]]
+    #: dimension, pattern, configurations, whether it spans a few tokens at most
+    cues: list[tuple[str, re.Pattern, int, bool]]
     #: which of ``cues``, those that hide it, configurations
     seen: list[tuple[int, tuple[int, ...], int]]
     #: number of the rule, pattern, configurations
@@ -136,7 +181,7 @@ def pattern_table(configurations: Sequence[Configuration]) -> Patterns:
     numbers = rule_numbers(configurations)
     return Patterns(
         [(kind, re.compile(p), re.compile(_HOLDS[kind]) if kind in _HOLDS else None) for kind, p in ct.QUANTITIES.items()],
-        [(d, re.compile(p), bits) for (d, p), bits in cues.items()],
+        [(d, re.compile(p), bits, _short_cue(p)) for (d, p), bits in cues.items()],
         [(at, hiding, bits) for (at, hiding), bits in seen.items()],
         [(str(numbers[r]), re.compile(r[1]), bits) for r, bits in alone.items()],
         re.compile(ct.HYPOTHETICAL), re.compile(ct.PROSPECTIVE), re.compile(ct.BLOCK_BREAK), (1 << len(configurations)) - 1,
@@ -153,29 +198,61 @@ def open_stretches(size: int, hiding: list[tuple[int, int]]) -> list[tuple[int,
     return [*out, (at, size)] if at < size else out
 
 
-def find_marks(text: str, patterns: Patterns) -> list[tuple]:
-    """Role, name, configurations, start and end of all marks of one normalised text; none where no claim can be.
+def stretches_around(starts: list[int], size: int, places: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """The stretches of a text, whole tokens, that reach so many tokens beyond some places, apart and in order. ``starts``: where the tokens begin."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(places):
+        first, stop = bisect_right(starts, s) - 1 - reach, bisect_left(starts, e) + reach
+        lo, hi = starts[first] if first > 0 else 0, starts[stop] if stop < len(starts) else size
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _over(text: str, pattern: re.Pattern, where: list[tuple[int, int]]) -> Iterator[re.Match]:
+    for lo, hi in where:
+        yield from pattern.finditer(text, lo, hi)
+
+
+def find_marks(text: str, patterns: Patterns, starts: list[int] | None = None, reach: int = CUE_REACH) -> list[tuple]:
+    """Role, name, configurations, start and end of the marks of one normalised text; none where no claim can be.
 
-    A cue must lie in what the cues that hide it leave of the text. It is
-    looked for there only, so one that a hidden phrase would have begun or
-    gone on with is found as well.
+    Quantities are looked for around digits, cues and doubts within ``reach``
+    tokens of what may be claimed; headings of doubtful blocks anywhere. A cue
+    must lie in what the cues that hide it leave of the text. It is looked for
+    there only, so one that a hidden phrase would have begun or gone on with
+    is found as well. ``starts``: where the text's tokens begin.
     """
-    out = [("quantity", kind, patterns.every, m.start(), m.end()) for kind, p, held in patterns.quantities if held is None or held.search(text) for m in p.finditer(text)]
-    alone = [("self", number, bits, m.start(), m.end()) for number, p, bits in patterns.alone for m in p.finditer(text)]
+    starts = [m.start() for m in _TOKEN.finditer(text)] if starts is None else starts
+    whole = [(0, len(text))]
+    digits = stretches_around(starts, len(text), [m.span() for m in _DIGITS.finditer(text)], QUANTITY_REACH)
+    out = [("quantity", kind, patterns.every, m.start(), m.end()) for kind, p, held in patterns.quantities for at in digits if held is None or held.search(text, *at) for m in p.finditer(text, *at)]
+    alone = []
+    for number, p, bits in patterns.alone:
+        if p.pattern.startswith(ct.SPEED) and not any(w in text for w in _SPEED_WORDS):
+            continue
+        alone += [("self", number, bits, m.start(), m.end()) for m in _over(text, p, digits if p.pattern in _SHORT_RULES else whole)]
     if not out and not alone:
         return []
-    spans = [[(m.start(), m.end()) for m in p.finditer(text)] for _, p, _ in patterns.cues]
+    near = stretches_around(starts, len(text), [m[3:] for m in (*out, *alone)], reach)
+    spans = [[m.span() for m in _over(text, p, near if short else whole)] for _, p, _, short in patterns.cues]
     if not alone and not any(spans):
         return []
     out += alone
-    for (d, _, bits), found in zip(patterns.cues, spans, strict=True):
+    for (d, _, bits, _), found in zip(patterns.cues, spans, strict=True):
         out += [("raw_cue", d, bits, s, e) for s, e in found]
     for at, hiding, bits in patterns.seen:
-        d, p, _ = patterns.cues[at]
+        d, p, _, short = patterns.cues[at]
         hidden = [span for o in hiding for span in spans[o]]
-        found = spans[at] if not hidden else [(m.start(), m.end()) for lo, hi in open_stretches(len(text), hidden) for m in p.finditer(text, lo, hi)]
+        if hidden:
+            left = [(max(lo, a), min(hi, b)) for lo, hi in open_stretches(len(text), hidden) for a, b in (near if short else whole) if max(lo, a) < min(hi, b)]
+            found = [m.span() for m in _over(text, p, left)]
+        else:
+            found = spans[at]
         out += [("cue", d, bits, s, e) for s, e in found]
-    out += [("hypothetical", "", patterns.every, m.start(), m.end()) for m in patterns.hypothetical.finditer(text)]
+    out += [("hypothetical", "", patterns.every, m.start(), m.end()) for m in _over(text, patterns.hypothetical, near)]
     for m in patterns.heading.finditer(text):
         stop = min(len(text), m.end() + ct.BLOCK_CHARS)
         cut = patterns.block.search(text, m.end(), stop)
@@ -207,10 +284,10 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
             for k, raw in enumerate(batch.column(1).to_pylist()):
                 number += 1
                 normal, log = rewrite(raw, steps)
-                found = find_marks(normal, patterns)
+                starts = [m.start() for m in _TOKEN.finditer(normal)]
+                found = find_marks(normal, patterns, starts)
                 if not found:
                     continue
-                starts = [m.start() for m in re.finditer(r"\S+", normal)]
                 token = lambda c: max(bisect_right(starts, c) - 1, 0)  # noqa: B023, E731
                 lo, hi = [f[3] for f in found], [f[4] for f in found]
                 raw_lo, raw_hi = (x.tolist() for x in traced(len(raw), log).span(lo, hi)) if quotes else ([None] * len(found),) * 2
