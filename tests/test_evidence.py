@@ -140,3 +140,11 @@ def test_cut_columns(spark):
     got = {r["id"]: (r["c"], r["n"]) for r in df.select("id", tk.truncate_tokens(F.col("t"), 3, ranks).alias("c"), tk.token_counts(F.col("t"), ranks).alias("n")).collect()}
     whole = {k: len([t for m in regex.finditer(tk.WORDS, x) for t in naive(m[0].encode(), RANKS)]) for k, x in ((1, "the and then"), (5, "éé"))}
     assert got[1] == ("the and", whole[1]) and got[2] == (None, 0) and got[3] == ("", 0) and got[5][1] == whole[5] and got[4][0] == "the th" and got[4][1] > 60_000
+
+
+def test_words_that_recur_are_merged_once(monkeypatch):
+    ranks = {bytes([k]): k for k in range(256)} | {b"th": 256, b"the": 257}
+    asked, real = [], tk.merged
+    monkeypatch.setattr(tk, "merged", lambda piece, table: asked.append(piece) or real(piece, table))
+    found = list(tk.tokens("the other" * 50, tk.kept_merges(ranks), tk.regex.compile(tk.WORDS)))
+    assert b"".join(found) == b"the other" * 50 and len(asked) == len(set(asked)) == 3
