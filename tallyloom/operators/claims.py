@@ -20,8 +20,9 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import cache, reduce
+from functools import cache, cached_property, lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import claim_tables as ct
-from tallyloom.functions.offsets import Lower, Places, Step, rewrite, traced
+from tallyloom.functions.offsets import Lower, Places, Step, matches_at, rewrite, traced
 from tallyloom.session import Scratch, bound_arrow_batches, spread
 
 
@@ -59,11 +60,78 @@ DEFAULT = Configuration()
 # Normalised text ---------------------------------------------------------------------------------
 
 
-#: First letters of what stands behind a number.
-_SPELT = re.compile(r"\d\s*([^\W\d_])")
+#: The first letter of what stands behind a number.
+_SPELT = re.compile(r"\s*([^\W\d_])")
 _JAPANESE_OR_CHINESE = re.compile("[　-ヿ㐀-鿿＀-￯]")
-_DIGITS = re.compile(r"\d+")
-_TOKEN = re.compile(r"\S+")
+_SPACE, _DIGIT, _HEX = 1, 2, 4
+
+
+@cache
+def _kinds() -> tuple[np.ndarray, bytes]:
+    """What each character is, as bits: white space, a digit, a hexadecimal digit; and the same of bytes."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(len(every), np.uint8)
+    for pattern, bit in ((r"\s", _SPACE), (r"\d", _DIGIT), ("[0-9a-f]", _HEX)):
+        for m in re.finditer(f"{pattern}+", every):
+            out[m.start() : m.end()] |= bit
+    return out, out[:256].tobytes()
+
+
+class Landmarks:
+    """Where a text's tokens begin and its digits stand: each character is looked up once, the rest are comparisons of whole arrays."""
+
+    def __init__(self, text: str) -> None:
+        every, narrow = _kinds()
+        self.text = text
+        try:
+            self.kinds = np.frombuffer(text.encode("latin-1").translate(narrow), np.uint8)
+        except UnicodeEncodeError:
+            self.kinds = every[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    @cached_property
+    def _blanks(self) -> np.ndarray:
+        """White space, with a place before the text and one behind it."""
+        return np.concatenate(([-1], np.flatnonzero((self.kinds & _SPACE) != 0), [len(self.text)]))
+
+    @cached_property
+    def _tokens(self) -> np.ndarray:
+        """Characters of the token behind each blank; 0 where another follows."""
+        return self._blanks[1:] - self._blanks[:-1] - 1
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return (self._blanks[:-1][self._tokens > 0] + 1).tolist()
+
+    def has_token(self, size: int) -> bool:
+        return len(self.text) >= size and bool(self._tokens.max() >= size)
+
+    def has_hex(self, size: int) -> bool:
+        """Whether so many hexadecimal digits stand in a row."""
+        row, n = self.kinds & _HEX, 1
+        while n < size and len(row):
+            more = min(n, size - n)
+            row, n = row[:-more] & row[more:], n + more
+        return bool(row.any())
+
+    @cached_property
+    def digits(self) -> list[tuple[int, int]]:
+        """Where runs of digits begin and end."""
+        at = np.flatnonzero((self.kinds & _DIGIT) != 0)
+        if not len(at):
+            return []
+        edge = np.flatnonzero(at[1:] - at[:-1] > 1)
+        return list(zip(at[np.concatenate(([0], edge + 1))].tolist(), (at[np.concatenate((edge, [len(at) - 1]))] + 1).tolist(), strict=True))
+
+    @cached_property
+    def spelt(self) -> set[str]:
+        """First letters of what stands behind numbers."""
+        return {m[1] for _, end in self.digits if (m := _SPELT.match(self.text, end))}
+
+
+@lru_cache(maxsize=1)
+def landmarks(text: str) -> Landmarks:
+    """Those of the text that is at hand."""
+    return Landmarks(text)
 
 
 def _holds(pattern: str | re.Pattern) -> Callable[[str], list]:
@@ -71,28 +139,49 @@ def _holds(pattern: str | re.Pattern) -> Callable[[str], list]:
     return lambda text: [1] if found(text) else []
 
 
+def _has(*words: str) -> Callable[[str], list]:
+    if len(words) == 1:
+        return lambda text: [1] if words[0] in text else []
+    return lambda text: [1] if any(w in text for w in words) else []
+
+
 @cache
 def normal_steps() -> tuple[Step | Lower, ...]:
-    """The rewriting steps in order. Most texts lack what most steps are about, which is told much faster than by the steps' own patterns."""
-    spelt = lambda text: set(_SPELT.findall(text))
-    foreign = _holds(_JAPANESE_OR_CHINESE)
+    """The rewriting steps in order. Most texts lack what most steps are about, which is told much faster than by the steps' own patterns:
+    by words that all their finds hold, or by the text's landmarks.
+    """
+    foreign_search = _holds(_JAPANESE_OR_CHINESE)
+    foreign = lambda text: [] if text.isascii() else foreign_search(text)
+    spelt = lambda text: landmarks(text).spelt
+    behind_numbers = lambda text: [end for _, end in landmarks(text).digits]
     needs = {
-        r"\S{120,}": lambda text: [1] if max(map(len, text.split()), default=0) >= 120 else [],
-        r"\S+@\S+\.\S+": _holds("@"),
-        r"\b\d{4}-\d{2}-\d{2}(?:t[\d:.]+z?)?\b": _holds(r"\d{4}-\d"),
-        r"\bv?\d+\.\d+\.\d+(?:[-+.][\w.]+)*\b": _holds(r"\d\.\d+\."),
-        r"\b[0-9a-f]{7,40}\b": _holds(r"[0-9a-f]{7}"),
+        r"\S{120,}": lambda text: [1] if landmarks(text).has_token(120) else [],
+        r"(?s)<!--.*?-->": _has("<!--"),
+        r"(?:https?://|www\.)\S+": _has("://", "www."),
+        r"\S+@\S+\.\S+": _has("@"),
+        r"(?i)</?[a-z][^>]{0,300}>": _has("<"),
+        r"(?s)share your feedback on copilot coding agent.*?survey\.?": _has("share your feedback on copilot coding agent"),
+        r"link to devin run:.*?(?:\n|$)": _has("link to devin run:"),
+        r"co-authored-by:.*?(?:\n|$)": _has("co-authored-by:"),
+        r"\b\d{4}-\d{2}-\d{2}(?:t[\d:.]+z?)?\b": _holds(r"-\d\d-\d"),
+        r"\bv?\d+\.\d+\.\d+(?:[-+.][\w.]+)*\b": _holds(r"\.\d+\.\d"),
+        r"\b[0-9a-f]{7,40}\b": lambda text: [1] if landmarks(text).has_hex(7) else [],
         r"([　-ヿ㐀-鿿＀-￯])(?=[\d(~\-+])": foreign,
         r"(?<=[\d)%xs])(?=[　-ヿ㐀-鿿＀-￯])": foreign,
-        r"(?<=\d)\+(?=\s|$)": _holds(r"\+"),
-        r"(?<=\d)n(?=\s*±)": _holds("±"),
+        r"[、。：，（）「」【】]": foreign,
+        r"(?<=\d)\+(?=\s|$)": _has("+"),
+        r"(?<=\d)n(?=\s*±)": _has("±"),
+        r"×": _has("×"),
+        r"→|⟶|⇒|=>|->|-->": _has("→", "⟶", "⇒", "=>", "->"),
+        r"[–—]": _has("–", "—"),
+        r"≈|~": _has("≈"),
     }
 
     def step(p: str, by: str) -> Step:
         unit = p.removeprefix(r"(?<=\d)\s*")
         made = re.compile(p), by.replace("$", "\\")
-        # Units after a number need a digit with their first letter behind it.
-        return Step(*made, spelt, frozenset(u[0] for u in unit.removeprefix("(?:").split("|"))) if unit != p else Step(*made, needs.get(p))
+        # Units after a number need a digit with their first letter behind it, and begin where the number ends.
+        return Step(*made, spelt, frozenset(u[0] for u in unit.removeprefix("(?:").split("|")), behind_numbers) if unit != p else Step(*made, needs.get(p))
 
     return (*(step(p, by) for p, by in ct.STRIP_RAW), Lower(), *(step(p, by) for p, by in ct.STRIP_LOWER))
 
@@ -129,9 +218,14 @@ QUANTITY_REACH = 12
 #: Tokens on either side of a quantity or a sufficient construction within which cues and doubts are looked for. What is a claim asks for less: a cue
 #: within PAIR_WINDOW, a cue within PAIR_WINDOW of that one, and a few tokens more for cues that begin or end in one another.
 CUE_REACH = 36
-#: Rules that hold a digit and are as short as quantities; what the rules that begin with a word of speed hold.
-_SHORT_RULES = frozenset(p for _, p, _, _ in ct.SELF_SUFFICIENT if not p.startswith(ct.SPEED) and r"\n" not in p)
+#: Built-in rules that begin with a word of speed, that span lines, and the others, which hold a digit and are as short as quantities.
+_SPEED_RULES = frozenset(p for _, p, _, _ in ct.SELF_SUFFICIENT if p.startswith(ct.SPEED))
+_LINE_RULES = frozenset(p for _, p, _, _ in ct.SELF_SUFFICIENT if r")[^\n]{0,400}\n" in p)
+_SHORT_RULES = frozenset(p for _, p, _, _ in ct.SELF_SUFFICIENT) - _SPEED_RULES - _LINE_RULES
 _SPEED_WORDS = ("faster", "slower", "quicker", "speed", "高速化", "加速", "短縮", "缩短")
+#: Of rules that span lines, the part with the quantity; words of which each doubtful heading has one.
+_TABLE_CELL = re.compile(rf"\|\s*\**{ct.NUM}\s?{ct.BYTES}\**\s*\|")
+_HEADING_WORDS = ("expected", "estimated", "projected", "anticipated", "theoretical", "potential", "planned", "hypothes")
 
 
 def _short_cue(pattern: str) -> bool:
@@ -216,6 +310,29 @@ def _over(text: str, pattern: re.Pattern, where: list[tuple[int, int]]) -> Itera
         yield from pattern.finditer(text, lo, hi)
 
 
+def _places_of(text: str, words: Sequence[str]) -> list[int]:
+    """Where any of some words begins, in order."""
+    out = []
+    for w in words:
+        at = text.find(w)
+        while at >= 0:
+            out.append(at)
+            at = text.find(w, at + 1)
+    return sorted(out)
+
+
+def _sufficient(text: str, pattern: re.Pattern, digits: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """What a self-sufficient rule finds: the built-in ones are looked for where they can be."""
+    p = pattern.pattern
+    if p in _SHORT_RULES:
+        return _over(text, pattern, digits)
+    if p in _SPEED_RULES:
+        return matches_at(pattern, text, _places_of(text, _SPEED_WORDS))
+    if p in _LINE_RULES and not _TABLE_CELL.search(text):
+        return iter(())
+    return pattern.finditer(text)
+
+
 def find_marks(text: str, patterns: Patterns, starts: list[int] | None = None, reach: int = CUE_REACH) -> list[tuple]:
     """Role, name, configurations, start and end of the marks of one normalised text; none where no claim can be.
 
@@ -225,15 +342,11 @@ def find_marks(text: str, patterns: Patterns, starts: list[int] | None = None, r
     there only, so one that a hidden phrase would have begun or gone on with
     is found as well. ``starts``: where the text's tokens begin.
     """
-    starts = [m.start() for m in _TOKEN.finditer(text)] if starts is None else starts
+    starts = landmarks(text).starts if starts is None else starts
     whole = [(0, len(text))]
-    digits = stretches_around(starts, len(text), [m.span() for m in _DIGITS.finditer(text)], QUANTITY_REACH)
+    digits = stretches_around(starts, len(text), landmarks(text).digits, QUANTITY_REACH)
     out = [("quantity", kind, patterns.every, m.start(), m.end()) for kind, p, held in patterns.quantities for at in digits if held is None or held.search(text, *at) for m in p.finditer(text, *at)]
-    alone = []
-    for number, p, bits in patterns.alone:
-        if p.pattern.startswith(ct.SPEED) and not any(w in text for w in _SPEED_WORDS):
-            continue
-        alone += [("self", number, bits, m.start(), m.end()) for m in _over(text, p, digits if p.pattern in _SHORT_RULES else whole)]
+    alone = [("self", number, bits, m.start(), m.end()) for number, p, bits in patterns.alone for m in _sufficient(text, p, digits)]
     if not out and not alone:
         return []
     near = stretches_around(starts, len(text), [m[3:] for m in (*out, *alone)], reach)
@@ -253,7 +366,7 @@ def find_marks(text: str, patterns: Patterns, starts: list[int] | None = None, r
             found = spans[at]
         out += [("cue", d, bits, s, e) for s, e in found]
     out += [("hypothetical", "", patterns.every, m.start(), m.end()) for m in _over(text, patterns.hypothetical, near)]
-    for m in patterns.heading.finditer(text):
+    for m in patterns.heading.finditer(text) if any(w in text for w in _HEADING_WORDS) else ():
         stop = min(len(text), m.end() + ct.BLOCK_CHARS)
         cut = patterns.block.search(text, m.end(), stop)
         out.append(("block", "", patterns.every, m.start(), cut.start() if cut else stop))
@@ -284,7 +397,7 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
             for k, raw in enumerate(batch.column(1).to_pylist()):
                 number += 1
                 normal, log = rewrite(raw, steps)
-                starts = [m.start() for m in _TOKEN.finditer(normal)]
+                starts = landmarks(normal).starts
                 found = find_marks(normal, patterns, starts)
                 if not found:
                     continue

@@ -358,3 +358,39 @@ def test_steps_that_concern_nothing_are_left_out_without_a_change():
         for s in steps:
             want = s.run(want)[0]
         assert claims.normalise_text(raw) == want
+
+
+def test_plain_prose_runs_no_pattern_of_the_steps():
+    """Words without anything that a step is about are told by substrings and landmarks alone."""
+    prose = "Ein Wörterbuch über Straßen, and 42 plain words about it - nothing else, 7 of them twice. " * 40
+    steps = [s for s in claims.normal_steps() if isinstance(s, offsets.Step)]
+    assert not [s.pattern.pattern for s in steps if s.concerns(prose, {})]
+    # Units are looked for where numbers end, however long the text is.
+    units = [s for s in steps if s.at is not None]
+    assert len(units) == sum(p.startswith(r"(?<=\d)\s*") for p, _ in ct.STRIP_LOWER) and all(len(list(s.at(prose))) == 80 for s in units)
+
+
+def test_steps_and_marks_are_those_of_the_plain_patterns():
+    """Texts rewritten by plain substitution, and landmarks, rules and headings searched for plainly, with digits and blanks of any script."""
+    rng = random.Random(11)
+    parts = [*"5 12 3.4.5 2024-01-02 + ms 毫秒 ナノ秒 倍 seconds s MB µs n ± x@y.zz deadbee1 ab12cd 時間 、 ( - % v1.2.3 Hours ٣٤ × → -> => ≈ – <b> <!-- --> http://a.b www.x 5minutes 7bytes ß 高速化 12x speed-up faster of by 加速 3%".split()]
+    parts += ["a" * 119, "b" * 120, " ", "\x1f", "\x85", " ", "\n", "\n# Expected gains\n", "allocated\n", "| 5 kb |", "Link to Devin run: x\n"]
+    patterns = claims.pattern_table([claims.DEFAULT])
+    rules = [(str(k), p) for k, (_, p, _, _) in enumerate(ct.SELF_SUFFICIENT)]
+    for _ in range(1500):
+        raw = want = "".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 14)))
+        for p, by in ct.STRIP_RAW:
+            want = re.sub(p, by, want)
+        want = want.lower()
+        for p, by in ct.STRIP_LOWER:
+            want = re.sub(p, by.replace("$", "\\"), want)
+        assert claims.normalise_text(raw) == want
+        for text in (raw, want):
+            marks = claims.Landmarks(text)
+            assert marks.starts == [m.start() for m in re.finditer(r"\S+", text)] and marks.digits == [m.span() for m in re.finditer(r"\d+", text)]
+            for n in (1, 2, 7, 120):
+                assert (marks.has_token(n), marks.has_hex(n)) == (bool(re.search(rf"\S{{{n}}}", text)), bool(re.search(f"[0-9a-f]{{{n}}}", text)))
+        found = claims.find_marks(want, patterns)
+        assert sorted((m[1], *m[3:]) for m in found if m[0] == "self") == sorted((k, *m.span()) for k, p in rules for m in re.finditer(p, want))
+        assert {m[3] for m in found if m[0] == "block"} <= {m.start() for m in re.finditer(ct.PROSPECTIVE, want)}
+        assert not found or sum(m[0] == "block" for m in found) == len(re.findall(ct.PROSPECTIVE, want))
