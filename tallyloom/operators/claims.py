@@ -436,20 +436,22 @@ def _table(values: Mapping[tuple[int, str], Sequence[str]], conf: Column, name:
     return F.coalesce(F.try_element_at(literal, F.concat_ws("/", conf.cast("string"), name)), none) if values else none
 
 
-def _surroundings(found: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Marks with the nearest of each sort on either side: quantities by kind (``q``), cues and raw cues by dimension (``c``, ``r``), hypothetical wording (``h``).
+def _surroundings(found: DataFrame, cues: Sequence[tuple[str, int]], raw_cues: Sequence[tuple[str, int]]) -> DataFrame:
+    """Marks with the nearest of each sort on either side: quantities by kind (``q``), cues and raw cues by dimension and set of configurations (``c``, ``r``), hypothetical wording (``h``).
 
-    Two orders of a text's marks, forwards and backwards, one sort each. At a
-    token quantities come behind the others, so that a cue's own token is ahead of it.
+    Two orders of a text's marks, forwards and backwards, one sort each, for
+    all configurations together. At a token quantities come behind the others,
+    so that a cue's own token is ahead of it.
     """
     is_q = F.col("role") == "quantity"
     within = [F.col("token"), is_q.cast("int"), F.when(is_q, F.col("found")), F.when(~is_q, F.col("last_token")), F.col("start"), F.col("end"), F.col("name"), F.col("role")]
     q = F.struct("token", "found", "start", "end", "raw_start", "raw_end")
     sorts = {f"q_{k}": F.when(is_q & (F.col("name") == k), q) for k in ct.QUANTITIES}
-    sorts |= {f"c_{d}": F.when((F.col("role") == "cue") & (F.col("name") == d), F.struct("token", "last_token")) for d in dimensions}
-    sorts |= {f"r_{d}": F.when((F.col("role") == "raw_cue") & (F.col("name") == d), F.col("token")) for d in dimensions}
+    is_a = lambda role, d, bits: (F.col("role") == role) & (F.col("name") == d) & (F.col("conf") == bits)
+    sorts |= {f"c{bits}_{d}": F.when(is_a("cue", d, bits), F.struct("token", "last_token")) for d, bits in cues}
+    sorts |= {f"r{bits}_{d}": F.when(is_a("raw_cue", d, bits), F.col("token")) for d, bits in raw_cues}
     doubt = F.col("role").isin("hypothetical", "block")
-    own = Window.partitionBy("row", "conf")
+    own = Window.partitionBy("row")
     back = own.orderBy(*[c.asc() for c in within]).rowsBetween(Window.unboundedPreceding, -1)
     ahead = own.orderBy(*[c.desc() for c in within]).rowsBetween(Window.unboundedPreceding, -1)
     seen = found
@@ -458,6 +460,21 @@ def _surroundings(found: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     return seen
 
 
+def _by_configuration(seen: DataFrame, cues: Sequence[tuple[str, int]], raw_cues: Sequence[tuple[str, int]], size: int) -> DataFrame:
+    """Marks once for each of their configurations (``conf``, its number), each with the cues around it that its configuration has."""
+    of = lambda bits: [k for k in range(size) if bits >> k & 1]
+    having = F.array_compact(F.array(*[F.when(F.col("conf").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(size)]))
+    sets: dict[tuple[str, str], list[int]] = {}
+    for kind, found in (("c", cues), ("r", raw_cues)):
+        for d, bits in found:
+            sets.setdefault((kind, d), []).append(bits)
+    # The cues of one dimension are of disjoint sets of configurations.
+    own = lambda kind, d, bits, side: F.col(f"{kind}{bits}_{d}_{side}") if len(of(bits)) == size else F.when(F.col("conf").isin(of(bits)), F.col(f"{kind}{bits}_{d}_{side}"))
+    around = {f"{kind}_{d}_{side}": F.coalesce(*[own(kind, d, bits, side) for bits in found]) for (kind, d), found in sets.items() for side in "ba"}
+    each = seen.withColumn("conf", F.explode(having)).withColumns(around)
+    return each.drop(*[f"{kind}{bits}_{d}_{side}" for (kind, d), found in sets.items() for bits in found for side in "ba"])
+
+
 def _within(kind: str, names: Sequence[str], tokens: int) -> Column:
     """Whether one of some names is so near on either side: ``r`` raw cues, ``c`` cues by their first token, ``q`` quantities."""
     at = lambda n, side: F.col(f"r_{n}_{side}") if kind == "r" else F.col(f"{kind}_{n}_{side}.token")
@@ -490,11 +507,12 @@ def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str
     # Marks are few against the texts; they serve several times and are written once.
     scratch = Scratch(texts.sparkSession, "claims")
     stored = scratch.table(marks(texts, key, text, confs, snippets, quotes), "marks")
-    having = F.array_compact(F.array(*[F.when(F.col("conf").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(len(confs))]))
-    found = stored.filter("role <> 'text'").withColumn("conf", F.explode(having))
     dimensions = list(dict.fromkeys(d for c in confs for d in c.cues))
-    # Three sorts of marks ask for their surroundings; both orders are made once.
-    seen = scratch.table(_surroundings(found, dimensions).filter(F.col("role").isin(*_SHOWN)), "seen")
+    patterns = pattern_table(confs)
+    cue_sets = [(patterns.cues[at][0], bits) for at, _, bits in patterns.seen], [(d, bits) for d, _, bits, _ in patterns.cues]
+    # Three sorts of marks ask for their surroundings; both orders are made once, and a mark is told apart by configuration only behind that.
+    around = scratch.table(_surroundings(stored.filter("role <> 'text'"), *cue_sets).filter(F.col("role").isin(*_SHOWN)), "seen")
+    seen = _by_configuration(around, *cue_sets, len(confs))
     per_conf = lambda pick: {(k, n): v for k, c in enumerate(confs) for n, v in pick(c).items()}
     kinds, quiet = per_conf(lambda c: c.kinds), per_conf(lambda c: c.silenced_by)
     conf, name, token = F.col("conf"), F.col("name"), F.col("token")

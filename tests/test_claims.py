@@ -218,6 +218,23 @@ def test_one_reading_for_all_configurations(spark, tmp_path):
     assert f"{tmp_path}/texts" not in " ".join(found.inputFiles())
 
 
+def test_surroundings_once_for_all_configurations(spark, monkeypatch):
+    """More configurations that have the same cues don't make more rows to be sorted."""
+    made, table = [], claims.Scratch.table
+
+    def noted(self, df, name):
+        out = table(self, df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(claims.Scratch, "table", noted)
+    df = spark.createDataFrame(list(enumerate(made_texts(30, 12))), "id long, text string")
+    for n in (1, 5):
+        claims.claims_by(df, "id", "text", {str(k): claims.DEFAULT for k in range(n)})
+    one, five = (rows for name, rows in made if name == "seen")
+    assert one == five > 0
+
+
 # Records -----------------------------------------------------------------------------------------
 
 
