@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cache, cached_property, lru_cache, reduce
 
@@ -63,64 +63,66 @@ DEFAULT = Configuration()
 #: The first letter of what stands behind a number.
 _SPELT = re.compile(r"\s*([^\W\d_])")
 _JAPANESE_OR_CHINESE = re.compile("[　-ヿ㐀-鿿＀-￯]")
-_SPACE, _DIGIT, _HEX = 1, 2, 4
+_SPACE, _DIGIT = 1, 2
+#: Bytes of UTF-8: hexadecimal digits as 1, all others as 0.
+_HEX = bytes(b in b"0123456789abcdef" for b in range(256))
 
 
 @cache
 def _kinds() -> tuple[np.ndarray, bytes]:
-    """What each character is, as bits: white space, a digit, a hexadecimal digit; and the same of bytes."""
+    """What each character is, as bits: white space, a digit; and the same of bytes."""
     every = "".join(map(chr, range(0x110000)))
     out = np.zeros(len(every), np.uint8)
-    for pattern, bit in ((r"\s", _SPACE), (r"\d", _DIGIT), ("[0-9a-f]", _HEX)):
+    for pattern, bit in ((r"\s", _SPACE), (r"\d", _DIGIT)):
         for m in re.finditer(f"{pattern}+", every):
             out[m.start() : m.end()] |= bit
     return out, out[:256].tobytes()
 
 
 class Landmarks:
-    """Where a text's tokens begin and its digits stand: each character is looked up once, the rest are comparisons of whole arrays."""
+    """Where a text's tokens begin and its digits stand: each character is looked up once, when it is first asked for, the rest are comparisons of whole arrays."""
 
     def __init__(self, text: str) -> None:
-        every, narrow = _kinds()
         self.text = text
-        try:
-            self.kinds = np.frombuffer(text.encode("latin-1").translate(narrow), np.uint8)
-        except UnicodeEncodeError:
-            self.kinds = every[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     @cached_property
-    def _blanks(self) -> np.ndarray:
-        """White space, with a place before the text and one behind it."""
-        return np.concatenate(([-1], np.flatnonzero((self.kinds & _SPACE) != 0), [len(self.text)]))
-
-    @cached_property
-    def _tokens(self) -> np.ndarray:
-        """Characters of the token behind each blank; 0 where another follows."""
-        return self._blanks[1:] - self._blanks[:-1] - 1
+    def kinds(self) -> np.ndarray:
+        every, narrow = _kinds()
+        try:
+            return np.frombuffer(self.text.encode("latin-1").translate(narrow), np.uint8)
+        except UnicodeEncodeError:
+            return every[np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     @cached_property
     def starts(self) -> list[int]:
-        return (self._blanks[:-1][self._tokens > 0] + 1).tolist()
+        # Digits aren't white space: what is left is 1 for blanks and 0 for others, and a token begins where it falls.
+        blank = self.kinds & _SPACE
+        out = (np.flatnonzero(blank[:-1] > blank[1:]) + 1).tolist()
+        return [0, *out] if len(blank) and not blank[0] else out
 
     def has_token(self, size: int) -> bool:
-        return len(self.text) >= size and bool(self._tokens.max() >= size)
+        if len(self.text) < size:
+            return False
+        blanks = np.flatnonzero(self.kinds & _SPACE)
+        if not len(blanks):
+            return True
+        return bool(max(blanks[0], len(self.text) - 1 - blanks[-1]) >= size or (blanks[1:] - blanks[:-1] > size).any())
 
     def has_hex(self, size: int) -> bool:
         """Whether so many hexadecimal digits stand in a row."""
-        row, n = self.kinds & _HEX, 1
-        while n < size and len(row):
-            more = min(n, size - n)
-            row, n = row[:-more] & row[more:], n + more
-        return bool(row.any())
+        return b"\1" * size in self.text.encode("utf-8", "surrogatepass").translate(_HEX)
 
     @cached_property
     def digits(self) -> list[tuple[int, int]]:
         """Where runs of digits begin and end."""
-        at = np.flatnonzero((self.kinds & _DIGIT) != 0)
-        if not len(at):
-            return []
-        edge = np.flatnonzero(at[1:] - at[:-1] > 1)
-        return list(zip(at[np.concatenate(([0], edge + 1))].tolist(), (at[np.concatenate((edge, [len(at) - 1]))] + 1).tolist(), strict=True))
+        out, begin, end = [], -1, -1
+        for k in np.flatnonzero(self.kinds & _DIGIT).tolist():
+            if k != end:
+                if end > 0:
+                    out.append((begin, end))
+                begin = k
+            end = k + 1
+        return [*out, (begin, end)] if end > 0 else out
 
     @cached_property
     def spelt(self) -> set[str]:
@@ -205,8 +207,9 @@ def normalise_with_places(raw: str) -> tuple[str, Places]:
 
 # Marks -------------------------------------------------------------------------------------------
 
-MARK = "role string, name string, conf long, token int, last_token int, start int, end int, raw_start int, raw_end int, found string"
-_ARROW = [pa.string(), pa.string(), pa.int64(), *[pa.int32()] * 6, pa.string()]
+#: ``mark`` numbers the marks of a text, ``sort`` is its place in ``mark_sorts`` (null: none), ``place`` its token and, packed behind it, the number of a quantity or the last token of others.
+MARK = "mark int, sort int, place long, role string, name string, conf long, token int, last_token int, start int, end int, raw_start int, raw_end int, found string"
+_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.int32()] * 6, pa.string()]
 
 
 #: What every quantity of a kind holds, where that is found much faster than the quantity.
@@ -376,6 +379,18 @@ def find_marks(text: str, patterns: Patterns, starts: list[int] | None = None, r
 _SHOWN = ("quantity", "cue", "self")
 
 
+def silencers(configurations: Sequence[Configuration]) -> set[str]:
+    """Dimensions that silence others: only of these is it asked where their cues stand in the text with nothing hidden."""
+    return {d for c in configurations for quiet in (*c.silenced_by.values(), *(rule[3] for rule in c.self_sufficient)) for d in quiet}
+
+
+def mark_sorts(patterns: Patterns, silencing: set[str]) -> list[tuple[str, str, int]]:
+    """The sorts of marks that others look for around them: role, name and configurations."""
+    quantities = [("quantity", kind, patterns.every) for kind, _, _ in patterns.quantities]
+    cues = [("cue", patterns.cues[at][0], bits) for at, _, bits in patterns.seen]
+    return list(dict.fromkeys([*quantities, *cues, *(("raw_cue", d, bits) for d, _, bits, _ in patterns.cues if d in silencing)]))
+
+
 def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Configuration] = (DEFAULT,), snippets: bool = False, quotes: bool = False) -> DataFrame:
     """Rows of marks: row (the text's number), key and the columns of MARK. A text without a digit has no quantity, hence no mark is looked for.
 
@@ -390,7 +405,8 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
     configurations = list(configurations)
 
     def search(batches):
-        patterns, steps = pattern_table(configurations), normal_steps()
+        patterns, steps, silencing = pattern_table(configurations), normal_steps(), silencers(configurations)
+        sorts = {which: k for k, which in enumerate(mark_sorts(patterns, silencing))}
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             at, numbers, rows = [], [], []
@@ -401,15 +417,17 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
                 found = find_marks(normal, patterns, starts)
                 if not found:
                     continue
+                found = [f for f in found if f[0] != "raw_cue" or f[1] in silencing]
                 token = lambda c: max(bisect_right(starts, c) - 1, 0)  # noqa: B023, E731
                 lo, hi = [f[3] for f in found], [f[4] for f in found]
                 raw_lo, raw_hi = (x.tolist() for x in traced(len(raw), log).span(lo, hi)) if quotes else ([None] * len(found),) * 2
-                for (role, name, bits, s, e), a, b in zip(found, raw_lo, raw_hi, strict=True):
+                for mark, ((role, name, bits, s, e), a, b) in enumerate(zip(found, raw_lo, raw_hi, strict=True)):
                     near = " ".join(normal[max(0, s - ct.SNIPPET_CHARS) : s + ct.SNIPPET_CHARS].split()) if snippets and role in ("cue", "self") else None
                     first = token(s)
-                    rows.append((role, name, bits, first, token(e - 1) if role in ("cue", "block") else first, s, e, a, b, normal[s:e] if role in _SHOWN else "", near))
+                    last = token(e - 1) if role in ("cue", "block") else first
+                    rows.append((mark, sorts.get((role, name, bits)), first << 32 | (mark if role == "quantity" else last), role, name, bits, first, last, s, e, a, b, normal[s:e] if role in _SHOWN else "", near))
                 if quotes:
-                    rows.append(("text", "", patterns.every, None, None, None, None, None, None, raw, None))
+                    rows.append((None, None, None, "text", "", patterns.every, None, None, None, None, None, None, raw, None))
                 fresh = len(found) + bool(quotes)
                 at += [k] * fresh
                 numbers += [number] * fresh
@@ -423,21 +441,38 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
 # Claims ------------------------------------------------------------------------------------------
 
 
-def _gap(token: Column, at: str) -> Column:
+def _token(packed: str) -> Column:
+    return F.shiftright(F.col(packed), 32).cast("int")
+
+
+def _other(packed: str) -> Column:
+    """What is packed behind a token."""
+    return F.col(packed).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def _gap(first: Column, last: Column, at: Column) -> Column:
     """Tokens between a place and a cue: 0 within it."""
-    t = F.col(at)
-    return F.when(t.between(token["token"], token["last_token"]), 0).otherwise(F.least(F.abs(t - token["token"]), F.abs(t - token["last_token"])))
+    return F.when(at.between(first, last), 0).otherwise(F.least(F.abs(at - first), F.abs(at - last)))
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
 
+def _lists(values: Mapping[tuple[int, str], Sequence[str]], size: int) -> Callable[[str], Column]:
+    """Whether the row's list holds an item: ``values`` has the lists by configuration and name, of ``size`` configurations. Told by comparing names, nothing is looked up."""
 
-def _table(values: Mapping[tuple[int, str], Sequence[str]], conf: Column, name: Column) -> Column:
-    """The list of (configuration, name) in a table; empty where there is none."""
-    literal = F.create_map(*[x for (k, n), v in values.items() for x in (F.lit(f"{k}/{n}"), F.array(*[F.lit(y) for y in v]).cast("array<string>"))]) if values else None
-    none = F.array().cast("array<string>")
-    return F.coalesce(F.try_element_at(literal, F.concat_ws("/", conf.cast("string"), name)), none) if values else none
+    def holds(item: str) -> Column:
+        having: dict[tuple[str, ...], list[int]] = {}
+        for k in range(size):
+            having.setdefault(tuple(sorted(n for (c, n), v in values.items() if c == k and item in v)), []).append(k)
+        return _any(F.col("name").isin(*names) if len(ks) == size else F.col("conf").isin(*ks) & F.col("name").isin(*names) for names, ks in having.items() if names)
 
+    return holds
 
-def _surroundings(found: DataFrame, cues: Sequence[tuple[str, int]], raw_cues: Sequence[tuple[str, int]]) -> DataFrame:
-    """Marks with the nearest of each sort on either side: quantities by kind (``q``), cues and raw cues by dimension and set of configurations (``c``, ``r``), hypothetical wording (``h``).
+
+def _surroundings(found: DataFrame, sorts: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """Marks with the place of the nearest of each sort on either side: quantities by kind (``q``), cues and raw cues by dimension and set of configurations (``c``, ``r``); and hypothetical wording (``h``).
 
     Two orders of a text's marks, forwards and backwards, one sort each, for
     all configurations together. At a token quantities come behind the others,
@@ -445,52 +480,60 @@ def _surroundings(found: DataFrame, cues: Sequence[tuple[str, int]], raw_cues: S
     """
     is_q = F.col("role") == "quantity"
     within = [F.col("token"), is_q.cast("int"), F.when(is_q, F.col("found")), F.when(~is_q, F.col("last_token")), F.col("start"), F.col("end"), F.col("name"), F.col("role")]
-    q = F.struct("token", "found", "start", "end", "raw_start", "raw_end")
-    sorts = {f"q_{k}": F.when(is_q & (F.col("name") == k), q) for k in ct.QUANTITIES}
-    is_a = lambda role, d, bits: (F.col("role") == role) & (F.col("name") == d) & (F.col("conf") == bits)
-    sorts |= {f"c{bits}_{d}": F.when(is_a("cue", d, bits), F.struct("token", "last_token")) for d, bits in cues}
-    sorts |= {f"r{bits}_{d}": F.when(is_a("raw_cue", d, bits), F.col("token")) for d, bits in raw_cues}
+    # Sorts and places come with the marks: a number for each sort is little code and little to keep.
+    places = {_column(which): F.when(F.col("sort") == k, F.col("place")) for k, which in enumerate(sorts)}
     doubt = F.col("role").isin("hypothetical", "block")
     own = Window.partitionBy("row")
     back = own.orderBy(*[c.asc() for c in within]).rowsBetween(Window.unboundedPreceding, -1)
     ahead = own.orderBy(*[c.desc() for c in within]).rowsBetween(Window.unboundedPreceding, -1)
     seen = found
     for side, frame, edge in (("b", back, F.max(F.when(doubt, F.col("last_token")))), ("a", ahead, F.min(F.when(doubt, F.col("token"))))):
-        seen = seen.withColumns({f"{n}_{side}": F.last(c, ignorenulls=True).over(frame) for n, c in sorts.items()} | {f"h_{side}": edge.over(frame)})
+        seen = seen.withColumns({f"{n}_{side}": F.last(c, ignorenulls=True).over(frame) for n, c in places.items()} | {f"h_{side}": edge.over(frame)})
     return seen
 
 
-def _by_configuration(seen: DataFrame, cues: Sequence[tuple[str, int]], raw_cues: Sequence[tuple[str, int]], size: int) -> DataFrame:
+def _column(which: tuple[str, str, int]) -> str:
+    """What a sort's columns begin with: quantities are of all configurations."""
+    role, name, bits = which
+    return f"q_{name}" if role == "quantity" else f"{'r' if role == 'raw_cue' else 'c'}{bits}_{name}"
+
+
+def _by_configuration(seen: DataFrame, cue_sorts: Sequence[tuple[str, str, int]], size: int) -> DataFrame:
     """Marks once for each of their configurations (``conf``, its number), each with the cues around it that its configuration has."""
     of = lambda bits: [k for k in range(size) if bits >> k & 1]
     having = F.array_compact(F.array(*[F.when(F.col("conf").bitwiseAND(F.lit(1 << k)) != 0, F.lit(k)) for k in range(size)]))
     sets: dict[tuple[str, str], list[int]] = {}
-    for kind, found in (("c", cues), ("r", raw_cues)):
-        for d, bits in found:
-            sets.setdefault((kind, d), []).append(bits)
+    for role, d, bits in cue_sorts:
+        if role != "quantity":
+            sets.setdefault(("r" if role == "raw_cue" else "c", d), []).append(bits)
     # The cues of one dimension are of disjoint sets of configurations.
     own = lambda kind, d, bits, side: F.col(f"{kind}{bits}_{d}_{side}") if len(of(bits)) == size else F.when(F.col("conf").isin(of(bits)), F.col(f"{kind}{bits}_{d}_{side}"))
     around = {f"{kind}_{d}_{side}": F.coalesce(*[own(kind, d, bits, side) for bits in found]) for (kind, d), found in sets.items() for side in "ba"}
-    each = seen.withColumn("conf", F.explode(having)).withColumns(around)
+    # One configuration has every mark.
+    each = (seen.withColumn("conf", F.explode(having)) if size > 1 else seen.withColumn("conf", F.lit(0))).withColumns(around)
     return each.drop(*[f"{kind}{bits}_{d}_{side}" for (kind, d), found in sets.items() for bits in found for side in "ba"])
 
 
 def _within(kind: str, names: Sequence[str], tokens: int) -> Column:
     """Whether one of some names is so near on either side: ``r`` raw cues, ``c`` cues by their first token, ``q`` quantities."""
-    at = lambda n, side: F.col(f"r_{n}_{side}") if kind == "r" else F.col(f"{kind}_{n}_{side}.token")
-    tests = [F.coalesce(F.abs(at(n, side) - F.col("token")) <= tokens, F.lit(False)) for n in names for side in "ba"]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    return _any(F.coalesce(F.abs(_token(f"{kind}_{n}_{side}") - F.col("token")) <= tokens, F.lit(False)) for n in names for side in "ba")
+
+
+#: The kinds in the order in which ties are decided, and where distance, kind and side stand in a number before the mark's own.
+_KINDS = sorted(ct.QUANTITIES)
+_DISTANCE, _KIND, _SIDE = 40, 33, 32
 
 
-def _nearest(allowed: Column) -> Column:
-    """The nearest quantity of the allowed kinds within PAIR_WINDOW: distance, kind, side and the quantity; ties to the kind first by name, then to the earlier."""
+def _nearest(allowed: Callable[[str], Column]) -> Column:
+    """The nearest quantity of the allowed kinds within PAIR_WINDOW: distance, kind, side and number of the mark, packed; ties to the kind first by name, then to the earlier."""
     options = []
-    for kind in sorted(ct.QUANTITIES):
+    for at, kind in enumerate(_KINDS):
         for k, side in enumerate("ba"):
-            c = F.col(f"q_{kind}_{side}")
-            distance = F.abs(c["token"] - F.col("token"))
-            options.append(F.when(c.isNotNull() & F.array_contains(allowed, kind) & (distance <= ct.PAIR_WINDOW), F.struct(distance.alias("distance"), F.lit(kind).alias("kind"), F.lit(k).alias("side"), c.alias("q"))))
-    return F.array_min(F.array_compact(F.array(*options)))
+            c = f"q_{kind}_{side}"
+            distance = F.abs(_token(c) - F.col("token"))
+            packed = F.shiftleft(distance.cast("long"), _DISTANCE) + F.lit((at << _KIND) + (k << _SIDE)) + _other(c)
+            options.append(F.when(allowed(kind) & (distance <= ct.PAIR_WINDOW), packed))
+    return F.least(*options)
 
 
 CLAIM = ["key", "dimension", "rule", "cue", "start", "end", "quantity_kind", "quantity", "quantity_start", "quantity_end"]
@@ -509,46 +552,51 @@ def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str
     stored = scratch.table(marks(texts, key, text, confs, snippets, quotes), "marks")
     dimensions = list(dict.fromkeys(d for c in confs for d in c.cues))
     patterns = pattern_table(confs)
-    cue_sets = [(patterns.cues[at][0], bits) for at, _, bits in patterns.seen], [(d, bits) for d, _, bits, _ in patterns.cues]
+    silencing = silencers(confs)
+    sorts = mark_sorts(patterns, silencing)
     # Three sorts of marks ask for their surroundings; both orders are made once, and a mark is told apart by configuration only behind that.
-    around = scratch.table(_surroundings(stored.filter("role <> 'text'"), *cue_sets).filter(F.col("role").isin(*_SHOWN)), "seen")
-    seen = _by_configuration(around, *cue_sets, len(confs))
+    around = scratch.table(_surroundings(stored.filter("role <> 'text'"), sorts).filter(F.col("role").isin(*_SHOWN)).drop("sort", "place"), "seen")
+    seen = _by_configuration(around, sorts, len(confs))
     per_conf = lambda pick: {(k, n): v for k, c in enumerate(confs) for n, v in pick(c).items()}
-    kinds, quiet = per_conf(lambda c: c.kinds), per_conf(lambda c: c.silenced_by)
+    lists = lambda pick: _lists(per_conf(pick), len(confs))
     conf, name, token = F.col("conf"), F.col("name"), F.col("token")
     sure = ~(F.coalesce(F.col("h_b") >= token - ct.EXCLUSION_WINDOW, F.lit(False)) | F.coalesce(F.col("h_a") <= token + ct.EXCLUSION_WINDOW, F.lit(False)))
-    silenced = lambda by: reduce(lambda a, b: a | b, [F.array_contains(by, d) & _within("r", [d], ct.PAIR_WINDOW) for d in dimensions], F.lit(False))
+    silenced = lambda by: _any(by(d) & _within("r", [d], ct.PAIR_WINDOW) for d in dimensions if d in silencing)
 
     # Cues with their nearest fitting quantity.
-    cues = seen.filter("role = 'cue'").filter(sure & ~silenced(_table(quiet, conf, name)))
-    cues = cues.withColumn("best", _nearest(_table(kinds, conf, name))).filter("best is not null")
-    cues = cues.select("row", "key", "conf", name.alias("dimension"), "token", "last_token", "start", "end", "raw_start", "raw_end", F.col("found").alias("cue"), "snippet", F.col("best.kind").alias("quantity_kind"), F.col("best.q").alias("q"))
+    cues = seen.filter("role = 'cue'").filter(sure & ~silenced(lists(lambda c: c.silenced_by)))
+    cues = cues.withColumn("best", _nearest(lists(lambda c: c.kinds))).filter("best is not null")
+    cues = cues.select("row", "key", "conf", name.alias("dimension"), "token", "last_token", "start", "end", "raw_start", "raw_end", F.col("found").alias("cue"), "snippet", "best")
+    bits = lambda at, n: F.shiftright("best", at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    cues = cues.withColumns({"quantity_kind": F.element_at(F.array(*[F.lit(k) for k in _KINDS]), bits(_KIND, 7) + 1), "its_quantity": bits(0, 32), "q_token": token + F.when(bits(_SIDE, 1) == 0, -bits(_DISTANCE, 23)).otherwise(bits(_DISTANCE, 23))})
 
     # What quantities have around them: of each dimension that takes their kind the nearest cue, and whether the fallback is out of the question.
-    takers = per_conf(lambda c: {k: [d for d, own in c.kinds.items() if k in own] for k in ct.QUANTITIES})
-    rival = lambda d: F.when(F.array_contains(F.col("takers"), d), F.least(*[_gap(F.col(f"c_{d}_{side}"), "token") for side in "ba"]))
-    quantities = seen.filter("role = 'quantity'").withColumn("takers", _table(takers, conf, name))
-    quantities = quantities.select(
-        F.col("row").alias("q_row"), F.col("conf").alias("q_conf"), F.col("name").alias("q_kind"), F.col("start").alias("q_start"), F.col("end").alias("q_end"),
-        F.array_compact(F.array(*[F.when(rival(d).isNotNull(), F.struct(F.lit(d).alias("dimension"), rival(d).alias("distance"))) for d in dimensions])).alias("rivals"),
+    takes = lists(lambda c: {k: [d for d, own in c.kinds.items() if k in own] for k in ct.QUANTITIES})
+    rival = lambda d: F.when(takes(d), F.least(*[_gap(_token(f"c_{d}_{side}"), _other(f"c_{d}_{side}"), token) for side in "ba"]))
+    quantities = seen.filter("role = 'quantity'").select(
+        F.col("row").alias("q_row"), F.col("conf").alias("q_conf"), F.col("mark").alias("q_mark"), F.col("start").alias("q_start"), F.col("end").alias("q_end"),
+        F.col("found").alias("q_found"), F.col("raw_start").alias("q_raw_start"), F.col("raw_end").alias("q_raw_end"), *[rival(d).alias(f"rival_{d}") for d in dimensions],
         (_within("c", [d for d in dimensions if d != ct.FALLBACK], ct.PAIR_WINDOW) | _within("q", ct.UNIT_KINDS, ct.UNIT_WINDOW) | name.isin(*ct.UNIT_KINDS)).alias("named"),
     )
-    same = (F.col("row") == F.col("q_row")) & (conf == F.col("q_conf")) & (F.col("quantity_kind") == F.col("q_kind")) & (F.col("q.start") == F.col("q_start")) & (F.col("q.end") == F.col("q_end"))
-    distance = _gap(F.struct("token", "last_token"), "q.token")
-    paired = cues.join(quantities, same).withColumn("distance", distance)
+    same = (F.col("row") == F.col("q_row")) & (conf == F.col("q_conf")) & (F.col("its_quantity") == F.col("q_mark"))
+    distance = _gap(token, F.col("last_token"), F.col("q_token"))
+    # Both sides grow with the texts, and files of marks are much smaller than marks: neither is to be broadcast by its files' size.
+    paired = cues.join(quantities.hint("merge"), same).withColumn("distance", distance)
     # A strictly nearer cue of another dimension wins the quantity; the fallback needs a quantity without any cue or unit beside it.
-    paired = paired.filter(~F.exists("rivals", lambda r: (r["dimension"] != F.col("dimension")) & (r["distance"] < F.col("distance"))))
+    paired = paired.filter(~_any(F.coalesce((F.col("dimension") != d) & (F.col(f"rival_{d}") < F.col("distance")), F.lit(False)) for d in dimensions))
     paired = paired.filter((F.col("dimension") != ct.FALLBACK) | ~F.col("named"))
     own = ["row", "conf", "snippet"]
-    out = paired.select(*own, "key", "dimension", F.lit("cue+quantity").alias("rule"), "cue", "start", "end", "quantity_kind", F.col("q.found").alias("quantity"), F.col("q.start").alias("quantity_start"), F.col("q.end").alias("quantity_end"), "raw_start", "raw_end", F.col("q.raw_start").alias("quantity_raw_start"), F.col("q.raw_end").alias("quantity_raw_end"))
+    out = paired.select(*own, "key", "dimension", F.lit("cue+quantity").alias("rule"), "cue", "start", "end", "quantity_kind", F.col("q_found").alias("quantity"), F.col("q_start").alias("quantity_start"), F.col("q_end").alias("quantity_end"), "raw_start", "raw_end", F.col("q_raw_start").alias("quantity_raw_start"), F.col("q_raw_end").alias("quantity_raw_end"))
 
     # Constructions that suffice by themselves.
     numbers = rule_numbers(confs)
     if numbers:
-        by = lambda pick: _table({(0, str(k)): pick(r) for r, k in numbers.items()}, F.lit(0), name)
-        need = by(lambda r: r[2])
-        alone = seen.filter("role = 'self'").filter(sure & ~silenced(by(lambda r: r[3])) & ((F.size(need) == 0) | _nearest(need).isNotNull()))
-        made = alone.select(*own, "key", by(lambda r: [r[0]])[0].alias("dimension"), F.lit("self-sufficient").alias("rule"), F.col("found").alias("cue"), "start", "end", F.lit("self").alias("quantity_kind"), F.col("found").alias("quantity"), F.col("start").alias("quantity_start"), F.col("end").alias("quantity_end"), "raw_start", "raw_end", F.col("raw_start").alias("quantity_raw_start"), F.col("raw_end").alias("quantity_raw_end"))
+        by = lambda pick: _lists({(0, str(k)): pick(r) for r, k in numbers.items()}, 1)
+        need = by(lambda r: r[2] or [""])
+        met = need("") | _any(need(kind) & _within("q", [kind], ct.PAIR_WINDOW) for kind in ct.QUANTITIES)
+        alone = seen.filter("role = 'self'").filter(sure & ~silenced(by(lambda r: r[3])) & met)
+        dimension = F.element_at(F.array(*[F.lit(r[0]) for r in numbers]), name.cast("int") + 1)
+        made = alone.select(*own, "key", dimension.alias("dimension"), F.lit("self-sufficient").alias("rule"), F.col("found").alias("cue"), "start", "end", F.lit("self").alias("quantity_kind"), F.col("found").alias("quantity"), F.col("start").alias("quantity_start"), F.col("end").alias("quantity_end"), "raw_start", "raw_end", F.col("raw_start").alias("quantity_raw_start"), F.col("raw_end").alias("quantity_raw_end"))
         out = out.unionByName(made)
     out = out.withColumn("configuration", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("conf") + 1))
     if quotes:

@@ -235,6 +235,22 @@ def test_surroundings_once_for_all_configurations(spark, monkeypatch):
     assert one == five > 0
 
 
+def test_decisions_keep_little_for_each_mark_and_broadcast_none(spark, monkeypatch):
+    """What surrounds a mark is kept as numbers, only of sorts that some decision asks for; cues meet quantities in a join that grows with the texts."""
+    made, table = {}, claims.Scratch.table
+
+    def noted(self, df, name):
+        made[name] = out = table(self, df, name)
+        return out
+
+    monkeypatch.setattr(claims.Scratch, "table", noted)
+    texts = [*made_texts(30, 13), "memory, latency and build time: 5 ms"]
+    found = claims.extract_claims(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    assert {r["name"] for r in made["marks"].filter("role = 'raw_cue'").select("name").distinct().collect()} == {"D7"}
+    assert not [c for c, kind in made["seen"].dtypes if kind.startswith(("struct", "array"))]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # Records -----------------------------------------------------------------------------------------
 
 
