@@ -66,6 +66,8 @@ _JAPANESE_OR_CHINESE = re.compile("[　-ヿ㐀-鿿＀-￯]")
 _SPACE, _DIGIT = 1, 2
 #: Bytes of UTF-8: hexadecimal digits as 1, all others as 0.
 _HEX = bytes(b in b"0123456789abcdef" for b in range(256))
+#: Bytes of UTF-8: white space of one byte as 0, all others as 1.
+_SOLID = bytes(not chr(b).isspace() or b > 127 for b in range(256))
 
 
 @cache
@@ -86,12 +88,19 @@ class Landmarks:
         self.text = text
 
     @cached_property
-    def kinds(self) -> np.ndarray:
-        every, narrow = _kinds()
+    def narrow(self) -> bytes | None:
+        """The text with a byte a character, if all have one."""
         try:
-            return np.frombuffer(self.text.encode("latin-1").translate(narrow), np.uint8)
+            return self.text.encode("latin-1")
         except UnicodeEncodeError:
-            return every[np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            return None
+
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        every, narrow = _kinds()
+        if self.narrow is not None:
+            return np.frombuffer(self.narrow.translate(narrow), np.uint8)
+        return every[np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     @cached_property
     def starts(self) -> list[int]:
@@ -101,7 +110,8 @@ class Landmarks:
         return [0, *out] if len(blank) and not blank[0] else out
 
     def has_token(self, size: int) -> bool:
-        if len(self.text) < size:
+        # White space of several bytes counts as solid here, so what has no such run has no such token.
+        if len(self.text) < size or b"\1" * size not in self.text.encode("utf-8", "surrogatepass").translate(_SOLID):
             return False
         blanks = np.flatnonzero(self.kinds & _SPACE)
         if not len(blanks):
@@ -124,6 +134,22 @@ class Landmarks:
             end = k + 1
         return [*out, (begin, end)] if end > 0 else out
 
+    def behind_digits(self, sign: str) -> bool:
+        """Whether a run of digits ends at a sign."""
+        return any(self.text.startswith(sign, end) for _, end in self.digits)
+
+    @cached_property
+    def numbers(self) -> list[int]:
+        """Where a number can begin: at a run of digits, or at a tilde ahead of it."""
+        text, out = self.text, []
+        for begin, _ in self.digits:
+            if text.startswith("~", begin - 1) and begin > 0:
+                out.append(begin - 1)
+            elif begin > 1 and text[begin - 2] == "~" and text[begin - 1].isspace():
+                out.append(begin - 2)
+            out.append(begin)
+        return out
+
     @cached_property
     def spelt(self) -> set[str]:
         """First letters of what stands behind numbers."""
@@ -153,7 +179,7 @@ def normal_steps() -> tuple[Step | Lower, ...]:
     by words that all their finds hold, or by the text's landmarks.
     """
     foreign_search = _holds(_JAPANESE_OR_CHINESE)
-    foreign = lambda text: [] if text.isascii() else foreign_search(text)
+    foreign = lambda text: [] if landmarks(text).narrow is not None else foreign_search(text)
     spelt = lambda text: landmarks(text).spelt
     behind_numbers = lambda text: [end for _, end in landmarks(text).digits]
     needs = {
@@ -165,8 +191,8 @@ def normal_steps() -> tuple[Step | Lower, ...]:
         r"(?s)share your feedback on copilot coding agent.*?survey\.?": _has("share your feedback on copilot coding agent"),
         r"link to devin run:.*?(?:\n|$)": _has("link to devin run:"),
         r"co-authored-by:.*?(?:\n|$)": _has("co-authored-by:"),
-        r"\b\d{4}-\d{2}-\d{2}(?:t[\d:.]+z?)?\b": _holds(r"-\d\d-\d"),
-        r"\bv?\d+\.\d+\.\d+(?:[-+.][\w.]+)*\b": _holds(r"\.\d+\.\d"),
+        r"\b\d{4}-\d{2}-\d{2}(?:t[\d:.]+z?)?\b": lambda text: [1] if landmarks(text).behind_digits("-") else [],
+        r"\bv?\d+\.\d+\.\d+(?:[-+.][\w.]+)*\b": lambda text: [1] if landmarks(text).behind_digits(".") else [],
         r"\b[0-9a-f]{7,40}\b": lambda text: [1] if landmarks(text).has_hex(7) else [],
         r"([　-ヿ㐀-鿿＀-￯])(?=[\d(~\-+])": foreign,
         r"(?<=[\d)%xs])(?=[　-ヿ㐀-鿿＀-￯])": foreign,
@@ -213,7 +239,24 @@ _ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64
 
 
 #: What every quantity of a kind holds, where that is found much faster than the quantity.
-_HOLDS = {"mult": r"\d\s?(?:x|times)\b", "pct": r"\d\s?(?:%|percent)", "currency": r"[$€£]|\b(?:usd|eur|gbp|dollars?|cents?)\b|\d(?:usd|eur|gbp|dollar|cent)", "from_to": r"\bfrom\s|->"}
+_HOLDS = {"mult": r"\d\s?(?:x|times)\b", "pct": r"\d\s?(?:%|percent)", "currency": r"[$€£]|\b(?:usd|eur|gbp|dollars?|cents?)\b|\d(?:usd|eur|gbp|dollar|cent)", "from_to": r"\bfrom\s|->", "before_after": r"(?:[:=|]|->)\s*\**~?\s?\d"}
+#: Built-in patterns that begin with a number, and what a text holds in which a time is written ahead of its number.
+_NUMBER_FIRST = frozenset(p for p in (*ct.QUANTITIES.values(), *(p for _, p, _, _ in ct.SELF_SUFFICIENT)) if p.startswith(rf"\b{ct.NUM}"))
+_UNIT_AHEAD = re.compile(rf"\({ct.TIME}\)")
+#: Of each built-in cue, what all that it finds holds a word of: told much faster than the cue is looked for.
+_CUE_WORDS = {
+    "D1": ("time", "latenc", "took", "take", "taking", "timing", "faster", "slower", "quicker", "speed", "elapsed", "wall", "startup", "start-up", "boot", "cold", "duration", "ttfb", "tti", "lcp", "fcp", "p50", "p75", "p9", "percentile", "レイテンシ", "高速化", "時間", "耗时", "时间", "延迟"),
+    "D2": ("throughput", "/s", "second", "qps", "rps", "tps", "bps", "fps", "スループット", "吞吐"),
+    "D3": ("mem", "heap", "rss", "resident", "footprint", "alloc", "garbage", "gc", "leak", "oom", "swap", "fault", "retained", "created", "arena", "pool", "メモリ", "ヒープ", "内存"),
+    "D4": ("cpu", "utili", "cycles", "instruction", "ipc", "flops", "call", "invocation", "branch", "compute", "core", "呼び出し", "调用次数"),
+    "D5": ("n+1", "trip", "quer", "db", "database", "sql", "api", "http", "network", "request", "payload", "bytes", "transfer", "response", "bandwidth", "cache", "hit", "miss", "disk", "i/o", "ops", "syscall", "file", "writes"),
+    "D6": ("size", "bundle", "gzip", "brotli", "minified", "apk", "ipa", "shak", "dead"),
+    "D7": ("build", "compil", "ci-", "ci ", "pipeline", "duration", "test", "time", "reload", "hmr", "ビルド時間", "编译时间", "构建时间"),
+    "D8": ("cost", "pric", "bill", "spend", "energy", "power", "watt", "joule", "kwh", "battery", "carbon", "co2"),
+    "D9": ("concurren", "parallelism", "load", "stress", "contention", "lock", "scal", "pool", "backpressure", "queue", "saturat", "simultaneous"),
+    "D0": ("perf", "efficien", "overhead", "slowness", "bottleneck", "responsive", "snappier", "sluggish", "optimi", "speed"),
+}
+_WORDS_OF = {p: _CUE_WORDS[d] for d, p in ct.CUES.items()}
 
 
 #: Tokens on either side of a digit within which a quantity with that digit ends, more than any pattern spans.
@@ -324,9 +367,40 @@ def _places_of(text: str, words: Sequence[str]) -> list[int]:
     return sorted(out)
 
 
+def _at_numbers(text: str, pattern: re.Pattern, digits: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """What a pattern that begins with a number finds in some stretches, in which all numbers are."""
+    numbers, k = landmarks(text).numbers, 0
+    for _, hi in digits:
+        end = 0
+        while k < len(numbers) and numbers[k] < hi:
+            if numbers[k] >= end and (m := pattern.match(text, numbers[k], hi)):
+                yield m
+                end = m.end()
+            k += 1
+
+
+def _quantities(text: str, kind: str, pattern: re.Pattern, held: re.Pattern | None, digits: list[tuple[int, int]]) -> Iterable[re.Match]:
+    if pattern.pattern in _NUMBER_FIRST or kind == "time" and not _UNIT_AHEAD.search(text):
+        return _at_numbers(text, pattern, digits)
+    return _over(text, pattern, digits if held is None else [at for at in digits if held.search(text, *at)])
+
+
+def _with_words(words: Sequence[str], where: list[tuple[int, int]], pieces: list[str]) -> list[tuple[int, int]]:
+    """The stretches of which the pieces of text hold a word."""
+    out = []
+    for at, piece in zip(where, pieces, strict=True):
+        for w in words:
+            if w in piece:
+                out.append(at)
+                break
+    return out
+
+
 def _sufficient(text: str, pattern: re.Pattern, digits: list[tuple[int, int]]) -> Iterator[re.Match]:
     """What a self-sufficient rule finds: the built-in ones are looked for where they can be."""
     p = pattern.pattern
+    if p in _NUMBER_FIRST:
+        return _at_numbers(text, pattern, digits)
     if p in _SHORT_RULES:
         return _over(text, pattern, digits)
     if p in _SPEED_RULES:
@@ -348,22 +422,24 @@ def find_marks(text: str, patterns: Patterns, starts: list[int] | None = None, r
     starts = landmarks(text).starts if starts is None else starts
     whole = [(0, len(text))]
     digits = stretches_around(starts, len(text), landmarks(text).digits, QUANTITY_REACH)
-    out = [("quantity", kind, patterns.every, m.start(), m.end()) for kind, p, held in patterns.quantities for at in digits if held is None or held.search(text, *at) for m in p.finditer(text, *at)]
+    out = [("quantity", kind, patterns.every, m.start(), m.end()) for kind, p, held in patterns.quantities for m in _quantities(text, kind, p, held, digits)]
     alone = [("self", number, bits, m.start(), m.end()) for number, p, bits in patterns.alone for m in _sufficient(text, p, digits)]
     if not out and not alone:
         return []
     near = stretches_around(starts, len(text), [m[3:] for m in (*out, *alone)], reach)
-    spans = [[m.span() for m in _over(text, p, near if short else whole)] for _, p, _, short in patterns.cues]
+    pieces = [text[lo:hi] for lo, hi in near]
+    fields = [_with_words(_WORDS_OF[p.pattern], near, pieces) if p.pattern in _WORDS_OF else near if short else whole for _, p, _, short in patterns.cues]
+    spans = [[m.span() for lo, hi in field for m in p.finditer(text, lo, hi)] for (_, p, _, _), field in zip(patterns.cues, fields, strict=True)]
     if not alone and not any(spans):
         return []
     out += alone
     for (d, _, bits, _), found in zip(patterns.cues, spans, strict=True):
         out += [("raw_cue", d, bits, s, e) for s, e in found]
     for at, hiding, bits in patterns.seen:
-        d, p, _, short = patterns.cues[at]
+        d, p, _, _ = patterns.cues[at]
         hidden = [span for o in hiding for span in spans[o]]
         if hidden:
-            left = [(max(lo, a), min(hi, b)) for lo, hi in open_stretches(len(text), hidden) for a, b in (near if short else whole) if max(lo, a) < min(hi, b)]
+            left = [(max(lo, a), min(hi, b)) for lo, hi in open_stretches(len(text), hidden) for a, b in fields[at] if max(lo, a) < min(hi, b)]
             found = [m.span() for m in _over(text, p, left)]
         else:
             found = spans[at]
@@ -399,7 +475,7 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
     ``text`` holds each raw text that has marks.
     """
     bound_arrow_batches(texts.sparkSession)
-    chosen = spread(texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))).filter(F.col("text").rlike(r"(?U)\d"))
+    chosen = spread(texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     kind = chosen.schema["key"].dataType.simpleString()
     names = ["row", "key", *[c.split()[0] for c in MARK.split(", ")], "snippet"]
     configurations = list(configurations)
@@ -407,11 +483,13 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
     def search(batches):
         patterns, steps, silencing = pattern_table(configurations), normal_steps(), silencers(configurations)
         sorts = {which: k for k, which in enumerate(mark_sorts(patterns, silencing))}
-        number = TaskContext.get().partitionId() << 40
+        number, digit = TaskContext.get().partitionId() << 40, re.compile(r"\d").search
         for batch in batches:
             at, numbers, rows = [], [], []
             for k, raw in enumerate(batch.column(1).to_pylist()):
                 number += 1
+                if raw is None or not digit(raw):
+                    continue
                 normal, log = rewrite(raw, steps)
                 starts = landmarks(normal).starts
                 found = find_marks(normal, patterns, starts)

@@ -1,6 +1,8 @@
 """Claims, places, records and quotes against plain definitions."""
 
 import bisect
+import dataclasses
+import itertools
 import random
 import re
 
@@ -427,3 +429,56 @@ def test_steps_and_marks_are_those_of_the_plain_patterns():
         assert sorted((m[1], *m[3:]) for m in found if m[0] == "self") == sorted((k, *m.span()) for k, p in rules for m in re.finditer(p, want))
         assert {m[3] for m in found if m[0] == "block"} <= {m.start() for m in re.finditer(ct.PROSPECTIVE, want)}
         assert not found or sum(m[0] == "block" for m in found) == len(re.findall(ct.PROSPECTIVE, want))
+
+
+def made_by(parsed):
+    """The texts that a pattern's parts make, with repeats done as seldom as they can be and once more."""
+    out = [""]
+    for op, given in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            each = [chr(given)]
+        elif op == "IN":
+            each = [chr(x) if str(kind) == "LITERAL" else {"CATEGORY_DIGIT": "0", "CATEGORY_SPACE": " "}.get(str(x), "a") for kind, x in given]
+        elif op == "BRANCH":
+            each = [x for branch in given[1] for x in made_by(branch)]
+        elif op == "SUBPATTERN":
+            each = made_by(given[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            each = ["".join(x) for n in range(given[0], min(int(given[1]), given[0] + 1) + 1) for x in itertools.product(made_by(given[2]), repeat=n)]
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+            each = [""]
+        out = [a + b for a in out for b in dict.fromkeys(each)]
+    return out
+
+
+def test_whatever_a_cue_finds_holds_one_of_its_words():
+    """Cues are run where a word of theirs is: no alternative of any of them is without one."""
+    for d, p in ct.CUES.items():
+        found = made_by(re._parser.parse(p))
+        assert len(found) > 10 and not [x for x in found if not any(w in x for w in claims._CUE_WORDS[d])]
+
+
+def test_patterns_that_begin_with_numbers_are_tried_at_numbers():
+    """Quantities are those of a plain search, with tildes, separators, other digits and units ahead of numbers; numbers without a word of a cue beside them run no cue."""
+    rng = random.Random(12)
+    parts = "~ 5 1,200 3.5 12 x times faster % percent ms s (ms) (s) : = kb mb/s req/s n ± 10b 5ms ~7 ٣ $5.20 € before: after | -> from to 1990s word .5 a5 reduced by per second threads memory".split()
+    patterns = claims.pattern_table([claims.DEFAULT])
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 14)))
+        found = [m for m in claims.find_marks(text, patterns) if m[0] == "quantity"]
+        assert not found or sorted((m[1], *m[3:]) for m in found) == sorted((kind, *m.span()) for kind, p in ct.QUANTITIES.items() for m in re.finditer(p, text))
+    asked = []
+
+    class Watched:
+        def __init__(self, p):
+            self.p, self.pattern = p, p.pattern
+
+        def finditer(self, *at):
+            asked.append(self.pattern)
+            return self.p.finditer(*at)
+
+    watched = dataclasses.replace(patterns, cues=[(d, Watched(p), bits, short) for d, p, bits, short in patterns.cues])
+    claims.find_marks("the word and 12 ms of it, the latency " * 3, watched)
+    assert set(asked) == {ct.CUES["D1"]}
