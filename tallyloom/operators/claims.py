@@ -467,17 +467,30 @@ def mark_sorts(patterns: Patterns, silencing: set[str]) -> list[tuple[str, str,
     return list(dict.fromkeys([*quantities, *cues, *(("raw_cue", d, bits) for d, _, bits, _ in patterns.cues if d in silencing)]))
 
 
-def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Configuration] = (DEFAULT,), snippets: bool = False, quotes: bool = False) -> DataFrame:
+def _reaches(found: list[tuple], tokens: list[int], lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
+    """For each mark the stretch of raw text from itself to all quantities that it can be paired with: those within PAIR_WINDOW tokens."""
+    at = sorted((t, k) for k, (t, f) in enumerate(zip(tokens, found, strict=True)) if f[0] == "quantity")
+    out = []
+    for k, (role, *_) in enumerate(found):
+        own = [k]
+        if role == "cue":
+            own += [q for _, q in at[bisect_left(at, (tokens[k] - ct.PAIR_WINDOW, -1)) : bisect_left(at, (tokens[k] + ct.PAIR_WINDOW + 1, -1))]]
+        out.append((min(lo[q] for q in own), max(hi[q] for q in own)))
+    return out
+
+
+def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Configuration] = (DEFAULT,), snippets: bool = False, places: bool = False, quotes: bool = False) -> DataFrame:
     """Rows of marks: row (the text's number), key and the columns of MARK. A text without a digit has no quantity, hence no mark is looked for.
 
     With ``snippets`` cues bring the normalised text around them; with
-    ``quotes`` places in the raw text are filled in, and a mark of role
-    ``text`` holds each raw text that has marks.
+    ``places`` places in the raw text are filled in; with ``quotes``, too, and
+    cues bring the raw text as far as the quantities that they may be paired
+    with (``wide``, and where it begins), so that no text has to be met again.
     """
     bound_arrow_batches(texts.sparkSession)
     chosen = spread(texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     kind = chosen.schema["key"].dataType.simpleString()
-    names = ["row", "key", *[c.split()[0] for c in MARK.split(", ")], "snippet"]
+    names = ["row", "key", *[c.split()[0] for c in MARK.split(", ")], "snippet", "wide", "wide_start"]
     configurations = list(configurations)
 
     def search(batches):
@@ -498,22 +511,20 @@ def marks(texts: DataFrame, key: str, text: str, configurations: Sequence[Config
                 found = [f for f in found if f[0] != "raw_cue" or f[1] in silencing]
                 token = lambda c: max(bisect_right(starts, c) - 1, 0)  # noqa: B023, E731
                 lo, hi = [f[3] for f in found], [f[4] for f in found]
-                raw_lo, raw_hi = (x.tolist() for x in traced(len(raw), log).span(lo, hi)) if quotes else ([None] * len(found),) * 2
-                for mark, ((role, name, bits, s, e), a, b) in enumerate(zip(found, raw_lo, raw_hi, strict=True)):
+                tokens = [token(c) for c in lo]
+                raw_lo, raw_hi = (x.tolist() for x in traced(len(raw), log).span(lo, hi)) if places or quotes else ([None] * len(found),) * 2
+                wide = _reaches(found, tokens, raw_lo, raw_hi) if quotes else None
+                for mark, ((role, name, bits, s, e), a, b, first) in enumerate(zip(found, raw_lo, raw_hi, tokens, strict=True)):
                     near = " ".join(normal[max(0, s - ct.SNIPPET_CHARS) : s + ct.SNIPPET_CHARS].split()) if snippets and role in ("cue", "self") else None
-                    first = token(s)
                     last = token(e - 1) if role in ("cue", "block") else first
-                    rows.append((mark, sorts.get((role, name, bits)), first << 32 | (mark if role == "quantity" else last), role, name, bits, first, last, s, e, a, b, normal[s:e] if role in _SHOWN else "", near))
-                if quotes:
-                    rows.append((None, None, None, "text", "", patterns.every, None, None, None, None, None, None, raw, None))
-                fresh = len(found) + bool(quotes)
-                at += [k] * fresh
-                numbers += [number] * fresh
+                    rows.append((mark, sorts.get((role, name, bits)), first << 32 | (mark if role == "quantity" else last), role, name, bits, first, last, s, e, a, b, normal[s:e] if role in _SHOWN else "", near, *((raw[slice(*wide[mark])], wide[mark][0]) if quotes and role in ("cue", "self") else (None, None))))
+                at += [k] * len(found)
+                numbers += [number] * len(found)
             if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*_ARROW, pa.string()], strict=True)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*_ARROW, pa.string(), pa.string(), pa.int32()], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column(0).take(pa.array(at)), *columns], names=names)
 
-    return chosen.mapInArrow(search, f"row long, key {kind}, {MARK}, snippet string")
+    return chosen.mapInArrow(search, f"row long, key {kind}, {MARK}, snippet string, wide string, wide_start int")
 
 
 # Claims ------------------------------------------------------------------------------------------
@@ -618,22 +629,22 @@ CLAIM = ["key", "dimension", "rule", "cue", "start", "end", "quantity_kind", "qu
 RAW = ["raw_start", "raw_end", "quantity_raw_start", "quantity_raw_end"]
 
 
-def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str, Configuration], snippets: bool = False, quotes: bool = False) -> DataFrame:
+def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str, Configuration], snippets: bool = False, places: bool = False, quotes: bool = False) -> DataFrame:
     """A row for each claim of each configuration: row, configuration and the columns of CLAIM; with ``snippets`` the text around the cue,
-    with ``quotes`` the places in the raw text and the raw ``quote`` from cue to quantity. Texts are read once for all configurations.
+    with ``places`` the places in the raw text, with ``quotes`` these and the raw ``quote`` from cue to quantity. Texts are read once for all configurations.
     """
     names, confs = list(configurations), list(configurations.values())
     if len(confs) > 60:
         raise ValueError("at most 60 configurations fit into the bits of a mark")
     # Marks are few against the texts; they serve several times and are written once.
     scratch = Scratch(texts.sparkSession, "claims")
-    stored = scratch.table(marks(texts, key, text, confs, snippets, quotes), "marks")
+    stored = scratch.table(marks(texts, key, text, confs, snippets, places, quotes), "marks")
     dimensions = list(dict.fromkeys(d for c in confs for d in c.cues))
     patterns = pattern_table(confs)
     silencing = silencers(confs)
     sorts = mark_sorts(patterns, silencing)
     # Three sorts of marks ask for their surroundings; both orders are made once, and a mark is told apart by configuration only behind that.
-    around = scratch.table(_surroundings(stored.filter("role <> 'text'"), sorts).filter(F.col("role").isin(*_SHOWN)).drop("sort", "place"), "seen")
+    around = scratch.table(_surroundings(stored, sorts).filter(F.col("role").isin(*_SHOWN)).drop("sort", "place"), "seen")
     seen = _by_configuration(around, sorts, len(confs))
     per_conf = lambda pick: {(k, n): v for k, c in enumerate(confs) for n, v in pick(c).items()}
     lists = lambda pick: _lists(per_conf(pick), len(confs))
@@ -644,7 +655,7 @@ def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str
     # Cues with their nearest fitting quantity.
     cues = seen.filter("role = 'cue'").filter(sure & ~silenced(lists(lambda c: c.silenced_by)))
     cues = cues.withColumn("best", _nearest(lists(lambda c: c.kinds))).filter("best is not null")
-    cues = cues.select("row", "key", "conf", name.alias("dimension"), "token", "last_token", "start", "end", "raw_start", "raw_end", F.col("found").alias("cue"), "snippet", "best")
+    cues = cues.select("row", "key", "conf", name.alias("dimension"), "token", "last_token", "start", "end", "raw_start", "raw_end", F.col("found").alias("cue"), "snippet", "wide", "wide_start", "best")
     bits = lambda at, n: F.shiftright("best", at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
     cues = cues.withColumns({"quantity_kind": F.element_at(F.array(*[F.lit(k) for k in _KINDS]), bits(_KIND, 7) + 1), "its_quantity": bits(0, 32), "q_token": token + F.when(bits(_SIDE, 1) == 0, -bits(_DISTANCE, 23)).otherwise(bits(_DISTANCE, 23))})
 
@@ -663,7 +674,7 @@ def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str
     # A strictly nearer cue of another dimension wins the quantity; the fallback needs a quantity without any cue or unit beside it.
     paired = paired.filter(~_any(F.coalesce((F.col("dimension") != d) & (F.col(f"rival_{d}") < F.col("distance")), F.lit(False)) for d in dimensions))
     paired = paired.filter((F.col("dimension") != ct.FALLBACK) | ~F.col("named"))
-    own = ["row", "conf", "snippet"]
+    own = ["row", "conf", "snippet", "wide", "wide_start"]
     out = paired.select(*own, "key", "dimension", F.lit("cue+quantity").alias("rule"), "cue", "start", "end", "quantity_kind", F.col("q_found").alias("quantity"), F.col("q_start").alias("quantity_start"), F.col("q_end").alias("quantity_end"), "raw_start", "raw_end", F.col("q_raw_start").alias("quantity_raw_start"), F.col("q_raw_end").alias("quantity_raw_end"))
 
     # Constructions that suffice by themselves.
@@ -678,15 +689,14 @@ def claims_by(texts: DataFrame, key: str, text: str, configurations: Mapping[str
         out = out.unionByName(made)
     out = out.withColumn("configuration", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("conf") + 1))
     if quotes:
-        whole = stored.filter("role = 'text'").select("row", F.col("found").alias("whole"))
         lo, hi = F.least("raw_start", "quantity_raw_start"), F.greatest("raw_end", "quantity_raw_end")
-        out = out.join(whole, "row").withColumn("quote", F.substring("whole", lo + 1, hi - lo))
-    return out.select("row", "configuration", *CLAIM, *(["snippet"] if snippets else []), *([*RAW, "quote"] if quotes else []))
+        out = out.withColumn("quote", F.substring("wide", lo - F.col("wide_start") + 1, hi - lo))
+    return out.select("row", "configuration", *CLAIM, *(["snippet"] if snippets else []), *(RAW if places or quotes else []), *(["quote"] if quotes else []))
 
 
-def extract_claims(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT, snippets: bool = False, quotes: bool = False) -> DataFrame:
-    """A row for each claim: key, dimension, rule, cue and quantity with their places in the normalised text; ``snippets`` and ``quotes`` as in ``claims_by``."""
-    return claims_by(texts, key, text, {"": configuration}, snippets, quotes).drop("row", "configuration")
+def extract_claims(texts: DataFrame, key: str, text: str, configuration: Configuration = DEFAULT, snippets: bool = False, places: bool = False, quotes: bool = False) -> DataFrame:
+    """A row for each claim: key, dimension, rule, cue and quantity with their places in the normalised text; ``snippets``, ``places`` and ``quotes`` as in ``claims_by``."""
+    return claims_by(texts, key, text, {"": configuration}, snippets, places, quotes).drop("row", "configuration")
 
 
 def claim_flags(claims: DataFrame, texts: DataFrame, key: str, configuration: Configuration = DEFAULT) -> DataFrame:
@@ -740,7 +750,7 @@ def claim_records(pieces: DataFrame, keys: Sequence[str], source: str, order: st
     """Cue and quantity of each claim of a corpus, once for each piece that they stand in: keys, source, claim (a number), dimension, rule, part, words, the piece's order and the place in it."""
     scratch = Scratch(pieces.sparkSession, "records")
     whole = scratch.table(joined_pieces(pieces, keys, source, order, text), "texts")
-    found = extract_claims(whole, "cell", "whole", configuration, quotes=True).withColumn("claim", F.monotonically_increasing_id())
+    found = extract_claims(whole, "cell", "whole", configuration, places=True).withColumn("claim", F.monotonically_increasing_id())
     found = scratch.table(found.withColumnRenamed("key", "cell"), "claims")
     part = lambda name, words, lo, hi: F.struct(F.lit(name).alias("part"), F.col(words).alias("words"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
     parts = F.explode(F.array(part("cue", "cue", "raw_start", "raw_end"), part("quantity", "quantity", "quantity_raw_start", "quantity_raw_end"))).alias("p")

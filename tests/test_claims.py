@@ -482,3 +482,19 @@ def test_patterns_that_begin_with_numbers_are_tried_at_numbers():
     watched = dataclasses.replace(patterns, cues=[(d, Watched(p), bits, short) for d, p, bits, short in patterns.cues])
     claims.find_marks("the word and 12 ms of it, the latency " * 3, watched)
     assert set(asked) == {ct.CUES["D1"]}
+
+
+def test_quotes_bring_no_whole_texts(spark):
+    """What marks carry for quotes is as long as what they can be paired with, however long their text is; quotes are those of the whole text."""
+    far = "word " * 4000
+    text = f"{far}latency <!-- cut --> went **from 20 milliseconds** to 10 ms {far}\n| **5 ms** | memory 3 MB {far}"
+    df = spark.createDataFrame([(1, text), (2, "memory 3 MB less")], "id long, text string")
+    found = claims.marks(df, "id", "text", quotes=True).collect()
+    assert {m["role"] for m in found} <= {"quantity", "cue", "raw_cue", "self", "hypothetical", "block"}
+    assert max(len(v) for m in found for v in m if isinstance(v, str)) < 400
+    got = claims.extract_claims(df, "id", "text", quotes=True).collect()
+    want = {1: text, 2: "memory 3 MB less"}
+    for r in got:
+        lo, hi = min(r["raw_start"], r["quantity_raw_start"]), max(r["raw_end"], r["quantity_raw_end"])
+        assert r["quote"] == want[r["key"]][lo:hi]
+    assert any("<!-- cut -->" in r["quote"] for r in got) and {r["key"] for r in got} == {1, 2}
