@@ -711,9 +711,20 @@ def claim_flags(claims: DataFrame, texts: DataFrame, key: str, configuration: Co
 
 
 def joined_pieces(pieces: DataFrame, keys: Sequence[str], source: str, order: str, text: str) -> DataFrame:
-    """keys, source, ``cell`` (both as text) and ``whole``: the pieces of a source in order, joined by line ends. Null pieces don't count."""
-    in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n")
-    return pieces.filter(F.col(text).isNotNull()).groupBy(*keys, source).agg(in_order.alias("whole")).withColumn("cell", F.to_json(F.struct(*keys, source)))
+    """keys, source, ``whole``, ``sizes`` and ``cell`` (keys and source as text): the pieces of a source in order, joined by line ends, and each one's
+    order (``o``) and length (``n``). Null pieces don't count.
+    """
+    in_order = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    joined = pieces.filter(F.col(text).isNotNull()).groupBy(*keys, source).agg(in_order.alias("__pieces"))
+    whole, sizes = F.array_join(F.transform("__pieces", lambda x: x["t"]), "\n"), F.transform("__pieces", lambda x: F.struct(x["o"].alias("o"), F.length(x["t"]).cast("long").alias("n")))
+    return joined.select(*keys, source, whole.alias("whole"), sizes.alias("sizes"), F.to_json(F.struct(*keys, source)).alias("cell"))
+
+
+def joined_boundaries(whole: DataFrame, keys: Sequence[str], source: str, order: str) -> DataFrame:
+    """``record_boundaries`` of what ``joined_pieces`` made, with its ``cell``: from the sizes alone, texts aren't read again."""
+    each = whole.select(*keys, source, "cell", F.posexplode("sizes").alias("__at", "__size"))
+    end = F.sum(F.col("__size.n") + 1).over(Window.partitionBy("cell").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    return each.select(*keys, source, "cell", F.col("__size.o").alias(order), (F.col("__at") + 1).cast("long").alias("number"), (end - F.col("__size.n")).alias("begin"), end.alias("end"))
 
 
 def record_boundaries(pieces: DataFrame, keys: Sequence[str], source: str, order: str, text: str) -> DataFrame:
@@ -756,7 +767,7 @@ def claim_records(pieces: DataFrame, keys: Sequence[str], source: str, order: st
     parts = F.explode(F.array(part("cue", "cue", "raw_start", "raw_end"), part("quantity", "quantity", "quantity_raw_start", "quantity_raw_end"))).alias("p")
     parts = found.select("cell", "claim", "dimension", "rule", parts).select("cell", "claim", "dimension", "rule", "p.*")
     parts = parts.withColumn("span", F.concat_ws("/", F.col("claim").cast("string"), "part"))
-    records = record_boundaries(pieces, keys, source, order, text).withColumn("cell", F.to_json(F.struct(*keys, source)))
+    records = joined_boundaries(whole, keys, source, order)
     out = spans_in_records(parts, records, "cell", "span", "lo", "hi")
     return out.select(*keys, source, "claim", "dimension", "rule", "part", "words", order, "number", "record_start", "record_end")
 

@@ -498,3 +498,14 @@ def test_quotes_bring_no_whole_texts(spark):
         lo, hi = min(r["raw_start"], r["quantity_raw_start"]), max(r["raw_end"], r["quantity_raw_end"])
         assert r["quote"] == want[r["key"]][lo:hi]
     assert any("<!-- cut -->" in r["quote"] for r in got) and {r["key"] for r in got} == {1, 2}
+
+
+def test_records_of_claims_read_no_text_again(spark, tmp_path):
+    """Where pieces stand in their joined text comes from sizes kept beside it; null keys, null orders and null texts as by ``record_boundaries``."""
+    rows = [(k % 3 or None, "ab"[k % 2], k % 4 if k % 5 else None, None if k % 7 == 0 else "latency 5 ms " * (k % 3)) for k in range(40)]
+    spark.createDataFrame(rows, "id long, source string, n long, text string").write.parquet(f"{tmp_path}/pieces")
+    pieces = spark.read.parquet(f"{tmp_path}/pieces")
+    want = claims.record_boundaries(pieces, ["id"], "source", "n", "text")
+    got = claims.joined_boundaries(claims.joined_pieces(pieces, ["id"], "source", "n", "text"), ["id"], "source", "n")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert not [f for f in claims.claim_records(pieces, ["id"], "source", "n", "text").inputFiles() if str(tmp_path) in f]
